@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam
+from spanloom.llm import decontam, licenses
 from spanloom.sources.tables import table
 
 
+def op8_license_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).drop("detections")
+
+
 def op10_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 QUERIES = {
+    "op8_license_signatures": op8_license_signatures,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
 }
 
