@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, licenses
+from spanloom.llm import decontam, licenses, secret_scan
 from spanloom.sources.tables import table
 
 
+def op7_multipart_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(table(spark, folder, "documents"))
+
+
 def op8_license_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents")).drop("detections")
 
@@ -17,6 +21,7 @@ def op10_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 QUERIES = {
+    "op7_multipart_secrets": op7_multipart_secrets,
     "op8_license_signatures": op8_license_signatures,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
 }
