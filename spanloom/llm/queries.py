@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, licenses, secret_scan
+from spanloom.llm import decontam, licenses, ngram_join, secret_scan
 from spanloom.sources.tables import table
 
 
+def op4_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 def op7_multipart_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(table(spark, folder, "documents"))
 
@@ -21,6 +25,7 @@ def op10_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 QUERIES = {
+    "op4_parity_sketch_join": op4_parity_sketch_join,
     "op7_multipart_secrets": op7_multipart_secrets,
     "op8_license_signatures": op8_license_signatures,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
