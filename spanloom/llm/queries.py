@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, licenses, ngram_join, secret_scan
+from spanloom.llm import decontam, licenses, ngram_join, nn_descent, secret_scan
 from spanloom.sources.tables import table
 
 
@@ -12,6 +12,10 @@ def op4_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"))
 
 
+def op6_nn_descent_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op7_multipart_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(table(spark, folder, "documents"))
 
@@ -25,6 +29,7 @@ def op10_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 QUERIES = {
+    "op6_nn_descent_near_duplicates": op6_nn_descent_near_duplicates,
     "op4_parity_sketch_join": op4_parity_sketch_join,
     "op7_multipart_secrets": op7_multipart_secrets,
     "op8_license_signatures": op8_license_signatures,
