@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, licenses, ngram_join, nn_descent, secret_scan
+from spanloom.llm import decontam, licenses, ngram_join, nn_descent, quality, secret_scan
 from spanloom.sources.tables import table
 
 
+def op1_empirical_bayes_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.posteriors(docs, table(spark, folder, "labels"), F.col("source"), F.col("lang"))
+
+
 def op4_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"))
 
@@ -29,6 +35,7 @@ def op10_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 QUERIES = {
+    "op1_empirical_bayes_quality": op1_empirical_bayes_quality,
     "op6_nn_descent_near_duplicates": op6_nn_descent_near_duplicates,
     "op4_parity_sketch_join": op4_parity_sketch_join,
     "op7_multipart_secrets": op7_multipart_secrets,
