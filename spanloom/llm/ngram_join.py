@@ -12,10 +12,11 @@ of a second partition, and so on; the last partition sends its empty blocks too.
 ``CHAINED`` blocks leave that out: all untouched blocks would have to be empty at once, which has a
 chance of less than 1e-12.
 
-Texts with the same set are one item.  Among the items that share a key each is first compared with
-the smallest, and pairs of items that are then still in different components are compared all the
-same, so no link between components is lost and a large group of near copies costs one comparison
-for each member.  All candidate pairs are verified on the whole sets of 64-bit shingle hashes.
+Texts with the same set are one item.  Each item is first compared with the smallest one that shares
+a key with it and whose short sketch (``SKETCH`` words of 64 bits) is near enough for a link.  Items
+of a key that are then still in different components meet again: all pairs whose short sketches are
+near enough are compared, so no link between components is lost, while a large group of near copies
+costs one comparison for each member.  All pairs are verified on the whole sets of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BAND = 1.6
 #: Bands of up to so many blocks send further partitions for texts with empty blocks.
 CHAINED = 32
 SEEDS = 8
+#: Words of the short sketch that rules out pairs before their sets are read.
+SKETCH = 8
 
 _FACTORS = W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -80,6 +83,22 @@ def set_codes(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return W.mix(out)
 
 
+def short_sketches(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, SKETCH): each shingle toggles one bit of its row's sketch."""
+    bit = W.mix(values ^ _FACTORS[60]) % np.uint64(64 * SKETCH)
+    out = np.zeros(n * SKETCH, np.uint64)
+    np.bitwise_xor.at(out, doc * SKETCH + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n, SKETCH)
+
+
+def may_link(sketch_a, n_a, sketch_b, n_b, percent: int) -> np.ndarray:
+    """Whether sizes and the distance of short sketches leave room for a link; arrays broadcast."""
+    distance = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1, dtype=np.int64)
+    n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
+    near = distance * (100 + percent) <= (100 - percent) * (n_a + n_b)
+    return near & (np.minimum(n_a, n_b) * 100 >= percent * np.maximum(n_a, n_b))
+
+
 class Bands:
     """Size bands and the number of blocks that each needs."""
 
@@ -154,7 +173,9 @@ def _summaries(key: str, text: str, size: int):
             doc, values = shingle_sets(found, size)
             sizes = np.bincount(doc, minlength=batch.num_rows).astype(np.int64)
             codes = pa.array(set_codes(doc, values, batch.num_rows).view(np.int64), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes), codes], ["doc_id", "n", "item"])
+            sketch = pa.array([x.tobytes() for x in short_sketches(doc, values, batch.num_rows)], pa.binary())
+            columns = [batch.column(key), pa.array(sizes), codes, sketch]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "item", "sketch"])
 
     return run
 
@@ -216,6 +237,57 @@ def _collisions(batches):
             last = (*last[:3], True)
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(x, np.uint64) for x in column.to_pylist()], np.uint64).reshape(-1, SKETCH)
+
+
+def _near(percent: int):
+    """Of pairs (a, b, n, m, sa, sb): those that sizes and short sketches allow."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            near = may_link(_sketches(batch.column("sa")), n, _sketches(batch.column("sb")), m, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return run
+
+
+def _apart(percent: int, block: int = 256):
+    """Of rows sorted by key: pairs of different components that may be linked, found block by block."""
+
+    def pairs(group: pa.Table):
+        item, c, n = (group.column(x).to_numpy() for x in ("item", "c", "n"))
+        sketch = _sketches(group.column("sketch"))
+        for i in range(0, len(item), block):
+            for j in range(i, len(item), block):
+                a, b = slice(i, i + block), slice(j, j + block)
+                near = may_link(sketch[a, None], n[a, None], sketch[None, b], n[None, b], percent)
+                x, y = np.nonzero(near & (c[a, None] != c[None, b]) & (item[a, None] < item[None, b]))
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(item[a][x]), pa.array(item[b][y])], ["a", "b"])
+                if i != j:
+                    y, x = np.nonzero((near & (c[a, None] != c[None, b]) & (item[a, None] > item[None, b])).T)
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(item[b][y]), pa.array(item[a][x])], ["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(i, j - i)
+                if held and held[0].column("key")[0] != part.column("key")[0]:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
 def _sets(text: str, size: int):
     def run(batches):
         for batch in W.pieces(batches, text):
@@ -241,6 +313,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .withColumn("i", both)
         .where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i")))
         .select("a", "b")
+        .distinct()  # an id that is repeated brings its sets twice
     )
 
 
@@ -258,7 +331,7 @@ def join(
     work = Workspace(spark, "ngram-join")
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    summaries = work.save(slim.mapInArrow(_summaries("doc_id", "text", size), f"doc_id {kind}, n long, item long"), "summaries")
+    summaries = work.save(slim.mapInArrow(_summaries("doc_id", "text", size), f"doc_id {kind}, n long, item long, sketch binary"), "summaries")
     links = _links(slim, summaries, work, size, percent)
     groups = components(links, work)
     firsts = summaries.where("item is not null").groupBy("item").agg(F.min("doc_id").alias("first"))
@@ -281,33 +354,41 @@ def _links(slim: DataFrame, summaries: DataFrame, work: Workspace, size: int, pe
     dealt = keys.repartition(parts, "key").sortWithinPartitions("key", "item")
     shared = work.save(dealt.mapInArrow(_collisions, "key long, item long, n int, pivot long, pivot_n int"), "shared")
 
-    near = F.least("n", "m") * 100 >= percent * F.greatest("n", "m")
-    stars = shared.where("item <> pivot").withColumn("m", F.col("pivot_n")).where(near)
-    stars = work.save(stars.select(F.col("pivot").alias("a"), F.col("item").alias("b")).distinct(), "stars")
-
     items = shared.select("item").distinct()
-    owners = summaries.join(items, "item", "left_semi").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
-    owners = work.save(owners, "owners")
-    # The text of a null id cannot be fetched by key; such rows are few and fetched as they are.
-    chosen = selecting.keep(slim, work.save(owners.select("doc_id").where("doc_id is not null").distinct(), "ids"))
-    if not owners.where("doc_id is null").isEmpty():
-        chosen = chosen.union(slim.where("doc_id is null"))
-    sets = chosen.select("text").mapInArrow(_sets("text", size), "item long, shingles array<long>")
-    sets = work.save(sets.join(owners.select("item"), "item", "left_semi").dropDuplicates(["item"]), "sets")
-
-    first = work.save(_verified(stars, sets, percent), "links")
+    owners = summaries.join(items, "item", "left_semi").groupBy("item")
+    owners = work.save(owners.agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "owners")
+    sketches = owners.select("item", "sketch")
+    stars = shared.where("item <> pivot").select(
+        F.col("pivot").alias("a"), F.col("item").alias("b"), F.col("pivot_n").alias("n"), F.col("n").alias("m")
+    )
+    stars = stars.distinct().join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
+    stars = stars.mapInArrow(_near(percent), "a long, b long").groupBy("b").agg(F.min("a").alias("a"))
+    stars = work.save(stars, "stars")
+
+    def fetched(pairs: DataFrame, name: str) -> DataFrame:
+        """The sets of the items in the pairs, made again from the texts of their owners."""
+        used = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+        own = work.save(owners.join(used, "item", "left_semi").select("doc_id").distinct(), "ids")
+        chosen = selecting.keep(slim, own.where("doc_id is not null"))
+        if not own.where("doc_id is null").isEmpty():  # cannot be fetched by key
+            chosen = chosen.union(slim.where("doc_id is null"))
+        return work.save(chosen.select("text").mapInArrow(_sets("text", size), "item long, shingles array<long>"), name)
+
+    held = fetched(stars, "sets")
+    first = work.save(_verified(stars, held, percent), "links")
+    work.drop(held)
     groups = components(first, work)
     # Items of one key that are still apart.
     placed = shared.join(groups.withColumnRenamed("node", "item"), "item", "left").select(
         "key", "item", "n", F.coalesce("component", "item").alias("c")
     )
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    apart = work.save(placed.join(mixed, "key", "left_semi"), "apart")
-    other = apart.select("key", F.col("item").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = apart.join(other, "key").where("item < b and c <> d").where(near).select(F.col("item").alias("a"), "b").distinct()
+    apart = placed.join(mixed, "key", "left_semi").join(sketches, "item").select("key", "item", "n", "c", "sketch")
+    apart = apart.repartition(parts, "key").sortWithinPartitions("key")
+    rest = apart.mapInArrow(_apart(percent), "a long, b long").distinct()
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = work.save(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    return first.union(_verified(rest, sets, percent))
+    return first.union(_verified(rest, fetched(rest, "more-sets"), percent))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
