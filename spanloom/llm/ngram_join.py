@@ -332,7 +332,15 @@ def join(
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     summaries = work.save(slim.mapInArrow(_summaries("doc_id", "text", size), f"doc_id {kind}, n long, item long, sketch binary"), "summaries")
-    links = _links(slim, summaries, work, size, percent)
+
+    def fetch(owners: DataFrame, items: DataFrame) -> DataFrame:
+        chosen = selecting.keep(slim, owners.select(F.col("owner").alias("doc_id")).where("doc_id is not null"))
+        if not owners.where("owner is null").isEmpty():  # cannot be fetched by key
+            chosen = chosen.union(slim.where("doc_id is null"))
+        return chosen.select("text").mapInArrow(_sets("text", size), "item long, shingles array<long>")
+
+    keys = slim.mapInArrow(_keys("text", size, percent), "key long, item long, n int")
+    links = find_links(keys, summaries.withColumnRenamed("doc_id", "owner"), fetch, work, percent)
     groups = components(links, work)
     firsts = summaries.where("item is not null").groupBy("item").agg(F.min("doc_id").alias("first"))
     rooted = firsts.join(groups, firsts.item == groups.node, "left").select(
@@ -346,17 +354,21 @@ def join(
     )
 
 
-def _links(slim: DataFrame, summaries: DataFrame, work: Workspace, size: int, percent: int) -> DataFrame:
-    """Verified links between items that connect every component."""
-    spark = slim.sparkSession
+def find_links(keys: DataFrame, summaries: DataFrame, fetch, work: Workspace, percent: int) -> DataFrame:
+    """Verified links (a, b) between items that connect every component.
+
+    ``keys`` has (key, item, n), repeated or not: items that may be linked share a key.
+    ``summaries`` has (item, sketch, owner) and ``fetch(owners, items)`` gives (item, shingles) of at
+    least the items in the one, which are found with the other table's owners.
+    """
+    spark = keys.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = slim.mapInArrow(_keys("text", size, percent), "key long, item long, n int")
     dealt = keys.repartition(parts, "key").sortWithinPartitions("key", "item")
     shared = work.save(dealt.mapInArrow(_collisions, "key long, item long, n int, pivot long, pivot_n int"), "shared")
 
     items = shared.select("item").distinct()
     owners = summaries.join(items, "item", "left_semi").groupBy("item")
-    owners = work.save(owners.agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "owners")
+    owners = work.save(owners.agg(F.min("owner").alias("owner"), F.first("sketch").alias("sketch")), "owners")
     sketches = owners.select("item", "sketch")
     stars = shared.where("item <> pivot").select(
         F.col("pivot").alias("a"), F.col("item").alias("b"), F.col("pivot_n").alias("n"), F.col("n").alias("m")
@@ -366,13 +378,9 @@ def _links(slim: DataFrame, summaries: DataFrame, work: Workspace, size: int, pe
     stars = work.save(stars, "stars")
 
     def fetched(pairs: DataFrame, name: str) -> DataFrame:
-        """The sets of the items in the pairs, made again from the texts of their owners."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-        own = work.save(owners.join(used, "item", "left_semi").select("doc_id").distinct(), "ids")
-        chosen = selecting.keep(slim, own.where("doc_id is not null"))
-        if not own.where("doc_id is null").isEmpty():  # cannot be fetched by key
-            chosen = chosen.union(slim.where("doc_id is null"))
-        return work.save(chosen.select("text").mapInArrow(_sets("text", size), "item long, shingles array<long>"), name)
+        used = work.save(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "used")
+        own = work.save(owners.join(used, "item", "left_semi").select("owner").distinct(), "ids")
+        return work.save(fetch(own, used), name)
 
     held = fetched(stars, "sets")
     first = work.save(_verified(stars, held, percent), "links")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, licenses, ngram_join, nn_descent, quality, secret_scan
+from spanloom.llm import decontam, licenses, ngram_join, nn_descent, quality, secret_scan, substring_dedup
 from spanloom.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_empirical_bayes_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.posteriors(docs, table(spark, folder, "labels"), F.col("source"), F.col("lang"))
 
 
+def op2_paragraph_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated(table(spark, folder, "documents"))
+
+
 def op4_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"))
 
@@ -36,6 +40,7 @@ def op10_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 QUERIES = {
     "op1_empirical_bayes_quality": op1_empirical_bayes_quality,
+    "op2_paragraph_minhash_dedup": op2_paragraph_minhash_dedup,
     "op6_nn_descent_near_duplicates": op6_nn_descent_near_duplicates,
     "op4_parity_sketch_join": op4_parity_sketch_join,
     "op7_multipart_secrets": op7_multipart_secrets,
