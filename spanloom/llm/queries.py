@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, licenses, ngram_join, nn_descent, quality, secret_scan, substring_dedup
+from spanloom.llm import decontam, licenses, ngram_join, nn_descent, pii, quality, secret_scan, substring_dedup
 from spanloom.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def op2_paragraph_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated(table(spark, folder, "documents"))
 
 
+def op3_disclosure_sanitisation(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
+
+
 def op4_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_empirical_bayes_quality": op1_empirical_bayes_quality,
     "op2_paragraph_minhash_dedup": op2_paragraph_minhash_dedup,
     "op6_nn_descent_near_duplicates": op6_nn_descent_near_duplicates,
+    "op3_disclosure_sanitisation": op3_disclosure_sanitisation,
     "op4_parity_sketch_join": op4_parity_sketch_join,
     "op7_multipart_secrets": op7_multipart_secrets,
     "op8_license_signatures": op8_license_signatures,
