@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, licenses, ngram_join, nn_descent, pii, quality, secret_scan, substring_dedup
+from spanloom.llm import decontam, licenses, lm_score, ngram_join, nn_descent, pii, quality, secret_scan, substring_dedup
 from spanloom.sources.tables import table
 
 
@@ -38,6 +38,10 @@ def op8_license_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents")).drop("detections")
 
 
+def op9_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_parity_sketch_join": op4_parity_sketch_join,
     "op7_multipart_secrets": op7_multipart_secrets,
     "op8_license_signatures": op8_license_signatures,
+    "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
 }
 
