@@ -1,116 +1,32 @@
 """Document quality by hierarchical empirical Bayes.
 
 A classifier gives each text log-likelihood ratios of being low-quality, and of being toxic, against
-being good.  Features are hashed words and coarse measures of style.  In how many labelled texts of
-each class a feature occurs is counted on all tasks; those whose shares differ by more than chance
-(``MIN_Z``) enter a multinomial logistic regression, fitted on a bounded sample.  The evidence is combined with where a document comes from: grouped
+being good (see :mod:`spanloom.llm.classifier`).  The evidence is combined with where a document comes from: grouped
 aggregation gives the mean evidence of each host and of each path of a host; a host is shrunk
 towards the global rate and a path towards its host, with weights fitted by moments from the spread
 between sites, so sparse sites stay near their parent.  A document's posterior odds are its
 likelihood ratio times the odds of its path.
 
-Labelled documents that are used are bounded by ``SAMPLE_ROWS``, those with the smallest hash; the
-driver sees of them ``CHOSEN`` features at most.
+Labelled documents that are used are bounded by ``SAMPLE_ROWS``, those with the smallest hash.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import words as W
+from spanloom.llm.classifier import Classifier, fit
 from spanloom.session import Workspace
 
 SAMPLE_ROWS = 20_000
-FEATURES = 1 << 20
-#: A feature counts if the shares of two classes lie so many standard errors apart.
-MIN_Z = 4.0
-#: Features of the classifier at most, those that differ most.
-CHOSEN = 4096
 #: Posterior under which a document is rejected.
 KEEP = 0.5
 #: Weight of a site's parent, in documents, where the spread between sites gives none.
 MOST_WEIGHT = 1e6
 
 CLASSES = ("good", "low", "toxic")
-_STYLE = 4096  # features that stand for style
-
-
-def _style(found: W.Words, n: int) -> np.ndarray:
-    """(row, feature) of style: shares of marks, capitals and repeated words, in coarse steps."""
-    first = found.offsets[:-1]
-    size = np.maximum(np.diff(found.offsets), 1)
-    prefix = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-    share = lambda mask: (lambda p: (p[found.offsets[1:]] - p[first]) / size)(prefix(mask))
-    data = found.data
-    marks = np.isin(data, np.frombuffer(b"|#$%&*<>{}[]^~=_\\", np.uint8))
-    shares = [share(marks), share((data >= 65) & (data <= 90)), share((data >= 48) & (data <= 57)), share(data == 33)]
-    counts = np.maximum(found.per_doc, 1)
-    distinct = np.zeros(n)
-    if len(found.hash):
-        pair = W.mix(found.hash ^ W.mix(found.doc.astype(np.uint64)))
-        _, where = np.unique(pair, return_index=True)
-        distinct = np.bincount(found.doc[where], minlength=n)
-    steps = [np.digitize(s, [0.002, 0.01, 0.03, 0.08, 0.15, 0.3, 0.6]) for s in shares]
-    steps.append(np.digitize(distinct / counts, [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7]))
-    steps.append(np.minimum(np.log2(counts + 1).astype(int) // 2, 15))
-    return np.stack([k * 64 + s for k, s in enumerate(steps)], axis=1).reshape(-1)
-
-
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every text, each pair once."""
-    found = W.split(texts, W.ALPHANUMERIC)
-    n = len(texts)
-    words = _STYLE + (found.hash % np.uint64(FEATURES - _STYLE)).astype(np.int64)
-    style = _style(found, n)
-    row = np.concatenate([found.doc, np.repeat(np.arange(n), len(style) // max(n, 1))])
-    pair = np.unique(row * FEATURES + np.concatenate([words, style]))
-    return pair // FEATURES, pair % FEATURES
-
-
-class Classifier:
-    """Log-likelihood ratios for low-quality and for toxic against good: weights of chosen features."""
-
-    def __init__(self, chosen: np.ndarray, weights: np.ndarray, base: np.ndarray, prior: np.ndarray):
-        self.chosen, self.weights, self.base, self.prior = chosen, weights, base, prior
-
-    def score(self, texts: pa.Array) -> np.ndarray:
-        row, place = chosen_features(texts, self.chosen)
-        out = [b + np.bincount(row, w[place], minlength=len(texts)) for w, b in zip(self.weights, self.base, strict=True)]
-        return np.clip(np.stack(out), -30, 30)
-
-
-def chosen_features(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place in ``chosen``) of the chosen features of every text."""
-    row, feature = features(texts)
-    if not len(chosen):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
-    own = chosen[place] == feature
-    return row[own], place[own]
-
-
-def _logistic(row: np.ndarray, place: np.ndarray, cls: np.ndarray, size: int, steps: int = 200, ridge: float = 2.0):
-    """Multinomial logistic regression of three classes on binary features, the first class at 0."""
-    n = len(cls)
-    if not n:
-        return np.zeros((2, size)), np.zeros(2)
-    target = np.stack([cls == 1, cls == 2]).astype(float)
-    w = np.zeros((2, size + 1))
-    w[:, size] = np.log((target.sum(axis=1) + 1) / ((cls == 0).sum() + 1))
-    mean, square = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):  # Adam on the whole sample
-        logits = np.stack([w[k, size] + np.bincount(row, w[k, place], minlength=n) for k in range(2)])
-        top = np.maximum(logits.max(axis=0), 0)
-        e = np.exp(logits - top)
-        error = e / (e.sum(axis=0) + np.exp(-top)) - target
-        gradient = np.stack([np.r_[np.bincount(place, error[k][row], minlength=size) + ridge * w[k, :size], error[k].sum()] for k in range(2)]) / n
-        mean = 0.9 * mean + 0.1 * gradient
-        square = 0.99 * square + 0.01 * gradient**2
-        w -= 0.15 * (1 - t / (steps + 1)) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-    return w[:, :size], w[:, size]
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Classifier:
@@ -122,56 +38,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marked = labels.where(f"{key} is not null and quality is not null and toxic is not null")
     marked = marked.groupBy(key).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     marked = marked.select(key, F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0).alias("_class"))
-    marked = marked.orderBy(F.xxhash64(key), key).limit(rows)
-
-    def count(batches):
-        # Counts of each task, one row a feature.
-        total = np.zeros((3, FEATURES), np.int32)
-        for batch in W.pieces(batches, text):
-            row, feature = features(batch.column(text))
-            own = batch.column("_class").to_numpy()
-            for k in range(3):
-                np.add.at(total[k], feature[own[row] == k], 1)
-                total[k, _STYLE - 1] += int((own == k).sum())  # how many documents
-        used = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), *(pa.array(total[k, used]) for k in range(3))], ["feature", *CLASSES]
-        )
-
-    work = Workspace(docs.sparkSession, "training")
-    labelled = work.save(docs.select(key, text).join(F.broadcast(marked), key).select(text, "_class"), "labelled")
-    counts = labelled.mapInArrow(count, "feature long, good int, low int, toxic int")
-    # A feature seen in fewer than five documents is no evidence.
-    totals = counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in CLASSES)).where("good + low + toxic >= 5")
-    got = totals.toArrow()
-    seen = np.stack([got.column(c).to_numpy() for c in CLASSES]).astype(float)
-    ids = got.column("feature").to_numpy()
-    n = seen[:, ids == _STYLE - 1].sum(axis=1)
-    prior = (n + 1) / (n.sum() + 3) if n.sum() else np.array([0.98, 0.01, 0.01])
-    z = np.zeros(len(ids))
-    for k in (1, 2):
-        if n[k] and n[0]:
-            pooled = (seen[k] + seen[0]) / (n[k] + n[0])
-            error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n[k] + 1 / n[0]))
-            z = np.maximum(z, np.abs(seen[k] / n[k] - seen[0] / n[0]) / error)
-    z[ids == _STYLE - 1] = 0
-    best = np.lexsort((ids, -z))[:CHOSEN]
-    chosen = np.sort(ids[best[z[best] > MIN_Z]])
-
-    def pick(batches):
-        for batch in W.pieces(batches, text):
-            row, place = chosen_features(batch.column(text), chosen)
-            edges = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(place.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("_class"), lists], ["class", "places"])
-
-    sample = labelled.mapInArrow(pick, "class int, places array<int>").toArrow()
-    work.drop(labelled)
-    lists = sample.column("places").combine_chunks()
-    cls = sample.column("class").to_numpy()
-    row = np.repeat(np.arange(len(cls)), np.diff(lists.offsets.to_numpy()))
-    weights, base = _logistic(row, lists.flatten().to_numpy(), cls, len(chosen))
-    return Classifier(chosen, weights, base - np.log(prior[1:] / prior[0]) if len(cls) else base, prior)
+    return fit(docs, marked, len(CLASSES), key, text, rows)
 
 
 def _logit(p: Column) -> Column:
@@ -211,6 +78,8 @@ class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text"):
         self.session, self.text, self.key, self.host, self.path = docs.sparkSession, text, key, host, path
         self.classifier = train(docs, labels, key, text)
+        # Without labels nothing speaks against any document.
+        self.prior = self.classifier.prior if self.classifier.rows else [0.98, 0.01, 0.01]
         self.sent = self.session.sparkContext.broadcast(self.classifier)
 
     def _scored(self, docs: DataFrame) -> DataFrame:
@@ -219,7 +88,7 @@ class Model:
 
         def run(batches):
             for batch in W.pieces(batches, text):
-                low, toxic = sent.value.score(batch.column(text))
+                low, toxic = sent.value.ratios(batch.column(text))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(toxic)], [*batch.schema.names, "_low", "_toxic"])
 
         own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -227,14 +96,14 @@ class Model:
 
     def _against(self) -> Column:
         """Log-likelihood ratio of good against the mixture of the other classes."""
-        prior = self.classifier.prior
+        prior = self.prior
         low, toxic = (float(prior[k] / (prior[1] + prior[2])) for k in (1, 2))
         return -F.log(low * F.exp(F.col("_low")) + toxic * F.exp(F.col("_toxic")))
 
     def fit(self, docs: DataFrame, work: Workspace) -> DataFrame:
         """Score every document, save the scores, and save what the sites give."""
         slim = docs.select(F.col(self.key), F.col(self.text), self.host.alias("host"), self.path.alias("path"))
-        rate = float(self.classifier.prior[0])
+        rate = float(self.prior[0])
         scored = self._scored(slim).select(self.key, "host", "path", self._against().alias("ratio"))
         scored = work.save(scored, "scores")
         odds = F.col("ratio") + _logit(F.lit(rate))

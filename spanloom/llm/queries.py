@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, licenses, lm_score, ngram_join, nn_descent, pii, quality, secret_scan, substring_dedup
+from spanloom.llm import decontam, licenses, lm_score, mixing, ngram_join, nn_descent, pii, quality, secret_scan, substring_dedup
 from spanloom.sources.tables import table
 
 
@@ -26,6 +26,21 @@ def op4_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"))
 
 
+#: Shares of the token budget by language.
+MIXTURE = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
+def good_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A labelled table of domains: the language of documents that labels call good."""
+    good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(good, "doc_id", "left_semi")
+
+
+def op5_soft_membership_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixing.mix(docs, good_languages(docs, table(spark, folder, "labels")), MIXTURE)
+
+
 def op6_nn_descent_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -49,6 +64,7 @@ def op10_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame
 QUERIES = {
     "op1_empirical_bayes_quality": op1_empirical_bayes_quality,
     "op2_paragraph_minhash_dedup": op2_paragraph_minhash_dedup,
+    "op5_soft_membership_mixing": op5_soft_membership_mixing,
     "op6_nn_descent_near_duplicates": op6_nn_descent_near_duplicates,
     "op3_disclosure_sanitisation": op3_disclosure_sanitisation,
     "op4_parity_sketch_join": op4_parity_sketch_join,
