@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+AREAS = ("rollups", "cost", "drift")
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _area in AREAS:
+    _module = import_module(f"spanloom.queries.{_area}")
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
