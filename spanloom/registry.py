@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("rollups", "cost", "drift")
+AREAS = ("rollups", "cost", "drift", "evals")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
