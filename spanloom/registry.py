@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("rollups", "cost", "drift", "evals")
+AREAS = ("rollups", "cost", "drift", "evals", "alerts", "rca")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
