@@ -201,3 +201,37 @@ def correlations(daily: DataFrame, least: int = 3, strength: float = 0.5) -> Dat
     pairs = a.join(b, "day").where("left_type < right_type").groupBy("left_type", "right_type").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
     return pairs.where((F.col("n") >= least) & (F.abs(F.coalesce("r", F.lit(0.0))) >= strength)).select("left_type", "right_type", F.round("r", 6).alias("r"), "n")
 
+
+
+def newest(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The reference window: the ``most`` newest rows of each key."""
+    place = Window.partitionBy(key).orderBy(F.desc(order))
+    return rows.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= most).drop("_k")
+
+
+def argmax_class(probabilities: Column) -> Column:
+    """Place, from 0, of the first largest probability."""
+    return F.array_position(probabilities, F.array_max(probabilities)) - 1
+
+
+def embedding_error(a: Column, b: Column) -> Column:
+    """(1 - cosine) / 2: how far an output lies from its input, for detectors over error streams."""
+    return (1 - cosine(a, b)) / 2
+
+
+def correct(attributes: Column) -> Column:
+    """``correct`` says so if it is there, else ``error`` is 0, else the row counts as correct."""
+    said = F.lower(F.try_element_at(attributes, F.lit("correct")))
+    error = F.try_element_at(attributes, F.lit("error")).try_cast("double")
+    return F.coalesce(said.isin("true", "1"), error == 0, F.lit(True))
+
+
+def compare_histograms(rows: DataFrame, bins: int = 20) -> DataFrame:
+    """Largest and mean difference of bin shares between the sides, and bins that differ by over 5 %."""
+    edge = rows.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    place = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)))
+    counts = rows.join(F.broadcast(edge), "feature").groupBy("feature", place.alias("bin")).agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
+    whole = Window.partitionBy("feature")
+    diff = F.abs(F.col("r") / F.sum("r").over(whole) - F.col("c") / F.sum("c").over(whole))
+    shares = counts.select("feature", diff.alias("d"))
+    return shares.groupBy("feature").agg(F.round(F.max("d"), 8).alias("max_diff"), F.round(F.avg("d"), 8).alias("mean_diff"), F.count_if(F.col("d") > 0.05).alias("bins_apart"))

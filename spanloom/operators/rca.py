@@ -195,3 +195,41 @@ def causal_report(factors: DataFrame) -> DataFrame:
     out = ranked.groupBy("category").agg(F.count("*").alias("n"), F.max("severity").alias("severity"), top.alias("top_factors"))
     confidence = 0.5 + F.when(F.col("n") >= 3, 0.2).otherwise(0.0) + F.when(F.col("severity") >= 0.5, 0.15).otherwise(0.0) + F.when(F.col("severity") >= 0.8, 0.15).otherwise(0.0)
     return out.withColumn("confidence", F.round(confidence, 6)).withColumn("severity", F.round("severity", 8))
+
+
+def anomaly_points(series: DataFrame, sensitivity: float = 0.8) -> DataFrame:
+    """Buckets above mean + (4 - 2 * sensitivity) standard deviations of their type."""
+    whole = Window.partitionBy("event_type")
+    limit = F.avg("n").over(whole) + (4 - 2 * sensitivity) * F.stddev_pop("n").over(whole)
+    return series.withColumn("level", F.round(limit, 6)).where(F.col("n") > F.col("level"))
+
+
+def preceding(series: DataFrame, target: str, lags: int, least: float) -> DataFrame:
+    """Types whose counts lead those of the target: the lag of the strongest correlation at or above ``least``."""
+    out = cross_correlation_with(series, target, lags)
+    best = F.max_by(F.struct("lag", "r"), F.struct(F.abs("r"), -F.col("lag")))
+    return out.where(F.abs("r") >= least).groupBy("event_type").agg(best.alias("s")).select("event_type", F.col("s.lag").cast("long").alias("lag"), F.col("s.r").alias("r"))
+
+
+def cross_correlation_with(series: DataFrame, target: str, lags: int) -> DataFrame:
+    """(event_type, lag, r): correlation of each type with the target ``lag`` buckets later."""
+    after = series.where(F.col("event_type") == target).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags))))
+    after = after.select((F.col("bucket") - F.col("lag")).alias("bucket"), "lag", F.col("n").alias("y"))
+    pairs = series.where(F.col("event_type") != target).join(after, "bucket")
+    return pairs.groupBy("event_type", "lag").agg(F.round(F.corr("n", "y"), 6).alias("r")).where("r is not null")
+
+
+def token_diff(rows: DataFrame) -> DataFrame:
+    """(id, left_text, right_text): words that one text has more often than the other, as multisets."""
+    counts = lambda c: rows.select("id", F.explode(F.filter(F.split(c, " "), lambda w: w != "")).alias("token")).groupBy("id", "token").agg(F.count("*").alias(c))
+    both = counts("left_text").join(counts("right_text"), ["id", "token"], "full")
+    a, b = F.coalesce("left_text", F.lit(0)), F.coalesce("right_text", F.lit(0))
+    return both.select("id", "token", F.greatest(a - b, F.lit(0)).alias("removed"), F.greatest(b - a, F.lit(0)).alias("added")).where("removed > 0 or added > 0")
+
+
+def span_timeline(spans: DataFrame) -> DataFrame:
+    """Spans in order of their trace: offset from its start and share of its duration."""
+    order = Window.partitionBy("trace_id").orderBy("span_id")
+    offset = F.coalesce(F.sum("duration_ns").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("duration_ns").over(Window.partitionBy("trace_id"))
+    return spans.select("trace_id", "span_id", offset.alias("offset_ns"), F.round(F.col("duration_ns") / whole, 8).alias("share"))
