@@ -23,15 +23,17 @@ AGGREGATES = {
     "p99": lambda c: F.percentile(c, 0.99),
 }
 
-#: Metrics of slices, as aggregates over traces.
-SLICE_METRICS = {
-    "error_rate": F.avg(F.col("is_error").cast("double")),
-    "avg_latency": F.avg("latency_ms"),
-    "p95_latency": F.percentile("latency_ms", 0.95),
-    "total_cost": F.sum("cost_micros"),
-    "token_usage": F.sum(F.col("input_tokens") + F.col("output_tokens")),
-    "n": F.count("*"),
-}
+
+def slice_metrics_of() -> dict[str, Column]:
+    """Metrics of slices, as aggregates over traces; made when used, as columns need a session."""
+    return {
+        "error_rate": F.avg(F.col("is_error").cast("double")),
+        "avg_latency": F.avg("latency_ms"),
+        "p95_latency": F.percentile("latency_ms", 0.95),
+        "total_cost": F.sum("cost_micros"),
+        "token_usage": F.sum(F.col("input_tokens") + F.col("output_tokens")),
+        "n": F.count("*"),
+    }
 
 
 def hour(column: str = "timestamp") -> Column:
@@ -158,8 +160,9 @@ def evaluation_trends(evaluations: DataFrame) -> DataFrame:
 
 def slice_metrics(traces: DataFrame, dimension: Column, least: int = 100) -> DataFrame:
     """All slice metrics by one dimension, for slices that are large enough."""
-    rounded = [m if n in ("total_cost", "token_usage", "n") else F.round(m, 8) for n, m in SLICE_METRICS.items()]
-    return traces.groupBy(dimension.cast("string").alias("slice")).agg(*(m.alias(n) for n, m in zip(SLICE_METRICS, rounded, strict=True))).where(F.col("n") >= least)
+    whole = ("total_cost", "token_usage", "n")
+    metrics = [(m if n in whole else F.round(m, 8)).alias(n) for n, m in slice_metrics_of().items()]
+    return traces.groupBy(dimension.cast("string").alias("slice")).agg(*metrics).where(F.col("n") >= least)
 
 
 def slice_grouping_sets(traces: DataFrame, least: int = 100) -> DataFrame:
