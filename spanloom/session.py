@@ -42,11 +42,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of text are wide: batches between Spark and Python of a few MB keep a task's memory small.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the size of Arrow batches in this session, where it is still Spark's default."""
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 class Workspace:
     """Written tables that cut lineage; a lost executor rereads them instead of recomputing."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/spanloom-{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
