@@ -13,16 +13,18 @@ of a second partition, and so on; the last partition sends its empty blocks too.
 chance of less than 1e-12.
 
 Texts with the same set are one item.  Each item is first compared with the smallest one that shares
-a key with it and whose short sketch (``SKETCH`` words of 64 bits) is near enough for a link.  Items
-of a key that are then still in different components meet again: all pairs whose short sketches are
-near enough are compared, so no link between components is lost, while a large group of near copies
-costs one comparison for each member.  All pairs are verified on the whole sets of 64-bit hashes.
+a key with it and whose short sketch (two bits a shingle) is near enough for a link.  Items of a key
+that are then still in different components meet again, each with the one whose sketch is nearest.
+What is apart even then is compared in all pairs whose sketches leave room for a link, so no link
+between components is lost, while a large group of near copies costs a few comparisons for each
+member.  All pairs are verified on the whole sets of 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ BAND = 1.6
 #: Bands of up to so many blocks send further partitions for texts with empty blocks.
 CHAINED = 32
 SEEDS = 8
-#: Words of the short sketch that rules out pairs before their sets are read.
+#: Words of 64 bits in a short sketch, which rules out pairs before their sets are read, at least; it
+#: has about two bits for each shingle.
 SKETCH = 8
 
 _FACTORS = W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -83,20 +86,38 @@ def set_codes(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return W.mix(out)
 
 
-def short_sketches(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """(n, SKETCH): each shingle toggles one bit of its row's sketch."""
-    bit = W.mix(values ^ _FACTORS[60]) % np.uint64(64 * SKETCH)
-    out = np.zeros(n * SKETCH, np.uint64)
-    np.bitwise_xor.at(out, doc * SKETCH + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out.reshape(n, SKETCH)
+def short_sketches(doc: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """For each row a parity sketch: each shingle toggles one bit.
 
-
-def may_link(sketch_a, n_a, sketch_b, n_b, percent: int) -> np.ndarray:
-    """Whether sizes and the distance of short sketches leave room for a link; arrays broadcast."""
+    Lengths are powers of two, about two bits a shingle; the exclusive or of a sketch's halves is the
+    row's sketch of half the length.
+    """
+    size = np.bincount(doc, minlength=n)
+    length = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(size / 32, 1))).astype(np.int64))
+    ends = np.cumsum(length)
+    bit = W.mix(values ^ _FACTORS[60])
+    word = (bit >> np.uint64(6)).astype(np.int64) & (length[doc] - 1)
+    out = np.zeros(int(ends[-1]) if n else 0, np.uint64)
+    np.bitwise_xor.at(out, (ends - length)[doc] + word, np.uint64(1) << (bit & np.uint64(63)))
+    offsets = pa.py_buffer(np.concatenate([[0], ends * 8]).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(out)])
+
+
+def folded(column: pa.Array, length: int) -> np.ndarray:
+    """(rows, length): sketches brought to one length, that of the shortest or less."""
+    out = np.zeros((len(column), length), np.uint64)
+    for i, raw in enumerate(column.to_pylist()):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, length), axis=0)
+    return out
+
+
+def may_link(sketch_a, n_a, sketch_b, n_b, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes and the distance of short sketches leave room for a link, and that distance
+    relative to the sizes; arrays broadcast."""
     distance = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1, dtype=np.int64)
     n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
     near = distance * (100 + percent) <= (100 - percent) * (n_a + n_b)
-    return near & (np.minimum(n_a, n_b) * 100 >= percent * np.maximum(n_a, n_b))
+    return near & (np.minimum(n_a, n_b) * 100 >= percent * np.maximum(n_a, n_b)), distance / (n_a + n_b)
 
 
 class Bands:
@@ -173,7 +194,7 @@ def _summaries(key: str, text: str, size: int):
             doc, values = shingle_sets(found, size)
             sizes = np.bincount(doc, minlength=batch.num_rows).astype(np.int64)
             codes = pa.array(set_codes(doc, values, batch.num_rows).view(np.int64), mask=sizes == 0)
-            sketch = pa.array([x.tobytes() for x in short_sketches(doc, values, batch.num_rows)], pa.binary())
+            sketch = short_sketches(doc, values, batch.num_rows)
             columns = [batch.column(key), pa.array(sizes), codes, sketch]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "item", "sketch"])
 
@@ -237,8 +258,8 @@ def _collisions(batches):
             last = (*last[:3], True)
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(x, np.uint64) for x in column.to_pylist()], np.uint64).reshape(-1, SKETCH)
+def _lengths(column: pa.Array) -> np.ndarray:
+    return pc.binary_length(column).to_numpy() // 8
 
 
 def _near(percent: int):
@@ -246,44 +267,64 @@ def _near(percent: int):
 
     def run(batches):
         for batch in batches:
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            near = may_link(_sketches(batch.column("sa")), n, _sketches(batch.column("sb")), m, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            shorter = np.minimum(_lengths(batch.column("sa")), _lengths(batch.column("sb")))
+            for length in np.unique(shorter).tolist():
+                part = batch.filter(pa.array(shorter == length))
+                n, m = part.column("n").to_numpy(), part.column("m").to_numpy()
+                near = may_link(folded(part.column("sa"), length), n, folded(part.column("sb"), length), m, percent)[0]
+                yield part.select(["a", "b"]).filter(pa.array(near))
 
     return run
 
 
-def _apart(percent: int, block: int = 256):
-    """Of rows sorted by key: pairs of different components that may be linked, found block by block."""
-
-    def pairs(group: pa.Table):
-        item, c, n = (group.column(x).to_numpy() for x in ("item", "c", "n"))
-        sketch = _sketches(group.column("sketch"))
-        for i in range(0, len(item), block):
-            for j in range(i, len(item), block):
-                a, b = slice(i, i + block), slice(j, j + block)
-                near = may_link(sketch[a, None], n[a, None], sketch[None, b], n[None, b], percent)
-                x, y = np.nonzero(near & (c[a, None] != c[None, b]) & (item[a, None] < item[None, b]))
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(item[a][x]), pa.array(item[b][y])], ["a", "b"])
-                if i != j:
-                    y, x = np.nonzero((near & (c[a, None] != c[None, b]) & (item[a, None] > item[None, b])).T)
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(item[b][y]), pa.array(item[a][x])], ["a", "b"])
+def _key_groups(batches):
+    """Tables of the rows of one key, from rows sorted by key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column("key").to_numpy()
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.slice(i, j - i)
+            if held and held[0].column("key")[0] != part.column("key")[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _apart(percent: int, nearest: bool, block: int = 128):
+    """Of rows sorted by key: pairs of different components that may be linked, found block by block.
+
+    All of them, or for each item only the one whose sketch is nearest; then with its distance.
+    """
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                part = batch.slice(i, j - i)
-                if held and held[0].column("key")[0] != part.column("key")[0]:
-                    yield from pairs(pa.Table.from_batches(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
+        for group in _key_groups(batches):
+            item, c, n = (group.column(x).to_numpy() for x in ("item", "c", "n"))
+            sketches = group.column("sketch").combine_chunks()
+            sketch = folded(sketches, int(_lengths(sketches).min()))
+            for i in range(0, len(item), block):
+                a = slice(i, i + block)
+                best, which = np.full(len(item[a]), np.inf), np.zeros(len(item[a]), np.int64)
+                for j in range(0 if nearest else i, len(item), block):
+                    b = slice(j, j + block)
+                    near, share = may_link(sketch[a, None], n[a, None], sketch[None, b], n[None, b], percent)
+                    near &= c[a, None] != c[None, b]
+                    if nearest:
+                        share = np.where(near, share, np.inf)
+                        k = share.argmin(axis=1)
+                        value = share[np.arange(len(k)), k]
+                        closer = value < best
+                        best[closer], which[closer] = value[closer], item[b][k][closer]
+                        continue
+                    x, y = np.nonzero(near)
+                    p, q = item[a][x], item[b][y]
+                    p, q = np.minimum(p, q), np.maximum(p, q)
+                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
+                if nearest:
+                    own = np.isfinite(best)
+                    yield pa.RecordBatch.from_arrays([pa.array(which[own]), pa.array(item[a][own]), pa.array(best[own])], ["a", "b", "distance"])
 
     return run
 
@@ -370,33 +411,53 @@ def find_links(keys: DataFrame, summaries: DataFrame, fetch, work: Workspace, pe
     owners = summaries.join(items, "item", "left_semi").groupBy("item")
     owners = work.save(owners.agg(F.min("owner").alias("owner"), F.first("sketch").alias("sketch")), "owners")
     sketches = owners.select("item", "sketch")
-    stars = shared.where("item <> pivot").select(
-        F.col("pivot").alias("a"), F.col("item").alias("b"), F.col("pivot_n").alias("n"), F.col("n").alias("m")
-    )
-    stars = stars.distinct().join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-    stars = stars.mapInArrow(_near(percent), "a long, b long").groupBy("b").agg(F.min("a").alias("a"))
-    stars = work.save(stars, "stars")
-
     def fetched(pairs: DataFrame, name: str) -> DataFrame:
         used = work.save(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "used")
         own = work.save(owners.join(used, "item", "left_semi").select("owner").distinct(), "ids")
         return work.save(fetch(own, used), name)
 
-    held = fetched(stars, "sets")
-    first = work.save(_verified(stars, held, percent), "links")
-    work.drop(held)
-    groups = components(first, work)
-    # Items of one key that are still apart.
-    placed = shared.join(groups.withColumnRenamed("node", "item"), "item", "left").select(
-        "key", "item", "n", F.coalesce("component", "item").alias("c")
+    def verified(pairs: DataFrame) -> DataFrame:
+        held = fetched(pairs, "sets")
+        out = work.save(_verified(pairs, held, percent), "links")
+        work.drop(held)
+        return out
+
+    def near_pairs(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, n, m), each once: those that sizes and short sketches allow."""
+        both = pairs.distinct().join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
+        return both.mapInArrow(_near(percent), "a long, b long")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    stars = shared.where("item <> pivot").select(
+        F.col("pivot").alias("a"), F.col("item").alias("b"), F.col("pivot_n").alias("n"), F.col("n").alias("m")
     )
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    apart = placed.join(mixed, "key", "left_semi").join(sketches, "item").select("key", "item", "n", "c", "sketch")
-    apart = apart.repartition(parts, "key").sortWithinPartitions("key")
-    rest = apart.mapInArrow(_apart(percent), "a long, b long").distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = work.save(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    return first.union(_verified(rest, fetched(rest, "more-sets"), percent))
+    stars = near_pairs(stars).groupBy("b").agg(F.min("a").alias("a"))
+    tested = work.save(ordered(stars), "stars")
+    links = verified(tested)
+    for nearest in (True, False):
+        # Items of one key that are still apart: first each with its nearest, then all that are left.
+        groups = components(links, work)
+        placed = shared.join(groups.withColumnRenamed("node", "item"), "item", "left").select(
+            "key", "item", "n", F.coalesce("component", "item").alias("c")
+        )
+        ends = [f(F.struct("item", "n")).alias(name) for f, name in ((F.min, "first"), (F.max, "last"))]
+        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), *ends)
+        mixed = work.save(mixed.where("lo <> hi").drop("lo", "hi"), "mixed")
+        apart = placed.join(mixed.where("size > 2").select("key"), "key", "left_semi").join(sketches, "item")
+        apart = apart.select("key", "item", "n", "c", "sketch").repartition(parts, "key").sortWithinPartitions("key")
+        if nearest:
+            found = apart.mapInArrow(_apart(percent, True), "a long, b long, distance double")
+            pairs = found.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")).select("a", "b")
+            # Keys of two items need no choice.
+            couples = mixed.where("size = 2").select("first.item", "last.item", "first.n", "last.n").toDF("a", "b", "n", "m")
+            pairs = pairs.union(near_pairs(couples))
+        else:
+            pairs = apart.mapInArrow(_apart(percent, False), "a long, b long")
+        pairs = work.save(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links, tested = links.unionByName(verified(pairs)), tested.unionByName(pairs)
+    return links
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

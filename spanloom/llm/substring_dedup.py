@@ -90,7 +90,7 @@ def _summaries(least: int):
     def run(batches):
         for batch in W.pieces(batches, "text"):
             p = Paragraphs(batch.column("text"), least)
-            sketch = pa.array([x.tobytes() for x in short_sketches(p.doc, p.values, len(p.row))], pa.binary())
+            sketch = short_sketches(p.doc, p.values, len(p.row))
             numbers = [pa.array(x.astype(np.int64)) for x in (p.number, p.start, p.end, p.words)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(p.row)), *numbers, _long(p.code), sketch],
