@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import words as W
+from spanloom.session import small_batches
 
 #: Words in a test phrase; an item with fewer words is one phrase.
 WINDOW = 10
@@ -301,6 +302,7 @@ def scan(
     The input must not have columns whose names begin with ``_report``.
     """
     session = docs.sparkSession
+    small_batches(session)
     blocks = _phrase_blocks(benchmark, item, item_text)
     names = ["_report"] if len(blocks) == 1 else [f"_report_{k}" for k in range(len(blocks))]
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spanloom.llm import words as W
+from spanloom.session import small_batches
 
 #: Code points on either side within which parts of one credential are linked.
 REACH = 300
@@ -157,6 +158,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", mark:
 
     ``n_chars`` is counted again where a text changed.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches):
