@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -292,27 +293,39 @@ def _phrase_blocks(benchmark: DataFrame, item: str, text: str) -> list[tuple[lis
 
 
 def scan(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    then=None,
+    schema=None,
 ) -> DataFrame:
     """``docs`` with a column ``_report``: words, hit words, items found and merged removal spans.
 
     A null text has no words and no hits; an empty benchmark or one without words hits nothing;
     repeated items count once under their id; every input row, repeated or not, gives one row.
     Items with a null id are skipped.  Offsets of spans are bytes of the UTF-8 text, end exclusive.
-    The input must not have columns whose names begin with ``_report``.
+    The input must not have columns whose names begin with ``_report``.  ``then``, a function for
+    mapInArrow whose output has ``schema``, runs in the same pass, so no second Python worker is needed.
     """
     session = docs.sparkSession
     small_batches(session)
     blocks = _phrase_blocks(benchmark, item, item_text)
     names = ["_report"] if len(blocks) == 1 else [f"_report_{k}" for k in range(len(blocks))]
+    steps = [_scan(text, session.sparkContext.broadcast(b), n) for n, b in zip(names, blocks, strict=True)]
+    last = [steps[-1], *([_merge(docs.columns, names)] if len(names) > 1 else []), *([then] if then else [])]
+
+    def end(batches):
+        for step in last:
+            batches = step(batches)
+        return batches
+
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     out = docs
-    for k, (name, block) in enumerate(zip(names, blocks, strict=True)):
-        schema = [*own, *(f"{n} {REPORT}" for n in names[: k + 1])]
-        out = out.mapInArrow(_scan(text, session.sparkContext.broadcast(block), name), ", ".join(schema))
-    if len(names) > 1:
-        out = out.mapInArrow(_merge(docs.columns, names), ", ".join([*own, f"_report {REPORT}"]))
-    return out
+    for k, step in enumerate(steps[:-1]):
+        out = out.mapInArrow(step, ", ".join([*own, *(f"{n} {REPORT}" for n in names[: k + 1])]))
+    return out.mapInArrow(end, schema if then else ", ".join([*own, f"_report {REPORT}"]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -343,7 +356,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_c
                 columns[n_chars] = pa.array(new, batch.column(n_chars).type)
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array(keep, pa.bool_()))
 
-    return scan(docs, benchmark, text).mapInArrow(cut, docs.schema)
+    return scan(docs, benchmark, text, then=cut, schema=docs.schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -351,22 +364,20 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def digest(batches):
         for batch in batches:
-            items = batch.column("items").to_pylist()
+            report = batch.column("_report")
+            items = pc.struct_field(report, "items").to_pylist()
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
-                    "n_words": batch.column("n_words"),
-                    "n_hit": batch.column("n_hit"),
+                    "n_words": pc.struct_field(report, "n_words"),
+                    "n_hit": pc.struct_field(report, "n_hit"),
                     "n_items": pa.array([len(x) for x in items], pa.int64()),
                     "items_sha256": pa.array(sha, pa.string()),
                     "contaminated": pa.array([bool(x) for x in items], pa.bool_()),
                 }
             )
 
-    found = scan(docs.select("doc_id", "text"), benchmark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "_report.n_words", "_report.n_hit", "_report.items").mapInArrow(
-        digest,
-        f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean",
-    )
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return scan(docs.select("doc_id", "text"), benchmark, then=digest, schema=schema)
