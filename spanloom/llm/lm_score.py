@@ -1,19 +1,21 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
-All words of the corpus are counted; the ``WORDS`` most frequent ones and ``ENDINGS`` classes of other
-words, by their last letters, are the one vocabulary of both models.  The background model counts the
-bigrams of every document, the target model those of documents whose labels say they are good.  Both
-are smoothed towards their own unigrams with the same weight.  A document's score is the mean over
-its words of the loss under the target minus the loss under the background.
-
-Counts are summed on tasks before the shuffle.  The tables that reach the driver and go to all tasks
-have (WORDS + ENDINGS + 1) * (WORDS + ENDINGS) entries at most, by the choice of the vocabulary.
+All words of the corpus are the one vocabulary of both models, with one class for unknown words.  The
+background model counts the bigrams of every document, the target model those of documents whose labels
+say they are good.  Both are smoothed towards their own unigrams with the same weight.  A document's
+score is the mean over its words of the loss under the target minus the loss under the background.
+
+Counts of words, histories and bigrams are written tables that grow with the corpus; counts are summed
+on tasks before the shuffle.  Bigrams that make up at least one part in ``FREQUENT`` of all words, so
+``FREQUENT`` at most, are sent to all tasks; a document's other bigrams meet their losses in a shuffled
+join, in which no key is hot any more.  Losses are added as integers: the order makes no difference.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +23,24 @@ from spanloom.llm import selecting
 from spanloom.llm import words as W
 from spanloom.session import Workspace
 
-WORDS, ENDINGS = 1792, 256
+#: Classes by their last letters for words that the caller's own limit leaves out.
+ENDINGS = 256
 #: Weight of the unigrams, in words, in each history's distribution.
 PRIOR = 20.0
+FREQUENT = 1 << 20
+#: Units of a loss in one nat.
+UNITS = 1 << 30
+#: The history of a text's first word.
+START = -1
 
 
 class Vocabulary:
-    """Numbers for words: frequent ones by rank, others by ending; the last number opens a text."""
+    """Numbers for words where their count is limited: known ones by rank, others by ending."""
 
     def __init__(self, hashes: np.ndarray):
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.size = len(hashes) + ENDINGS
-        self.start = self.size
 
     def numbers(self, found: W.Words) -> np.ndarray:
         codes = W.ALPHANUMERIC[found.data]
@@ -46,16 +53,8 @@ class Vocabulary:
         known = self.hashes[spot] == found.hash
         return np.where(known, self.order[spot] + ENDINGS, ending)
 
-    def bigrams(self, found: W.Words) -> np.ndarray:
-        """For each word: history * size + word."""
-        number = self.numbers(found)
-        history = np.full(len(number), self.start)
-        inside = found.doc[1:] == found.doc[:-1]
-        history[1:][inside] = number[:-1][inside]
-        return history * self.size + number
 
-
-def vocabulary(docs: DataFrame, text: str = "text", words: int = WORDS) -> Vocabulary:
+def vocabulary(docs: DataFrame, text: str, words: int) -> Vocabulary:
     """The most frequent words of all documents; ties by hash."""
 
     def count(batches):
@@ -69,10 +68,22 @@ def vocabulary(docs: DataFrame, text: str = "text", words: int = WORDS) -> Vocab
     return Vocabulary(top.column("word").to_numpy().view(np.uint64))
 
 
-def _log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """(history, word): log of the smoothed conditional probabilities."""
-    unigram = (counts.sum(axis=0) + 1.0) / (counts.sum() + counts.shape[1])
-    return np.log(counts + PRIOR * unigram) - np.log(counts.sum(axis=1, keepdims=True) + PRIOR)
+def _pairs(found: W.Words, own: Vocabulary | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: its history and itself."""
+    word = found.hash.view(np.int64) if own is None else own.numbers(found)
+    history = np.full(len(word), START, np.int64)
+    inside = found.doc[1:] == found.doc[:-1]
+    history[1:][inside] = word[:-1][inside]
+    return history, word
+
+
+def _codes(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for each bigram."""
+    return W.mix(W.mix(history.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)).view(np.int64)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
 
 
 def _marked(docs: DataFrame, good: DataFrame, key: str, text: str) -> DataFrame:
@@ -82,59 +93,106 @@ def _marked(docs: DataFrame, good: DataFrame, key: str, text: str) -> DataFrame:
     return joined.select(text, F.coalesce("_hit", F.lit(False)).alias("_target"))
 
 
+def bigram_counts(rows: DataFrame, own: Vocabulary | None, text: str) -> DataFrame:
+    """history, word, and how often they follow each other: n in all texts, t in the target's."""
+
+    def count(batches):
+        for batch in W.pieces(batches, text, 8 * W.CHUNK_BYTES):
+            parts = []
+            for piece in W.pieces(iter([batch]), text):
+                found = W.split(piece.column(text), W.ALPHANUMERIC)
+                wanted = piece.column("_target").to_numpy(zero_copy_only=False).astype(bool)
+                parts.append((*_pairs(found, own), wanted[found.doc]))
+            history, word, target = (np.concatenate(p) for p in zip(*parts))
+            code = _codes(history, word)
+            order = np.argsort(code)
+            at = _starts(code[order])
+            n = np.diff(np.r_[at, len(order)])
+            t = np.add.reduceat(target[order].astype(np.int64), at) if len(at) else n
+            first = order[at]
+            for i in range(0, len(first), 1 << 17):
+                columns = [c[i : i + (1 << 17)] for c in (history[first], word[first], n, t)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["history", "word", "n", "t"])
+
+    counts = rows.mapInArrow(count, "history long, word long, n long, t long")
+    return counts.groupBy("history", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
 def loss_differences(
-    docs: DataFrame, labels: DataFrame, own: Vocabulary, key: str = "doc_id", text: str = "text", target: str = "quality = 1 and toxic = 0"
-) -> np.ndarray:
-    """For each bigram of the vocabulary: target loss minus background loss."""
+    docs: DataFrame, labels: DataFrame, own: Vocabulary | None, key: str = "doc_id", text: str = "text", target: str = "quality = 1 and toxic = 0"
+) -> DataFrame:
+    """A written table of all bigrams: code, n, and target loss minus background loss in ``UNITS``."""
     work = Workspace(docs.sparkSession, "lm-score")
     good = labels.where(F.expr(target) & F.col(key).isNotNull()).select(key).distinct()
-    cells = (own.size + 1) * own.size
-
-    def count(batches):
-        every, target = np.zeros(cells, np.int32), np.zeros(cells, np.int32)
-        for batch in W.pieces(batches, text):
-            found = W.split(batch.column(text), W.ALPHANUMERIC)
-            bigram = own.bigrams(found)
-            np.add.at(every, bigram, 1)
-            wanted = batch.column("_target").to_numpy(zero_copy_only=False).astype(bool)
-            np.add.at(target, bigram[wanted[found.doc]], 1)
-        used = np.flatnonzero(every)
-        for i in range(0, len(used), 1 << 18):
-            part = used[i : i + (1 << 18)]
-            columns = [part.astype(np.int32), every[part], target[part]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bigram", "n", "t"])
-
-    rows = _marked(docs, work.save(good, "targets"), key, text)
-    counts = rows.mapInArrow(count, "bigram int, n int, t int")
-    got = counts.groupBy("bigram").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    tables = np.zeros((2, cells))
-    for k, name in enumerate(("n", "t")):
-        tables[k, got.column("bigram").to_numpy()] = got.column(name).to_numpy()
-    background, wanted = (_log_probabilities(t.reshape(own.size + 1, own.size)) for t in tables)
-    return (background - wanted).astype(np.float32).reshape(-1)
+    counts = work.save(bigram_counts(_marked(docs, work.save(good, "targets"), key, text), own, text), "bigrams")
+    sums = lambda by, n, t: counts.groupBy(by).agg(F.sum("n").alias(n), F.sum("t").alias(t))
+    words = work.save(sums("word", "word_n", "word_t"), "words")
+    histories = work.save(sums("history", "history_n", "history_t"), "histories")
+    total = words.agg(F.count("*").alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("word_n", "word_t"))).first()
+    size = total.words + 1 if own is None else own.size
+
+    def losses(batches):
+        for batch in batches:
+            col = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            logs = []
+            for k, whole in (("n", total.word_n), ("t", total.word_t)):
+                unigram = (col[f"word_{k}"] + 1.0) / (whole + size)
+                logs.append(np.log(col[k] + PRIOR * unigram) - np.log(col[f"history_{k}"] + PRIOR))
+            units = np.rint((logs[0] - logs[1]) * UNITS).astype(np.int64)
+            columns = [_codes(col["history"], col["word"]), col["n"], units]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["code", "n", "loss"])
+
+    joined = counts.join(words, "word").join(histories, "history")
+    out = work.save(joined.mapInArrow(losses, "code long, n long, loss long"), "losses")
+    work.drop(counts)
+    return out
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", target: str = "quality = 1 and toxic = 0", words: int = WORDS
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", target: str = "quality = 1 and toxic = 0", words: int | None = None
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, loss_difference.
 
     ``loss_difference`` is in nats a word: the smaller, the more like the target; null for a null,
     empty or blank text.  Labels that are null are no targets; a document with several labels is a
     target if one says so.  Without targets the target model is uniform.  Repeated rows count as
-    often as they stand and give repeated results.  Other columns are not read.
+    often as they stand and give repeated results.  Other columns are not read.  With ``words`` only
+    so many words are told apart, and the others by their endings.
     """
-    own = vocabulary(docs, text, words)
-    sent = docs.sparkSession.sparkContext.broadcast((own, loss_differences(docs, labels, own, key, text, target)))
+    own = None if words is None else vocabulary(docs, text, words)
+    losses = loss_differences(docs, labels, own, key, text, target)
+    total = losses.agg(F.sum("n")).first()[0] or 0
+    top = losses.where(F.col("n") * FREQUENT >= total).select("code", "loss").toArrow()
+    code, loss = top.column("code").to_numpy(), top.column("loss").to_numpy()
+    order = np.argsort(code)
+    sent = docs.sparkSession.sparkContext.broadcast((own, code[order], loss[order]))
 
     def run(batches):
-        own, difference = sent.value
+        own, codes, loss = sent.value
+        row = TaskContext.get().partitionId() << 36
         for batch in W.pieces(batches, text):
             found = W.split(batch.column(text), W.ALPHANUMERIC)
-            n = found.per_doc
-            total = np.bincount(found.doc, difference[own.bigrams(found)], minlength=batch.num_rows)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n), mean], [key, "n_words", "loss_difference"])
+            code, m = _codes(*_pairs(found, own)), batch.num_rows
+            known, units = np.zeros(len(code), bool), np.zeros(m, np.int64)
+            if len(codes):
+                spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                known = codes[spot] == code
+                np.add.at(units, found.doc[known], loss[spot[known]])
+            code, doc = code[~known], found.doc[~known]
+            order = np.lexsort((code, doc))
+            code, doc = code[order], doc[order]
+            at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]) if len(code) else np.zeros(0, np.int64)
+            places = pa.array(np.searchsorted(doc[at], np.arange(m + 1)), pa.int32())
+            times = pa.array(np.diff(np.r_[at, len(code)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(places, v) for v in (pa.array(code[at]), times)]
+            columns = [pa.array(np.arange(row, row + m)), batch.column(key), pa.array(found.per_doc), pa.array(units), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["row", key, "n_words", "units", "codes", "times"])
+            row += m
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, loss_difference double")
+    rows = docs.select(key, text).mapInArrow(run, f"row long, `{key}` {kind}, n_words long, units long, codes array<long>, times array<int>")
+    rows = Workspace(docs.sparkSession, "lm-score").save(rows, "rows")
+    rare = rows.select("row", F.explode(F.arrays_zip("codes", "times")).alias("_at")).select("row", F.col("_at.codes").alias("code"), F.col("_at.times").alias("times"))
+    found = rare.join(losses.select("code", "loss"), "code").groupBy("row").agg(F.sum(F.col("loss") * F.col("times")).alias("more"))
+    mean = (F.col("units") + F.coalesce("more", F.lit(0))) / F.lit(float(UNITS)) / F.when(F.col("n_words") > 0, F.col("n_words"))
+    return rows.drop("codes", "times").join(found, "row", "left").select(key, "n_words", mean.alias("loss_difference"))

@@ -69,3 +69,31 @@ def test_no_targets_and_no_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert L.score(docs, labels).first().loss_difference > 0
     assert L.score(docs.where("false"), labels).count() == 0
+
+
+def test_rare_words_with_one_ending_are_told_apart(spark, monkeypatch):
+    # More words than any fixed vocabulary of the past, all with one ending; those of good documents are their own.
+    monkeypatch.setattr(L, "FREQUENT", 50, raising=False)
+    say = lambda kind: [f"{kind}{i}ing" for i in range(2000)]
+    cut = lambda w, n: [" ".join(w[i::n]) for i in range(n)]
+    rows = list(enumerate(cut(say("good"), 20) * 2 + cut(say("poor"), 20) * 2 + ["the of " * 500]))
+    good = set(range(20))
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.loss_difference for r in L.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels).collect()}
+    own = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    texts = {d: ["<s>", *words(t)] for d, t in rows}
+    for d, w in texts.items():
+        for k in {0, int(d in good)}:
+            own[0][k].update(zip(w, w[1:]))
+            own[1][k].update(w[:-1])
+            own[2][k].update(w[1:])
+    size = len(own[2][0]) + 1
+
+    def logp(k, h, w):
+        u = (own[2][k][w] + 1) / (sum(own[2][k].values()) + size)
+        return math.log(own[0][k][h, w] + L.PRIOR * u) - math.log(own[1][k][h] + L.PRIOR)
+
+    for d, w in texts.items():
+        both = list(zip(w, w[1:]))
+        assert got[d] == pytest.approx(sum(logp(0, *p) - logp(1, *p) for p in both) / len(both), abs=1e-6)
+    assert max(got[d] for d in range(40)) < min(got[d] for d in range(40, 80))
