@@ -1,14 +1,16 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
 Fixed kinds of personal data (e-mail, IP and card numbers, phone numbers) are found by pattern.  Each
-value is a protected entity.  For the words that stand near an entity the corpus tells how strongly
-they reveal it: over the documents that have word ``t`` near entity ``e``, all that have ``t``, all
-that have ``e`` and all there are, a word discloses the entity if
+value is a protected entity.  For the words of the documents that hold an entity the corpus tells how
+strongly they reveal it: over the documents that have word ``t`` and entity ``e``, all that have ``t``,
+all that have ``e`` and all there are, a word discloses the entity if
 
     P(e | t) >= SHARE   and   log2( P(e | t) / P(e) ) >= BITS
 
-and at least ``CONTEXTS`` different surroundings support it, so that copies of one document are no
-evidence.  Such words are marked wherever they stand near that entity, and generalised in the text.
+and at least ``CONTEXTS`` different surroundings of the entity support it, so that copies of one
+document are no evidence: each document gives one, and each place with the word near the entity its own.
+Such words are marked wherever they stand, in every text, and generalised there.  As P(e | t) is at
+most the number of documents with ``e`` over that with ``t``, common words end before they meet entities.
 
 Patterns are written so that Java's engine needs neither recursion nor repeated attempts inside a
 run of characters; they match exactly what the plain forms in the comments match.
@@ -44,10 +46,10 @@ _SPAN = "array<struct<start:int,end:int,match:string>>"
 _NONE = f"cast(array() as {_SPAN})"
 
 
-def found(text: Column, pattern: str) -> Column:
+def found(text: Column, pattern: str | Column) -> Column:
     """All matches with their places, in code points, from what stands between the matches."""
     between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    matches = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     pairs = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("match")))
     start = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
 
@@ -135,17 +137,44 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def disclosing(contexts: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
-    """(entity, term) pairs above the thresholds; ``contexts`` has doc, entity, term and around."""
+def _rest(text: Column, base: Column) -> Column:
+    """The text with its base spans overwritten by blanks, which keeps all places."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(done: Column, s: Column) -> Column:
+        begin, end = F.greatest(s["start"], done["at"]), F.greatest(s["end"], done["at"])
+        piece = F.concat(F.substr(text, done["at"] + 1, begin - done["at"]), F.repeat(F.lit(" "), end - begin))
+        return F.struct(end.alias("at"), F.concat(done["out"], F.array(piece)).alias("out"))
+
+    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(ordered, start, step, lambda d: F.concat(F.array_join(d["out"], ""), F.substr(text, d["at"] + 1)))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
+
+
+def disclosing(inside: DataFrame, held: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
+    """(entity, term) pairs above the thresholds; ``inside`` has doc, entity, around and words of each place."""
+    entities = inside.groupBy("entity").agg(F.count_distinct("doc").alias("has_entity"), F.count_distinct("around").alias("contexts"))
+    entities = work.save(entities.where(F.col("contexts") >= CONTEXTS).drop("contexts"), "entities")
+    holders = inside.groupBy("doc", "entity").agg(F.min("around").alias("around")).join(entities, "entity")
+    holders = work.save(holders, "holders")
+    most = work.save(holders.groupBy("doc").agg(F.max("has_entity").alias("most")), "most")
+    said = held.where("rest is not null").select("doc", "rest").dropDuplicates(["doc"]).join(most, "doc")
+    said = said.select("doc", "most", F.explode(F.array_distinct(F.transform(_words(F.col("rest")), F.lower))).alias("term"))
+    # A term is in as many documents at least as have it and an entity: common words end here.
+    limit = F.col("n") * SHARE
+    some = work.save(said.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).where(limit <= F.col("most")).drop("most"), "some")
+    rare = work.save(said.join(some, "term").where(limit <= F.col("most")).select("doc", "term", "n"), "rare")
+    whole = rare.join(holders, "doc").where(limit <= F.col("has_entity")).select("entity", "term", "doc", "around")
+    near = inside.select("entity", "doc", "around", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    contexts = whole.union(near.select("entity", "term", "doc", "around").join(entities.select("entity"), "entity", "left_semi"))
     pairs = contexts.groupBy("entity", "term").agg(F.count_distinct("doc").alias("both"), F.count_distinct("around").alias("contexts"))
-    # A term cannot be in fewer documents than have it near some entity: common words end here.
-    anywhere = contexts.groupBy("term").agg(F.count_distinct("doc").alias("near_any"))
-    pairs = pairs.where(F.col("contexts") >= CONTEXTS).join(anywhere, "term").where(F.col("both") >= SHARE * F.col("near_any"))
-    pairs = work.save(pairs.drop("near_any"), "pairs")
+    pairs = work.save(pairs.where(F.col("contexts") >= CONTEXTS).drop("contexts"), "pairs")
     terms = work.save(pairs.select("term").distinct(), "terms")
-    said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    seen = selecting.keep(said, terms, "term").groupBy("term").agg(F.count("*").alias("has_term"))
-    entities = contexts.groupBy("entity").agg(F.count_distinct("doc").alias("has_entity"))
+    every = docs.select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), F.lower))).alias("term"))
+    seen = selecting.keep(every, terms, "term").groupBy("term").agg(F.count("*").alias("has_term"))
     total = docs.count()
     share = F.col("both") / F.greatest("has_term", "both")
     bits = F.log2(share / (F.col("has_entity") / F.lit(float(max(total, 1)))))
@@ -157,36 +186,39 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """One row per input row: doc_id, code (of the text), base and terms, arrays of spans.
 
     A span has kind, start and end (code points, end exclusive) and match; terms that disclose an
-    entity have the kind ``term``.  Null counts as empty; an empty text has no spans; a repeated row
-    gives a repeated result; other columns are not read.
+    entity have the kind ``term``, stand outside the base spans, and are marked in every text.  Null
+    counts as empty; an empty text has no spans; a repeated row gives a repeated result; other columns
+    are not read.
     """
     work = Workspace(docs.sparkSession, "pii")
     slim = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     based = slim.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    near = F.when(
-        F.size("base") > 0,
-        F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _near(F.col("text"), s).alias("words"))),
-    )
-    held = work.save(based.select("doc_id", F.xxhash64("text").alias("code"), "base", near.alias("near")), "base")
-    inside = held.where("near is not null").select("doc_id", "code", F.inline("near"))
-    contexts = inside.select(
-        "doc_id",
-        "code",
-        F.xxhash64("doc_id", "code").alias("doc"),
-        "entity",
-        F.xxhash64(F.transform("words", lambda w: w["term"])).alias("around"),
-        F.inline("words"),
-    )
-    leaks = disclosing(contexts, slim, work)
-    marked = contexts.join(leaks, ["entity", "term"]).select(
-        F.col("doc_id").alias("_id"),
-        F.col("code").alias("_code"),
-        F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("match")).alias("span"),
-    )
-    marked = work.save(marked.groupBy("_id", "_code").agg(F.array_sort(F.collect_set("span")).alias("terms")), "marked")
+    some = F.size("base") > 0
+    near = F.when(some, F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _near(F.col("text"), s).alias("words"))))
+    rest = F.when(some, _rest(F.col("text"), F.col("base")))
+    code = F.xxhash64("text")
+    held = based.select("doc_id", code.alias("code"), F.xxhash64("doc_id", code).alias("doc"), "base", near.alias("near"), rest.alias("rest"))
+    held = work.save(held, "base")
+    inside = held.where("near is not null").select("doc", F.inline("near"))
+    inside = inside.withColumn("around", F.xxhash64(F.transform("words", lambda w: w["term"])))
+    leaks = disclosing(inside, held, slim, work)
+    terms = work.save(leaks.select("term").distinct(), "leaks")
+    spelt = slim.select("doc_id", code.alias("code"), F.explode(_words(F.col("text"))).alias("word")).withColumn("term", F.lower("word"))
+    spelt = selecting.keep(spelt, terms, "term").groupBy("doc_id", "code").agg(F.collect_set("word").alias("spelt"))
+    spelt = work.save(spelt.select(F.col("doc_id").alias("_id"), F.col("code").alias("_code"), "spelt"), "spelt")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("code") == F.col("_code"))
+    few = spelt.count() <= selecting.BROADCAST_KEYS // 16
+    texts = slim.select("doc_id", code.alias("code"), "text")
+    texts = texts.join(F.broadcast(spelt) if few else spelt, same).dropDuplicates(["_id", "_code"]).select("_id", "_code", "spelt", "text")
+    rests = held.where("rest is not null").select("doc_id", "code", "rest").dropDuplicates(["doc_id", "code"])
+    texts = texts.join(rests, same, "left").select("_id", "_code", "spelt", F.coalesce("rest", "text").alias("text"))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("spelt"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    at = F.transform(found(F.col("text"), pattern), lambda s: F.struct(
+        F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("match")
+    ))
+    marked = work.save(texts.select("_id", "_code", at.alias("terms")), "marked")
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,match:string>>)")
-    return held.drop("near").join(marked, same, "left").select("doc_id", "code", "base", F.coalesce("terms", none).alias("terms"))
+    return held.drop("near", "rest", "doc").join(marked, same, "left").select("doc_id", "code", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def _joined(spans: Column) -> Column:

@@ -71,3 +71,17 @@ def test_sanitised_texts(spark):
 
 def test_no_rows(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_terms_far_from_their_entity_and_in_other_documents(spark):
+    rng = random.Random(3)
+    fill = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n))
+    rows = [(i, f"Quillfeather {fill(60)} ann@x.org {fill(5)}") for i in range(6)]
+    rows += [(10 + i, f"{fill(8)} mail{i}@y.org {fill(8)}") for i in range(80)]
+    rows += [(200, f"{fill(9)} QUILLFEATHER, {fill(9)} Quillfeathers quillfeather"), (201, "quillfeather@else.org")]
+    texts = dict(rows)
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    terms = {i: [texts[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].split(",") if s) if k == "term"] for i in got}
+    assert all(terms[i] == ["Quillfeather"] for i in range(6))
+    assert terms[200] == ["QUILLFEATHER", "quillfeather"] and terms[201] == []
+    assert not any(terms[i] for i in range(10, 90))
