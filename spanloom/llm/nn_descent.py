@@ -6,8 +6,9 @@ compared.  Then lists are refined: at every item the neighbours it has and that
 with a new member are compared, and each end keeps its ``neighbours`` best.  Rounds end when few
 lists change.  Items whose whole list lies above the threshold are saturated; the components of the
 threshold graph that hold such items have their lists enlarged to all of the component, compared
-block by block.  Recall is audited on a sample of items against all others of their label; if it is
-under ``target``, lists and forest are doubled and the descent goes on.
+block by block.  Recall is audited item by item, against all others of their label, on a sample that
+grows until it has links of enough components; if its mean is under ``target``, lists and forest are
+doubled and the descent goes on, and when that does not help, each label is compared block by block.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from spanloom.session import Workspace
 
 #: Entries of a leaf, bits of a code, and items of a block in an enlarged list.
 LEAF, BITS, BLOCK = 48, 40, 512
-#: Items in the audit of recall.
-AUDIT = 256
+#: Items in the audit of recall at first and, at most, at once; components with links that end it.
+AUDIT, AUDIT_MOST, ENOUGH = 256, 4096, 32
 
 
 def unit(values: pa.Array, width: int) -> np.ndarray:
@@ -142,8 +143,23 @@ def _meet(width: int):
     return run
 
 
+def _roots(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a block of links: the first row that it is connected with, or -1."""
+    none = len(linked)
+    row = np.where(linked.any(axis=1), np.arange(none), none)
+    while True:
+        column = np.where(linked, row[:, None], none).min(axis=0, initial=none)
+        after = np.minimum(row, np.where(linked, column[None, :], none).min(axis=1, initial=none))
+        if (after == row).all():
+            return np.where(row < none, row, -1), np.where(column < none, column, -1)
+        row = after
+
+
 def _blocks(width: int, threshold: float):
-    """Links inside a pair of blocks of one component: how many vectors each item is linked with."""
+    """Links inside a pair of blocks of one component: with how many vectors each item is linked, and one item connected with it."""
+
+    def rows(item: np.ndarray, n: np.ndarray, root: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (item, n, np.where(root < 0, item, roots[root]))], ["item", "n", "root"])
 
     def run(batches):
         for table in runs(batches, ["component", "low", "high"], 1):
@@ -153,11 +169,15 @@ def _blocks(width: int, threshold: float):
                 vectors = unit(part.column("vec").combine_chunks(), width)
                 item, own, copies = (part.column(n).to_numpy() for n in ("item", "block", "copies"))
                 low, high = own == part.column("low")[0].as_py(), own == part.column("high")[0].as_py()
+                if not low.any() or not high.any():
+                    continue
                 linked = vectors[low] @ vectors[high].T >= threshold
                 linked &= item[low][:, None] != item[high][None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(item[low]), pa.array(linked @ copies[high])], ["item", "n"])
-                if part.column("low")[0] != part.column("high")[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(item[high]), pa.array(linked.T @ copies[low])], ["item", "n"])
+                first, second = _roots(linked)
+                yield rows(item[low], linked @ copies[high], first, item[low])
+                # A block with itself: its links are counted above, but the columns' roots join the two sides.
+                apart = part.column("low")[0] != part.column("high")[0]
+                yield rows(item[high], linked.T @ copies[low] * int(apart), second, item[low])
 
     return run
 
@@ -232,9 +252,14 @@ class Descent:
         narrow = edges.join(groups.join(wide, "component", "left_anti").select(F.col("node").alias("a")), "a")
         counts = narrow.join(copies.withColumnRenamed("item", "b"), "b").groupBy(F.col("a").alias("item")).agg(F.sum("copies").alias("n"))
         members = groups.join(wide, "component", "left_semi")
+        more = self._compared(members.select("component", F.col("node").alias("item")), threshold).select("item", "n")
+        return groups, self.work.save(counts.union(more).groupBy("item").agg(F.sum("n").alias("n")), "counts")
+
+    def _compared(self, members: DataFrame, threshold: float) -> DataFrame:
+        """All items of a component with each other, in pairs of blocks: item, n, root."""
         blocks = members.groupBy("component").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
         dealt = members.join(blocks, "component").select(
-            "component", F.col("node").alias("item"), "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block")
+            "component", "item", "blocks", F.expr("cast(pmod(xxhash64(item), blocks) as int)").alias("block")
         )
         dealt = dealt.join(self.items.select("item", "copies", "vec"), "item").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         keys = ["component", "low", "high"]
@@ -242,15 +267,36 @@ class Descent:
             "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "item", "block", "copies", "vec"
         )
         dealt = dealt.repartition(self.parts, *keys).sortWithinPartitions(*keys)
-        more = dealt.mapInArrow(_blocks(self.width, threshold), "item long, n long")
-        return groups, self.work.save(counts.union(more).groupBy("item").agg(F.sum("n").alias("n")), "counts")
-
-    def recall(self, counts: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-        """The share of the links of some items, against all items of their label, that was found."""
+        return dealt.mapInArrow(_blocks(self.width, threshold), "item long, n long, root long")
+
+    def exact(self, threshold: float) -> tuple[DataFrame, DataFrame]:
+        """What :meth:`links` gives, from all pairs of each label."""
+        found = self._compared(self.items.select(F.col("grp").alias("component"), "item"), threshold)
+        found = self.work.save(found.where("n > 0 or item <> root"), "compared")
+        edges = found.where("item <> root").select(F.col("item").alias("a"), F.col("root").alias("b"))
+        return components(edges, self.work), self.work.save(found.groupBy("item").agg(F.sum("n").alias("n")), "counts")
+
+    def recall(self, groups: DataFrame, counts: DataFrame, threshold: float) -> float:
+        """The mean share of an item's links, against all items of its label, that was found.
+
+        Items of one component count as one.  More items are audited until ``ENOUGH`` components
+        with links are seen, or all items.
+        """
+        order = F.pmod(F.xxhash64("item", F.lit(5)), F.lit(1 << 40))
+        low, size, linked, shares = 0, AUDIT, 0, 0.0
+        while low < 1 << 40 and linked < ENOUGH:
+            high = min(1 << 40, low + -(-(size << 40) // max(self.size, 1)))
+            row = self._audit(self.items.where((order >= low) & (order < high)), groups, counts, threshold)
+            linked, shares = linked + row[0], shares + (row[1] or 0.0)
+            low, size = high, min(4 * size, AUDIT_MOST)
+        return shares / linked if linked else 1.0
+
+    def _audit(self, sample: DataFrame, groups: DataFrame, counts: DataFrame, threshold: float) -> tuple[int, float]:
+        """Of the components of these items: how many have links, and the sum of the shares found."""
         width = self.width
-        chosen = self.items.orderBy(F.xxhash64("item", F.lit(5)), "item").limit(sample).collect()
+        chosen = sample.collect()
         if not chosen:
-            return 1.0
+            return 0, 0.0
         vectors = unit(pa.array([r.vec for r in chosen]), width)
         asked = self.items.sparkSession.sparkContext.broadcast(
             (vectors, np.array([r.grp for r in chosen]), np.array([r.item for r in chosen]))
@@ -263,13 +309,19 @@ class Descent:
                     linked = own @ unit(batch.column("vec"), width).T >= threshold
                     linked &= grp[:, None] == batch.column("grp").to_numpy()[None, :]
                     linked &= item[:, None] != batch.column("item").to_numpy()[None, :]
-                    yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(linked @ batch.column("copies").to_numpy())], ["item", "n"])
+                    n = linked @ batch.column("copies").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(item[n > 0]), pa.array(n[n > 0])], ["item", "n"])
 
         true = self.items.mapInArrow(count, "item long, n long").groupBy("item").agg(F.sum("n").alias("true"))
-        row = true.join(F.broadcast(counts.join(F.broadcast(true.select("item")), "item", "left_semi")), "item", "left").agg(
-            F.sum("true").alias("t"), F.sum("n").alias("n")
-        ).first()
-        return (row.n or 0) / row.t if row.t else 1.0
+        true = self.work.save(true, "true")
+        asked.unpersist()
+        few = F.broadcast(true.select("item"))
+        found = counts.join(few, "item", "left_semi").withColumnRenamed("item", "a")
+        named = groups.join(few, F.col("node") == F.col("item"), "left_semi")
+        both = true.join(F.broadcast(found), F.col("item") == F.col("a"), "left").join(F.broadcast(named), F.col("item") == F.col("node"), "left")
+        share = F.coalesce("n", F.lit(0)) / F.col("true")
+        one = both.groupBy(F.coalesce("component", "item").alias("root")).agg(F.avg(share).alias("share"))
+        return one.agg(F.count("*"), F.sum("share")).first()
 
 
 def near_duplicates(
@@ -315,7 +367,10 @@ def near_duplicates(
     while True:
         descent.run(rounds)
         groups, counts = descent.links(threshold)
-        if descent.recall(counts, threshold) >= target or descent.most >= 8 * neighbours:
+        if descent.recall(groups, counts, threshold) >= target:
+            break
+        if descent.most >= 8 * neighbours:
+            groups, counts = descent.exact(threshold)
             break
         descent.most, descent.trees = 2 * descent.most, 2 * descent.trees
     rooted = items.join(groups, F.col("item") == F.col("node"), "left").select(

@@ -73,3 +73,28 @@ def test_no_usable_vector(spark):
     got = N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert sorted((tuple(r) for r in got), key=str) == [(1, 0, 1, True), (2, 0, 2, True), (None, 0, None, False)]
     assert N.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def pairs_and_group():
+    rng = np.random.default_rng(4)
+    rows = [(i, np.ones(64) + rng.normal(0, 0.02, 64), 1) for i in range(150)]
+    for i in range(300):
+        v = rng.normal(0, 1, 64)
+        rows += [(1000 + 2 * i + k, v + rng.normal(0, 0.2, 64), 1) for k in range(2)]
+    return [(i, [float(x) for x in np.float32(v)], label) for i, v, label in rows]
+
+
+def test_links_that_no_forest_finds_are_found(spark):
+    rows = pairs_and_group()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = N.near_duplicates(frame, neighbours=1, trees=0, rounds=0).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    items = spark.createDataFrame([(i, 1, 1, v) for i, v, _ in pairs_and_group()], "item long, grp long, copies long, vec array<float>")
+    descent = N.Descent(items, 64, N.Workspace(spark, "test"), 10, 8)
+    groups, counts = descent.exact(0.93)
+    assert descent.recall(groups, counts, 0.93) == 1.0
+    assert descent.recall(groups.where("node < 1000"), counts.where("item < 1000"), 0.93) < 0.2  # pairs lost, the group whole
+    assert counts.where("item < 1000").agg({"n": "sum"}).first()[0] > 0.95 * counts.agg({"n": "sum"}).first()[0]
