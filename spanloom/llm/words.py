@@ -16,10 +16,6 @@ import pyarrow.compute as pc
 #: Text bytes handled at once; working arrays take about 40 times as much.
 CHUNK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
 def _table(is_word) -> np.ndarray:
     out = np.arange(256, dtype=np.uint8)
     out[65:91] += 32
@@ -42,18 +38,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+#: A salt for each of a word's first lanes of eight bytes; later ones get theirs by the same rule.
+_LANES = mix(np.arange(1, 65, dtype=np.uint64))
+#: What is kept of a lane of which so many bytes belong to the word.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @dataclass
@@ -95,19 +83,21 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word from prefix sums, over pieces of bounded size."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK_BYTES, side="right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        power, inverse = _power_tables(hi - lo)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_LETTERS[codes[lo:hi]] * power[: hi - lo], out=sums[1:])
-        a, b = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
-        i = j
-    return out
+    """A 64-bit hash of each word: its lanes of eight bytes, each mixed with its place, are summed."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([codes, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray(len(codes) + 1, "<u8", padded, strides=(1,))
+    length = end - start
+    lanes = (length + 7) >> 3
+    first = np.cumsum(lanes) - lanes
+    if len(first) == first[-1] + lanes[-1]:  # no word has a second lane
+        value = at_byte[start] & _KEPT[length]
+        return mix(mix(value ^ _LANES[0]) + length.astype(np.uint64))
+    number = np.arange(first[-1] + lanes[-1]) - np.repeat(first, lanes)
+    value = at_byte[np.repeat(start, lanes) + 8 * number] & _KEPT[np.minimum(np.repeat(length, lanes) - 8 * number, 8)]
+    salt = _LANES[number] if lanes.max() <= len(_LANES) else mix(number.astype(np.uint64) + np.uint64(1))
+    return mix(np.add.reduceat(mix(value ^ salt), first) + length.astype(np.uint64))
 
 
 def split(texts: pa.Array, table: np.ndarray) -> Words:
