@@ -2,13 +2,25 @@
 
 All words of the corpus are the one vocabulary of both models, with one class for unknown words.  The
 background model counts the bigrams of every document, the target model those of documents whose labels
-say they are good.  Both are smoothed towards their own unigrams with the same weight.  A document's
-score is the mean over its words of the loss under the target minus the loss under the background.
+say they are good.  The models are matched: counts of the background are scaled to the size of the
+target, and both are smoothed towards their own unigrams with the same weight.  With ``s`` the scale,
+1 for the target,
 
-Counts of words, histories and bigrams are written tables that grow with the corpus; counts are summed
-on tasks before the shuffle.  Bigrams that make up at least one part in ``FREQUENT`` of all words, so
-``FREQUENT`` at most, are sent to all tasks; a document's other bigrams meet their losses in a shuffled
-join, in which no key is hot any more.  Losses are added as integers: the order makes no difference.
+    P(w | h) = (s n(h, w) + PRIOR u(w)) / (s n(h) + PRIOR),   u(w) = (s n(w) + 1) / (s N + words + 1)
+
+A document's score is the mean over its words of the loss under the target minus the loss under the
+background.  Losses are added as integers, so the order makes no difference.
+
+The work is three passes over the texts and one shuffle of words:
+
+* Words are counted; the counts are a written table.  Those that make up one part in ``FREQUENT`` of
+  all, ``FREQUENT`` words at most, are sent to all tasks.
+* Bigrams of two words with one part in ``HOT`` are counted; those with one part in ``HOT_PAIRS`` are
+  sent to all tasks as well.
+* Every other word goes, with its document, to where its bigram is counted: frequent words by the
+  bigram, others by the word, so that its unigram counts are there too.  What it adds to the
+  document's loss comes back, summed by document.  No key of this shuffle holds more than one part in
+  ``HOT`` of all words.  Words travel packed, by the bucket of their key.
 """
 
 from __future__ import annotations
@@ -23,176 +35,340 @@ from spanloom.llm import selecting
 from spanloom.llm import words as W
 from spanloom.session import Workspace
 
-#: Classes by their last letters for words that the caller's own limit leaves out.
-ENDINGS = 256
 #: Weight of the unigrams, in words, in each history's distribution.
 PRIOR = 20.0
-FREQUENT = 1 << 20
+#: Shares of all words, as one part in so many, that make a word or a bigram known to all tasks.
+RANK_BITS = 17
+FREQUENT, HOT, HOT_PAIRS = 1 << RANK_BITS, 1 << 11, 1 << 16
+#: Words of the corpus in a bucket, about.
+BUCKET = 1 << 20
 #: Units of a loss in one nat.
 UNITS = 1 << 30
+
 #: The history of a text's first word.
-START = -1
+START = 1
 
+_RANK = np.uint64(FREQUENT - 1)
 
-class Vocabulary:
-    """Numbers for words where their count is limited: known ones by rank, others by ending."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        self.size = len(hashes) + ENDINGS
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
-    def numbers(self, found: W.Words) -> np.ndarray:
-        codes = W.ALPHANUMERIC[found.data]
-        last = codes[found.end - 1].astype(np.uint64)
-        second = np.where(found.end - found.start > 1, codes[np.maximum(found.end - 2, 0)], 0).astype(np.uint64)
-        ending = (W.mix(last * np.uint64(257) + second) % np.uint64(ENDINGS)).astype(np.int64)
-        if not len(self.hashes):
-            return ending
-        spot = np.minimum(np.searchsorted(self.hashes, found.hash), len(self.hashes) - 1)
-        known = self.hashes[spot] == found.hash
-        return np.where(known, self.order[spot] + ENDINGS, ending)
 
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
 
-def vocabulary(docs: DataFrame, text: str, words: int) -> Vocabulary:
-    """The most frequent words of all documents; ties by hash."""
 
-    def count(batches):
-        for batch in W.pieces(batches, text, 8 * W.CHUNK_BYTES):
-            found = [W.split(p.column(text), W.ALPHANUMERIC).hash for p in W.pieces(iter([batch]), text)]
-            value, times = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], ["word", "n"])
+def _lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of the values in a sorted table, -1 for none."""
+    if not len(table):
+        return np.full(len(values), -1)
+    spot = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[spot] == values, spot, -1)
 
-    totals = docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = totals.orderBy(F.desc("n"), "word").limit(words).toArrow()
-    return Vocabulary(top.column("word").to_numpy().view(np.uint64))
 
+class Models:
+    """The sizes of both models, and what all tasks know: frequent words and hot bigrams."""
 
-def _pairs(found: W.Words, own: Vocabulary | None) -> tuple[np.ndarray, np.ndarray]:
-    """For each word: its history and itself."""
-    word = found.hash.view(np.int64) if own is None else own.numbers(found)
-    history = np.full(len(word), START, np.int64)
-    inside = found.doc[1:] == found.doc[:-1]
-    history[1:][inside] = word[:-1][inside]
-    return history, word
+    def __init__(self, words: int, totals: tuple[int, int], starts: tuple[int, int], word: np.ndarray, n, t, hn, ht):
+        self.words, self.totals = words, totals
+        self.scale = (totals[1] / totals[0] if totals[0] and totals[1] else 1.0, 1.0)
+        order = np.argsort(word)
+        self.word, counts = word[order], [(n[order], hn[order]), (t[order], ht[order])]
+        self.hot = self.word[counts[0][0] * HOT >= totals[0]]
+        self.unigram = [self.prior(k, own) for k, (own, _) in enumerate(counts)]
+        self.history = [self.denominators(k, own) for k, (_, own) in enumerate(counts)]
+        self.start = [int(self.denominators(k, np.array([x]))[0]) for k, x in enumerate(starts)]
+        self.pairs, self.pair_units = np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 2
 
+    def prior(self, k: int, counts: np.ndarray) -> np.ndarray:
+        return PRIOR * (self.scale[k] * counts + 1.0) / (self.scale[k] * self.totals[k] + self.words + 1)
 
-def _codes(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One number for each bigram."""
-    return W.mix(W.mix(history.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)).view(np.int64)
+    def numerators(self, k: int, counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        return np.rint(np.log(self.scale[k] * counts + prior) * UNITS).astype(np.int64)
 
+    def denominators(self, k: int, counts: np.ndarray) -> np.ndarray:
+        return np.rint(np.log(self.scale[k] * counts + PRIOR) * UNITS).astype(np.int64)
 
-def _starts(ordered: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+    def add_pairs(self, pair: np.ndarray, n: np.ndarray, t: np.ndarray) -> None:
+        order = np.argsort(pair)
+        self.pairs = pair[order]
+        last = _lookup(self.word, self.hot)[self.pairs % max(len(self.hot), 1)]
+        self.pair_units = [self.numerators(k, c[order], self.unigram[k][last]) for k, c in enumerate((n, t))]
 
+    def hot_pairs(self, word: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """A number for each bigram whose ends are hot (a text's start counts as hot), else -1."""
+        place = _lookup(self.hot, word)
+        before = np.full(len(word), len(self.hot))
+        before[1:] = place[:-1]
+        before[opens] = len(self.hot)
+        return np.where((place >= 0) & (before >= 0), before * len(self.hot) + place, -1)
+
+
+def _split(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, whether it is its text's first) of all words of a batch, split in small pieces."""
+    rows, words, opens, base = [], [], [], 0
+    for piece in W.pieces(iter([batch]), text):
+        found = W.split(piece.column(text), W.ALPHANUMERIC)
+        first = np.ones(len(found.doc), bool)
+        first[1:] = found.doc[1:] != found.doc[:-1]
+        rows.append(found.doc + base)
+        words.append(found.hash)
+        opens.append(first)
+        base += piece.num_rows
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    return np.concatenate(rows), np.concatenate(words), np.concatenate(opens)
+
+
+def _follows(opens: np.ndarray) -> np.ndarray:
+    """Whether another word of the same text comes next."""
+    return np.r_[~opens[1:], False] if len(opens) else opens
 
-def _marked(docs: DataFrame, good: DataFrame, key: str, text: str) -> DataFrame:
-    few = good.count() <= selecting.BROADCAST_KEYS
-    marks = good.withColumn("_hit", F.lit(True))
-    joined = docs.select(key, text).join(F.broadcast(marks) if few else marks, key, "left")
-    return joined.select(text, F.coalesce("_hit", F.lit(False)).alias("_target"))
 
+def _targets(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("_target").to_numpy(zero_copy_only=False).astype(bool)
 
-def bigram_counts(rows: DataFrame, own: Vocabulary | None, text: str) -> DataFrame:
-    """history, word, and how often they follow each other: n in all texts, t in the target's."""
+
+def _longs(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names)
+
+
+def word_counts(rows: DataFrame, text: str) -> DataFrame:
+    """word, and how often it stands and is followed: n and hn in all texts, t and ht in the target's."""
+    names = ["word", "n", "t", "hn", "ht"]
 
     def count(batches):
         for batch in W.pieces(batches, text, 8 * W.CHUNK_BYTES):
-            parts = []
-            for piece in W.pieces(iter([batch]), text):
-                found = W.split(piece.column(text), W.ALPHANUMERIC)
-                wanted = piece.column("_target").to_numpy(zero_copy_only=False).astype(bool)
-                parts.append((*_pairs(found, own), wanted[found.doc]))
-            history, word, target = (np.concatenate(p) for p in zip(*parts))
-            code = _codes(history, word)
-            order = np.argsort(code)
-            at = _starts(code[order])
-            n = np.diff(np.r_[at, len(order)])
-            t = np.add.reduceat(target[order].astype(np.int64), at) if len(at) else n
-            first = order[at]
-            for i in range(0, len(first), 1 << 17):
-                columns = [c[i : i + (1 << 17)] for c in (history[first], word[first], n, t)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["history", "word", "n", "t"])
-
-    counts = rows.mapInArrow(count, "history long, word long, n long, t long")
-    return counts.groupBy("history", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def loss_differences(
-    docs: DataFrame, labels: DataFrame, own: Vocabulary | None, key: str = "doc_id", text: str = "text", target: str = "quality = 1 and toxic = 0"
-) -> DataFrame:
-    """A written table of all bigrams: code, n, and target loss minus background loss in ``UNITS``."""
-    work = Workspace(docs.sparkSession, "lm-score")
-    good = labels.where(F.expr(target) & F.col(key).isNotNull()).select(key).distinct()
-    counts = work.save(bigram_counts(_marked(docs, work.save(good, "targets"), key, text), own, text), "bigrams")
-    sums = lambda by, n, t: counts.groupBy(by).agg(F.sum("n").alias(n), F.sum("t").alias(t))
-    words = work.save(sums("word", "word_n", "word_t"), "words")
-    histories = work.save(sums("history", "history_n", "history_t"), "histories")
-    total = words.agg(F.count("*").alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("word_n", "word_t"))).first()
-    size = total.words + 1 if own is None else own.size
-
-    def losses(batches):
-        for batch in batches:
-            col = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-            logs = []
-            for k, whole in (("n", total.word_n), ("t", total.word_t)):
-                unigram = (col[f"word_{k}"] + 1.0) / (whole + size)
-                logs.append(np.log(col[k] + PRIOR * unigram) - np.log(col[f"history_{k}"] + PRIOR))
-            units = np.rint((logs[0] - logs[1]) * UNITS).astype(np.int64)
-            columns = [_codes(col["history"], col["word"]), col["n"], units]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["code", "n", "loss"])
-
-    joined = counts.join(words, "word").join(histories, "history")
-    out = work.save(joined.mapInArrow(losses, "code long, n long, loss long"), "losses")
-    work.drop(counts)
-    return out
+            row, word, opens = _split(batch, text)
+            target, follows = _targets(batch)[row], _follows(opens)
+            order = np.argsort(word)
+            at = _starts(word[order])
+            sums = [_sums(x[order], at) for x in (np.ones(len(row)), target, follows, follows & target)]
+            yield _longs([word[order][at].view(np.int64), *sums], names)
 
+    counts = rows.mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    return counts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names[1:]))
 
-def score(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", target: str = "quality = 1 and toxic = 0", words: int | None = None
-) -> DataFrame:
-    """One row per input row: doc_id, n_words, loss_difference.
 
-    ``loss_difference`` is in nats a word: the smaller, the more like the target; null for a null,
-    empty or blank text.  Labels that are null are no targets; a document with several labels is a
-    target if one says so.  Without targets the target model is uniform.  Repeated rows count as
-    often as they stand and give repeated results.  Other columns are not read.  With ``words`` only
-    so many words are told apart, and the others by their endings.
-    """
-    own = None if words is None else vocabulary(docs, text, words)
-    losses = loss_differences(docs, labels, own, key, text, target)
-    total = losses.agg(F.sum("n")).first()[0] or 0
-    top = losses.where(F.col("n") * FREQUENT >= total).select("code", "loss").toArrow()
-    code, loss = top.column("code").to_numpy(), top.column("loss").to_numpy()
-    order = np.argsort(code)
-    sent = docs.sparkSession.sparkContext.broadcast((own, code[order], loss[order]))
+def hot_pair_counts(rows: DataFrame, models, text: str) -> DataFrame:
+    """pair (see :meth:`Models.hot_pairs`), n, t."""
+
+    def count(batches):
+        for batch in W.pieces(batches, text, 8 * W.CHUNK_BYTES):
+            row, word, opens = _split(batch, text)
+            pair = models.value.hot_pairs(word, opens)
+            own = pair >= 0
+            pair, target = pair[own], _targets(batch)[row[own]]
+            order = np.argsort(pair)
+            at = _starts(pair[order])
+            yield _longs([pair[order][at], _sums(np.ones(len(pair)), at), _sums(target[order], at)], ["pair", "n", "t"])
+
+    counts = rows.mapInArrow(count, "pair long, n long, t long")
+    return counts.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+# A blob holds parallel arrays; the bytes of one place in all numbers stand together, which packs better.
+_RARE = [("<u8", "word"), ("<u8", "history"), ("<u4", "doc")]
+_COMMON = [("<u8", "pair"), ("<u4", "doc")]
+
+
+def _pack(n_target: int, rare: list[np.ndarray], common: list[np.ndarray]) -> bytes:
+    parts = [np.array([n_target, len(rare[0]), len(common[0])], "<u4").tobytes()]
+    for (kind, _), values in zip([*_RARE, *_COMMON], [*rare, *common], strict=True):
+        parts.append(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes())
+    return b"".join(parts)
+
+
+def _unpack(blob: bytes) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
+    n_target, *sizes = np.frombuffer(blob[:12], "<u4").tolist()
+    at, out = 12, []
+    for (kind, _), n in zip([*_RARE, *_COMMON], [sizes[0]] * len(_RARE) + [sizes[1]] * len(_COMMON), strict=True):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += n * width
+    return n_target, out[: len(_RARE)], out[len(_RARE) :]
+
+
+TRAVELLING = ["bucket", "row", "n_words", "background", "target", "key", "words"]
+
+
+def _dealt(models, key: str, text: str, buckets: int):
+    """For each text a row with the losses that are known here, and its other words by bucket."""
+
+    def pieces(rare: list[np.ndarray], common: list[np.ndarray]):
+        # Both are sorted by their key, of which the upper half gives the bucket.
+        owns = [((k[0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) for k in (rare, common)]
+        for bucket in np.union1d(*owns).tolist():
+            cuts = [slice(*np.searchsorted(own, np.array([bucket, bucket + 1], np.uint64))) for own in owns]
+            yield int(bucket), [x[cuts[0]] for x in rare], [x[cuts[1]] for x in common]
 
     def run(batches):
-        own, codes, loss = sent.value
+        known = models.value
         row = TaskContext.get().partitionId() << 36
-        for batch in W.pieces(batches, text):
-            found = W.split(batch.column(text), W.ALPHANUMERIC)
-            code, m = _codes(*_pairs(found, own)), batch.num_rows
-            known, units = np.zeros(len(code), bool), np.zeros(m, np.int64)
-            if len(codes):
-                spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                known = codes[spot] == code
-                np.add.at(units, found.doc[known], loss[spot[known]])
-            code, doc = code[~known], found.doc[~known]
-            order = np.lexsort((code, doc))
-            code, doc = code[order], doc[order]
-            at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]) if len(code) else np.zeros(0, np.int64)
-            places = pa.array(np.searchsorted(doc[at], np.arange(m + 1)), pa.int32())
-            times = pa.array(np.diff(np.r_[at, len(code)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(places, v) for v in (pa.array(code[at]), times)]
-            columns = [pa.array(np.arange(row, row + m)), batch.column(key), pa.array(found.per_doc), pa.array(units), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["row", key, "n_words", "units", "codes", "times"])
+        for batch in W.pieces(batches, text, 8 * W.CHUNK_BYTES):
+            # Texts of the target come first: a document's number tells which model counts it.
+            target = _targets(batch)
+            batch = batch.take(pa.array(np.argsort(~target, kind="stable")))
+            doc, word, opens = _split(batch, text)
+            m = batch.num_rows
+            place = _lookup(known.word, word)
+            before, history = np.full(len(word), -1), np.zeros(len(word), np.uint64)
+            before[1:], history[1:] = place[:-1], word[:-1]
+            before[opens], history[opens] = len(known.word), START
+            pair = _lookup(known.pairs, known.hot_pairs(word, opens))
+            losses = []
+            for k in range(2):
+                units = np.zeros(m, np.int64)
+                own = before >= 0
+                np.add.at(units, doc[own], np.r_[known.history[k], known.start[k]][before[own]])
+                own = pair >= 0
+                np.add.at(units, doc[own], -known.pair_units[k][pair[own]])
+                losses.append(units)
+            number = doc.astype(np.uint32) << np.uint32(1) | _follows(opens).astype(np.uint32)
+            own = np.flatnonzero(place < 0)
+            own = own[np.argsort(word[own])]
+            rare = [word[own], W.mix(history[own]) >> np.uint64(16), number[own]]
+            own = np.flatnonzero((place >= 0) & (pair < 0))
+            code = W.mix(W.mix(history[own]) + word[own]) & ~_RANK | place[own].astype(np.uint64)
+            by = np.argsort(code)
+            common = [code[by], number[own[by]]]
+            none = pa.nulls(m, pa.binary())
+            count = np.bincount(doc, minlength=m)
+            ids = np.arange(row, row + m)
+            columns = [pa.array((ids % buckets).astype(np.int32)), pa.array(ids), pa.array(count), *map(pa.array, losses), batch.column(key), none]
+            yield pa.RecordBatch.from_arrays(columns, TRAVELLING)
+            made = [(bucket, _pack(int(target.sum()), r, c)) for bucket, r, c in pieces(rare, common)]
+            zero = pa.array(np.zeros(len(made), np.int64))
+            columns = [pa.array([b for b, _ in made], pa.int32()), pa.array(np.full(len(made), row)), zero, zero, zero, pa.nulls(len(made), batch.column(key).type), pa.array([w for _, w in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, TRAVELLING)
             row += m
 
+    return run
+
+
+def _gathered(blobs: list[tuple[int, bytes]]) -> list[list[np.ndarray]]:
+    """Of rare and of common words: key columns, document, whether the target counts it, whether a word follows."""
+    out: list[list[list[np.ndarray]]] = [[[] for _ in range(len(kinds) + 2)] for kinds in (_RARE, _COMMON)]
+    for first, blob in blobs:
+        n_target, *both = _unpack(blob)
+        for to, (*keys, number) in zip(out, both, strict=True):
+            doc = (number >> np.uint32(1)).astype(np.int64)
+            for column, values in zip(to, [*keys, first + doc, doc < n_target, (number & 1).astype(bool)], strict=True):
+                column.append(values)
+    return [[np.concatenate(column) for column in columns] for columns in out]
+
+
+def _each(starts: np.ndarray, n: int) -> np.ndarray:
+    """The number of the run that each of n rows is in."""
+    return np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+
+
+def settle(known: Models, blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    """Of one bucket's words: documents, and what the words add to their losses under both models."""
+    rare, common = _gathered(blobs)
+    order = np.lexsort((rare[1], rare[0]))
+    word, history, doc, target, follows = (x[order] for x in rare)
+    words, pairs = _starts(word), _starts(word, history)
+    word_of = np.searchsorted(words, pairs, side="right") - 1
+    order = np.argsort(common[0], kind="stable")
+    code, doc_c, target_c, _ = (x[order] for x in common)
+    codes = _starts(code)
+    docs = np.concatenate([doc, doc_c])
+    order = np.argsort(docs, kind="stable")
+    own = _starts(docs[order])
+    out = [docs[order][own]]
+    for k, (seen, seen_c) in enumerate(((np.ones_like(target), np.ones_like(target_c)), (target, target_c))):
+        prior = known.prior(k, _sums(seen, words))[word_of]
+        numerators = known.numerators(k, _sums(seen, pairs), prior)[_each(pairs, len(word))]
+        denominators = known.denominators(k, _sums(seen & follows, words))[_each(words, len(word))]
+        prior = known.unigram[k][(code[codes] & _RANK).astype(np.int64)]
+        numerators_c = known.numerators(k, _sums(seen_c, codes), prior)[_each(codes, len(code))]
+        out.append(_sums(np.concatenate([denominators * follows - numerators, -numerators_c])[order], own))
+    return out
+
+
+def _settled(models):
+    """Of rows sorted by bucket: those of texts as they are, and for each document what its words there add."""
+
+    def run(batches):
+        bucket, held = None, []
+        for batch in batches:
+            words = batch.column("words")
+            plain = batch.filter(words.is_null())
+            if plain.num_rows:
+                yield plain.select(TRAVELLING[1:-1])
+            packed = batch.filter(words.is_valid())
+            for i in range(packed.num_rows):
+                if held and packed.column("bucket")[i].as_py() != bucket:
+                    yield made(held, batch)
+                    held = []
+                bucket = packed.column("bucket")[i].as_py()
+                held.append((packed.column("row")[i].as_py(), packed.column("words")[i].as_py()))
+            last = batch
+        if held:
+            yield made(held, last)
+
+    def made(held, batch):
+        doc, background, target = settle(models.value, held)
+        zero, none = pa.array(np.zeros(len(doc), np.int64)), pa.nulls(len(doc), batch.column("key").type)
+        return pa.RecordBatch.from_arrays([pa.array(doc), zero, pa.array(background), pa.array(target), none], TRAVELLING[1:-1])
+
+    return run
+
+
+def fit(rows: DataFrame, text: str, work: Workspace) -> Models:
+    """Count words and hot bigrams; ``rows`` has the text and ``_target``."""
+    session = rows.sparkSession
+    words = work.save(word_counts(rows, text), "words")
+    total = words.agg(F.count("*").alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "t", "hn", "ht"))).first()
+    known = words.where(F.col("n") * FREQUENT >= total.n).toArrow()
+    columns = [known.column(c).to_numpy() for c in ("word", "n", "t", "hn", "ht")]
+    # What no word precedes follows a text's start.
+    models = Models(total.words, (total.n, total.t), (total.n - total.hn, total.t - total.ht), columns[0].view(np.uint64), *columns[1:])
+    sent = session.sparkContext.broadcast(models)
+    pairs = hot_pair_counts(rows, sent, text).where(F.col("n") * HOT_PAIRS >= total.n).toArrow()
+    sent.unpersist()
+    models.add_pairs(*(pairs.column(c).to_numpy() for c in ("pair", "n", "t")))
+    return models
+
+
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", target: str = "quality = 1 and toxic = 0") -> DataFrame:
+    """One row per input row: doc_id, n_words, loss_difference, target_loss, background_loss.
+
+    Losses are in nats a word: the smaller the difference, the more like the target; null for a null,
+    empty or blank text.  Labels that are null are no targets; a document with several labels is a
+    target if one says so.  Without targets the target model is uniform.  Repeated rows count as
+    often as they stand and give repeated results.  Other columns are not read.
+    """
+    session = docs.sparkSession
+    work = Workspace(session, "lm-score")
+    good = work.save(labels.where(F.expr(target) & F.col(key).isNotNull()).select(key).distinct(), "targets")
+    few = good.count() <= selecting.BROADCAST_KEYS
+    marks = good.withColumn("_hit", F.lit(True))
+    rows = docs.select(F.col(key), F.col(text)).join(F.broadcast(marks) if few else marks, key, "left")
+    rows = rows.select(key, text, F.coalesce("_hit", F.lit(False)).alias("_target"))
+    rows = rows if few else work.save(rows, "marked")
+    models = fit(rows, text, work)
+    sent = session.sparkContext.broadcast(models)
+    buckets = models.totals[0] // BUCKET + 1
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, text).mapInArrow(run, f"row long, `{key}` {kind}, n_words long, units long, codes array<long>, times array<int>")
-    rows = Workspace(docs.sparkSession, "lm-score").save(rows, "rows")
-    rare = rows.select("row", F.explode(F.arrays_zip("codes", "times")).alias("_at")).select("row", F.col("_at.codes").alias("code"), F.col("_at.times").alias("times"))
-    found = rare.join(losses.select("code", "loss"), "code").groupBy("row").agg(F.sum(F.col("loss") * F.col("times")).alias("more"))
-    mean = (F.col("units") + F.coalesce("more", F.lit(0))) / F.lit(float(UNITS)) / F.when(F.col("n_words") > 0, F.col("n_words"))
-    return rows.drop("codes", "times").join(found, "row", "left").select(key, "n_words", mean.alias("loss_difference"))
+    fields = f"row long, n_words long, background long, target long, key {kind}"
+    dealt = rows.mapInArrow(_dealt(sent, key, text, buckets), f"bucket int, {fields}, words binary")
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sums = dealt.mapInArrow(_settled(sent), fields).groupBy("row").agg(
+        F.first("key", True).alias("key"), *(F.sum(c).alias(c) for c in ("n_words", "background", "target"))
+    )
+    mean = lambda c: c / F.lit(float(UNITS)) / F.when(F.col("n_words") > 0, F.col("n_words"))
+    return sums.select(
+        F.col("key").alias(key),
+        "n_words",
+        mean(F.col("target") - F.col("background")).alias("loss_difference"),
+        mean(F.col("target")).alias("target_loss"),
+        mean(F.col("background")).alias("background_loss"),
+    )
