@@ -42,25 +42,57 @@ _CARD = r"[0-9](?:[ -]?[0-9])++"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _WORD = r"[\p{L}\p{N}]{2,}+"
 
-_SPAN = "array<struct<start:int,end:int,match:string>>"
+# What stands for the kinds' matches where they are blanked, one character at a time, so that places stay:
+# a match is looked for ahead at its first character, and the run of its characters is followed from there.
+_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_BLANKED = {
+    "email": r"(?:\G(?!^)|(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-]))[A-Za-z0-9._%+@-]",
+    "ip": rf"(?:\G(?!^)|(?<![0-9])(?={_PART}(?:\.{_PART}){{3}}(?![0-9])))[0-9.]",
+    "card": r"(?:\G(?!^)|(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])))[0-9 -]",
+    "phone": r"(?:\G(?!^)|(?=\+[0-9](?:[ ().-]*+[0-9]){8,14}+(?![ ().-]*+[0-9])))[+0-9 ().-]",
+}
+
+_SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 _NONE = f"cast(array() as {_SPAN})"
 
 
 def found(text: Column, pattern: str | Column) -> Column:
-    """All matches with their places, in code points, from what stands between the matches."""
+    """All matches with their places, in code points, and what stands before and after, up to ``NEAR_CHARS`` and one more.
+
+    Places come from the lengths of what stands between the matches: running sums within blocks of
+    about the root of their number, so that many matches do not cost their square.
+    """
     between = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("match")))
+    one = lambda m, i: F.struct(
+        F.length(F.get(between, i)).alias("gap"), m.alias("match"), F.right(F.get(between, i), F.lit(NEAR_CHARS + 1)).alias("before"), F.left(F.get(between, i + 1), F.lit(NEAR_CHARS + 1)).alias("after")
+    )
     start = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
 
-    def step(done: Column, pair: Column) -> Column:
-        begin = done["at"] + pair["gap"]
-        end = begin + F.coalesce(F.length(pair["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("match"))
+    def step(done: Column, own: Column) -> Column:
+        begin = done["at"] + own["gap"]
+        end = begin + F.length(own["match"])
+        span = F.struct(begin.alias("start"), end.alias("end"), own["match"].alias("match"), own["before"].alias("before"), own["after"].alias("after"))
         return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(pairs, start, step, lambda done: done["out"])
-    return F.filter(spans, lambda s: s["match"].isNotNull())  # after the last match only text is left
+    def moved(done: Column, block: Column) -> Column:
+        spans = F.struct(done["at"].alias("by"), block["out"].alias("out"))
+        return F.struct((done["at"] + block["at"]).alias("at"), F.concat(done["out"], F.array(spans)).alias("out"))
+
+    def placed(block: Column) -> Column:
+        return F.transform(block["out"], lambda s: F.struct(
+            (s["start"] + block["by"]).alias("start"), (s["end"] + block["by"]).alias("end"), s["match"].alias("match"), s["before"].alias("before"), s["after"].alias("after")
+        ))
+
+    # A lambda's argument is computed once where text functions would be repeated.
+    def spans(own: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(own))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(own) - 1, size), lambda i: F.aggregate(F.slice(own, i + 1, size), start, step))
+        whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<struct<by:int,out:{_SPAN}>>)").alias("out")), moved, lambda d: d["out"])
+        few = F.aggregate(own, start, step, lambda d: d["out"])
+        return F.when(F.size(own) <= 32, few).otherwise(F.flatten(F.transform(whole, placed)))
+
+    return F.element_at(F.transform(F.array(F.transform(matches, one)), spans), 1)
 
 
 def _digits(match: Column) -> Column:
@@ -108,28 +140,17 @@ def base_spans(text: Column) -> Column:
 def _kind_spans(text: Column, kind: str, pattern: str) -> Column:
     spans = F.when(_GATES[kind](text), found(text, pattern)).otherwise(F.expr(_NONE))
     spans = F.filter(spans, lambda s: _valid(kind, s["match"]))
-    named = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"))
+    named = lambda s: F.struct(F.lit(kind).alias("kind"), *(s[f].alias(f) for f in ("start", "end", "match", "before", "after")))
     return F.transform(spans, named)
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Words on both sides of a span with their places; words cut by the window's edge are left out."""
-    low = F.greatest(span["start"] - NEAR_CHARS, F.lit(0))
-    before = F.substr(text, low + 1, span["start"] - low)
-    # A cut word is overwritten, which keeps all places.
-    cut = F.length(F.regexp_extract(before, r"^[\p{L}\p{N}]+", 0))
-    before = F.when(low > 0, F.concat(F.repeat(F.lit(" "), cut), F.substr(before, cut + 1))).otherwise(before)
-    after = F.regexp_replace(F.substr(text, span["end"] + 1, F.lit(NEAR_CHARS + 1)), r"[\p{L}\p{N}]+\z", "")
-    after = F.when(F.length(text) > span["end"] + NEAR_CHARS, after).otherwise(F.substr(text, span["end"] + 1))
-
-    def moved(words: Column, by: Column) -> Column:
-        return F.transform(
-            words, lambda w: F.struct(F.lower(w["match"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end"))
-        )
-
-    left = found(before, _WORD)
+def _near(span: Column) -> Column:
+    """Words on both sides of a span, up to the next span of its kind; words cut by the window's edge are left out."""
+    whole = lambda side, cut: F.when(F.length(span[side]) <= NEAR_CHARS, span[side]).otherwise(F.regexp_replace(span[side], cut, ""))
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    left = words(whole("before", r"^[\p{L}\p{N}]+"))
     left = F.slice(left, F.greatest(F.size(left) - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS)
-    return F.concat(moved(left, low), moved(F.slice(found(after, _WORD), 1, NEAR_WORDS), span["end"]))
+    return F.concat(left, F.slice(words(whole("after", r"[\p{L}\p{N}]+\z")), 1, NEAR_WORDS))
 
 
 def _entity(span: Column) -> Column:
@@ -137,17 +158,12 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def _rest(text: Column, base: Column) -> Column:
-    """The text with its base spans overwritten by blanks, which keeps all places."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(done: Column, s: Column) -> Column:
-        begin, end = F.greatest(s["start"], done["at"]), F.greatest(s["end"], done["at"])
-        piece = F.concat(F.substr(text, done["at"] + 1, begin - done["at"]), F.repeat(F.lit(" "), end - begin))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(piece)).alias("out"))
+def _rest(text: Column) -> Column:
+    """The text with personal data overwritten by blanks, which keeps all places.
 
-    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return F.aggregate(ordered, start, step, lambda d: F.concat(F.array_join(d["out"], ""), F.substr(text, d["at"] + 1)))
+    What is written on to an address, and numbers that only a checksum tells from a card's, go as well.
+    """
+    return reduce(lambda t, kind: F.when(_GATES[kind](text), F.regexp_replace(t, _BLANKED[kind], " ")).otherwise(t), KINDS, text)
 
 
 def _words(text: Column) -> Column:
@@ -168,7 +184,7 @@ def disclosing(inside: DataFrame, held: DataFrame, docs: DataFrame, work: Worksp
     some = work.save(said.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).where(limit <= F.col("most")).drop("most"), "some")
     rare = work.save(said.join(some, "term").where(limit <= F.col("most")).select("doc", "term", "n"), "rare")
     whole = rare.join(holders, "doc").where(limit <= F.col("has_entity")).select("entity", "term", "doc", "around")
-    near = inside.select("entity", "doc", "around", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    near = inside.select("entity", "doc", "around", F.explode(F.array_distinct("words")).alias("term"))
     contexts = whole.union(near.select("entity", "term", "doc", "around").join(entities.select("entity"), "entity", "left_semi"))
     pairs = contexts.groupBy("entity", "term").agg(F.count_distinct("doc").alias("both"), F.count_distinct("around").alias("contexts"))
     pairs = work.save(pairs.where(F.col("contexts") >= CONTEXTS).drop("contexts"), "pairs")
@@ -194,13 +210,14 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     slim = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     based = slim.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     some = F.size("base") > 0
-    near = F.when(some, F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _near(F.col("text"), s).alias("words"))))
-    rest = F.when(some, _rest(F.col("text"), F.col("base")))
+    near = F.when(some, F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _near(s).alias("words"))))
+    rest = F.when(some, _rest(F.col("text")))
     code = F.xxhash64("text")
-    held = based.select("doc_id", code.alias("code"), F.xxhash64("doc_id", code).alias("doc"), "base", near.alias("near"), rest.alias("rest"))
+    base = F.transform("base", lambda s: F.struct(*(s[f].alias(f) for f in ("kind", "start", "end", "match"))))
+    held = based.select("doc_id", code.alias("code"), F.xxhash64("doc_id", code).alias("doc"), base.alias("base"), near.alias("near"), rest.alias("rest"))
     held = work.save(held, "base")
     inside = held.where("near is not null").select("doc", F.inline("near"))
-    inside = inside.withColumn("around", F.xxhash64(F.transform("words", lambda w: w["term"])))
+    inside = inside.withColumn("around", F.xxhash64("words"))
     leaks = disclosing(inside, held, slim, work)
     terms = work.save(leaks.select("term").distinct(), "leaks")
     spelt = slim.select("doc_id", code.alias("code"), F.explode(_words(F.col("text"))).alias("word")).withColumn("term", F.lower("word"))
