@@ -1,11 +1,18 @@
 """Repeated passages: MinHash banding over paragraphs, exact verification, removal by components.
 
-A paragraph is a line of at least ``LEAST_WORDS`` words.  Its shingles are five consecutive words,
-lower-cased, without marks.  Paragraphs with the same shingles are one item.  Signatures are cut into
+A paragraph is a line of at least ``LEAST_WORDS`` words; what has fewer is no passage.  Its shingles
+are five consecutive words, lower-cased, without marks.  Paragraphs with the same shingles are one item.  Signatures are cut into
 bands of ``ROWS`` hashes, as many as give the wanted recall at the threshold; items that share a band
 collide, and colliding items are verified by exact Jaccard similarity on their whole sets, without
 making all pairs of a group (see :func:`spanloom.llm.ngram_join.find_links`).  Of each component the
 first paragraph, by document and place, stays.
+
+Passages need not be lines: they may run over several short ones or stand inside a longer one.  So
+windows of ``LEAST_WORDS`` words are taken as well, across line ends, at content-defined anchors: of any
+``SPREAD`` places that follow each other one at least is an anchor, which depends on the words there
+alone.  Documents that share ``LEAST_WORDS + SPREAD`` words or more thus share a window word for word.
+Windows that two documents have are counted with partial sums; those that overlap in a document become
+one passage, and the first document by id keeps it.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import selecting
@@ -26,6 +33,9 @@ from spanloom.session import Workspace
 SHINGLE = 5
 PERCENT = 80
 LEAST_WORDS = 30
+#: Places of which one at least begins a window.
+SPREAD = 20
+_FACTORS = W.mix(np.arange(71, 71 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 #: Hashes of a band, and the chance with which a pair at the threshold must share one.
 ROWS, RECALL = 5, 0.999
 
@@ -126,19 +136,113 @@ def _sets(least: int):
     return run
 
 
+class Windows:
+    """Windows of ``least`` words at anchors, over whole texts; offsets are code points of the text."""
+
+    def __init__(self, texts: pa.Array, least: int = LEAST_WORDS):
+        found = W.split(texts, W.ALPHANUMERIC)
+        n = len(found.hash) - max(least, SHINGLE) + 1
+        at = np.zeros(0, np.int64)
+        if n > 0:
+            inside = found.doc[:n] == found.doc[least - 1 :][:n]
+            anchor = np.zeros(n, np.uint64)
+            for k in range(SHINGLE):
+                anchor += found.hash[k : n + k] * _FACTORS[k]
+            anchor = W.mix(anchor)
+            anchor[~inside] = 0  # runs of places end here: no spread reaches across
+            low = _slide(np.minimum, anchor, SPREAD)
+            low = np.concatenate([np.zeros(SPREAD - 1, np.uint64), low, np.zeros(SPREAD - 1, np.uint64)])
+            at = np.flatnonzero((_slide(np.maximum, low, SPREAD)[:n] == anchor) & inside)
+        self.row = found.doc[at]
+        code = np.zeros(len(at), np.uint64)
+        for k in range(least):
+            code = W.mix(code + found.hash[at + k])
+        self.code = code
+        self.first_word = at - found.first[self.row]
+        letters = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
+        base = letters[found.offsets[self.row]]
+        self.start, self.end = letters[found.start[at]] - base, letters[found.end[at + least - 1]] - base
+        breaks = np.concatenate([[0], np.cumsum(found.data == 10)])
+        self.paragraph = breaks[found.start[at]] - breaks[found.offsets[self.row]]
+
+
+def _slide(best, values: np.ndarray, width: int) -> np.ndarray:
+    """The best of each ``width`` values that follow each other, by doubling."""
+    out, reach = values, 1
+    while reach < width:
+        step = min(reach, width - reach)
+        out = best(out[: len(out) - step], out[step:]) if len(out) > step else out[:0]
+        reach += step
+    return out
+
+
+def _windows(least: int):
+    names = ["first_word", "start", "end", "paragraph"]
+
+    def run(batches):
+        for batch in W.pieces(batches, "text"):
+            w = Windows(batch.column("text"), least)
+            numbers = [pa.array(x.astype(np.int32)) for x in (w.first_word, w.start, w.end, w.paragraph)]
+            ids = [batch.column(n).take(pa.array(w.row)) for n in ("doc_id", "copy")]
+            yield pa.RecordBatch.from_arrays([_long(w.code), *ids, *numbers], ["window", "doc_id", "copy", *names])
+
+    return run
+
+
+def _passages(slim: DataFrame, lines: DataFrame, least: int, work: Workspace) -> DataFrame:
+    """The rows of kind passage: windows that two documents share, merged where they overlap."""
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    # Rows without an id are documents by their text.
+    named = slim.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("copy"))
+    found = named.mapInArrow(_windows(least), f"window long, doc_id {kind}, copy long, first_word int, start int, end int, paragraph int")
+    found = work.save(found, "windows")
+    place = F.struct("doc_id", "copy", "first_word", "paragraph")
+    shared = found.groupBy("window").agg(F.min(place).alias("head"), F.max(F.struct("doc_id", "copy")).alias("last"), F.count("*").alias("n_members"))
+    other = ~(F.col("head.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("head.copy") == F.col("last.copy")))
+    shared = work.save(shared.where(other).drop("last"), "shared")
+    few = shared.count() <= selecting.BROADCAST_KEYS // 8
+    own = found.join(F.broadcast(shared) if few else shared, "window")
+    same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("copy") == F.col("head.copy"))
+    own = own.select("doc_id", "copy", "first_word", "start", "end", "paragraph", "n_members", "head", (~same).alias("removed"))
+    # A window joins the one before where they overlap and the same document keeps both.
+    by = Window.partitionBy("doc_id", "copy", "removed", "head.doc_id", "head.copy").orderBy("first_word", "start")
+    starts = F.coalesce(F.col("first_word") - F.lag("first_word").over(by) > least, F.lit(True))
+    own = own.withColumn("_run", F.sum(starts.cast("int")).over(by))
+    merged = own.groupBy("doc_id", "copy", "removed", F.col("head.doc_id").alias("kept_doc_id"), F.col("head.copy").alias("kept_copy"), "_run").agg(
+        F.min("start").cast("long").alias("start"),
+        F.max("end").cast("long").alias("end"),
+        F.min("paragraph").cast("long").alias("paragraph"),
+        (F.max("first_word") - F.min("first_word") + least).cast("long").alias("n_words"),
+        F.min_by("head.paragraph", "first_word").cast("long").alias("kept_paragraph"),
+        F.max("n_members").alias("n_members"),
+    )
+    whole = lines.select(F.col("doc_id").alias("_id"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    inside = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_start") <= F.col("start")) & (F.col("end") <= F.col("_end"))
+    merged = work.save(merged, "merged").join(whole, inside, "left_anti")
+    return merged.select(
+        "doc_id", F.lit("passage").alias("kind"), "paragraph", "start", "end", "n_words", "kept_doc_id", "kept_paragraph", "n_members", "removed"
+    )
+
+
 def repeated(
     docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """One row per paragraph that occurs again, alike or nearly: where it stands and whether it goes.
+    """One row per passage that occurs again, alike or nearly: where it stands and whether it goes.
 
-    Columns: doc_id, paragraph (the line's number from 0), start and end (code points, end
-    exclusive), n_words, kept_doc_id and kept_paragraph (the one of its component that stays),
-    n_members, removed.  Null and empty texts have no paragraphs.  Rows repeated under one id are the
+    Columns: doc_id, kind (line, or passage for what is no line), paragraph (the number, from 0, of the
+    line where it begins), start and end (code points, end exclusive), n_words, kept_doc_id and
+    kept_paragraph (the one of its component that stays), n_members, removed.  Passages inside a line
+    that is reported are left out.  Null and empty texts have none.  Rows repeated under one id are the
     same document.  Null ids come first in the order.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "substring-dedup")
+    work = Workspace(docs.sparkSession, "substring-dedup")
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    lines = work.save(_lines(slim, least, percent, work), "lines")
+    return lines.unionByName(_passages(slim, lines, least, work))
+
+
+def _lines(slim: DataFrame, least: int, percent: int, work: Workspace) -> DataFrame:
+    """The rows of kind line."""
     kind = slim.schema["doc_id"].dataType.simpleString()
     found = slim.mapInArrow(
         _summaries(least), f"doc_id {kind}, paragraph long, start long, end long, n_words long, item long, sketch binary"
@@ -165,6 +269,7 @@ def repeated(
     out = found.drop("sketch").join(named, "item").drop("item")
     return out.select(
         "doc_id",
+        F.lit("line").alias("kind"),
         "paragraph",
         "start",
         "end",
@@ -193,8 +298,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n_c
                 if spans and texts[i]:
                     out, at = [], 0
                     for span in spans:
-                        out.append(texts[i][at : span["start"]])
-                        at = min(span["end"] + 1, len(texts[i]))  # and the line's end
+                        a, b = span["start"], span["end"]
+                        out.append(texts[i][at:a])
+                        line = texts[i][b : b + 1] == "\n" and (a == 0 or texts[i][a - 1] == "\n")
+                        at = max(at, b + line)  # and a line's end
                     texts[i] = "".join([*out, texts[i][at:]])
                     if counts:
                         counts[i] = len(texts[i])
