@@ -1,7 +1,8 @@
 """Guarded ad-hoc SQL: Spark parses it, the parsed plan is checked, Spark runs it.
 
 Every relation of the plan, in joins and subqueries too, must be one of the logical tables or a name
-defined by the query itself; every function must be on the list; only queries pass.  Functions of the
+that the query itself defines where it is used; every step of the plan must be of a listed kind, so table
+functions, files and commands do not pass; every function must be on the list.  Functions of the
 column store that the dashboards were written for are renamed to Spark's.
 """
 
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The logical tables, the most rows, and the functions with their names.
 TABLES = {"traces", "spans", "metrics", "logs", "models", "services", "cost_summary", "token_usage"}
 MOST_ROWS = 10_000
 
@@ -30,6 +32,7 @@ RENAMED = {
     "argMin": "min_by",
     "countIf": "count_if",
     "toHour": "hour",
+    "today": "current_date",
     "length": "octet_length",
 }
 _REWRITES = [
@@ -37,6 +40,11 @@ _REWRITES = [
     (r"\bquantile\s*\(\s*([\d.]+)\s*\)\s*\(([^()]*)\)", r"percentile(\2, \1)"),
     (r"\btoStartOf(Minute|Hour|Day)\s*\(", lambda m: f"date_trunc('{m[1].lower()}', "),
     (r"\btoString\s*\(([^()]*)\)", r"cast(\1 AS string)"),
+    (r"\btoUInt8\s*\(([^()]*)\)", r"cast(\1 AS smallint)"),
+    (r"\btoYYYYMM\s*\(([^()]*)\)", r"cast(date_format(\1, 'yyyyMM') AS int)"),
+    (r"\btoDayOfWeek\s*\(([^()]*)\)", r"(weekday(\1) + 1)"),
+    (r"\bquantiles\s*\(\s*([\d., ]+)\s*\)\s*\(([^()]*)\)", r"percentile(\2, array(\1))"),
+    (r"\btopK\s*\(\s*(\d+)\s*\)\s*\(([^()]*)\)", r"approx_top_k(\2, \1)"),
     (r"\btoInt64\s*\(([^()]*)\)", r"cast(\1 AS bigint)"),
     (r"\btoFloat64\s*\(([^()]*)\)", r"cast(\1 AS double)"),
     (r"\bavgIf\s*\(([^(),]*),([^()]*)\)", r"avg(CASE WHEN \2 THEN \1 END)"),
@@ -44,7 +52,7 @@ _REWRITES = [
 FUNCTIONS = {
     "count", "sum", "avg", "min", "max", "median", "lower", "upper", "octet_length", "char_length", "substring", "trim", "coalesce", "nullif", "if",
     "approx_count_distinct", "percentile", "stddev_pop", "var_pop", "collect_list", "collect_set", "date_trunc", "to_date", "to_timestamp",
-    "any_value", "last", "max_by", "min_by", "count_if", "hour", "round", "abs", "when",
+    "any_value", "last", "max_by", "min_by", "count_if", "hour", "round", "abs", "when", "weekday", "date_format", "array", "approx_top_k", "current_date",
 }
 
 
@@ -74,49 +82,74 @@ def _kind(node) -> str:
     return node.getClass().getSimpleName()
 
 
-def _walk(node, is_plan: bool, tables: set[str], functions: set[str], named: set[str], kinds: set[str]) -> None:
-    kind = _kind(node)
-    kinds.add(kind)
-    if kind == "UnresolvedRelation":
-        tables.add(".".join(_each(node.multipartIdentifier())))
-    if kind == "UnresolvedFunction":
-        functions.add(".".join(_each(node.nameParts())))
-    if kind == "UnresolvedWith":
-        for pair in _each(node.cteRelations()):
-            named.add(pair._1())
-            _walk(pair._2(), True, tables, functions, named, kinds)
-    for child in _each(node.children()):
-        _walk(child, is_plan, tables, functions, named, kinds)
-    if is_plan:
+#: Steps of a parsed query; all other kinds are refused.
+_STEPS = {
+    "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect",
+    "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "WithWindowDefinition", "OneRowRelation",
+}
+_SUBQUERIES = {"ScalarSubquery", "Exists", "InSubquery", "ListQuery"}
+
+
+class _Reader:
+    """Walks a parsed plan; names of common table expressions hold where SQL says they hold."""
+
+    def __init__(self, tables: set[str]):
+        self.tables = tables
+        self.unknown: set[str] = set()
+        self.functions: set[str] = set()
+        self.steps: set[str] = set()
+
+    def plan(self, node, named: frozenset[str]) -> None:
+        kind = _kind(node)
+        if kind not in _STEPS:
+            self.steps.add(kind)
+        if kind == "UnresolvedRelation":
+            parts = [str(p) for p in _each(node.multipartIdentifier())]
+            if len(parts) > 1 or parts[0].lower() not in self.tables | named:
+                self.unknown.add(".".join(parts))
+        if kind == "UnresolvedWith":
+            for pair in _each(node.cteRelations()):
+                self.plan(pair._2(), named)  # sees those before it, and not itself
+                named |= {str(pair._1()).lower()}
+        for child in _each(node.children()):
+            self.plan(child, named)
         for expression in _each(node.expressions()):
-            _walk(expression, False, tables, functions, named, kinds)
-    if kind in ("ScalarSubquery", "Exists", "InSubquery", "ListQuery", "LateralSubquery"):
-        inner = node.query() if kind == "InSubquery" else node
-        _walk(inner.plan(), True, tables, functions, named, kinds)
-
-
-def check(spark: SparkSession, sql: str) -> None:
-    """Raise :class:`QueryRefused` unless the query reads the logical tables with listed functions only."""
+            self.expression(expression, named)
+
+    def expression(self, node, named: frozenset[str]) -> None:
+        kind = _kind(node)
+        if kind == "UnresolvedFunction":
+            self.functions.add(".".join(_each(node.nameParts())))
+        if kind in _SUBQUERIES:
+            self.plan((node.query() if kind == "InSubquery" else node).plan(), named)
+        elif kind.endswith(("Subquery", "SubqueryArgumentExpression")):
+            self.steps.add(kind)
+        for child in _each(node.children()):
+            self.expression(child, named)
+
+
+def check(spark: SparkSession, sql: str, tables: set[str] = TABLES) -> None:
+    """Raise :class:`QueryRefused` unless the query reads these tables with listed functions only."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as error:  # the parser's message is what the caller needs
         raise QueryRefused(str(error).splitlines()[0]) from None
-    tables, functions, named, kinds = set(), set(), set(), set()
-    _walk(plan, True, tables, functions, named, kinds)
-    if not re.match(r"\s*(select|with)\b", sql, re.IGNORECASE) or any("Command" in k or k.startswith(("Insert", "Create", "Drop")) for k in kinds):
-        raise QueryRefused("only queries")
-    if extra := tables - TABLES - named:
-        raise QueryRefused(f"unknown tables: {', '.join(sorted(extra))}")
-    if extra := {f for f in functions if f.lower() not in FUNCTIONS}:
+    found = _Reader(set(tables))
+    found.plan(plan, frozenset())
+    if not re.match(r"\s*(select|with)\b", sql, re.IGNORECASE) or found.steps:
+        raise QueryRefused(f"only queries over tables: {', '.join(sorted(found.steps))}")
+    if found.unknown:
+        raise QueryRefused(f"unknown tables: {', '.join(sorted(found.unknown))}")
+    if extra := {f for f in found.functions if f.lower() not in FUNCTIONS}:
         raise QueryRefused(f"functions that are not allowed: {', '.join(sorted(extra))}")
 
 
 def run(spark: SparkSession, views: dict[str, DataFrame], sql: str, **parameters) -> DataFrame:
     """The query's rows, at most ``MOST_ROWS``; values are passed as ``:name`` parameters."""
     text = translate(sql)
-    check(spark, text)
+    if extra := set(views) - TABLES:
+        raise QueryRefused(f"no logical tables: {', '.join(sorted(extra))}")
+    check(spark, text, set(views))
     for name, view in views.items():
-        if name not in TABLES:
-            raise QueryRefused(f"no logical table: {name}")
         view.createOrReplaceTempView(name)
     return spark.sql(text, args=parameters or None).limit(MOST_ROWS)

@@ -50,6 +50,11 @@ def test_guard_lets_queries_through(spark, traces):
     got = {r.model_id: (r.n, r.k) for r in guard.run(spark, {"traces": traces}, sql).collect()}
     assert got == {"m1": (1, 8), "m2": (1, 8)}
     assert guard.run(spark, {"traces": traces}, "SELECT trace_id FROM traces WHERE model_id = :m", m="m2").first().trace_id == "b"
+    more = """WITH a AS (SELECT * FROM Traces), b AS (SELECT x.trace_id FROM a x JOIN A y ON x.trace_id = y.trace_id)
+        SELECT count(*) AS n, quantiles(0, 1)(k) AS q, max(d) AS d FROM (SELECT 1 AS k, toDayOfWeek(timestamp) AS d FROM b JOIN traces t USING (trace_id)
+        WHERE trace_id IN (SELECT trace_id FROM b UNION SELECT trace_id FROM a) GROUP BY trace_id, timestamp HAVING count(*) > 0 ORDER BY trace_id LIMIT 9) ORDER BY n LIMIT 5"""
+    row = guard.run(spark, {"traces": traces}, more).first()
+    assert (row.n, row.q, row.d) == (3, [1.0, 1.0], 2)
 
 
 @pytest.mark.parametrize(
@@ -66,6 +71,23 @@ def test_guard_lets_queries_through(spark, traces):
         "INSERT INTO traces SELECT * FROM traces",
         "WITH x AS (SELECT reflect('a', 'b')) SELECT * FROM x",
         "SELEC 1",
+        "WITH `parquet./any/file` AS (SELECT 1) SELECT * FROM parquet.`/any/file`",
+        "WITH `parquet./any/file` AS (SELECT 1) SELECT * FROM `parquet`.`/any/file`",
+        "SELECT * FROM (WITH secrets AS (SELECT 1) SELECT * FROM secrets) JOIN secrets",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+        "WITH RECURSIVE a AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM a) SELECT * FROM a",
+        "SELECT * FROM range(5)",
+        "SELECT * FROM traces, range(1000000)",
+        "SELECT * FROM traces, LATERAL (SELECT * FROM secrets)",
+        "SELECT * FROM traces LATERAL VIEW explode(array(1)) AS x",
+        "SELECT * FROM VALUES (1), (2)",
+        "SELECT * FROM IDENTIFIER('secrets')",
+        "SELECT * FROM traces TABLESAMPLE (10 PERCENT)",
+        "SELECT * FROM spans",
+        "SELECT * FROM spark_catalog.default.traces",
+        "TABLE traces",
+        "SELECT trace_id FROM traces WHERE EXISTS (SELECT * FROM parquet.`/etc`)",
+        "FROM traces |> SELECT trace_id",
     ],
 )
 def test_guard_refuses(spark, traces, sql):
