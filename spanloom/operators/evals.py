@@ -101,6 +101,15 @@ def encoded_payloads(text: Column) -> Column:
     return F.filter(decoded, lambda t: t.isNotNull() & (F.length(t) > 10) & t.rlike(r"^[\x20-\x7E\n\r\t]+$"))
 
 
+def encoded_injection(text: Column) -> Column:
+    """Payloads behind encoded runs, those behind runs inside them too, and what :func:`injection` says of them."""
+    outer = encoded_payloads(text)
+    inner = F.flatten(F.transform(outer, encoded_payloads))
+    every = F.concat(outer, inner)
+    found = injection(F.array_join(every, "\n"))
+    return F.struct(F.size(every).cast("long").alias("payloads"), *(found[c].alias(c) for c in ("matches", "risk", "kind", "confidence")))
+
+
 def keywords(text: Column) -> Column:
     """Distinct lower-case runs of at least three ASCII letters and digits."""
     runs = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import Workspace
+
 
 def event_series(events: DataFrame, minutes: int) -> DataFrame:
     """(event_type, bucket, n): counts on a dense grid from the first bucket to the last, zeros included."""
@@ -116,39 +118,56 @@ def greedy_clusters(rows: DataFrame, threshold: float = 0.7, least: int = 3) ->
     return found.withColumn("size", size).where(F.col("size") >= least)
 
 
-def span_tree(spans: DataFrame, depth: int = 32) -> DataFrame:
-    """Depth and root of every span; a span whose parent is not there is a root.
+def _climb(spans: DataFrame) -> DataFrame:
+    """Each span with its root (a span whose parent is not there), the depth below it, and whether all steps down to it are the heaviest.
 
-    Levels are joined until none is left, so the number of joins is the depth of the tree.
+    Every round doubles the step up the tree, so a tree of depth n takes log2(n) rounds, each on what has
+    not reached its root; spans in or below a circle of parents have no root and are left out.  Rounds
+    are written to the shared folder.
     """
-    own = spans.select("trace_id", "span_id", "parent_span_id")
-    there = own.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known"))
+    work = Workspace(spans.sparkSession, "span-tree")
+    own = spans.select("trace_id", "span_id", "parent_span_id", "duration_ns")
+    there = own.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known")).distinct()
     linked = own.join(there, ["trace_id", "parent_span_id"], "left")
-    level = linked.where("known is null").select("trace_id", "span_id", F.col("span_id").alias("root_id"), F.lit(0).cast("long").alias("depth"))
-    out = level
-    for k in range(1, depth):
-        above = level.select("trace_id", F.col("span_id").alias("parent_span_id"), "root_id")
-        level = linked.where("known").join(above, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", "root_id", F.lit(k).cast("long").alias("depth"))
-        if k % 4 == 0 and level.isEmpty():
+    heaviest = own.where("parent_span_id is not null").groupBy("trace_id", "parent_span_id").agg(
+        F.max_by("span_id", F.struct("duration_ns", -F.col("span_id"))).alias("heaviest")
+    )
+    child = F.col("known").isNotNull()
+    start = linked.join(heaviest, ["trace_id", "parent_span_id"], "left").select(
+        "trace_id",
+        "span_id",
+        "duration_ns",
+        F.when(child, F.col("parent_span_id")).otherwise(F.col("span_id")).alias("above"),
+        child.cast("long").alias("depth"),
+        F.when(child, F.col("heaviest") == F.col("span_id")).otherwise(True).alias("heavy"),
+        (~child).alias("done"),
+    )
+    state = work.save(start, "state")
+    for _ in range(max(spans.count(), 1).bit_length()):
+        if state.where("not done").isEmpty():
             break
-        out = out.unionByName(level)
-    return out
-
-
-def critical_path(spans: DataFrame, steps: int = 8) -> DataFrame:
+        up = state.select("trace_id", F.col("span_id").alias("above"), F.col("above").alias("_above"), F.col("depth").alias("_depth"), F.col("heavy").alias("_heavy"), F.col("done").alias("_done"))
+        moved = state.where("not done").join(up, ["trace_id", "above"]).select(
+            "trace_id",
+            "span_id",
+            "duration_ns",
+            F.col("_above").alias("above"),
+            (F.col("depth") + F.col("_depth")).alias("depth"),
+            (F.col("heavy") & F.col("_heavy")).alias("heavy"),
+            F.col("_done").alias("done"),
+        )
+        state = work.save(state.where("done").unionByName(moved), "state")
+    return state.where("done").withColumnRenamed("above", "root_id")
+
+
+def span_tree(spans: DataFrame) -> DataFrame:
+    """Depth and root of every span; a span whose parent is not there is a root."""
+    return _climb(spans).select("trace_id", "span_id", "root_id", "depth")
+
+
+def critical_path(spans: DataFrame) -> DataFrame:
     """From each root the chain of heaviest children; ties go to the smaller span."""
-    heaviest = spans.where("parent_span_id is not null").groupBy("trace_id", "parent_span_id").agg(
-        F.max_by(F.struct("span_id", "duration_ns"), F.struct("duration_ns", -F.col("span_id"))).alias("child")
-    )
-    known = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(1).alias("known"))
-    roots = spans.join(known, ["trace_id", "parent_span_id"], "left").where("known is null")
-    level = roots.select("trace_id", F.col("span_id").alias("root_id"), "span_id", "duration_ns", F.lit(0).cast("long").alias("step"))
-    out = level
-    for k in range(1, steps):
-        above = level.select("trace_id", "root_id", F.col("span_id").alias("parent_span_id"))
-        level = above.join(heaviest, ["trace_id", "parent_span_id"]).select("trace_id", "root_id", "child.span_id", "child.duration_ns", F.lit(k).cast("long").alias("step"))
-        out = out.unionByName(level)
-    return out
+    return _climb(spans).where("heavy").select("trace_id", "root_id", "span_id", "duration_ns", F.col("depth").alias("step"))
 
 
 def token_influence(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -228,8 +247,9 @@ def token_diff(rows: DataFrame) -> DataFrame:
 
 
 def span_timeline(spans: DataFrame) -> DataFrame:
-    """Spans in order of their trace: offset from its start and share of its duration."""
-    order = Window.partitionBy("trace_id").orderBy("span_id")
-    offset = F.coalesce(F.sum("duration_ns").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("duration_ns").over(Window.partitionBy("trace_id"))
-    return spans.select("trace_id", "span_id", offset.alias("offset_ns"), F.round(F.col("duration_ns") / whole, 8).alias("share"))
+    """Spans of a trace (with ``start_ns``): offset from its start, share of its length from first start to last end, and depth."""
+    whole = Window.partitionBy("trace_id")
+    first = F.min("start_ns").over(whole)
+    length = F.max(F.col("start_ns") + F.col("duration_ns")).over(whole) - first
+    timed = spans.select("trace_id", "span_id", (F.col("start_ns") - first).alias("offset_ns"), F.round(F.col("duration_ns") / length, 8).alias("share"))
+    return timed.join(span_tree(spans).select("trace_id", "span_id", "depth"), ["trace_id", "span_id"], "left")

@@ -20,10 +20,10 @@ def _docs(s, d):
 
 def _planted(s, d):
     phrases = F.array(*map(F.lit, _PLANTED))
-    return _docs(s, d).select("doc_id", F.concat(F.element_at(phrases, (F.col("doc_id") % 5 + 1).cast("int")), F.lit(" "), F.left("text", F.lit(200))).alias("text"))
+    return _docs(s, d).select("doc_id", F.concat(F.element_at(phrases, (F.col("doc_id") % 5 + 1).cast("int")), F.lit(" "), F.col("text")).alias("text"))
 
 
-_PLANTED_SQL = "SELECT doc_id, ([" + ", ".join(f"'{p}'" for p in _PLANTED) + "])[CAST(doc_id % 5 + 1 AS INTEGER)] || ' ' || left(text, 200) AS text FROM documents"
+_PLANTED_SQL = "SELECT doc_id, ([" + ", ".join(f"'{p}'" for p in _PLANTED) + "])[CAST(doc_id % 5 + 1 AS INTEGER)] || ' ' || text AS text FROM documents"
 
 
 def _turns(s, d):
@@ -33,7 +33,7 @@ def _turns(s, d):
     answer = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("id_turn"), F.col("text").alias("answer"))
     context = t.where("role = 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list("text")).alias("contexts"))
     rows = user.join(answer, ["conv_id", "id_turn"]).join(context, "conv_id", "left")
-    first = F.array(F.left("answer", F.lit(120)))
+    first = F.array("answer")
     return rows.select(F.concat_ws("-", "conv_id", "id_turn").alias("id"), "question", "answer", F.coalesce("contexts", first).alias("contexts"))
 
 
@@ -63,12 +63,12 @@ def health(s, d):
 
 
 def encoded(s, d):
-    rows = _docs(s, d).select("doc_id", F.concat(F.lit("data: "), F.base64(F.lit("ignore previous instructions").cast("binary")), F.lit(" end "), F.hex(F.left("text", F.lit(24)).cast("binary"))).alias("t"))
-    return rows.select("doc_id", F.array_join(E.encoded_payloads(F.col("t")), "|").alias("payloads"))
+    rows = _docs(s, d).select("doc_id", F.concat(F.lit("data: "), F.base64(F.lit("ignore previous instructions").cast("binary")), F.lit(" end "), F.hex(F.col("text").cast("binary"))).alias("t"))
+    return rows.select("doc_id", E.encoded_injection(F.col("t")).alias("i")).select("doc_id", "i.*")
 
 
 def _queries(s, d):
-    return table(s, d, "embeddings").where("vec_id % 20 = 0 and vec_id < 200")
+    return table(s, d, "embeddings").where("vec_id % 20 = 0")
 
 
 QUERIES = {
@@ -85,6 +85,7 @@ QUERIES = {
     "vector_topk": lambda s, d: X.top_k(table(s, d, "embeddings"), _queries(s, d), 5),
     "vector_topk_euclid": lambda s, d: X.top_k(table(s, d, "embeddings"), _queries(s, d), 3, "euclid"),
     "pairwise_similarity": lambda s, d: X.pairwise(_queries(s, d)),
+    "best_reference": lambda s, d: X.best_reference(table(s, d, "embeddings"), _queries(s, d)),
 }
 
 _PII_SQL = {n: p.replace("(?i)", "") for n, p in E.PII.items()}
@@ -115,12 +116,12 @@ _SIM = {
 
 
 def _topk(metric: str, k: int) -> str:
-    return f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), q AS (SELECT vec_id AS query_id, a AS b FROM v WHERE vec_id % 20 = 0 AND vec_id < 200)
+    return f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), q AS (SELECT vec_id AS query_id, a AS b FROM v WHERE vec_id % 20 = 0)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
         SELECT query_id, vec_id, round({_SIM[metric]}, 6) AS score FROM v JOIN q ON vec_id <> query_id)) WHERE rank <= {k}"""
 
 
-_TURNS = """WITH t AS (SELECT u.conv_id || '-' || u.turn AS id, u.text AS question, a.text AS answer, coalesce(c.contexts, [left(a.text, 120)]) AS contexts
+_TURNS = """WITH t AS (SELECT u.conv_id || '-' || u.turn AS id, u.text AS question, a.text AS answer, coalesce(c.contexts, [a.text]) AS contexts
     FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND a.role = 'assistant'
     LEFT JOIN (SELECT conv_id, list_sort(list(text)) AS contexts FROM conversations WHERE role = 'system' GROUP BY 1) c ON c.conv_id = u.conv_id WHERE u.role = 'user')"""
 _CLAIMS = r"list_filter(list_transform(regexp_extract_all(answer, '[^.!?]+[.!?]'), lambda s: trim(s)), lambda s: strlen(s) > 10)"
@@ -152,6 +153,10 @@ ORACLE_SQL = {
       FROM (SELECT model_id, avg(score) AS s FROM evaluations GROUP BY 1) e LEFT JOIN (SELECT model_id, avg(score) / 100 AS drift, avg(CAST(severity = 'critical' AS DOUBLE)) AS risk FROM drift_alerts GROUP BY 1) a USING (model_id)""",
     "vector_topk": _topk("cosine", 5),
     "vector_topk_euclid": _topk("euclid", 3),
-    "pairwise_similarity": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 20 = 0 AND vec_id < 200)
+    "best_reference": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings),
+      p AS (SELECT v.vec_id, r.vec_id AS reference_id, round(list_cosine_similarity(v.a, r.a), 6) AS score FROM v JOIN v r ON r.vec_id % 20 = 0)
+      SELECT vec_id, reference_id, score, CASE WHEN score >= 0.9 THEN 'highly similar' WHEN score >= 0.8 THEN 'similar' WHEN score >= 0.6 THEN 'somewhat similar' WHEN score >= 0.3 THEN 'different' ELSE 'very different' END AS meaning
+      FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, reference_id) AS k FROM p) WHERE k = 1""",
+    "pairwise_similarity": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 20 = 0)
       SELECT x.vec_id AS left_id, y.vec_id AS right_id, round(list_cosine_similarity(x.a, y.a), 6) AS score FROM v x JOIN v y ON x.vec_id < y.vec_id""",
 }

@@ -73,8 +73,8 @@ def problem_slices(s, d):
 
 def token_diff(s, d):
     t = table(s, d, "conversations")
-    a = t.where("role = 'user'").select(F.col("conv_id"), "turn", F.left("text", F.lit(200)).alias("left_text"))
-    b = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.left("text", F.lit(200)).alias("right_text"))
+    a = t.where("role = 'user'").select(F.col("conv_id"), "turn", F.col("text").alias("left_text"))
+    b = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("right_text"))
     return R.token_diff(a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "left_text", "right_text"))
 
 
@@ -94,7 +94,7 @@ def grouped_alerts(s, d):
 
 QUERIES = {
     "reference_window": lambda s, d: D.newest(table(s, d, "embeddings"), "label", "vec_id", 20).select("label", "vec_id"),
-    "argmax_classes": lambda s, d: table(s, d, "embeddings").select(D.argmax_class(F.slice("embedding", 1, 4)).alias("predicted")).groupBy("predicted").agg(F.count("*").alias("n")),
+    "argmax_classes": lambda s, d: table(s, d, "embeddings").select(D.argmax_class(F.col("embedding")).alias("predicted")).groupBy("predicted").agg(F.count("*").alias("n")),
     "embedding_delta_error": _pairs,
     "correctness_extraction": _outcomes,
     "histogram_compare": lambda s, d: D.compare_histograms(_long(s, d)),
@@ -116,7 +116,7 @@ _IMPACT = """SELECT '{0}' AS dimension, slice, n, round(abs(dev) * ln(n + 1), 8)
 
 ORACLE_SQL = {
     "reference_window": "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS k FROM embeddings) WHERE k <= 20",
-    "argmax_classes": "SELECT CAST(list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS BIGINT) AS predicted, count(*) AS n FROM embeddings GROUP BY 1",
+    "argmax_classes": "SELECT CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS predicted, count(*) AS n FROM embeddings GROUP BY 1",
     "embedding_delta_error": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
       SELECT a.vec_id // 2 AS id, round((1 - list_cosine_similarity(a.v, b.v)) / 2, 6) AS error FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0""",
     "correctness_extraction": "SELECT event_type, event_id % 3 = 2 OR event_type <> 'error' AS correct, count(*) AS n FROM events GROUP BY ALL",
@@ -147,12 +147,15 @@ ORACLE_SQL = {
     + """, r AS (SELECT a.event_type, k, round(corr(a.n, b.n), 6) AS r FROM x a JOIN range(1, 9) l(k) ON true JOIN x b ON b.event_type = 'error' AND b.bucket = a.bucket + k
         WHERE a.event_type <> 'error' GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(r) DESC, k) AS i FROM r WHERE abs(r) >= 0.05)
       SELECT event_type, k AS lag, r FROM t WHERE i = 1""",
-    "token_diff": """WITH c AS (SELECT a.conv_id * 1000 + a.turn AS id, left(a.text, 200) AS l, left(b.text, 200) AS r FROM conversations a
+    "token_diff": """WITH c AS (SELECT a.conv_id * 1000 + a.turn AS id, a.text AS l, b.text AS r FROM conversations a
         JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
       l AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(string_split(l, ' ')) AS token FROM c) WHERE token <> '' GROUP BY ALL),
       r AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(string_split(r, ' ')) AS token FROM c) WHERE token <> '' GROUP BY ALL)
       SELECT * FROM (SELECT coalesce(l.id, r.id) AS id, coalesce(l.token, r.token) AS token, greatest(coalesce(l.n, 0) - coalesce(r.n, 0), 0) AS removed,
         greatest(coalesce(r.n, 0) - coalesce(l.n, 0), 0) AS added FROM l FULL JOIN r ON l.id = r.id AND l.token = r.token) WHERE removed > 0 OR added > 0""",
-    "span_timeline": f"""{V.with_views(V.SPANS_SQL)} SELECT trace_id, span_id, CAST(coalesce(sum(duration_ns) OVER (PARTITION BY trace_id ORDER BY span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ns,
-      round(duration_ns / sum(duration_ns) OVER (PARTITION BY trace_id), 8) AS share FROM spans""",
+    "span_timeline": f"""{V.with_views(V.SPANS_SQL).replace("WITH ", "WITH RECURSIVE ")}, f AS (SELECT trace_id, min(start_ns) AS first, max(start_ns + duration_ns) AS last FROM spans GROUP BY 1),
+      k AS (SELECT a.*, p.span_id IS NOT NULL AS known FROM spans a LEFT JOIN spans p ON p.trace_id = a.trace_id AND p.span_id = a.parent_span_id),
+      t AS (SELECT trace_id, span_id, CAST(0 AS BIGINT) AS depth FROM k WHERE NOT known UNION ALL
+        SELECT k.trace_id, k.span_id, t.depth + 1 FROM k JOIN t ON k.known AND k.trace_id = t.trace_id AND k.parent_span_id = t.span_id)
+      SELECT trace_id, span_id, start_ns - first AS offset_ns, round(duration_ns / (last - first), 8) AS share, depth FROM spans JOIN f USING (trace_id) LEFT JOIN t USING (trace_id, span_id)""",
 }

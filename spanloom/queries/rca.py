@@ -34,17 +34,17 @@ def overlap(s, d):
 
 
 def clusters(s, d):
-    docs = table(s, d, "documents").where("lang = 'en'").select(F.concat_ws("/", "source", (F.length("text") % 3).cast("string")).alias("key"), F.col("doc_id").alias("seq"), F.left("text", F.lit(400)).alias("text"))
+    docs = table(s, d, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("seq"), "text")
     return R.greedy_clusters(docs, 0.7, 2)
 
 
 def influence(s, d):
-    turns = table(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_replace(F.left("text", F.lit(80)), "[^a-zA-Z ]", "").alias("text"))
+    turns = table(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("text"))
     return R.token_influence(turns.where("length(text) > 0"))
 
 
 def counterfactual(s, d):
-    turns = table(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.left("text", F.lit(120)).alias("text"))
+    turns = table(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return R.counterfactuals(turns)
 
 
@@ -111,8 +111,8 @@ ORACLE_SQL = {
     "critical_path": _S.replace("WITH ", "WITH RECURSIVE ")
     + f""", {_ROOTS}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, parent_span_id ORDER BY duration_ns DESC, span_id) AS n FROM k WHERE known) WHERE n = 1),
       t AS (SELECT trace_id, span_id AS root_id, span_id, duration_ns, CAST(0 AS BIGINT) AS step FROM k WHERE NOT known
-        UNION ALL SELECT h.trace_id, t.root_id, h.span_id, h.duration_ns, t.step + 1 FROM h JOIN t ON h.trace_id = t.trace_id AND h.parent_span_id = t.span_id WHERE t.step < 7) SELECT * FROM t""",
-    "token_influence": """WITH c AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(left(text, 80), '[^a-zA-Z ]', '', 'g') AS text FROM conversations WHERE role = 'user'),
+        UNION ALL SELECT h.trace_id, t.root_id, h.span_id, h.duration_ns, t.step + 1 FROM h JOIN t ON h.trace_id = t.trace_id AND h.parent_span_id = t.span_id) SELECT * FROM t""",
+    "token_influence": """WITH c AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS text FROM conversations WHERE role = 'user'),
       w AS (SELECT id, text, string_split(text, ' ') AS w FROM c WHERE length(text) > 0), p AS (SELECT *, generate_subscripts(w, 1) AS i FROM w)
       SELECT id, CAST(i - 1 AS BIGINT) AS position, w[i] AS token, round(levenshtein(text, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')) / length(text), 8) AS influence FROM p""",
     "causal_report": f"""{_F}, {_GROUPS}, {_IMPACT}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY severity DESC, factor) AS k FROM f),

@@ -131,7 +131,7 @@ PRICING_SQL = "pricing AS (SELECT * FROM (VALUES " + ", ".join(
 def spans(spark: SparkSession, folder: str) -> DataFrame:
     """Span trees: an order is a trace, its lines are spans; line k hangs under line k div 2."""
     lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").cast("long").alias("span_id"))
-    return lines.agg(F.max(F.col("l_quantity") * 1000).cast("long").alias("duration_ns"), F.max("l_suppkey").alias("service")).withColumn(
+    return lines.agg(F.max(F.col("l_quantity") * 1000).cast("long").alias("duration_ns"), F.max("l_suppkey").alias("service"), (F.max("l_suppkey") * 100).cast("long").alias("start_ns")).withColumn(
         "parent_span_id", F.when(F.col("span_id") > 1, F.expr("span_id div 2"))
     )
 
@@ -139,7 +139,7 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
 SPANS_SQL = """spans AS (
   SELECT *, CASE WHEN span_id > 1 THEN span_id // 2 END AS parent_span_id FROM (
     SELECT l_orderkey AS trace_id, CAST(l_linenumber AS BIGINT) AS span_id, CAST(max(l_quantity * 1000) AS BIGINT) AS duration_ns,
-      max(l_suppkey) AS service FROM lineitem GROUP BY ALL))"""
+      max(l_suppkey) AS service, CAST(max(l_suppkey) * 100 AS BIGINT) AS start_ns FROM lineitem GROUP BY ALL))"""
 
 
 def failures(spark: SparkSession, folder: str) -> DataFrame:
