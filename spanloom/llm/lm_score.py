@@ -20,7 +20,8 @@ The work is three passes over the texts and one shuffle of words:
 * Every other word goes, with its document, to where its bigram is counted: frequent words by the
   bigram, others by the word, so that its unigram counts are there too.  What it adds to the
   document's loss comes back, summed by document.  No key of this shuffle holds more than one part in
-  ``HOT`` of all words.  Words travel packed, by the bucket of their key.
+  ``HOT`` of all words.  Words and sums travel packed, by the bucket of their key and by the chunk of
+  texts that they come from.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ PRIOR = 20.0
 RANK_BITS = 17
 FREQUENT, HOT, HOT_PAIRS = 1 << RANK_BITS, 1 << 11, 1 << 16
 #: Words of the corpus in a bucket, about.
-BUCKET = 1 << 20
+BUCKET = 1 << 21
 #: Units of a loss in one nat.
 UNITS = 1 << 30
 
@@ -194,11 +195,23 @@ def _unpack(blob: bytes) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
     return n_target, out[: len(_RARE)], out[len(_RARE) :]
 
 
-TRAVELLING = ["bucket", "row", "n_words", "background", "target", "key", "words"]
+# A chunk is a run of texts that are read at once.  What is known of their losses travels as one blob, to
+# which the buckets' blobs are added; `keys` and `n_words` say what the texts are.
+_SUMS = [("<u4", "doc"), ("<i8", "background"), ("<i8", "target")]
+TRAVELLING = ["bucket", "chunk", "sums", "keys", "n_words", "words"]
+
+
+def _pack_sums(doc: np.ndarray, losses: list[np.ndarray]) -> bytes:
+    return b"".join(x.astype(kind).tobytes() for (kind, _), x in zip(_SUMS, [doc, *losses], strict=True))
+
+
+def _unpack_sums(blob: bytes) -> list[np.ndarray]:
+    n = len(blob) // 20
+    return [np.frombuffer(blob, kind, n, at * n) for (kind, _), at in zip(_SUMS, (0, 4, 12), strict=True)]
 
 
 def _dealt(models, key: str, text: str, buckets: int):
-    """For each text a row with the losses that are known here, and its other words by bucket."""
+    """For each chunk of texts a row with the losses that are known here, and the other words by bucket."""
 
     def pieces(rare: list[np.ndarray], common: list[np.ndarray]):
         # Both are sorted by their key, of which the upper half gives the bucket.
@@ -237,14 +250,13 @@ def _dealt(models, key: str, text: str, buckets: int):
             code = W.mix(W.mix(history[own]) + word[own]) & ~_RANK | place[own].astype(np.uint64)
             by = np.argsort(code)
             common = [code[by], number[own[by]]]
-            none = pa.nulls(m, pa.binary())
-            count = np.bincount(doc, minlength=m)
-            ids = np.arange(row, row + m)
-            columns = [pa.array((ids % buckets).astype(np.int32)), pa.array(ids), pa.array(count), *map(pa.array, losses), batch.column(key), none]
-            yield pa.RecordBatch.from_arrays(columns, TRAVELLING)
+            edges = pa.array([0, m], pa.int32())
             made = [(bucket, _pack(int(target.sum()), r, c)) for bucket, r, c in pieces(rare, common)]
-            zero = pa.array(np.zeros(len(made), np.int64))
-            columns = [pa.array([b for b, _ in made], pa.int32()), pa.array(np.full(len(made), row)), zero, zero, zero, pa.nulls(len(made), batch.column(key).type), pa.array([w for _, w in made], pa.binary())]
+            lists = [pa.ListArray.from_arrays(edges, x) for x in (batch.column(key), pa.array(np.bincount(doc, minlength=m)))]
+            lists = [pa.concat_arrays([x, pa.nulls(len(made), x.type)]) for x in lists]
+            buckets_of = pa.array([int(row % buckets), *(b for b, _ in made)], pa.int32())
+            sums = pa.array([_pack_sums(np.arange(m), losses)] + [None] * len(made), pa.binary())
+            columns = [buckets_of, pa.array(np.full(len(made) + 1, row)), sums, *lists, pa.array([None, *(w for _, w in made)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, TRAVELLING)
             row += m
 
@@ -293,34 +305,68 @@ def settle(known: Models, blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
 
 
 def _settled(models):
-    """Of rows sorted by bucket: those of texts as they are, and for each document what its words there add."""
+    """Of rows sorted by bucket: those with texts as they are, and for each chunk what its words in the bucket add."""
+    names = TRAVELLING[1:-1]
+
+    def made(held, batch):
+        doc, background, target = settle(models.value, held)
+        chunks = np.unique([first for first, _ in held])
+        cuts = [*np.searchsorted(doc, chunks).tolist(), len(doc)]
+        sums = [_pack_sums(doc[a:b] - c, [background[a:b], target[a:b]]) for a, b, c in zip(cuts[:-1], cuts[1:], chunks, strict=True)]
+        none = [pa.nulls(len(chunks), batch.schema.field(n).type) for n in ("keys", "n_words")]
+        return pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(sums, pa.binary()), *none], names)
 
     def run(batches):
-        bucket, held = None, []
+        bucket, held, last = None, [], None
         for batch in batches:
-            words = batch.column("words")
-            plain = batch.filter(words.is_null())
-            if plain.num_rows:
-                yield plain.select(TRAVELLING[1:-1])
-            packed = batch.filter(words.is_valid())
-            for i in range(packed.num_rows):
-                if held and packed.column("bucket")[i].as_py() != bucket:
+            words, last = batch.column("words"), batch
+            if words.null_count:
+                yield batch.filter(words.is_null()).select(names)
+            packed = batch.filter(words.is_valid()).select(["bucket", "chunk", "words"])
+            for own, chunk, blob in zip(*(column.to_pylist() for column in packed.columns), strict=True):
+                if held and own != bucket:
                     yield made(held, batch)
                     held = []
-                bucket = packed.column("bucket")[i].as_py()
-                held.append((packed.column("row")[i].as_py(), packed.column("words")[i].as_py()))
-            last = batch
+                bucket = own
+                held.append((chunk, blob))
         if held:
             yield made(held, last)
 
-    def made(held, batch):
-        doc, background, target = settle(models.value, held)
-        zero, none = pa.array(np.zeros(len(doc), np.int64)), pa.nulls(len(doc), batch.column("key").type)
-        return pa.RecordBatch.from_arrays([pa.array(doc), zero, pa.array(background), pa.array(target), none], TRAVELLING[1:-1])
-
     return run
 
 
+def _added(batches):
+    """Of rows sorted by chunk: one for each text."""
+    chunk, held = None, []
+
+    def made():
+        own = next(r for r in held if r["keys"] is not None)
+        sums = np.zeros((2, len(own["keys"])), np.int64)
+        for row in held:
+            doc, *losses = _unpack_sums(row["sums"])
+            for k in range(2):
+                sums[k, doc] += losses[k]  # each document once in a blob
+        return own["keys"], own["n_words"], sums
+
+    def batch_of(parts, kind):
+        keys = pa.array([k for p in parts for k in p[0]], kind)
+        return pa.RecordBatch.from_arrays([keys, pa.array([n for p in parts for n in p[1]], pa.int64()), *(pa.array(np.concatenate([p[2][k] for p in parts])) for k in range(2))], ["key", "n_words", "background", "target"])
+
+    kind = None
+    for batch in batches:
+        kind, done = batch.schema.field("keys").type.value_type, []
+        for row in batch.to_pylist():
+            if held and row["chunk"] != chunk:
+                done.append(made())
+                held.clear()
+            chunk = row["chunk"]
+            held.append(row)
+        if done:
+            yield batch_of(done, kind)
+    if held:
+        yield batch_of([made()], kind)
+
+
 def fit(rows: DataFrame, text: str, work: Workspace) -> Models:
     """Count words and hot bigrams; ``rows`` has the text and ``_target``."""
     session = rows.sparkSession
@@ -357,13 +403,12 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sent = session.sparkContext.broadcast(models)
     buckets = models.totals[0] // BUCKET + 1
     kind = docs.schema[key].dataType.simpleString()
-    fields = f"row long, n_words long, background long, target long, key {kind}"
-    dealt = rows.mapInArrow(_dealt(sent, key, text, buckets), f"bucket int, {fields}, words binary")
+    fields = f"chunk long, sums binary, keys array<{kind}>, n_words array<long>"
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    sums = dealt.mapInArrow(_settled(sent), fields).groupBy("row").agg(
-        F.first("key", True).alias("key"), *(F.sum(c).alias(c) for c in ("n_words", "background", "target"))
-    )
+    dealt = rows.mapInArrow(_dealt(sent, key, text, buckets), f"bucket int, {fields}, words binary")
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settled(sent), fields)
+    dealt = dealt.repartition(parts, "chunk").sortWithinPartitions("chunk")
+    sums = dealt.mapInArrow(_added, f"key {kind}, n_words long, background long, target long")
     mean = lambda c: c / F.lit(float(UNITS)) / F.when(F.col("n_words") > 0, F.col("n_words"))
     return sums.select(
         F.col("key").alias(key),
