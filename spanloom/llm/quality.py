@@ -5,7 +5,8 @@ being good (see :mod:`spanloom.llm.classifier`).  The evidence is combined with
 aggregation gives the mean evidence of each host and of each path of a host; a host is shrunk
 towards the global rate and a path towards its host, with weights fitted by moments from the spread
 between sites, so sparse sites stay near their parent.  A document's posterior odds are its
-likelihood ratio times the odds of its path.
+likelihood ratio times the odds of its path as the other documents there give them: its own evidence is
+taken out of the rates that it meets, so that it counts once.
 
 Labelled documents that are used are bounded by ``SAMPLE_ROWS``, those with the smallest hash.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import words as W
 from spanloom.llm.classifier import Classifier, fit
+from spanloom.llm.selecting import BROADCAST_KEYS
 from spanloom.session import Workspace
 
 SAMPLE_ROWS = 20_000
@@ -47,7 +49,7 @@ def _logit(p: Column) -> Column:
 
 
 def _sites(evidence: DataFrame, rate: float) -> DataFrame:
-    """(host, path, host_rate, path_rate): shares of good documents, shrunk towards the parent."""
+    """(host, path, host_rate, path_rate): shares of good documents, shrunk towards the parent, with the sums and weights behind them."""
     paths = evidence.groupBy("host", "path").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss"), F.count("*").alias("n"))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
 
@@ -66,10 +68,14 @@ def _sites(evidence: DataFrame, rate: float) -> DataFrame:
         return F.lit(float(min(MOST_WEIGHT, max(1.0, got.v / extra - 1))) if extra > 0 else MOST_WEIGHT)
 
     kappa = weight(hosts, "hs", "hn", F.lit(rate))
-    shrunk = hosts.select(F.col("host").alias("_h"), ((F.col("hs") + kappa * rate) / (F.col("hn") + kappa)).alias("host_rate"))
-    both = paths.join(shrunk, F.col("host").eqNullSafe(F.col("_h"))).select("host", "path", "s", "n", "host_rate")
+    shrunk = hosts.select(F.col("host").alias("_h"), "hs", "hn", _shrunk(F.col("hs"), F.col("hn"), kappa, F.lit(rate)).alias("host_rate"))
+    both = paths.join(shrunk, F.col("host").eqNullSafe(F.col("_h"))).select("host", "path", "s", "n", "hs", "hn", "host_rate")
     own = weight(both, "s", "n", F.col("host_rate"))
-    return both.select("host", "path", "host_rate", ((F.col("s") + own * F.col("host_rate")) / (F.col("n") + own)).alias("path_rate"))
+    return both.withColumns({"path_rate": _shrunk(F.col("s"), F.col("n"), own, F.col("host_rate")), "host_weight": kappa, "path_weight": own})
+
+
+def _shrunk(s: Column, n: Column, weight: Column, parent: Column) -> Column:
+    return (s + weight * parent) / (n + weight)
 
 
 class Model:
@@ -111,11 +117,24 @@ class Model:
         return scored
 
     def joined(self, scored: DataFrame) -> DataFrame:
-        """With ``host_rate``, ``path_rate`` and ``posterior``; the site table is small next to the documents."""
-        sites = self.sites.withColumnRenamed("host", "_host").withColumnRenamed("path", "_path")
+        """With ``host_rate``, ``path_rate``, both without the document itself, and ``posterior``.
+
+        Sites are broadcast after they are counted; where they are too many, Spark shuffles and splits hot ones.
+        """
+        names = ["s", "n", "hs", "hn", "host_weight", "path_weight"]
+        sites = self.sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.struct(*names).alias("_site"))
+        if self.sites.count() <= BROADCAST_KEYS // 16:
+            sites = F.broadcast(sites)
         same = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
+        rate = float(self.prior[0])
+        own = 1 / (1 + F.exp(-(F.col("ratio") + _logit(F.lit(rate)))))
+        site = {k: F.col(f"_site.{k}") for k in names}
+        # A sum from which its only member is taken must not fall below 0 by rounding.
+        without = lambda s, n, weight, parent: _shrunk(F.greatest(site[s] - own, F.lit(0.0)), site[n] - 1, site[weight], parent)
+        both = scored.join(sites, same).withColumn("host_rate", without("hs", "hn", "host_weight", F.lit(rate)))
+        both = both.withColumn("path_rate", without("s", "n", "path_weight", F.col("host_rate")))
         odds = F.col("ratio") + _logit(F.col("path_rate"))
-        return scored.join(sites, same).drop("_host", "_path").withColumn("posterior", 1 / (1 + F.exp(-odds)))
+        return both.withColumn("posterior", 1 / (1 + F.exp(-odds))).drop("_host", "_path", "_site")
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -67,3 +68,38 @@ def test_filter_keeps_columns_and_bears_odd_rows(spark, rows):
     assert Q.posteriors(docs, labels, F.col("host"), F.col("path")).count() == docs.count()
     assert Q.posteriors(docs.where("false"), labels, F.col("host"), F.col("path")).count() == 0
     assert Q.keep_good(docs, labels.where("false"), F.col("host"), F.col("path")).count() == docs.count()
+
+
+def test_posteriors_equal_brute_force(spark, rows):
+    docs, labels = tables(spark, rows)
+    extra = [(9000, None, None, None, 1.0), (9001, "word1", "alone", "z", 1.0), (9001, "word1", "alone", "z", 1.0)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    got = Q.posteriors(docs, labels, F.col("host"), F.col("path")).collect()
+    site = {r.doc_id: (r.host, r.path) for r in docs.collect()}
+    rate = float(Q.train(docs, labels).prior[0])
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    good = lambda x: 1 / (1 + math.exp(-x))
+    seen = [(*site[r.doc_id], good(r.evidence + logit(rate))) for r in got]
+
+    def weight(groups):  # of (sum, number, parent's rate)
+        n = sum(g[1] for g in groups)
+        between = sum(k * (s / k - m) ** 2 for s, k, m in groups)
+        chance = sum(m * (1 - m) for _, _, m in groups)
+        extra = (between - chance) / n
+        return min(Q.MOST_WEIGHT, max(1.0, chance / len(groups) / extra - 1)) if extra > 0 else Q.MOST_WEIGHT
+
+    def sums(key):
+        out = {}
+        for h, p, x in seen:
+            s, n = out.get(key(h, p), (0.0, 0))
+            out[key(h, p)] = s + x, n + 1
+        return out
+
+    hosts, paths = sums(lambda h, p: h), sums(lambda h, p: (h, p))
+    kappa = weight([(*x, rate) for x in hosts.values()])
+    own = weight([(*x, (hosts[h][0] + kappa * rate) / (hosts[h][1] + kappa)) for (h, p), x in paths.items()])
+    for r, (h, p, x) in zip(got, seen, strict=True):
+        host = (max(hosts[h][0] - x, 0) + kappa * rate) / (hosts[h][1] - 1 + kappa)
+        path = (max(paths[h, p][0] - x, 0) + own * host) / (paths[h, p][1] - 1 + own)
+        assert (r.host_rate, r.path_rate) == (pytest.approx(host), pytest.approx(path))
+        assert r.posterior == pytest.approx(good(r.evidence + logit(path))) and r.keep == (r.posterior >= Q.KEEP)
