@@ -44,7 +44,8 @@ _ID = re.compile(
     re.ASCII,
 )
 _ID_WORDS = ("_id", "clientid", "keyid", "accountid", "appid", "tenantid", "username", "user_name")
-_ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9][a-z0-9.-]*\.amazonaws\.com\b", re.ASCII)
+_URL = re.compile(r"https?://[^\s\"'<>]+")
+_HOST, _NAME, _FIRST, _LETTER = ".amazonaws.com", re.compile(r"[a-z0-9.-]+"), re.compile(r"\b[a-z0-9]", re.ASCII), re.compile(r"\w", re.ASCII)
 _KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}", re.ASCII)
 _GAP = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -73,12 +74,26 @@ def strong(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _hosts(text: str) -> list[tuple[int, int]]:
+    """Names that end in ``_HOST`` at a word's end; a run of a name's characters is read once."""
+    out = []
+    for run in _NAME.finditer(text) if _HOST in text else ():
+        start, end = run.span()
+        at = text.rfind(_HOST, start, end)
+        while at >= 0 and _LETTER.match(text, at + len(_HOST)):
+            at = text.rfind(_HOST, start, at + len(_HOST) - 1)
+        first = _FIRST.search(text, start, at) if at > start else None
+        if first:
+            out.append((first.start(), at + len(_HOST)))
+    return out
+
+
 def weak(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
     """Candidates that count only in company; those that overlap a strong span are left out."""
     low = text.lower()
     ids = [(m.start(), m.end(), "id", m.start(1)) for m in _ID.finditer(text)] if any(w in low for w in _ID_WORDS) else []
-    ends = "http" in low or ".amazonaws" in low
-    points = [(m.start(), m.end(), "endpoint", m.start()) for m in _ENDPOINT.finditer(text)] if ends else []
+    places = [m.span() for m in _URL.finditer(text)] if "http" in low else []
+    points = [(a, b, "endpoint", a) for a, b in places + _hosts(text)]
     keys = []
     if ids or any(s[2] == "access" for s in base):
         keys = [(m.start(), m.end(), "key", m.start()) for m in _KEY.finditer(text) if _random_looking(m[0])]
