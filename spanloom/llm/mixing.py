@@ -15,9 +15,11 @@ rebuilt in the task from the rounds' vectors ``q``, so no table of rates is writ
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import words as W
@@ -27,7 +29,7 @@ from spanloom.session import Workspace
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
 RIDGE = 1e-3
-ROUNDS, TOLERANCE = 60, 1e-4
+ROUNDS, TOLERANCE, CLOSE = 60, 1e-4, 1e-2
 
 
 def rates(posteriors: np.ndarray, history: list[np.ndarray], ridge: float = RIDGE) -> np.ndarray:
@@ -53,11 +55,18 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], key: s
     ``labelled`` has the key and ``domain``; a document with several domains counts for the first by
     name, one with a null or another domain for none.
     """
+    sent = _classifier(docs, labelled, domains, key, text)
+    return _members(docs, sent, key, text)
+
+
+def _classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str, text: str):
     number = F.coalesce(*(F.when(F.col("domain") == d, F.lit(k)) for k, d in enumerate(domains)))
     marked = labelled.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("domain").alias("domain"))
     marked = marked.select(key, number.alias("_class")).where("_class is not null")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, marked, len(domains), key, text, SAMPLE_ROWS))
+    return docs.sparkSession.sparkContext.broadcast(fit(docs, marked, len(domains), key, text, SAMPLE_ROWS))
 
+
+def _members(docs: DataFrame, sent, key: str, text: str) -> DataFrame:
     def run(batches):
         for batch in W.pieces(batches, text):
             p = sent.value.posteriors(batch.column(text)).T
@@ -70,8 +79,12 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], key: s
     return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, p array<double>")
 
 
-def solve(members: DataFrame, targets: np.ndarray, budget: float | None = None) -> list[np.ndarray]:
-    """The vectors ``q`` of all rounds; ``targets`` are shares of the budget, all tokens by default."""
+def solve(members: DataFrame, targets: np.ndarray, budget: float | None = None, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """The vectors ``q`` of all rounds; ``targets`` are shares of the budget, all tokens by default.
+
+    Rounds end when ``q`` stands still.  Where they run out before, the rates are feasible and as near as
+    they came, and a warning says how far they are from the targets if that is ``CLOSE`` or more.
+    """
     k = len(targets)
 
     def totals(history):
@@ -91,7 +104,7 @@ def solve(members: DataFrame, targets: np.ndarray, budget: float | None = None)
         return out
 
     history: list[np.ndarray] = []
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         plain, now = totals(history)
         total = plain.sum()
         if not total:
@@ -99,8 +112,10 @@ def solve(members: DataFrame, targets: np.ndarray, budget: float | None = None)
         wanted = np.asarray(targets) / np.sum(targets) * (total if budget is None else budget)
         q = (now - wanted) / np.maximum(plain, 1e-9 * total)
         if history and np.abs(q - history[-1]).max() < TOLERANCE:
-            break
+            return history
         history.append(q)
+    if np.abs(q).max() >= CLOSE:
+        warnings.warn(f"mixing ended after {rounds} rounds, {np.abs(q).max():.2g} of a domain away from its target", stacklevel=2)
     return history
 
 
@@ -129,11 +144,43 @@ def mix(
 
     kind = dict(members.dtypes)["doc_id"]
     rated = members.mapInArrow(run, f"doc_id {kind}, n_tokens long, p array<double>, rate double")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     return rated.select(
         F.col("doc_id").alias(key),
         "n_tokens",
         *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)),
         "rate",
-        (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("int")).cast("long").alias("copies"),
+        _copies("doc_id").alias("copies"),
     )
+
+
+def _copies(key: str) -> Column:
+    part = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("int")).cast("long")
+
+
+def weigh(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", budget: float | None = None
+) -> DataFrame:
+    """``docs`` with their columns and those of :func:`mix`: n_tokens, p_<domain>, rate and copies.
+
+    Columns of ``docs`` with these names are replaced.  Memberships are computed again where the texts
+    stand, so that no text is shuffled.
+    """
+    domains = list(targets)
+    sent = _classifier(docs, labelled, domains, key, text)
+    members = Workspace(docs.sparkSession, "mixing").save(_members(docs, sent, key, text), "members")
+    history = solve(members, np.array([targets[d] for d in domains], float), budget)
+    made = ["n_tokens", *(f"p_{d}" for d in domains), "rate"]
+    names = [c for c in docs.columns if c not in (*made, "copies")]
+
+    def run(batches):
+        for batch in W.pieces(batches, text):
+            p = sent.value.posteriors(batch.column(text)).T
+            n = W.split(batch.column(text), W.ALPHANUMERIC).per_doc
+            columns = [n, *p.T, rates(p, history)[0]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, columns)], [*names, *made])
+
+    own = docs.select(*dict.fromkeys([*names, text]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
+    fields += ["`n_tokens` long", *(f"`{c}` double" for c in made[1:])]
+    return own.mapInArrow(run, ", ".join(fields)).withColumn("copies", _copies(key))

@@ -35,6 +35,8 @@ from spanloom.session import Workspace
 
 SHINGLE = 4
 PERCENT = 85
+#: What counts as a near copy where documents are removed.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 #: Ratio of the ends of a size band.
 BAND = 1.6
 #: Bands of up to so many blocks send further partitions for texts with empty blocks.
@@ -460,14 +462,16 @@ def find_links(keys: DataFrame, summaries: DataFrame, fetch, work: Workspace, pe
     return links
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, percent: int = NEAR_PERCENT
+) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id.
 
     Rows without words are linked with nothing and stay; a row repeated as a whole stays once if its
     id is not null.
     """
     work = Workspace(docs.sparkSession, "ngram-dedup")
-    found = work.save(join(docs, key, text), "found")
+    found = work.save(join(docs, key, text, size, percent), "found")
     gone = work.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
     kept = selecting.drop(docs, gone, key)
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from spanloom.llm import mixing as M
 
@@ -52,6 +53,22 @@ def test_rates_equal_a_plain_solver(spark):
     assert cost(w) <= cost(x) + 1e-5 and np.abs(w - x).max() < 0.2
 
 
+def test_documents_with_their_rates(spark):
+    docs, labelled, _ = tables(spark)
+    targets = {"en": 0.3, "de": 0.3, "fr": 0.4}
+    key = lambda r: (str(r.doc_id), round(r.rate, 9), r.copies, r.n_tokens, round(r.p_en, 9))
+    got = M.weigh(docs, labelled, targets)
+    assert got.columns == ["doc_id", "text", "lang", "n_tokens", "p_en", "p_de", "p_fr", "rate", "copies"]  # its own rate is replaced
+    assert sorted(map(key, got.collect())) == sorted(map(key, M.mix(docs, labelled, targets).collect()))
+    assert M.weigh(docs.where("false"), labelled, targets).count() == 0
+
+
+def test_rounds_that_do_not_end_are_reported(spark):
+    members = spark.createDataFrame([(1, 10, [0.9, 0.1]), (2, 10, [0.8, 0.2])], "doc_id long, n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="away from its target"):
+        M.solve(members, np.array([0.05, 0.95]), rounds=2)
+
+
 def test_odd_tables(spark):
     docs, labelled, _ = tables(spark)
     assert M.mix(docs.where("false"), labelled, {"en": 1.0}).count() == 0

@@ -18,8 +18,8 @@ def shingles(text, size=4):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
 
-def brute(rows, percent=85):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent=85, size=4):
+    sets = [shingles(t, size) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):

@@ -46,7 +46,7 @@ def test_each_stage_works_on_what_was_kept(spark, folder):
     kept = spark.createDataFrame(kept.collect(), docs.schema)
     after = near(spark, kept, path).collect()
     texts = [(r.doc_id, r.text) for r in kept.collect()]
-    assert {r.doc_id for r in after} == {d for d, _, c in test_ngram_join.brute(texts) if d == c}
+    assert {r.doc_id for r in after} == {d for d, _, c in test_ngram_join.brute(texts, 80, 5) if d == c}
 
     kept = spark.createDataFrame(after, docs.schema)
     after = clean(spark, kept, path).collect()
@@ -59,11 +59,37 @@ def test_each_stage_works_on_what_was_kept(spark, folder):
     assert all(r.n_chars == len(r.text or "") for r in after)
 
     rated = mixture(spark, spark.createDataFrame(after, docs.schema), path).collect()
-    assert rated and all(r.rate > 0 for r in rated)
-    assert {r.doc_id for r in rated} <= {r.doc_id for r in after}
+    assert rated and all(r.rate > 0 and abs(r.copies - r.rate) < 1 for r in rated)
+    texts = {r.doc_id: r.text for r in after}
+    assert all(texts[r.doc_id] == r.text for r in rated)
+    spent = sum(r.rate * r.n_tokens for r in rated)
+    assert spent == pytest.approx(sum(r.n_tokens for r in rated), rel=0.5)
 
 
 def test_run_gives_what_the_stages_give(spark, folder):
     path, rows, kind, _ = folder
-    got = {r.doc_id for r in corpus_pipeline.run(spark, path).collect()}
+    rows = corpus_pipeline.run(spark, path).collect()
+    got = {r.doc_id for r in rows}
     assert got and not got & {i for i, k in kind.items() if k == "toxic"}
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, docs, path)
+        if k < 4:
+            assert after.columns == docs.columns
+            docs = spark.createDataFrame(after.collect(), docs.schema)
+    assert {(r.doc_id, r.text, r.n_chars, round(r.rate, 6)) for r in rows} == {(r.doc_id, r.text, r.n_chars, round(r.rate, 6)) for r in after.collect()}
+
+
+def test_run_on_empty_tables_and_very_long_texts(spark, folder, tmp_path):
+    path, *_ = folder
+    for name in ("documents", "labels", "benchmark"):
+        pq.write_table(pq.read_table(f"{path}/{name}.parquet").slice(0, 0), tmp_path / f"{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = pq.read_table(f"{path}/documents.parquet").slice(0, 40)
+    long = " ".join(f"w{i % 397} token=abcdef{i}" for i in range(30000))
+    more = pa.Table.from_pylist([{"doc_id": 5000 + i, "text": long, "lang": "en", "source": "src1", "n_chars": len(long)} for i in range(2)], docs.schema)
+    pq.write_table(pa.concat_tables([docs, more]), tmp_path / "documents.parquet")
+    for name in ("labels", "benchmark"):
+        pq.write_table(pq.read_table(f"{path}/{name}.parquet"), tmp_path / f"{name}.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 5000 in got and 5001 not in got and "abcdef" not in got[5000].text and got[5000].n_chars == len(got[5000].text)
