@@ -16,28 +16,34 @@ from spanloom.sources.tables import table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose posterior of being good is under one half."""
+    """Drop documents whose posterior of being good is under one half; null and empty texts are judged by their site."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents keep that with the smallest id."""
+    """Of each group of linked documents (five words, 80 in a hundred) keep that with the smallest id.
+
+    Rows without an id or without words are linked with nothing and stay.
+    """
     return ngram_join.deduplicate(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of benchmark items; drop documents that hold nothing else."""
+    """Cut passages of benchmark items; drop documents that hold nothing else; null and empty texts stay."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace the values of secrets and of linked credential parts."""
+    """Replace the values of secrets and of linked credential parts; no row goes."""
     return secret_scan.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates that bring expected tokens of the languages to their shares: the corpus as it is read."""
-    rated = mixing.mix(docs, good_languages(docs, table(spark, sf_dir, "labels")), MIXTURE)
+    """The corpus as it is read: documents with rates that bring expected tokens of the languages to their shares.
+
+    The columns n_tokens, p_<language>, rate and copies are added; a document is read ``copies`` times.
+    """
+    rated = mixing.weigh(docs, good_languages(docs, table(spark, sf_dir, "labels")), MIXTURE)
     return rated.where("rate > 0")
 
 
