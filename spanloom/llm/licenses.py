@@ -1,15 +1,17 @@
 """Licence scan: ordered signature rules behind a keyword prefilter.
 
 The words of a whole batch of texts are hashed at once.  Keywords are looked up among the hashes, so
-a rule's pattern is only tried on texts that have all of its keywords.  Of the detections in a text,
-those with the higher priority are kept first, then longer and earlier ones; a detection whose words
-lie inside one that is kept, or that overlaps one of higher priority, is suppressed.
+a rule's pattern is only tried on texts whose words open its gate.  Of the detections in a text, those
+with the higher priority are kept first, then longer ones; a detection whose words all lie inside one
+that is kept is suppressed, while two that only overlap both stand.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,52 +27,58 @@ DETECTION = "struct<label:string,kind:string,first_word:long,end_word:long,weigh
 
 
 class Matcher:
-    """The rules, compiled, with the hashes of their keywords."""
+    """The rules, compiled, with the hashes of their gates' words."""
 
     def __init__(self, own: list[Rule]):
         self.rules = own
         self.patterns = [rule.compiled() for rule in own]
-        names = sorted({k for rule in own for k in rule.keywords})
+        names = sorted({word for rule in own for place in rule.gate for word in place})
         hashes = W.word_hashes(names)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        place = {names[j]: i for i, j in enumerate(order)}
-        self.needs = [frozenset(place[k] for k in rule.keywords) for rule in own]
-        # Rules by one of their keywords, the one that fewest rules share.
-        share = {k: sum(k in need for need in self.needs) for k in place.values()}
-        self.by_keyword: dict[int, list[int]] = {}
-        for i, need in enumerate(self.needs):
-            self.by_keyword.setdefault(min(need, key=lambda k: (share[k], k)), []).append(i)
+        number = {names[j]: i for i, j in enumerate(order)}
+        self.gates = [[frozenset(number[word] for word in place) for place in rule.gate] for rule in own]
+        # Each rule is looked up by one place of its gate, whose words are in the fewest gates.
+        share = Counter(word for gate in self.gates for place in gate for word in place)
+        self.by_word: dict[int, list[int]] = {}
+        for i, gate in enumerate(self.gates):
+            for word in min(gate, key=lambda place: (sum(share[word] for word in place), min(place))):
+                self.by_word.setdefault(word, []).append(i)
 
     def candidates(self, found: W.Words) -> dict[int, list[int]]:
-        """Row to the rules of which it has all keywords."""
+        """Row to the rules whose gates its words open."""
         spot = np.minimum(np.searchsorted(self.hashes, found.hash), len(self.hashes) - 1)
         at = np.flatnonzero(self.hashes[spot] == found.hash)
         pairs = np.unique(found.doc[at] * len(self.hashes) + spot[at])
         present: dict[int, set] = {}
-        for row, keyword in zip((pairs // len(self.hashes)).tolist(), (pairs % len(self.hashes)).tolist(), strict=True):
-            present.setdefault(row, set()).add(keyword)
+        for row, word in zip((pairs // len(self.hashes)).tolist(), (pairs % len(self.hashes)).tolist(), strict=True):
+            present.setdefault(row, set()).add(word)
         out = {}
-        for row, keywords in present.items():
-            if own := sorted(i for k in keywords for i in self.by_keyword.get(k, ()) if self.needs[i] <= keywords):
+        for row, words in present.items():
+            tried = {i for word in words for i in self.by_word.get(word, ())}
+            if own := sorted(i for i in tried if all(words & place for place in self.gates[i])):
                 out[row] = own
         return out
 
     def detect(self, joined: str, candidates: list[int]) -> list[tuple[int, int, int]]:
         """Kept detections in a text of words joined by spaces: (rule, first word, end word)."""
-        raw = []
+        levels: dict[int, list[tuple[int, int, int]]] = {}
         for i in candidates:
             for match in self.patterns[i].finditer(joined):
-                raw.append((-self.rules[i].priority, match.start() - match.end(), match.start(), match.end(), i))
-        if not raw:
+                levels.setdefault(self.rules[i].priority, []).append((match.start(), -match.end(), i))
+        if not levels:
             return []
-        kept: list[tuple[int, int, int]] = []  # disjoint, by start
-        for _, _, start, end, i in sorted(raw):
-            place = bisect.bisect_left(kept, (start, end))
-            before = place and kept[place - 1][1] > start
-            after = place < len(kept) and kept[place][0] < end
-            if not before and not after:
-                kept.insert(place, (start, end, i))
+        kept: list[tuple[int, int, int]] = []
+        for priority in sorted(levels, reverse=True):
+            # Of one priority the longer holds the shorter; of the same words the first rule stands.
+            starts, ends = [k[0] for k in kept], list(itertools.accumulate((k[1] for k in kept), max))
+            own, far = [], -1
+            for start, end, i in sorted(levels[priority]):
+                place = bisect.bisect_right(starts, start)
+                if far < -end and not (place and ends[place - 1] >= -end):
+                    own.append((start, -end, i))
+                    far = -end
+            kept = sorted(kept + own)
         spaces = [m.start() for m in re.finditer(" ", joined)]
         return [(i, bisect.bisect_left(spaces, a), bisect.bisect_left(spaces, b) + 1) for a, b, i in kept]
 

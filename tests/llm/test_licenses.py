@@ -1,6 +1,10 @@
+import random
 import re
 
+import pyarrow as pa
+
 from spanloom.llm import licenses
+from spanloom.llm import words as W
 from spanloom.llm.license_rules import rules
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -50,14 +54,71 @@ def test_method_adds_labels_and_suppresses_contained_ones(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
-def test_rules_are_many_and_gated():
-    own = rules()
-    assert len(own) >= 250 and all(r.keywords for r in own)
+def example(pattern, rng):
+    """A random text that a pattern matches; the patterns' few constructs are enough."""
+    from re import _constants as C
+    from re import _parser as P
+
+    def one(parts):
+        out = []
+        for kind, value in parts:
+            if kind is C.LITERAL:
+                out.append(chr(value))
+            elif kind is C.IN:
+                out.append("x" if value[0][0] is C.CATEGORY else chr(rng.choice([c for k, v in value for c in (range(v[0], v[1] + 1) if k is C.RANGE else [v])])))
+            elif kind in (C.MAX_REPEAT, C.MIN_REPEAT):
+                low, high, inner = value
+                out += [one(inner) for _ in range(rng.randint(low, min(int(high), low + 2)))]
+            elif kind is C.SUBPATTERN:
+                out.append(one(value[3]))
+            elif kind is C.BRANCH:
+                out.append(one(rng.choice(value[1])))
+            else:
+                raise ValueError(kind)
+        return "".join(out)
+
+    return one(P.parse(pattern))
+
+
+def test_every_rule_is_reached_through_its_gate():
+    own, rng = rules(), random.Random(1)
+    assert len(own) >= 400 and len({r.pattern for r in own}) >= 380 and all(r.gate for r in own)
     matcher = licenses.Matcher(own)
-    for rule in own:
-        if rule.kind == "identifier":
-            text = rule.pattern
-            assert matcher.rules[matcher.detect(text, [own.index(rule)])[0][0]].label == rule.label
+    for i, rule in enumerate(own):
+        for _ in range(12):
+            text = example(rule.pattern, rng)
+            assert matcher.patterns[i].fullmatch(text), (rule, text)
+            assert i in matcher.candidates(W.split(pa.array([text]), W.ALPHANUMERIC)).get(0, ()), (rule, text)
+
+
+def test_gated_detections_equal_ungated_ones_and_suppression_is_containment():
+    own, rng = rules(), random.Random(2)
+    matcher = licenses.Matcher(own)
+    for _ in range(400):
+        parts = [example(rng.choice(own).pattern, rng) if rng.random() < 0.6 else rng.choice(["plain words here", "mit", "license", "gnu 2", "under"]) for _ in range(rng.randint(1, 4))]
+        text = " ".join(parts)
+        got = matcher.detect(text, matcher.candidates(W.split(pa.array([text]), W.ALPHANUMERIC)).get(0, []))
+        assert got == matcher.detect(text, list(range(len(own))))
+        every = []
+        for i, p in enumerate(matcher.patterns):
+            every += [(-own[i].priority, m.start() - m.end(), m.start(), i, m.end()) for m in p.finditer(text)]
+        kept = []
+        for x in sorted(every):
+            if not any(k[2] <= x[2] and x[4] <= k[4] for k in kept):
+                kept.append(x)
+        words = lambda at: text[:at].count(" ")
+        assert sorted(got) == sorted((x[3], words(x[2]), words(x[4]) + 1) for x in kept)
+
+
+def test_short_forms_give_their_labels(spark):
+    want = {
+        "licensed under the gpl v2": "gpl-2", "released under GPL v3": "gpl-3", "LGPL v3": "lgpl-3", "agpl v3 license": "agpl-3", "0bsd license": "bsd-0",
+        "FreeBSD license": "bsd-2", "OpenRAIL-M license": "openrail-m", "GNU Lesser General Public License v3": "lgpl-3", "Apache-2.0 license": "apache-2",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs).collect()}
+    for i, (text, label) in enumerate(want.items()):
+        assert label in got[i], (text, got[i])
 
 
 def test_no_rows(spark):
