@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import words as W
-from spanloom.session import small_batches
+from spanloom.session import Workspace, small_batches
 
 #: Words in a test phrase; an item with fewer words is one phrase.
 WINDOW = 10
@@ -33,23 +33,40 @@ SAMPLE = 8
 
 
 class Phrases:
-    """Distinct test phrases over their own vocabulary, and the items that have each."""
+    """Distinct test phrases over their own vocabulary, and the items that have each, all in arrays.
+
+    Phrase ``p`` has ``lengths[p]`` symbols of ``symbols[p]``; its items are ``names[owner[edges[p] : edges[p + 1]]]``.
+    """
 
     def __init__(self, item_ids: list, texts: list, window: int = WINDOW):
         found = W.split(pa.array(texts, pa.large_string()), W.ALPHANUMERIC)
-        self.vocabulary = np.unique(found.hash)
-        symbols = np.searchsorted(self.vocabulary, found.hash) + 1
-        items: dict[tuple, set] = {}
-        for k, item in enumerate(item_ids):
-            own = symbols[found.first[k] : found.first[k + 1]].tolist()
-            for i in range(max(len(own) - window, 0) + 1 if own else 0):
-                items.setdefault(tuple(own[i : i + window]), set()).add(str(item))
-        self.lengths = np.array([len(x) for x in items], np.int64)
-        self.symbols = np.zeros((len(items), window), np.int64)
-        for row, phrase in zip(self.symbols, items, strict=True):
-            row[: len(phrase)] = phrase
-        self.items = [tuple(sorted(x)) for x in items.values()]
-        self.shortest = int(self.lengths.min()) if len(items) else 0
+        self.vocabulary, symbols = np.unique(found.hash, return_inverse=True)
+        symbols = np.r_[symbols.astype(np.int32) + 1, np.zeros(window, np.int32)]
+        self.names, name = np.unique(np.array([str(i) for i in item_ids], str), return_inverse=True)
+        n = found.per_doc
+        count = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
+        item = np.repeat(np.arange(len(n)), count)
+        first = found.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        lengths = np.minimum(n[item], window)
+        rows = np.zeros((len(item), window), np.int32)
+        for k in range(window):
+            rows[:, k] = np.where(k < lengths, symbols[first + k], 0)
+        packed = rows.view(np.dtype((np.void, rows.dtype.itemsize * window))).reshape(-1)
+        _, at, which = np.unique(packed, return_index=True, return_inverse=True)
+        self.symbols, self.lengths = rows[at], lengths[at]
+        pairs = np.unique(which.astype(np.int64) * max(len(self.names), 1) + name[item])
+        self.owner = (pairs % max(len(self.names), 1)).astype(np.int32)
+        self.edges = np.searchsorted(pairs // max(len(self.names), 1), np.arange(len(at) + 1))
+        self.shortest = int(self.lengths.min()) if len(at) else 0
+
+    def items(self, row: np.ndarray, phrase: np.ndarray, n: int) -> pa.ListArray:
+        """For each of n rows the names of the items that its phrases belong to, sorted."""
+        many = self.edges[phrase + 1] - self.edges[phrase]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.edges[phrase], many)
+        pairs = np.unique(np.repeat(row, many) * max(len(self.names), 1) + self.owner[at])
+        names = pa.array(self.names[pairs % max(len(self.names), 1)].tolist(), pa.string())
+        edges = np.searchsorted(pairs // max(len(self.names), 1), np.arange(n + 1))
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), names)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -224,7 +241,7 @@ def _report_column(n_words, items, row, *spans) -> pa.StructArray:
         [
             pa.array(n_words, pa.int64()),
             pa.array(n_hit),
-            pa.array(items, pa.list_(pa.string())),
+            items if isinstance(items, pa.Array) else pa.array(items, pa.list_(pa.string())),
             pa.ListArray.from_arrays(
                 pa.array(edges), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in spans], SPAN)
             ),
@@ -245,11 +262,8 @@ def _scan(text: str, block, name: str):
             found = W.split(batch.column(text), W.ALPHANUMERIC)
             at, phrase = occurrences(found, phrases)
             hit = covered(found, at, phrases.lengths[phrase])
-            sets: dict[int, set] = {}
-            for pair in np.unique(found.doc[at] * (len(phrases.lengths) + 1) + phrase).tolist():
-                row, p = divmod(pair, len(phrases.lengths) + 1)
-                sets.setdefault(row, set()).update(phrases.items[p])
-            items = [sorted(sets.get(row, ())) for row in range(batch.num_rows)]
+            pair = np.unique(found.doc[at] * (len(phrases.lengths) + 1) + phrase)
+            items = phrases.items(pair // (len(phrases.lengths) + 1), pair % (len(phrases.lengths) + 1), batch.num_rows)
             column = _report_column(found.per_doc, items, *_spans(found, hit))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
 
@@ -257,7 +271,7 @@ def _scan(text: str, block, name: str):
 
 
 def _merge(names: list[str], reports: list[str]):
-    """For mapInArrow: one report from those of several blocks of test items."""
+    """For mapInArrow: one report, the first, from those of several blocks of test items."""
 
     def run(batches):
         for batch in batches:
@@ -275,20 +289,23 @@ def _merge(names: list[str], reports: list[str]):
                         row.append(i)
             parts = np.array(spans, np.int64).reshape(-1, 4).T
             column = _report_column([r["n_words"] for r in columns[0]], items, np.array(row, np.int64), *parts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], [*names, "_report"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], [*names, reports[0]])
 
     return run
 
 
-def _phrase_blocks(benchmark: DataFrame, item: str, text: str) -> list[tuple[list, list]]:
-    """The test items in blocks of at most BLOCK_BYTES, each read by its own query."""
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def _phrase_blocks(benchmark: DataFrame, item: str, text: str) -> list:
+    """Broadcasts of the test items, of at most about BLOCK_BYTES each; the driver holds one at a time."""
+    session = benchmark.sparkSession
+    items = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("i is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_BYTES))
+    if n > 1:  # read once for each block
+        items = Workspace(session, "decontam").save(items, "items")
     blocks = []
     for k in range(n):
-        rows = (items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else items).collect()
-        blocks.append(([r.i for r in rows if r.i is not None], [r.t for r in rows if r.i is not None]))
+        rows = (items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items).toArrow()
+        blocks.append(session.sparkContext.broadcast((rows.column("i").to_pylist(), rows.column("t").to_pylist())))
     return blocks
 
 
@@ -306,14 +323,18 @@ def scan(
     A null text has no words and no hits; an empty benchmark or one without words hits nothing;
     repeated items count once under their id; every input row, repeated or not, gives one row.
     Items with a null id are skipped.  Offsets of spans are bytes of the UTF-8 text, end exclusive.
-    The input must not have columns whose names begin with ``_report``.  ``then``, a function for
-    mapInArrow whose output has ``schema``, runs in the same pass, so no second Python worker is needed.
+    A column of the input named ``_report`` is replaced.  ``then``, a function for mapInArrow whose output
+    has ``schema``, runs in the same pass, so no second Python worker is needed.
     """
     session = docs.sparkSession
     small_batches(session)
     blocks = _phrase_blocks(benchmark, item, item_text)
-    names = ["_report"] if len(blocks) == 1 else [f"_report_{k}" for k in range(len(blocks))]
-    steps = [_scan(text, session.sparkContext.broadcast(b), n) for n, b in zip(names, blocks, strict=True)]
+    docs = docs.drop("_report")
+    free = "_report"
+    while any(c.startswith(f"{free}_") for c in docs.columns):
+        free += "_"
+    names = ["_report", *(f"{free}_{k}" for k in range(1, len(blocks)))]
+    steps = [_scan(text, b, n) for n, b in zip(names, blocks, strict=True)]
     last = [steps[-1], *([_merge(docs.columns, names)] if len(names) > 1 else []), *([then] if then else [])]
 
     def end(batches):
