@@ -196,12 +196,13 @@ def _passages(slim: DataFrame, lines: DataFrame, least: int, work: Workspace) ->
     named = slim.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("copy"))
     found = named.mapInArrow(_windows(least), f"window long, doc_id {kind}, copy long, first_word int, start int, end int, paragraph int")
     found = work.save(found, "windows")
+    document = F.xxhash64("doc_id", "copy")
+    shared = found.groupBy("window").agg(F.min(document).alias("lo"), F.max(document).alias("hi")).where("lo <> hi")
+    own = work.save(selecting.keep(found, work.save(shared.select("window"), "shared"), "window"), "own")
+    work.drop(found)
     place = F.struct("doc_id", "copy", "first_word", "paragraph")
-    shared = found.groupBy("window").agg(F.min(place).alias("head"), F.max(F.struct("doc_id", "copy")).alias("last"), F.count("*").alias("n_members"))
-    other = ~(F.col("head.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("head.copy") == F.col("last.copy")))
-    shared = work.save(shared.where(other).drop("last"), "shared")
-    few = shared.count() <= selecting.BROADCAST_KEYS // 8
-    own = found.join(F.broadcast(shared) if few else shared, "window")
+    heads = work.save(own.groupBy("window").agg(F.min(place).alias("head"), F.count("*").alias("n_members")), "heads")
+    own = own.join(heads, "window")
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("copy") == F.col("head.copy"))
     own = own.select("doc_id", "copy", "first_word", "start", "end", "paragraph", "n_members", "head", (~same).alias("removed"))
     # A window joins the one before where they overlap and the same document keeps both.
