@@ -17,7 +17,8 @@ a key with it and whose short sketch (two bits a shingle) is near enough for a l
 that are then still in different components meet again, each with the one whose sketch is nearest.
 What is apart even then is compared in all pairs whose sketches leave room for a link, so no link
 between components is lost, while a large group of near copies costs a few comparisons for each
-member.  All pairs are verified on the whole sets of 64-bit hashes.
+member.  A large group is compared in pairs of blocks, by many tasks.  All pairs are verified on the
+whole sets of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ SEEDS = 8
 #: Words of 64 bits in a short sketch, which rules out pairs before their sets are read, at least; it
 #: has about two bits for each shingle.
 SKETCH = 8
+#: Items that meet in one place at most, about; larger groups are cut into blocks.
+MEET = 2048
+#: The side of items that meet all others of their place.
+BOTH = 2
 
 _FACTORS = W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -260,6 +265,26 @@ def _collisions(batches):
             last = (*last[:3], True)
 
 
+def _split_groups(rows: DataFrame) -> DataFrame:
+    """Large groups (key, item, n, c, size) as meetings of blocks of at most about ``MEET`` items.
+
+    The largest component of a key is cut into blocks that each meet every block of the other items;
+    these meet each other, so that its own pairs, which are no news, are never made.
+    """
+    most = rows.groupBy("key", "c").agg(F.count("*").alias("own")).groupBy("key").agg(F.max_by("c", F.struct("own", "c")).alias("main"), F.max("own").alias("own"))
+    blocks = lambda n: F.ceil(n / MEET).cast("int")
+    both = rows.join(most, "key").withColumns({"mains": blocks(F.col("own")), "rests": blocks(F.col("size") - F.col("own"))})
+    block = lambda n: F.pmod(F.xxhash64("item"), F.col(n)).cast("int")
+    main = both.where("c = main").withColumn("low", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+    # Places from 1 on under 0 are the main component's, so that they differ from those of the others.
+    main = main.select("key", "item", "n", "c", "low", (-1 - block("mains")).alias("high"), F.lit(1).alias("side"))
+    rest = both.where("c <> main").withColumn("own", block("rests")).withColumn("other", F.explode(F.sequence(-F.col("mains"), F.col("rests") - 1)))
+    side = F.when(F.col("other") < 0, 0).when(F.col("other") == F.col("own"), BOTH).otherwise((F.col("own") > F.col("other")).cast("int"))
+    low = F.when(F.col("other") < 0, F.col("own")).otherwise(F.least("own", "other"))
+    high = F.when(F.col("other") < 0, F.col("other")).otherwise(F.greatest("own", "other"))
+    return main.union(rest.select("key", "item", "n", "c", low.alias("low"), high.alias("high"), side.alias("side")))
+
+
 def _lengths(column: pa.Array) -> np.ndarray:
     return pc.binary_length(column).to_numpy() // 8
 
@@ -279,15 +304,19 @@ def _near(percent: int):
     return run
 
 
+#: Of the keys of a comparison: the block's key, and the blocks of items that meet.
+MEETING = ["key", "low", "high"]
+
+
 def _key_groups(batches):
-    """Tables of the rows of one key, from rows sorted by key."""
+    """Tables of the rows that meet, from rows sorted by ``MEETING``."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
+        keys = np.stack([batch.column(k).to_numpy() for k in MEETING])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), keys.shape[1]] if keys.size else [0]
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             part = batch.slice(i, j - i)
-            if held and held[0].column("key")[0] != part.column("key")[0]:
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in MEETING):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(part)
@@ -296,14 +325,15 @@ def _key_groups(batches):
 
 
 def _apart(percent: int, nearest: bool, block: int = 128):
-    """Of rows sorted by key: pairs of different components that may be linked, found block by block.
+    """Of rows sorted by ``MEETING``: pairs of different components and sides that may be linked, found block by block.
 
-    All of them, or for each item only the one whose sketch is nearest; then with its distance.
+    All of them, or for each item only the one whose sketch is nearest; then with its distance.  Rows of
+    the side ``BOTH`` meet all others.
     """
 
     def run(batches):
         for group in _key_groups(batches):
-            item, c, n = (group.column(x).to_numpy() for x in ("item", "c", "n"))
+            item, c, n, side = (group.column(x).to_numpy() for x in ("item", "c", "n", "side"))
             sketches = group.column("sketch").combine_chunks()
             sketch = folded(sketches, int(_lengths(sketches).min()))
             for i in range(0, len(item), block):
@@ -312,7 +342,7 @@ def _apart(percent: int, nearest: bool, block: int = 128):
                 for j in range(0 if nearest else i, len(item), block):
                     b = slice(j, j + block)
                     near, share = may_link(sketch[a, None], n[a, None], sketch[None, b], n[None, b], percent)
-                    near &= c[a, None] != c[None, b]
+                    near &= (c[a, None] != c[None, b]) & ((side[a, None] == BOTH) | (side[a, None] != side[None, b]))
                     if nearest:
                         share = np.where(near, share, np.inf)
                         k = share.argmin(axis=1)
@@ -447,8 +477,13 @@ def find_links(keys: DataFrame, summaries: DataFrame, fetch, work: Workspace, pe
         ends = [f(F.struct("item", "n")).alias(name) for f, name in ((F.min, "first"), (F.max, "last"))]
         mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), *ends)
         mixed = work.save(mixed.where("lo <> hi").drop("lo", "hi"), "mixed")
-        apart = placed.join(mixed.where("size > 2").select("key"), "key", "left_semi").join(sketches, "item")
-        apart = apart.select("key", "item", "n", "c", "sketch").repartition(parts, "key").sortWithinPartitions("key")
+        apart = placed.join(mixed.where(f"size > 2 and size <= {MEET}").select("key"), "key", "left_semi")
+        apart = apart.select("key", "item", "n", "c", *(F.lit(x).alias(name) for name, x in (("low", 0), ("high", 0), ("side", BOTH))))
+        large = mixed.where(f"size > {MEET}").select("key", "size")
+        if not large.isEmpty():
+            apart = apart.union(_split_groups(placed.join(large, "key")))
+        apart = apart.join(sketches, "item").select(*MEETING, "side", "item", "n", "c", "sketch")
+        apart = apart.repartition(parts, *MEETING).sortWithinPartitions(*MEETING)
         if nearest:
             found = apart.mapInArrow(_apart(percent, True), "a long, b long, distance double")
             pairs = found.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")).select("a", "b")

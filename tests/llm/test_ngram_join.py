@@ -81,6 +81,21 @@ def test_blocks_never_miss_a_link_between_small_sets():
         assert set(a) == set(b) or set(key[row == 0]) & set(key[row == 1])
 
 
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    # Chains of near copies around one text, so that keys hold several components of different sizes.
+    monkeypatch.setattr(J, "MEET", 5)
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 40)}" for _ in range(60)]
+    rows = []
+    for i in range(140):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in J.join(docs).collect()), key=str) == brute(rows)
+
+
 def test_deduplicate_keeps_one_of_each_group(spark):
     text = "one two three four five six seven"
     rows = [(1, text, "en"), (2, text.upper(), "en"), (2, text.upper(), "en"), (3, "other words stand here now", "de"), (3, "other words stand here now", "de"), (4, None, None), (5, "", "x")]
