@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.sequential import streak
+from spanloom.operators.sequential import in_order, streak
 
 _MICROS = 1_000_000
 
@@ -19,27 +23,46 @@ def _back(seconds: int):
     return Window.partitionBy("key").orderBy("_at").rangeBetween(-seconds * _MICROS, 0)
 
 
-def threshold(rows: DataFrame, limit: float, consecutive: int) -> DataFrame:
-    """Points that end a run of at least ``consecutive`` values above the limit."""
-    return streak(rows, F.col("x") > limit).where(F.col("streak") >= consecutive).select("key", "seq", "streak")
+#: Comparisons of threshold rules by name.
+COMPARISONS = {
+    ">": lambda x, limit: x > limit,
+    ">=": lambda x, limit: x >= limit,
+    "<": lambda x, limit: x < limit,
+    "<=": lambda x, limit: x <= limit,
+    "==": lambda x, limit: F.abs(x - limit) < 1e-4,
+    "!=": lambda x, limit: F.abs(x - limit) >= 1e-4,
+}
+
+
+def threshold(rows: DataFrame, limit: float, consecutive: int, comparison: str = ">") -> DataFrame:
+    """Points that end a run of at least ``consecutive`` values beyond the limit."""
+    return streak(rows, COMPARISONS[comparison](F.col("x"), limit)).where(F.col("streak") >= consecutive).select("key", "seq", "streak")
+
 
+def anomaly(rows: DataFrame, z: float = 3.0, least: int = 100, hours: int = 24, direction: str = "both") -> DataFrame:
+    """Points more than ``z`` standard deviations from the mean of the last hours, which include them.
 
-def anomaly(rows: DataFrame, z: float = 3.0, least: int = 100, hours: int = 24) -> DataFrame:
-    """Points more than ``z`` standard deviations from the mean of the last hours, which include them."""
+    ``direction`` is up, down or both.
+    """
+    beyond = {"up": lambda s: s > z, "down": lambda s: s < -z, "both": lambda s: F.abs(s) > z}[direction]
     frame = _back(hours * 3600)
     out = rows.withColumn("_at", _micros())
     out = out.select("key", "seq", "x", F.count("*").over(frame).alias("n"), F.avg("x").over(frame).alias("m"), F.stddev_pop("x").over(frame).alias("s"))
     score = (F.col("x") - F.col("m")) / F.col("s")
-    return out.where((F.col("n") >= least) & (F.col("s") > 0)).withColumn("z", score).where(F.abs("z") > z).select("key", "seq", F.round("z", 6).alias("z"))
+    return out.where((F.col("n") >= least) & (F.col("s") > 0)).withColumn("z", score).where(beyond(F.col("z"))).select("key", "seq", F.round("z", 6).alias("z"))
+
 
+def rate(rows: DataFrame, per_second: float, seconds: int = 300, percent: bool = False) -> DataFrame:
+    """Points where the value changes faster than ``per_second`` within the window before them.
 
-def rate(rows: DataFrame, per_second: float, seconds: int = 300) -> DataFrame:
-    """Points where the value changes faster than ``per_second`` within the window before them."""
+    With ``percent`` the change counts in hundredths of the window's first value; from 0 it has none.
+    """
     frame = _back(seconds)
     out = rows.withColumn("_at", _micros())
     first = F.min_by("x", F.struct("_at", "seq")).over(frame)
     out = out.select("key", "seq", "x", first.alias("x0"), "_at", F.min("_at").over(frame).alias("at0"))
     speed = (F.col("x") - F.col("x0")) / ((F.col("_at") - F.col("at0")) / _MICROS)
+    speed = F.try_divide(100 * speed, F.abs("x0")) if percent else speed
     return out.where("_at > at0").withColumn("rate", speed).where(F.abs("rate") > per_second).select("key", "seq", F.round("rate", 6).alias("rate"))
 
 
@@ -65,6 +88,15 @@ def patterns(rows: DataFrame, size: int = 20, least: int = 10) -> DataFrame:
     return out.withColumn("pattern", shape).where("pattern is not null").select("key", "seq", "pattern")
 
 
+def oscillation(rows: DataFrame, size: int = 20, least: int = 10, sensitivity: float = 0.8) -> DataFrame:
+    """Points whose last values turn more often than ``sensitivity`` of the times they could."""
+    last = Window.partitionBy("key").orderBy("timestamp", "seq").rowsBetween(-(size - 1), 0)
+    out = rows.withColumn("v", F.collect_list("x").over(last)).where(F.size("v") >= least)
+    step = lambda i: F.element_at("v", i) - F.element_at("v", i - 1)
+    turns = F.size(F.filter(F.sequence(F.lit(3), F.size("v")), lambda i: step(i) * step(i - 1) < 0)) / (F.size("v") - 2)
+    return out.withColumn("turns", F.round(turns, 8)).where(F.col("turns") > sensitivity).select("key", "seq", "turns")
+
+
 def composite(children: dict[str, DataFrame], every: bool) -> DataFrame:
     """Points (key, seq) at which all, or any, of the rules fire, with the names of those that do."""
     fired = None
@@ -104,6 +136,50 @@ def suppress(events: DataFrame, silences: DataFrame) -> DataFrame:
     return events.join(F.broadcast(s), covered, "left_anti")
 
 
+def process(events: DataFrame, minutes: int = 5, limits: dict[float, int] | None = None) -> DataFrame:
+    """What becomes of each event (key, timestamp, seq, fingerprint, maintenance, silenced), in order of time.
+
+    Per key: when as many new alerts went out as a limit allows in its seconds, an event is rate limited;
+    then maintenance and silences suppress it; then one like it in the last minutes makes it a duplicate,
+    which keeps the window open.  What is left is new, and counts for the limits.  The state is the times
+    within the longest limit and the fingerprints within the window.
+    """
+    limits = limits or {60.0: 60, 3600.0: 500}
+
+    def step(state: dict, frame: pd.DataFrame) -> pd.DataFrame:
+        sent, seen, out = state["sent"], state["seen"], []
+        times = frame["timestamp"].to_numpy("datetime64[us]").astype("int64") / 1e6
+        for now, mark, kept, quiet in zip(times, frame["fingerprint"], frame["maintenance"], frame["silenced"], strict=True):
+            while sent and now - sent[0] > max(limits):
+                sent.popleft()
+            if now - state["swept"] > 60 * minutes:
+                for old in [m for m, t in seen.items() if now - t >= 60 * minutes]:
+                    del seen[old]
+                state["swept"] = now
+            if any(sum(now - t <= width for t in sent) >= most for width, most in limits.items()):
+                out.append("rate limited")
+            elif kept:
+                out.append("maintenance")
+            elif quiet:
+                out.append("silenced")
+            else:
+                duplicate = now - seen.get(mark, -math.inf) < 60 * minutes
+                seen[mark] = now
+                out.append("duplicate" if duplicate else "new")
+                if not duplicate:
+                    sent.append(now)
+        return pd.DataFrame({"key": frame["key"], "seq": frame["seq"], "outcome": out})
+
+    start = lambda: {"sent": deque(), "seen": {}, "swept": -math.inf}
+    return in_order(events, start, step, "key string, seq long, outcome string")
+
+
+def covered(events: DataFrame, windows: DataFrame, name: str) -> DataFrame:
+    """``events`` with a flag: whether one of the windows (see :func:`suppress`) covers them."""
+    free = suppress(events.select("seq", "timestamp", "labels"), windows).select("seq", F.lit(False).alias("_free"))
+    return events.join(free, "seq", "left").withColumn(name, F.col("_free").isNull()).drop("_free")
+
+
 def groups(events: DataFrame, keys: list[str]) -> DataFrame:
     """Events by keys: how many, the highest severity and the span of time."""
     return events.groupBy(*keys).agg(F.count("*").alias("n"), F.max("severity_rank").alias("severity_rank"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))

@@ -5,6 +5,9 @@ Inputs are long tables (side, feature, v) with side ``ref`` or ``cur``; one job
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,29 +17,49 @@ EPSILON = 1e-10
 PSI_BINS = 10
 
 
-def psi(rows: DataFrame, bins: int = PSI_BINS) -> DataFrame:
-    """Population stability index of each feature over bins at the reference's order statistics.
+def psi_reference(values: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """(feature, edges, expected) of (feature, v): a table to be stored, against which later values are held.
 
     The inner edges are the values at places floor(i / bins * (n - 1)) of the sorted reference; a bin
     holds its lower edge, and a value outside belongs to the first or last bin.
     """
-    ref = rows.where("side = 'ref'")
-    sorted_ = ref.withColumn("place", F.row_number().over(Window.partitionBy("feature").orderBy("v")) - 1)
-    sizes = ref.groupBy("feature").agg(F.count("*").alias("n"))
-    inner = sorted_.join(sizes, "feature").join(F.broadcast(rows.sparkSession.range(1, bins).toDF("i")), F.expr(f"place = floor(i / {bins} * (n - 1))"))
-    edges = inner.groupBy("feature").agg(F.array_sort(F.collect_list("v")).alias("edges"))
+    # Equal values are counted first, so only distinct ones are sorted.
+    counts = values.where("v is not null").groupBy("feature", "v").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("feature").orderBy("v"))
+    sizes = counts.groupBy("feature").agg(F.sum("k").alias("n"))
+    placed = counts.withColumn("after", upto).join(F.broadcast(sizes), "feature")
+    wanted = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.floor(i / bins * (F.col("n") - 1)))
+    hit = F.size(F.filter(wanted, lambda w: (w >= F.col("after") - F.col("k")) & (w < F.col("after"))))
+    edges = placed.groupBy("feature").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("v", hit)))).alias("edges"))
+    return _binned(values, edges).select("feature", "edges", F.col("counts").alias("expected"))
+
+
+def _binned(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature, edges, counts): how many values lie in each bin."""
     # How many inner edges a value has reached is its bin.
-    binned = rows.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("v"))))
-    counts = binned.groupBy("feature", "bin").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
-    whole = Window.partitionBy("feature")
-    e = F.greatest(F.col("r") / F.sum("r").over(whole), F.lit(EPSILON))
-    a = F.greatest(F.col("c") / F.sum("c").over(whole), F.lit(EPSILON))
-    parts = counts.select("feature", ((a - e) * F.log(a / e)).alias("part"))
-    out = parts.groupBy("feature").agg(F.sum("part").alias("s"))
+    binned = values.where("v is not null").join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("v"))))
+    counts = binned.groupBy("feature", "bin").agg(F.count("*").alias("k")).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    return edges.join(counts, "feature", "left").select("feature", "edges", each.alias("counts"))
+
+
+def psi_against(reference: DataFrame, values: DataFrame) -> DataFrame:
+    """Population stability index of (feature, v) against a stored :func:`psi_reference`."""
+    now = _binned(values, reference.select("feature", "edges")).select("feature", "counts")
+    both = reference.join(now, "feature")
+    share = lambda c: (lambda whole: F.transform(c, lambda k: F.greatest(k / whole, F.lit(EPSILON))))(F.aggregate(c, F.lit(0).cast("long"), lambda s, k: s + k))
+    parts = F.zip_with(share("expected"), share("counts"), lambda e, a: (a - e) * F.log(a / e))
+    out = both.select("feature", F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("s"))
     label = F.when(F.col("s") < 0.1, "none").when(F.col("s") < 0.25, "moderate").otherwise("significant")
     return out.select("feature", F.round("s", 8).alias("psi"), (F.col("s") >= 0.2).alias("drift"), label.alias("label"))
 
 
+def psi(rows: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """Population stability index of each feature over bins at the reference's order statistics."""
+    side = lambda name: rows.where(F.col("side") == name).select("feature", "v")
+    return psi_against(psi_reference(side("ref"), bins), side("cur"))
+
+
 def ks(rows: DataFrame) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of each feature, with an asymptotic p-value."""
     by_value = rows.groupBy("feature", "v").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
@@ -73,6 +96,27 @@ def top_changed(rows: DataFrame, k: int = 5) -> DataFrame:
     return class_counts(rows).select("class", F.round("p", 8).alias("p"), F.round("q", 8).alias("q"), F.round(F.abs(F.col("q") - F.col("p")), 8).alias("change")).orderBy(F.desc("change"), "class").limit(k)
 
 
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of the standard normal, by a polynomial that is right to seven digits."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = reduce(lambda sum_, c: (sum_ + c) * t, (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592), F.lit(0.0))
+    upper = poly * F.exp(-x * x) / 2
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+def chi_square_p(chi2: Column, df: Column) -> Column:
+    """P-value by the cube root's approximate normality; 1 without freedom or difference."""
+    v = 2.0 / (9.0 * df)
+    return F.when((df <= 0) | (chi2 <= 0), 1.0).otherwise(normal_tail((F.pow(chi2 / df, F.lit(1.0 / 3.0)) - (1 - v)) / F.sqrt(v)))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs by its t statistic, taken as normal; 1 for under three pairs."""
+    t = F.abs(r) * F.sqrt(F.greatest(n - 2, F.lit(0)) / F.greatest(1 - r * r, F.lit(EPSILON)))
+    return F.when(n < 3, 1.0).otherwise(2 * normal_tail(t))
+
+
 def chi_square(rows: DataFrame, least: float = 5.0) -> DataFrame:
     """Sum of (o - e)^2 / e over classes whose expected count is above ``least``."""
     expected = F.col("p") * F.col("tc")
@@ -80,6 +124,29 @@ def chi_square(rows: DataFrame, least: float = 5.0) -> DataFrame:
     return rows.agg(F.round(F.sum(F.pow(F.col("c") - F.col("e"), 2) / F.col("e")), 6).alias("chi2"), (F.count("*") - 1).alias("df"))
 
 
+def chi_square_test(rows: DataFrame, level: float = 0.05) -> DataFrame:
+    """:func:`chi_square` with its p-value and decision."""
+    p = chi_square_p(F.col("chi2"), F.col("df"))
+    return chi_square(rows).select("chi2", "df", F.round(p, 6).alias("p_value"), (p < level).alias("drift"))
+
+
+def by_model(reference: DataFrame, current: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """(model_id, x) of two windows side by side: sizes, means, and the shift in the reference's deviations."""
+    stats = lambda rows, p: rows.groupBy("model_id").agg(F.count("x").alias(f"{p}_n"), F.avg("x").alias(f"{p}_mean"), F.stddev_samp("x").alias(f"{p}_sd"))
+    both = stats(reference, "ref").join(stats(current, "cur"), "model_id", "full")
+    shift = F.try_divide(F.abs(F.col("cur_mean") - F.col("ref_mean")), F.col("ref_sd"))
+    return both.select("model_id", F.coalesce("ref_n", F.lit(0)).alias("ref_n"), F.coalesce("cur_n", F.lit(0)).alias("cur_n"), F.round(shift, 8).alias("shift"), F.coalesce(shift > threshold, F.lit(False)).alias("drift"))
+
+
+def drift_trend(alerts: DataFrame, hours: int) -> DataFrame:
+    """Mean score of each drift type by interval and how it moves against the interval before."""
+    at = F.floor(F.unix_seconds(F.col("detected_at").cast("timestamp")) / (hours * 3600))
+    rows = alerts.groupBy("drift_type", at.alias("slot")).agg(F.count("*").alias("n"), F.avg("score").alias("s"))
+    move = F.col("s") - F.lag("s").over(Window.partitionBy("drift_type").orderBy("slot"))
+    trend = F.when(move > 0.01, "up").when(move < -0.01, "down").otherwise("flat")
+    return rows.withColumn("trend", trend).select("drift_type", "slot", "n", F.round("s", 8).alias("score"), "trend")
+
+
 def feature_stats(rows: DataFrame) -> DataFrame:
     return rows.where("side = 'ref'").groupBy("feature").agg(
         F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")

@@ -92,6 +92,39 @@ def injection(text: Column) -> Column:
     )
 
 
+#: Name and pattern of what looks like delimiters of another prompt.
+DELIMITERS = [
+    ("bracket_delimiter", r"\[\[|]]|\{\{|\}\}|<<<|>>>"),
+    ("horizontal_delimiter", r"---+|===+|\*\*\*+"),
+    ("code_block", r"```.*```"),
+    ("special_delimiter", r"<\|.*\|>"),
+    ("whitespace_delimiter", r"\\n\\n\\n|\\r\\n\\r\\n"),
+]
+
+
+def delimiters(text: Column) -> Column:
+    """Names of the delimiters in a text; any of them makes the risk at least medium."""
+    return F.array_compact(F.array(*(F.when(text.rlike(pattern), F.lit(name)) for name, pattern in DELIMITERS)))
+
+
+def normalised(text: Column) -> Column:
+    """ASCII letters and digits in lower case, words parted by single blanks."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def listed(text: Column, blocked: list[str], allowed: list[str]) -> Column:
+    """allowed for a text that is on the one list as a whole, blocked for one that holds a phrase of the other."""
+    low = normalised(text)
+    hit = reduce(Column.__or__, (F.contains(low, F.lit(b)) for b in blocked), F.lit(False))
+    return F.when(low.isin(*allowed), "allowed").when(hit, "blocked").otherwise("neither")
+
+
+def fan_in(similarity: DataFrame, rules: DataFrame, least: float = 0.7) -> DataFrame:
+    """(id, score) of a similarity and (id, score, passed) of rules: the mean score, and whether all passed."""
+    both = similarity.select("id", "score", (F.col("score") >= least).alias("passed")).unionByName(rules.select("id", "score", "passed"))
+    return both.groupBy("id").agg(F.round(F.avg("score"), 8).alias("score"), F.bool_and("passed").alias("passed"), F.count("*").alias("n"))
+
+
 def encoded_payloads(text: Column) -> Column:
     """Printable texts of over ten characters behind Base64 (20 or more) or hexadecimal (40 or more) runs."""
     base64 = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/]{20,}={0,2}"), F.lit(0))

@@ -118,6 +118,55 @@ def greedy_clusters(rows: DataFrame, threshold: float = 0.7, least: int = 3) ->
     return found.withColumn("size", size).where(F.col("size") >= least)
 
 
+def describe_clusters(rows: DataFrame, words: int = 10) -> DataFrame:
+    """(cluster, text, user_id, timestamp): size, most common text, most common words, a name and a severity.
+
+    Severity weighs size (50 is full), age against the newest row (a day to 1/e) and users (20 is full) by
+    0.4, 0.3 and 0.3.  Ties go to the text or word that comes first.
+    """
+    newest = rows.agg(F.max("timestamp").alias("as_of"))
+    common = rows.groupBy("cluster", "text").agg(F.count("*").alias("k"))
+    common = common.groupBy("cluster").agg(F.min_by("text", F.struct(-F.col("k"), "text")).alias("representative"))
+    token = F.explode(F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) >= 3))
+    counts = rows.select("cluster", token.alias("word")).groupBy("cluster", "word").agg(F.count("*").alias("k"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("k"), "word"))
+    top = counts.withColumn("r", rank).where(F.col("r") <= words).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("keywords"))
+    out = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("user_id").alias("users"), F.max("timestamp").alias("last_at"))
+    out = out.join(common, "cluster").join(top, "cluster", "left").join(F.broadcast(newest))
+    hours = F.floor((F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("last_at").cast("timestamp"))) / 3_600_000_000)
+    severity = 0.4 * F.least(F.lit(1.0), F.col("size") / 50) + 0.3 * F.exp(-hours / 24) + 0.3 * F.least(F.lit(1.0), F.col("users") / 20)
+    name = F.concat(F.array_join(F.slice("keywords", 1, 2), " - "), F.lit(" ("), F.col("size"), F.lit(" failures)"))
+    return out.select("cluster", "size", "users", "representative", "keywords", name.alias("name"), F.round(severity, 8).alias("severity"))
+
+
+def assign_to_clusters(failures: DataFrame, clusters: DataFrame, least: float = 0.7) -> DataFrame:
+    """(seq, text) to the cluster whose representative has the most words in common, by Jaccard; none below ``least``.
+
+    Only pairs with a common word meet, in a join on the word.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) >= 3))
+    a = failures.select("seq", words("text").alias("a"))
+    b = clusters.select("cluster", words("representative").alias("b"))
+    met = a.select("seq", F.size("a").alias("n"), F.explode("a").alias("w")).join(b.select("cluster", F.size("b").alias("m"), F.explode("b").alias("w")), "w")
+    both = met.groupBy("seq", "cluster", "n", "m").agg(F.count("*").alias("k"))
+    score = both.withColumn("score", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).where(F.col("score") >= least)
+    best = score.groupBy("seq").agg(F.max_by(F.struct("cluster", "score"), F.struct("score", -F.col("cluster"))).alias("best"))
+    return failures.join(best, "seq", "left").select("seq", F.col("best.cluster").alias("cluster"), F.round("best.score", 8).alias("score"))
+
+
+def rca_triggers(results: DataFrame, least: float = 0.7) -> DataFrame:
+    """(model_id, drift, severity, safe, risk): rows that call for an analysis, and why."""
+    drift, unsafe = F.col("drift") & (F.col("severity") >= least), ~F.col("safe") & (F.col("risk") >= least)
+    why = F.concat_ws(",", F.when(drift, "drift"), F.when(unsafe, "safety"))
+    return results.withColumn("why", why).where("why <> ''")
+
+
+def critical_tokens(influence: DataFrame, least: float = 0.1, most: int = 10) -> DataFrame:
+    """Of (id, position, token, influence): up to ten tokens of a text that carry more than ``least``."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("influence"), "position"))
+    return influence.where(F.col("influence") > least).withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
+
+
 def _climb(spans: DataFrame) -> DataFrame:
     """Each span with its root (a span whose parent is not there), the depth below it, and whether all steps down to it are the heaviest.
 

@@ -6,6 +6,7 @@ taken anew from the base rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,6 +83,35 @@ def breakdown(traces: DataFrame, dimension: str) -> DataFrame:
     return grouped.join(F.broadcast(total)).select("value", "cost_micros", "requests", F.round(100.0 * F.col("cost_micros") / F.col("total"), 6).alias("percent"))
 
 
+def breakdowns(traces: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """Cost by each of several dimensions in one pass, with the share of the total."""
+    out = traces.groupingSets([[F.col(d)] for d in dimensions], *(F.col(d) for d in dimensions)).agg(
+        F.sum("cost_micros").alias("cost_micros"), F.count("*").alias("requests"), *(F.grouping(d).alias(f"_{d}") for d in dimensions)
+    )
+    name = F.coalesce(*(F.when(F.col(f"_{d}") == 0, F.lit(d)) for d in dimensions))
+    value = F.coalesce(*(F.when(F.col(f"_{d}") == 0, F.col(d).cast("string")) for d in dimensions))
+    whole = traces.agg(F.sum("cost_micros").alias("total"))
+    return out.join(F.broadcast(whole)).select(name.alias("dimension"), value.alias("value"), "cost_micros", "requests", F.round(100.0 * F.col("cost_micros") / F.col("total"), 6).alias("percent"))
+
+
+def cost_summary(traces: DataFrame) -> DataFrame:
+    """Total cost, requests, tokens, cost a request, and the most costly model, in one row."""
+    by_model = traces.groupBy("model_id").agg(F.sum("cost_micros").alias("c"), F.count("*").alias("n"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("t"))
+    return by_model.agg(
+        F.sum("c").alias("cost_micros"),
+        F.sum("n").alias("requests"),
+        F.sum("t").alias("tokens"),
+        F.round(F.sum("c") / F.sum("n"), 6).alias("cost_per_request"),
+        F.max_by("model_id", F.struct("c", "model_id")).alias("top_model"),
+    )
+
+
+def hourly_costs(traces: DataFrame) -> DataFrame:
+    return traces.groupBy(hour().alias("hour"), "model_id", "user_id", "feature_id", "environment").agg(
+        F.count("*").alias("requests"), F.sum("cost_micros").alias("cost_micros"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens")
+    )
+
+
 def timeline(traces: DataFrame, period: str = "day") -> DataFrame:
     return traces.groupBy(F.date_trunc(period, "timestamp").cast("timestamp_ntz").alias("bucket")).agg(
         F.sum("cost_micros").alias("cost_micros"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.count("*").alias("requests")
@@ -176,6 +206,111 @@ def slice_grouping_sets(traces: DataFrame, least: int = 100) -> DataFrame:
     return out.where(F.col("n") >= least)
 
 
+#: Slice dimensions and their columns or expressions.
+DIMENSIONS = {
+    "model": "model_id",
+    "user": "user_id",
+    "feature": "feature_id",
+    "input_length": "input_tokens",
+    "output_length": "output_tokens",
+    "latency": "floor(latency_ms / 10)",
+    "time_of_day": "hour(timestamp)",
+    "day_of_week": "weekday(timestamp) + 1",
+    "prompt_template": "prompt_template",
+    "provider": "provider",
+    "environment": "environment",
+}
+
+
+def slices(traces: DataFrame, least: int = 100) -> DataFrame:
+    """All slice metrics over all dimensions, in one pass, for slices that are large enough."""
+    names = list(DIMENSIONS)
+    base = traces.select("*", *(F.expr(e).cast("string").alias(f"_{d}") for d, e in DIMENSIONS.items()))
+    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    share = lambda c: F.round(F.avg(c.cast("double")), 8)
+    out = base.groupingSets([[F.col(f"_{d}")] for d in names], *(F.col(f"_{d}") for d in names)).agg(
+        F.count("*").alias("n"),
+        share(F.col("is_error")).alias("error_rate"),
+        p.alias("_p"),
+        F.sum("cost_micros").alias("cost"),
+        F.round(F.avg(F.col("input_tokens") + F.col("output_tokens")), 6).alias("token_usage"),
+        share(F.col("toxicity_score") > 0.5).alias("toxicity_rate"),
+        share(F.col("hallucination_score") > 0.5).alias("hallucination_rate"),
+        F.round(F.avg("drift_score"), 6).alias("drift_score"),
+        *(F.grouping(f"_{d}").alias(f"g_{d}") for d in names),
+    )
+    name = F.coalesce(*(F.when(F.col(f"g_{d}") == 0, F.lit(d)) for d in names))
+    value = F.coalesce(*(F.when(F.col(f"g_{d}") == 0, F.col(f"_{d}")) for d in names))
+    latencies = [F.round(F.col("_p")[i], 6).alias(n) for i, n in enumerate(("latency_p50", "latency_p95", "latency_p99"))]
+    rest = ("error_rate", "cost", "token_usage", "toxicity_rate", "hallucination_rate", "drift_score")
+    return out.where(F.col("n") >= least).select(name.alias("dimension"), value.alias("slice"), "n", *latencies, *rest)
+
+
+def slices_against_baseline(traces: DataFrame, dimension: str, hours: int, least: int = 20) -> DataFrame:
+    """Error rate of each slice in the last hours against its own over seven times as long before the newest row."""
+    newest = traces.agg(F.max("timestamp").alias("as_of"))
+    rows = traces.join(F.broadcast(newest)).where(F.expr(f"timestamp > as_of - INTERVAL {7 * hours} HOURS"))
+    late = F.expr(f"timestamp > as_of - INTERVAL {hours} HOURS")
+    error = F.col("is_error").cast("double")
+    out = rows.groupBy(F.col(dimension).alias("slice")).agg(F.count_if(late).alias("n"), F.avg(F.when(late, error)).alias("rate"), F.avg(error).alias("base"))
+    deviation = F.try_divide(F.col("rate") - F.col("base"), F.col("base"))
+    return out.where(F.col("n") >= least).select("slice", "n", F.round("rate", 8).alias("rate"), F.round("base", 8).alias("baseline"), F.round(deviation, 8).alias("deviation"))
+
+
+def with_evaluations(traces: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """Traces with how many evaluations they have, their mean score and how many failed; none gives 0 and null."""
+    own = evaluations.groupBy("trace_id").agg(F.count("*").alias("n_evaluations"), F.round(F.avg("score"), 8).alias("avg_score"), F.count_if(F.col("verdict") == "fail").alias("n_failed"))
+    out = traces.join(own, "trace_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_evaluations", "n_failed")})
+
+
+def hourly_quality(traces: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """Error rate, p95 latency and mean score of each hour."""
+    calls = traces.groupBy(hour().alias("hour")).agg(F.round(F.avg(F.col("is_error").cast("double")), 8).alias("error_rate"), F.round(F.percentile("latency_ms", 0.95), 6).alias("p95_latency"))
+    scores = evaluations.groupBy(hour().alias("hour")).agg(F.round(F.avg("score"), 8).alias("quality"))
+    return calls.join(scores, "hour", "left")
+
+
+def trace_page_with_total(traces: DataFrame, where: Column | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """:func:`trace_page` with the number of all rows that the filter lets through."""
+    rows = traces if where is None else traces.where(where)
+    return trace_page(traces, where, limit, offset).join(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def system_health(models: DataFrame) -> DataFrame:
+    """(model_id, health, drift, alerts), the latest of each model: mean health, models that drift, all alerts."""
+    return models.agg(F.round(F.avg("health"), 8).alias("health"), F.count_if("drift").alias("drifted"), F.sum("alerts").alias("alerts"), F.count("*").alias("models"))
+
+
+def unexpired(rows: DataFrame, days: int, column: str = "timestamp") -> DataFrame:
+    """Rows of the last days before the newest; what is older has expired."""
+    newest = rows.agg(F.max(column).alias("_newest"))
+    return rows.join(F.broadcast(newest)).where(F.expr(f"`{column}` > _newest - INTERVAL {days} DAYS")).drop("_newest")
+
+
+#: How long a parameter may be, and which statuses and dimensions there are.
+MOST_CHARACTERS = 256
+STATUSES = ("ok", "error", "timeout", "cancelled", "unknown")
+COST_DIMENSIONS = ("model", "user", "feature", "service", "environment", "provider")
+
+
+def valid_identifier(c: Column) -> Column:
+    return F.coalesce(F.length(c).between(1, MOST_CHARACTERS) & c.rlike(r"\A[a-zA-Z0-9_.\-]+\z"), F.lit(False))
+
+
+def valid_time(c: Column) -> Column:
+    """A date, or a date and time with an optional fraction and zone."""
+    return F.coalesce((F.length(c) <= 30) & c.rlike(r"\A\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?\z"), F.lit(False))
+
+
+def valid_status(c: Column) -> Column:
+    return F.coalesce(c.isin(*STATUSES), F.lit(False))
+
+
+def preview(c: Column, most: int = 1000) -> Column:
+    return F.left(c, F.lit(most))
+
+
 def slice_impact(traces: DataFrame, dimension: str, least: int = 50, deviation: float = 0.1, most: int = 50) -> DataFrame:
     """Slices whose error rate is off the baseline: deviation, an approximate p-value, interval and impact."""
     base = traces.agg(F.avg(F.col("is_error").cast("double")).alias("base"), F.count("*").alias("total"))
@@ -214,8 +349,9 @@ def against_baseline(traces: DataFrame, metric: Column, factor: float) -> DataFr
 
 
 def histogram(traces: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame:
-    """Cumulative buckets of a client histogram; a value that equals a bound falls in the next bucket."""
-    counts = [F.count_if(F.col(column) < b).alias(f"b{i}") for i, b in enumerate(bounds)]
+    """Cumulative buckets of a client histogram, the last without a bound; a value that equals a bound falls in the next bucket."""
+    bounds = [*bounds, math.inf]
+    counts = [(F.count(column) if math.isinf(b) else F.count_if(F.col(column) < b)).alias(f"b{i}") for i, b in enumerate(bounds)]
     row = traces.agg(*counts, F.count(column).alias("total"), F.round(F.sum(column), 4).alias("total_sum"))
     le = F.array(*(F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("cumulative")) for i, b in enumerate(bounds)))
     return row.select(F.explode(le).alias("x"), "total", "total_sum").select("x.le", "x.cumulative", "total", "total_sum")

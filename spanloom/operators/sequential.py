@@ -1,12 +1,14 @@
 """Operators whose next step depends on what they decided before, one state a key.
 
 Rows of a key are ordered by (timestamp, seq).  Where a window function can express the rule until its
-first alarm, it does; rules that reset, block or drop keep their state in Arrow-batched group functions.
+first alarm, it does; rules that reset, block or drop carry a small state along the key's sorted rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,58 +16,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _grouped(rows: DataFrame, step, schema: str) -> DataFrame:
-    """``step(sorted frame)`` gives the new columns of one key."""
+def in_order(rows: DataFrame, start, step, schema: str) -> DataFrame:
+    """``step(state, frame)`` gives the new rows of a run of one key's rows, in order, and moves its state on.
+
+    Rows of a key stream through one task in Arrow batches; only the state is held, which ``start()`` makes.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = object(), None
+        for frame in frames:
+            keys = frame["key"].to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if keys[i] != key:
+                    key, state = keys[i], start()
+                yield step(state, frame.iloc[i:j])
+
+    return rows.repartition("key").sortWithinPartitions("key", "timestamp", "seq").mapInPandas(run, schema)
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        return step(frame.sort_values(["timestamp", "seq"], kind="stable"))
 
-    return rows.groupBy("key").applyInPandas(one, schema)
+def _seconds(frame: pd.DataFrame) -> np.ndarray:
+    return frame["timestamp"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
 
 
 def admit(rows: DataFrame, limit: int) -> DataFrame:
     """Sequential budget: an amount that would pass the limit is blocked and not added."""
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        spent, allowed, after = 0, [], []
+    def step(state: dict, frame: pd.DataFrame) -> pd.DataFrame:
+        allowed, after = [], []
         for amount in frame["amount"]:
-            ok = spent + amount <= limit
-            spent += amount if ok else 0
+            ok = state["spent"] + amount <= limit
+            state["spent"] += amount if ok else 0
             allowed.append(ok)
-            after.append(spent)
+            after.append(state["spent"])
         return pd.DataFrame({"key": frame["key"], "seq": frame["seq"], "allowed": allowed, "spent": after})
 
-    return _grouped(rows, step, "key string, seq long, allowed boolean, spent long")
+    return in_order(rows, lambda: {"spent": 0}, step, "key string, seq long, allowed boolean, spent long")
 
 
 def token_bucket(rows: DataFrame, rate: float, burst: float) -> DataFrame:
     """Sampling at ``rate`` a second with a burst; ``timestamp`` decides how far a bucket has filled."""
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        seconds = frame["timestamp"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
-        left, last, kept = burst, None, []
-        for now in seconds:
-            left = burst if last is None else min(burst, left + (now - last) * rate)
+    def step(state: dict, frame: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for now in _seconds(frame):
+            last = state["last"]
+            left = burst if last is None else min(burst, state["left"] + (now - last) * rate)
             kept.append(left >= 1)
-            left -= kept[-1]
-            last = now
+            state.update(left=left - kept[-1], last=now)
         return pd.DataFrame({"key": frame["key"], "seq": frame["seq"], "kept": kept})
 
-    return _grouped(rows, step, "key string, seq long, kept boolean")
+    return in_order(rows, lambda: {"left": burst, "last": None}, step, "key string, seq long, kept boolean")
 
 
 def cooldown(rows: DataFrame, seconds: float) -> DataFrame:
     """Alerts that go out: the first, then each that comes ``seconds`` or more after the last that went out."""
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        times = frame["timestamp"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
-        last, sent = -math.inf, []
-        for now in times:
-            sent.append(now - last >= seconds)
-            last = now if sent[-1] else last
+    def step(state: dict, frame: pd.DataFrame) -> pd.DataFrame:
+        sent = []
+        for now in _seconds(frame):
+            sent.append(now - state["last"] >= seconds)
+            state["last"] = now if sent[-1] else state["last"]
         return pd.DataFrame({"key": frame["key"], "seq": frame["seq"], "sent": sent})
 
-    return _grouped(rows, step, "key string, seq long, sent boolean")
+    return in_order(rows, lambda: {"last": -math.inf}, step, "key string, seq long, sent boolean")
+
+
+def rate_limits(rows: DataFrame, limits: dict[float, int]) -> DataFrame:
+    """Which rows pass when at most so many go out in any so many seconds before, for all limits at once."""
+
+    def step(state: dict, frame: pd.DataFrame) -> pd.DataFrame:
+        sent, out = state["sent"], []
+        for now in _seconds(frame):
+            while sent and now - sent[0] >= max(limits):
+                sent.popleft()
+            held = np.fromiter(sent, float, len(sent))
+            out.append(all((now - held < width).sum() < most for width, most in limits.items()))
+            if out[-1]:
+                sent.append(now)
+        return pd.DataFrame({"key": frame["key"], "seq": frame["seq"], "sent": out})
+
+    return in_order(rows, lambda: {"sent": deque()}, step, "key string, seq long, sent boolean")
 
 
 def _order() -> tuple:
@@ -121,8 +152,8 @@ def adwin(rows: DataFrame, delta: float = 0.002, least: int = 30, most: int = 10
     Hoeffding bound drops the older side.
     """
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        sums, counts, cuts = np.zeros(0), np.zeros(0), []
+    def step(state: dict, frame: pd.DataFrame) -> pd.DataFrame:
+        sums, counts, cuts = state["sums"], state["counts"], []
         for seq, x in zip(frame["seq"], frame["x"], strict=True):
             sums, counts = np.append(sums, x), np.append(counts, 1.0)
             if len(sums) > most:
@@ -141,9 +172,10 @@ def adwin(rows: DataFrame, delta: float = 0.002, least: int = 30, most: int = 10
                     k = int(cut[0]) + 1
                     sums, counts = sums[k:], counts[k:]
                     cuts.append((seq, int(counts.sum()), float(sums.sum() / counts.sum())))
+        state.update(sums=sums, counts=counts)
         return pd.DataFrame([(frame["key"].iloc[0], *c) for c in cuts], columns=["key", "seq", "width", "mean"])
 
-    return _grouped(rows, step, "key string, seq long, width long, mean double")
+    return in_order(rows, lambda: {"sums": np.zeros(0), "counts": np.zeros(0)}, step, "key string, seq long, width long, mean double")
 
 
 def streak(rows: DataFrame, violated: Column) -> DataFrame:

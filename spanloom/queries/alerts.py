@@ -42,7 +42,7 @@ def suppressed(s, d):
 
 def composite(s, d):
     p = _points(s, d)
-    return A.composite({"high": A.threshold(p, 60.0, 1), "odd": A.anomaly(p, 2.5)}, True)
+    return A.composite({"high": A.threshold(p, 60.0, 1), "odd": A.anomaly(p, 2.5, 50)}, True)
 
 
 def span_states(s, d):
@@ -98,7 +98,7 @@ ORACLE_SQL = {
       s AS (SELECT key, seq, CASE WHEN sd > 0 AND v[n] > m + 3 * sd THEN 'spike' WHEN sd > 0 AND v[n] < m - 3 * sd THEN 'dip' WHEN sd > 0 AND abs(m2 - m1) > 2 * sd THEN 'step'
         WHEN ups >= 0.8 * (n - 1) THEN 'rise' WHEN ups <= 0.2 * (n - 1) THEN 'fall' END AS pattern FROM m)
       SELECT * FROM s WHERE pattern IS NOT NULL""",
-    "composite_rule": f"{_O}, {_ANOMALY} SELECT key, seq, 'high,odd' AS rules FROM a WHERE n >= 100 AND s > 0 AND abs((x - m) / s) > 2.5 AND x > 60",
+    "composite_rule": f"{_O}, {_ANOMALY} SELECT key, seq, 'high,odd' AS rules FROM a WHERE n >= 50 AND s > 0 AND abs((x - m) / s) > 2.5 AND x > 60",
     "alert_dedup_gap": _EVENTS + "SELECT seq, fingerprint, is_new, episode FROM n",
     "alert_suppression": _EVENTS
     + """SELECT seq, fingerprint FROM e WHERE NOT ("timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" < TIMESTAMP '2024-01-08' AND model_id = 'model_1')

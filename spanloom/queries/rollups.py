@@ -170,8 +170,8 @@ ORACLE_SQL = {
       FROM traces GROUP BY 1""",
     "error_spikes": _baseline("avg(CAST(is_error AS DOUBLE))", 2.0),
     "latency_degradation": _baseline("quantile_cont(latency_ms, 0.95)", 1.5),
-    "client_histogram": f"""{_T} SELECT le, (SELECT count(*) FROM traces WHERE latency_ms < le) AS cumulative, (SELECT count(latency_ms) FROM traces) AS total,
-      (SELECT round(sum(latency_ms), 4) FROM traces) AS total_sum FROM (SELECT unnest([1.0, 5.0, 10.0, 50.0, 100.0]::DOUBLE[]) AS le)""",
+    "client_histogram": f"""{_T} SELECT le, (SELECT count(*) FROM traces WHERE latency_ms < le OR isinf(le)) AS cumulative, (SELECT count(latency_ms) FROM traces) AS total,
+      (SELECT round(sum(latency_ms), 4) FROM traces) AS total_sum FROM (SELECT unnest([1.0::DOUBLE, 5.0::DOUBLE, 10.0::DOUBLE, 50.0::DOUBLE, 100.0::DOUBLE, 'inf'::DOUBLE]) AS le)""",
     "active_drift_alerts": f"""{_A} SELECT *, CAST(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS INTEGER) AS severity_rank
       FROM drift_alerts WHERE status = 'open' AND severity IN ('high', 'critical') ORDER BY severity_rank DESC, detected_at DESC, alert_id LIMIT 100""",
     "drift_heatmap": f"""{_A} SELECT feature, {", ".join(f"max(score) FILTER (model_id = 'model_{i}') AS model_{i}" for i in range(5))} FROM drift_alerts GROUP BY 1""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.plans import guard
+from spanloom.session import Workspace
 from spanloom.sources import otlp
 from spanloom.sources import views as V
 from spanloom.sources.tables import table
@@ -36,18 +37,18 @@ def otlp_flatten(s, d):
 
 def stream_rollup(s, d):
     spans = jobs.event_spans(jobs.file_stream(s, d, "events"))
-    out = jobs.to_table(jobs.rollup(spans), "complete", "rollup")
+    out = jobs.to_table(jobs.rollup(spans), "complete", Workspace(s, "rollup").root)
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "model_id", "n", F.round("latency_sum", 4).alias("latency_sum"), "errors")
 
 
 def stream_distinct(s, d):
     events = jobs.file_stream(s, d, "events")
     twice = jobs.event_spans(events).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return jobs.to_table(jobs.distinct_spans(twice), "append", "distinct").select("trace_id", "service_name")
+    return jobs.to_table(jobs.distinct_spans(twice), "append", Workspace(s, "distinct").root).select("trace_id", "service_name")
 
 
 def stream_limited(s, d):
-    return jobs.to_table(jobs.rate_limited(jobs.event_spans(jobs.file_stream(s, d, "events")), 1 / 3600, 10.0), "append", "limited")
+    return jobs.to_table(jobs.rate_limited(jobs.event_spans(jobs.file_stream(s, d, "events")), 1 / 3600, 10.0), "append", Workspace(s, "limited").root)
 
 
 def guarded(s, d):

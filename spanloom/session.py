@@ -30,12 +30,17 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``; where unset, one beside the warehouse's tables.
+
+    Only a session on one machine, as in tests, gets a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_spanloom"
         folder = tempfile.mkdtemp(prefix="spanloom-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -70,6 +75,11 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        """Delete all of this workspace's tables: once nothing that was made from them is read any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files behind a table from :meth:`save` that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -62,6 +62,26 @@ TRACES_SQL = """traces AS (
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events))"""
 
 
+def wide_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Traces with the further slice columns."""
+    k = F.col("input_tokens")
+    return traces(spark, folder).select(
+        "*",
+        F.concat(F.lit("feature_"), k % 6).alias("feature_id"),
+        F.element_at(F.array(F.lit("prod"), F.lit("staging"), F.lit("dev")), (k % 3 + 1).cast("int")).alias("environment"),
+        F.concat(F.lit("template_"), F.col("seq") % 4).alias("prompt_template"),
+        (F.col("seq") % 11 / 10.0).alias("toxicity_score"),
+        (F.col("seq") % 9 / 8.0).alias("hallucination_score"),
+        (F.col("seq") % 7 / 7.0).alias("drift_score"),
+    )
+
+
+WIDE_SQL = """wide AS (
+  SELECT *, 'feature_' || CAST(input_tokens % 6 AS VARCHAR) AS feature_id, (['prod', 'staging', 'dev'])[CAST(input_tokens % 3 + 1 AS INTEGER)] AS environment,
+    'template_' || CAST(seq % 4 AS VARCHAR) AS prompt_template, seq % 11 / 10.0::DOUBLE AS toxicity_score, seq % 9 / 8.0::DOUBLE AS hallucination_score,
+    seq % 7 / 7.0::DOUBLE AS drift_score FROM traces)"""
+
+
 def evaluations(spark: SparkSession, folder: str) -> DataFrame:
     """One evaluation per label: quality decides the verdict."""
     labels = table(spark, folder, "labels")

@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.session import Workspace
-
 LATE = "10 minutes"
 
 
@@ -77,21 +75,19 @@ def run_once(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None
     query.awaitTermination()
 
 
-def to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """The stream's result as a written table: the last batch in complete mode, else all batches.
+def to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Work off what is there and give the stream's result as a table: the last batch in complete mode, else all.
 
-    A batch has its own folder by number, so one that is run again after a failure replaces itself.
+    ``folder`` is one that all executors see.  It holds the checkpoint and the batches, so a later call with
+    the same folder goes on where this one ended.  A batch has its own folder by number: one that is run
+    again after a failure replaces itself.
     """
     spark = stream.sparkSession
-    work = Workspace(spark, name)
-    done: list[int] = []
-
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work.root}/batch-{number}")
-        done.append(number)
-
-    run_once(stream, mode, sink, f"{work.root}/checkpoint")
+    run_once(stream, mode, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}"), f"{folder}/checkpoint")
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch-*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    done = sorted(int(status.getPath().getName().removeprefix("batch-")) for status in found)
     if not done:
         return spark.createDataFrame([], stream.schema)
     wanted = done[-1:] if mode == "complete" else done
-    return spark.read.schema(stream.schema).parquet(*(f"{work.root}/batch-{n}" for n in wanted))
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/batch-{n}" for n in wanted))

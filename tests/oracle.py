@@ -21,7 +21,7 @@ def connect(folder: str = DATA):
 def rows(frame: pd.DataFrame) -> list[tuple]:
     out = []
     for row in frame[sorted(frame.columns)].itertuples(index=False):
-        out.append(tuple("null" if v is None or v is pd.NaT or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in row))
+        out.append(tuple("null" if v is None or v is pd.NaT or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in row))
     return sorted(out)
 
 

@@ -34,6 +34,90 @@ def test_token_bucket_and_cooldown(spark):
     assert sent == {0: True, 1: False, 2: False, 3: True, 4: True, 5: False}
 
 
+def test_state_goes_on_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rng = random.Random(9)
+        points = [(k, t, 1) for k in "abc" for t in sorted(rng.sample(range(300), 40))]
+        rows = stream(spark, points, "long").withColumnRenamed("x", "amount")
+        got = {r.seq: r.sent for r in sequential.rate_limits(rows, {30.0: 2, 100.0: 5}).collect()}
+        for key in "abc":
+            sent = []
+            for i, (k, t, _) in enumerate(points):
+                if k == key:
+                    ok = sum(t - x < 30 for x in sent) < 2 and sum(t - x < 100 for x in sent) < 5
+                    assert got[i] == ok
+                    sent += [t] if ok else []
+        spent = {r.seq: r.spent for r in sequential.admit(rows, 25).collect()}
+        assert all(spent[i] == min(i % 40 + 1, 25) for i in range(120))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_alerts_meet_limits_maintenance_silences_and_duplicates_in_this_order(spark):
+    rng = random.Random(3)
+    points = [(k, t, f"f{rng.randint(0, 3)}") for k in "ab" for t in sorted(rng.sample(range(6000), 80))]
+    rows = stream(spark, points, "string").withColumnRenamed("x", "fingerprint").withColumns({"maintenance": F.col("seq") % 7 == 0, "silenced": F.col("seq") % 5 == 0})
+    got = {r.seq: r.outcome for r in alerts.process(rows, 5, {600.0: 2, 3000.0: 4}).collect()}
+    for key in "ab":
+        sent, seen = [], {}
+        for i, (k, t, mark) in enumerate(points):
+            if k != key:
+                continue
+            if sum(t - x <= 600 for x in sent) >= 2 or sum(t - x <= 3000 for x in sent) >= 4:
+                want = "rate limited"
+            elif i % 7 == 0:
+                want = "maintenance"
+            elif i % 5 == 0:
+                want = "silenced"
+            else:
+                want = "duplicate" if mark in seen and t - seen[mark] < 300 else "new"
+                seen[mark] = t
+                sent += [t] if want == "new" else []
+            assert got[i] == want
+    assert set(got.values()) == {"rate limited", "maintenance", "silenced", "duplicate", "new"}
+
+
+def test_streams_go_on_in_their_folder(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from spanloom.streaming import jobs
+
+    def stream_of():
+        schema = "trace_id string, timestamp timestamp, service_name string"
+        return jobs.distinct_spans(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+
+    def put(name, ids):
+        times = pa.array([1_700_000_000_000_000] * len(ids), pa.timestamp("us", "UTC"))
+        pq.write_table(pa.table({"trace_id": ids, "timestamp": times, "service_name": ["s"] * len(ids)}), tmp_path / "in" / f"{name}.parquet")
+
+    (tmp_path / "in").mkdir()
+    put("a", ["1", "2", "2"])
+    assert jobs.to_table(stream_of(), "append", str(tmp_path / "out")).count() == 2
+    put("b", ["2", "3"])
+    assert sorted(r.trace_id for r in jobs.to_table(stream_of(), "append", str(tmp_path / "out")).collect()) == ["1", "2", "3"]
+
+
+def test_validators_and_lists(spark):
+    from spanloom.operators import rollups
+
+    texts = ["abc-1_2.x", "a b", "", "x" * 300, None, "ok", "2024-01-02", "2024-01-02T03:04:05.6Z", "2024-1-2", "2024-01-02T03:04:05+01:00\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(rollups.valid_identifier(F.col("t")).alias("i"), rollups.valid_time(F.col("t")).alias("d"), rollups.valid_status(F.col("t")).alias("s")).collect()
+    assert [r.i for r in got] == [True, False, False, False, False, True, True, False, True, False]
+    assert [r.d for r in got] == [False] * 6 + [True, True, False, False] and [r.s for r in got] == [t == "ok" for t in texts]
+    listed = spark.createDataFrame([("The",), ("my PASSWORD, please",), ("x",)], "t string").select(E.listed(F.col("t"), ["my password"], ["the"]).alias("l")).collect()
+    assert [r.l for r in listed] == ["allowed", "blocked", "neither"]
+
+
+def test_tails_of_the_normal(spark):
+    z = [-3.0, -1.0, 0.0, 0.5, 1.96, 4.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select(drift.normal_tail(F.col("z")).alias("p")).collect()
+    for v, r in zip(z, got, strict=True):
+        assert r.p == pytest.approx(math.erfc(v / math.sqrt(2)) / 2, abs=1e-6)
+
+
 def test_adwin_sees_a_change(spark):
     rng = random.Random(1)
     rows = stream(spark, [("a", t, float(rng.random() < (0.1 if t < 400 else 0.7))) for t in range(800)] + [("b", t, 0.5) for t in range(300)])
