@@ -216,36 +216,66 @@ def mean_cosine_drift(vectors: DataFrame) -> DataFrame:
     return _sides(vectors, True).select(F.round(score, 6).alias("score"), (score > 0.1).alias("drift"))
 
 
-def mmd(groups: DataFrame, permutations: int = 100, seed: int = 7) -> DataFrame:
+def mmd(groups: DataFrame, permutations: int = 100, seed: int = 7, block: int = 512) -> DataFrame:
     """Unbiased squared MMD of each key with an RBF kernel of median bandwidth, and a permutation test.
 
-    ``groups`` has key, side, id and embedding, bounded in rows a key by the caller (see
-    :func:`subsample`); the kernel matrix is made once and re-indexed for every permutation.
+    ``groups`` has key, side, id (different within a key) and embedding; all rows count.  The kernel is
+    computed in pairs of blocks of about ``block`` rows, each by one task, for all permutations at once: a
+    permutation is a 0/1 column that says which rows stand for the reference, as many as there are.
+    The bandwidth is the median distance within the first 100 rows of a key, the reference's first.
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["side", "id"], ascending=[False, True])
-        x = np.stack(frame["embedding"].to_numpy()).astype(float)
-        m, n = int((frame["side"] == "ref").sum()), int((frame["side"] == "cur").sum())
-        if m < 2 or n < 2:
-            return pd.DataFrame({"key": [frame["key"].iloc[0]], "mmd2": [0.0], "p_value": [1.0], "drift": [False]})
-        squared = np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0)
-        first = squared[:100, :100][np.triu_indices(min(100, m + n), 1)]
-        sigma = max(float(np.sqrt(np.median(first))) / np.sqrt(2 * np.log(2)), 0.01) if len(first) else 1.0
-        kernel = np.exp(-squared / (2 * sigma**2))
-
-        def value(order: np.ndarray) -> float:
-            k = kernel[np.ix_(order, order)]
-            a, b, c = k[:m, :m], k[m:, m:], k[:m, m:]
-            return (a.sum() - np.trace(a)) / (m * (m - 1)) + (b.sum() - np.trace(b)) / (n * (n - 1)) - 2 * c.mean()
-
-        seen = value(np.arange(m + n))
-        rng = np.random.default_rng(seed)
-        p = (sum(value(rng.permutation(m + n)) >= seen for _ in range(permutations)) + 1) / (permutations + 1)
-        score = np.sqrt(max(seen, 0.0))
-        return pd.DataFrame({"key": [frame["key"].iloc[0]], "mmd2": [seen], "p_value": [p], "drift": [bool(score > 0.1 or p < 0.05)]})
-
-    return groups.groupBy("key").applyInPandas(one, "key string, mmd2 double, p_value double, drift boolean")
+    rows = groups.where("id is not null and embedding is not null").select("key", "id", (F.col("side") == "ref").alias("ref"), "embedding")
+    sizes = rows.groupBy("key").agg(F.count_if("ref").alias("m"), F.count_if(~F.col("ref")).alias("n"))
+
+    def width(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(frame.sort_values("k")["embedding"].to_numpy()).astype(float)
+        squared = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)[np.triu_indices(len(x), 1)]
+        sigma = max(float(np.sqrt(np.median(squared))) / np.sqrt(2 * np.log(2)), 0.01) if len(squared) else 1.0
+        return pd.DataFrame({"key": [frame["key"].iloc[0]], "sigma": [sigma]})
+
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ref"), "id"))).where("k <= 100")
+    widths = first.groupBy("key").applyInPandas(width, "key string, sigma double")
+    # The m rows of smallest hash stand for the reference; permutation 0 is what was seen.
+    drawn = rows.select("key", "id").join(F.broadcast(sizes), "key").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    place = F.row_number().over(Window.partitionBy("key", "r").orderBy(F.xxhash64("id", F.lit(seed), "r"), "id"))
+    drawn = drawn.withColumn("label", (place <= F.col("m")).cast("tinyint")).groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("r", "label"))).alias("drawn"))
+    marked = rows.join(drawn, ["key", "id"]).join(F.broadcast(sizes), "key").join(F.broadcast(widths), "key")
+    blocks = F.ceil((F.col("m") + F.col("n")) / block).cast("int")
+    marked = marked.select(
+        "key",
+        "sigma",
+        F.concat(F.array(F.col("ref").cast("tinyint")), F.transform("drawn", lambda x: x["label"])).alias("labels"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("x"),
+        F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
+    ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def sums(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = frame["low"].iloc[0], frame["high"].iloc[0]
+        sides = [frame[frame["block"] == b] for b in (low, high)]
+        if not all(len(s) for s in sides):
+            return pd.DataFrame(columns=["key", "r", "inner", "one", "all"])
+        (x, a), (y, b) = ((np.stack(s["x"].to_numpy()), np.stack(s["labels"].to_numpy()).astype(float)) for s in sides)
+        squared = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
+        kernel = np.exp(-squared / (2 * frame["sigma"].iloc[0] ** 2))
+        if low == high:
+            np.fill_diagonal(kernel, 0)
+        inner, left, right = ((kernel @ b) * a).sum(0), a.T @ kernel.sum(1), b.T @ kernel.sum(0)
+        # Every pair stands in both orders: in its one block pair, or twice where the blocks differ.
+        both = (inner, left) if low == high else (2 * inner, left + right)
+        whole = kernel.sum() * (1 if low == high else 2)
+        return pd.DataFrame({"key": frame["key"].iloc[0], "r": np.arange(len(inner)), "inner": both[0], "one": both[1], "all": whole})
+
+    parts = marked.groupBy("key", "low", "high").applyInPandas(sums, "key string, r long, inner double, one double, all double")
+    totals = parts.groupBy("key", "r").agg(F.sum("inner").alias("a"), F.sum("one").alias("s"), F.sum("all").alias("t"))
+    totals = totals.join(F.broadcast(sizes), "key").where("m >= 2 and n >= 2")
+    m, n, a_, s_, t_ = (F.col(c) for c in ("m", "n", "a", "s", "t"))
+    value = a_ / (m * (m - 1)) + (t_ - 2 * s_ + a_) / (n * (n - 1)) - 2 * (s_ - a_) / (m * n)
+    values = totals.select("key", "r", value.alias("v"))
+    seen = values.where("r = 0").select("key", F.col("v").alias("seen"))
+    p = values.where("r > 0").join(F.broadcast(seen), "key").groupBy("key").agg(F.first("seen").alias("mmd2"), ((F.count_if(F.col("v") >= F.col("seen")) + 1) / (permutations + 1)).alias("p_value"))
+    out = sizes.select("key").join(p, "key", "left").select("key", F.coalesce("mmd2", F.lit(0.0)).alias("mmd2"), F.coalesce("p_value", F.lit(1.0)).alias("p_value"))
+    return out.withColumn("drift", (F.sqrt(F.greatest("mmd2", F.lit(0.0))) > 0.1) | (F.col("p_value") < 0.05))
 
 
 def subsample(groups: DataFrame, most: int = 200) -> DataFrame:

@@ -77,7 +77,7 @@ def mmd(s, d):
     rows = table(s, d, "embeddings").select(
         F.concat(F.lit("label_"), F.col("label") % 4).alias("key"), F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("cur").alias("side"), F.col("vec_id").alias("id"), "embedding"
     )
-    return D.mmd(D.subsample(rows, 100))
+    return D.mmd(rows)
 
 
 QUERIES = {

@@ -143,7 +143,11 @@ def test_mmd_equals_its_definition(spark):
     rng = np.random.default_rng(3)
     x, y = rng.normal(0, 1, (30, 4)), rng.normal(1.5, 1, (40, 4))
     rows = [("k", "ref", i, [float(v) for v in a]) for i, a in enumerate(x)] + [("k", "cur", i, [float(v) for v in a]) for i, a in enumerate(y)]
-    got = drift.mmd(spark.createDataFrame(rows, "key string, side string, id long, embedding array<double>")).first()
+    frame = spark.createDataFrame([(k, s, i + 100 * (s == "cur"), v) for k, s, i, v in rows], "key string, side string, id long, embedding array<double>")
+    assert drift.mmd(frame.where("side = 'ref'")).first()[1:] == (0.0, 1.0, False)
+    small = drift.mmd(frame, block=9).first()
+    got = drift.mmd(frame).first()
+    assert small.mmd2 == pytest.approx(got.mmd2, rel=1e-9) and small.p_value == got.p_value
     both = np.vstack([x, y])
     d = ((both[:, None] - both[None]) ** 2).sum(-1)
     sigma = np.sqrt(np.median(d[np.triu_indices(70, 1)])) / np.sqrt(2 * np.log(2))
