@@ -19,8 +19,18 @@ def _micros(column: str = "timestamp") -> Column:
 
 
 def _back(seconds: int):
-    """All rows of the key within so many seconds before a row, itself included."""
-    return Window.partitionBy("key").orderBy("_at").rangeBetween(-seconds * _MICROS, 0)
+    """All rows of the key within so many seconds before a row, itself included; over what :func:`_cut` gives."""
+    return Window.partitionBy("key", "_span").orderBy("_at").rangeBetween(-seconds * _MICROS, 0)
+
+
+def _cut(rows: DataFrame, seconds: int) -> DataFrame:
+    """Rows by key and span of time, each also in the span after its own, where ``_own`` is false.
+
+    A frame of so many seconds then lies within one span, so a key is no longer one task.
+    """
+    own = F.floor(F.col("_at") / (seconds * _MICROS))
+    spans = F.explode(F.array(F.struct(own.alias("span"), F.lit(True).alias("own")), F.struct((own + 1).alias("span"), F.lit(False).alias("own"))))
+    return rows.withColumn("_at", _micros()).select("*", spans.alias("_s")).select("*", F.col("_s.span").alias("_span"), F.col("_s.own").alias("_own")).drop("_s")
 
 
 #: Comparisons of threshold rules by name.
@@ -46,10 +56,10 @@ def anomaly(rows: DataFrame, z: float = 3.0, least: int = 100, hours: int = 24,
     """
     beyond = {"up": lambda s: s > z, "down": lambda s: s < -z, "both": lambda s: F.abs(s) > z}[direction]
     frame = _back(hours * 3600)
-    out = rows.withColumn("_at", _micros())
-    out = out.select("key", "seq", "x", F.count("*").over(frame).alias("n"), F.avg("x").over(frame).alias("m"), F.stddev_pop("x").over(frame).alias("s"))
+    out = _cut(rows, hours * 3600)
+    out = out.select("key", "seq", "x", "_own", F.count("*").over(frame).alias("n"), F.avg("x").over(frame).alias("m"), F.stddev_pop("x").over(frame).alias("s"))
     score = (F.col("x") - F.col("m")) / F.col("s")
-    return out.where((F.col("n") >= least) & (F.col("s") > 0)).withColumn("z", score).where(beyond(F.col("z"))).select("key", "seq", F.round("z", 6).alias("z"))
+    return out.where(F.col("_own") & (F.col("n") >= least) & (F.col("s") > 0)).withColumn("z", score).where(beyond(F.col("z"))).select("key", "seq", F.round("z", 6).alias("z"))
 
 
 def rate(rows: DataFrame, per_second: float, seconds: int = 300, percent: bool = False) -> DataFrame:
@@ -58,12 +68,12 @@ def rate(rows: DataFrame, per_second: float, seconds: int = 300, percent: bool =
     With ``percent`` the change counts in hundredths of the window's first value; from 0 it has none.
     """
     frame = _back(seconds)
-    out = rows.withColumn("_at", _micros())
+    out = _cut(rows, seconds)
     first = F.min_by("x", F.struct("_at", "seq")).over(frame)
-    out = out.select("key", "seq", "x", first.alias("x0"), "_at", F.min("_at").over(frame).alias("at0"))
+    out = out.select("key", "seq", "x", "_own", first.alias("x0"), "_at", F.min("_at").over(frame).alias("at0"))
     speed = (F.col("x") - F.col("x0")) / ((F.col("_at") - F.col("at0")) / _MICROS)
     speed = F.try_divide(100 * speed, F.abs("x0")) if percent else speed
-    return out.where("_at > at0").withColumn("rate", speed).where(F.abs("rate") > per_second).select("key", "seq", F.round("rate", 6).alias("rate"))
+    return out.where("_own and _at > at0").withColumn("rate", speed).where(F.abs("rate") > per_second).select("key", "seq", F.round("rate", 6).alias("rate"))
 
 
 def patterns(rows: DataFrame, size: int = 20, least: int = 10) -> DataFrame:

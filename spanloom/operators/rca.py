@@ -86,7 +86,11 @@ def pattern_overlap(patterns: DataFrame, share: float = 0.5) -> DataFrame:
     a, b = (patterns.select(*(F.col(c).alias(f"{p}_{c}") for c in patterns.columns)) for p in ("l", "r"))
     meets = (F.col("l_pattern_id") < F.col("r_pattern_id")) & (F.col("l_first_at") <= F.col("r_last_at")) & (F.col("r_first_at") <= F.col("l_last_at"))
     both = F.size(F.array_intersect("l_members", "r_members"))
-    rows = a.join(b, meets).select("l_pattern_id", "r_pattern_id", both.cast("long").alias("common"), F.round(both / F.least(F.size("l_members"), F.size("r_members")), 8).alias("overlap"))
+    # Patterns that share a member meet in a join on it, never all with all.
+    left = a.select("l_pattern_id", F.explode("l_members").alias("_member"))
+    met = left.join(b.select("r_pattern_id", F.explode("r_members").alias("_member")), "_member")
+    met = met.where("l_pattern_id < r_pattern_id").select("l_pattern_id", "r_pattern_id").distinct()
+    rows = met.join(a, "l_pattern_id").join(b, "r_pattern_id").where(meets).select("l_pattern_id", "r_pattern_id", both.cast("long").alias("common"), F.round(both / F.least(F.size("l_members"), F.size("r_members")), 8).alias("overlap"))
     return rows.where(F.col("overlap") >= share)
 
 
