@@ -3,7 +3,8 @@
 Features are hashed words and coarse measures of style.  In how many labelled texts of each class a
 feature occurs is counted on all tasks; the ``CHOSEN`` features at most whose share in some class
 differs from that in the rest by more than chance (``MIN_Z`` standard errors) enter the regression,
-which the driver fits on the bounded sample's chosen features.
+which the driver fits on the bounded sample's chosen features.  ``FEATURES`` and ``CHOSEN`` are the size of
+the model, the same for every corpus; scoring reads all words of all texts.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") ->
     """(node, component) for every node of an edge; ``component`` is its smallest reachable node.
 
     Each round sends every node to its smallest neighbour and rewrites the edges to those, so a star
-    ends after one round and a path after logarithmically many.  Aggregates combine before the
+    ends after one round and a path of shuffled names, such as hashes, after logarithmically many; a path
+    whose names ascend loses one edge a round.  Aggregates combine before the
     shuffle, so the centre of a large star is no hot key.  Null ends and loops are ignored.  Tables
     of each round are written to the shared folder; nothing of them passes through the driver.
     """
