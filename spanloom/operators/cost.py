@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,40 @@ def provider_of(model: Column) -> Column:
             found = found | F.contains(low, F.lit(part))
         out = out.when(found, name)
     return out.otherwise("unknown")
+
+
+def _count(values: Column, *names: str) -> Column:
+    return F.coalesce(*(F.try_element_at(values, F.lit(n)).try_cast("long") for n in names), F.lit(0))
+
+
+def _usage(input_: Column, output: Column, total: Column) -> Column:
+    return F.struct(input_.alias("input_tokens"), output.alias("output_tokens"), F.when(total == 0, input_ + output).otherwise(total).alias("total_tokens"))
+
+
+def tokens_from_headers(headers: Column) -> Column:
+    """Counts from a response's headers, a map whose names may have any case; null where none has any."""
+    low = F.transform_keys(headers, lambda k, v: F.lower(k))
+    names = ("x-prompt-tokens", "x-completion-tokens", "x-total-tokens")
+    some = F.array_contains(F.transform(F.array(*map(F.lit, names)), lambda n: F.try_element_at(low, n).try_cast("long").isNotNull()), True)
+    return F.when(some, _usage(*(_count(low, n) for n in names)))
+
+
+def tokens_from_attributes(attributes: Column) -> Column:
+    """Counts from a span's attributes, by either convention of names; null where there are none."""
+    pair = lambda old, new: _count(attributes, f"llm.usage.{old}", f"gen_ai.usage.{new}")
+    input_, output = pair("prompt_tokens", "input_tokens"), pair("completion_tokens", "output_tokens")
+    return F.when((input_ != 0) | (output != 0), _usage(input_, output, pair("total_tokens", "total_tokens")))
+
+
+def provider_from_body(body: Column, hint: Column) -> Column:
+    """The provider that a hint of the model tells, else the body's model, else fields that only one provider sends."""
+    has = lambda *paths: reduce(Column.__or__, (F.get_json_object(body, p).isNotNull() for p in paths))
+    told = lambda c: F.when(c.isNotNull() & (provider_of(c) != "unknown"), provider_of(c))
+    shape = (
+        F.when(has("$.stop_reason", "$.usage.input_tokens"), "anthropic")
+        .when(has("$.usageMetadata", "$.candidates"), "google")
+        .when(has("$.meta.billed_units"), "cohere")
+        .when(has("$.usage.prompt_tokens"), "openai")
+        .when(has("$.completion", "$.inputTextTokenCount"), "bedrock")
+    )
+    return F.coalesce(told(hint), told(F.get_json_object(body, "$.model")), shape, F.lit("unknown"))

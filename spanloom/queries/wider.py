@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import alerts as A
+from spanloom.operators import cost as C
 from spanloom.operators import drift as D
 from spanloom.operators import evals as E
 from spanloom.operators import rca as R
@@ -14,6 +15,7 @@ from spanloom.queries.alerts import _ANOMALY, _EVENTS, _O, _events, _points
 from spanloom.queries.drift import ORACLE_SQL as _DRIFT
 from spanloom.queries.drift import _classes, _long
 from spanloom.queries.rca import influence
+from spanloom.sources import otlp
 from spanloom.sources import views as V
 from spanloom.sources.tables import table
 
@@ -116,7 +118,54 @@ def model_drift(s, d):
     return a.groupBy("model_id", "drift_type").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "open").alias("open"), F.max("detected_at").alias("last_at"), F.round(F.max("score"), 6).alias("worst"))
 
 
+def token_sources(s, d):
+    """Counts from headers and from attributes; a third of the events has neither."""
+    k, i = F.get_json_object("props", "$.k"), F.col("event_id") % 3
+    headers = F.create_map(F.lit("X-Prompt-Tokens"), F.when(i == 0, k), F.lit("x-completion-tokens"), F.when(i == 0, F.lit("9")))
+    attributes = F.create_map(F.lit("gen_ai.usage.input_tokens"), F.when(i == 1, k), F.lit("llm.usage.completion_tokens"), F.when(i == 1, F.lit("4")))
+    both = F.coalesce(C.tokens_from_headers(headers), C.tokens_from_attributes(attributes))
+    return table(s, d, "events").select("event_id", both.alias("t")).where("t is not null").select("event_id", "t.*")
+
+
+_BODIES = ['{"stop_reason": "end"}', '{"usageMetadata": {}}', '{"meta": {"billed_units": {"input_tokens": 1}}}', '{"usage": {"prompt_tokens": 1}}', '{"completion": "x"}', '{"model": "gpt-4o"}', "no json"]
+
+
+def provider_bodies(s, d):
+    bodies = F.array(*map(F.lit, _BODIES))
+    hint = F.when(F.col("event_id") % 11 == 0, "claude-3-opus").when(F.col("event_id") % 11 == 1, "own-model")
+    rows = table(s, d, "events").select(C.provider_from_body(F.element_at(bodies, (F.col("event_id") % 7 + 1).cast("int")), hint).alias("provider"))
+    return rows.groupBy("provider").agg(F.count("*").alias("n"))
+
+
+def _sent(s, d, build):
+    e = table(s, d, "events").withColumn("ns", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string"))
+    service = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.concat(F.lit("svc"), F.col("event_id") % 4).alias("stringValue")).alias("value"))).alias("attributes"))
+    return e.select(F.to_json(build(service)).alias("value"))
+
+
+def metrics_intake(s, d):
+    label = F.array(F.struct(F.lit("type").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value")))
+    point = F.array(F.struct(label.alias("attributes"), F.col("ns").alias("timeUnixNano"), F.col("value").alias("asDouble")))
+    whole = F.array(F.struct(F.col("ns").alias("timeUnixNano"), F.col("user_id").cast("string").alias("asInt")))
+    both = lambda name, gauge, total: F.struct(F.lit(name).alias("name"), F.struct(gauge.alias("dataPoints")).alias("gauge"), F.struct(total.alias("dataPoints")).alias("sum"))
+    metrics = F.array(both("latency", point, F.when(F.lit(False), whole)), both("user", F.when(F.lit(False), point), whole))
+    build = lambda service: F.struct(F.array(F.struct(service.alias("resource"), F.array(F.struct(metrics.alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"))
+    rows = otlp.flatten_metrics(_sent(s, d, build))
+    return rows.groupBy("service_name", "name", "kind", F.try_element_at("labels", F.lit("type")).alias("type")).agg(F.count("*").alias("n"), F.round(F.sum("amount"), 4).alias("total"), F.max(F.col("time").cast("timestamp_ntz")).alias("last_at"))
+
+
+def logs_intake(s, d):
+    body = F.struct(F.col("event_type").alias("stringValue"))
+    record = F.struct(F.col("ns").alias("timeUnixNano"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("severityText"), body.alias("body"), F.col("event_id").cast("string").alias("traceId"))
+    build = lambda service: F.struct(F.array(F.struct(service.alias("resource"), F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
+    return otlp.flatten_logs(_sent(s, d, build)).select("trace_id", "service_name", "severity", "body", F.col("time").cast("timestamp_ntz").alias("at"))
+
+
 QUERIES = {
+    "token_sources": token_sources,
+    "provider_from_body": provider_bodies,
+    "metrics_intake": metrics_intake,
+    "logs_intake": logs_intake,
     "traces_with_evaluations": lambda s, d: rollups.with_evaluations(V.traces(s, d), V.evaluations(s, d)).select("trace_id", "model_id", "status", "n_evaluations", "avg_score", "n_failed"),
     "trace_evaluations": lambda s, d: V.evaluations(s, d).where("trace_id = '8'").select("trace_id", "evaluator", "verdict", "score"),
     "evaluation_page": lambda s, d: V.evaluations(s, d).orderBy(F.desc("timestamp"), F.desc("seq")).limit(50).select("trace_id", "timestamp", "model_id", "verdict", "score"),
@@ -164,6 +213,13 @@ _TOTAL = "(SELECT sum(cost_micros) FROM wide)"
 _TAIL = "0.5 * exp(-x * x) * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))"
 
 ORACLE_SQL = {
+    "token_sources": """SELECT event_id, k AS input_tokens, CASE event_id % 3 WHEN 0 THEN 9 ELSE 4 END::BIGINT AS output_tokens, k + CASE event_id % 3 WHEN 0 THEN 9 ELSE 4 END AS total_tokens
+      FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events) WHERE event_id % 3 < 2""",
+    "provider_from_body": """SELECT CASE WHEN event_id % 11 = 0 THEN 'anthropic' ELSE (['anthropic', 'google', 'cohere', 'openai', 'bedrock', 'openai', 'unknown'])[CAST(event_id % 7 + 1 AS INTEGER)] END AS provider, count(*) AS n FROM events GROUP BY 1""",
+    "metrics_intake": """WITH p AS (SELECT 'svc' || event_id % 4 AS service_name, 'latency' AS name, 'gauge' AS kind, event_type AS type, value AS v, ts FROM events
+        UNION ALL SELECT 'svc' || event_id % 4, 'user', 'sum', NULL, user_id, ts FROM events)
+      SELECT service_name, name, kind, type, count(*) AS n, round(sum(v), 4) AS total, max(ts) AS last_at FROM p GROUP BY ALL""",
+    "logs_intake": """SELECT CAST(event_id AS VARCHAR) AS trace_id, 'svc' || event_id % 4 AS service_name, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, event_type AS body, ts AS at FROM events""",
     "traces_with_evaluations": f"""{_E}, o AS (SELECT trace_id, count(*) AS n, round(avg(score), 8) AS s, count(*) FILTER (verdict = 'fail') AS f FROM evaluations GROUP BY 1)
       SELECT trace_id, model_id, status, coalesce(n, 0) AS n_evaluations, s AS avg_score, coalesce(f, 0) AS n_failed FROM traces LEFT JOIN o USING (trace_id)""",
     "trace_evaluations": f"{_E} SELECT trace_id, evaluator, verdict, score FROM evaluations WHERE trace_id = '8'",

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 #: Messages beyond these limits are refused before they are parsed.
 MOST_BYTES = 1 << 20
 
-_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
+#: How deep a message may be nested.
+MOST_DEPTH = 32
+
+# Lists, maps and bytes are kept as their JSON text.
+_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,arrayValue:string,kvlistValue:string,bytesValue:string>"
 _ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
 _SPAN = (
     f"struct<traceId:string,trace_id:string,spanId:string,span_id:string,parentSpanId:string,parent_span_id:string,name:string,kind:string,"
@@ -26,9 +30,28 @@ _STATUS = {"0": "unset", "1": "ok", "2": "error", "STATUS_CODE_OK": "ok", "STATU
 
 def _map(attributes: Column) -> Column:
     """Attributes as a map of strings, whatever type a value has."""
-    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
-    entries = F.transform(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: F.struct(a["key"], text(a["value"])))
-    return F.map_from_entries(F.filter(entries, lambda e: e["key"].isNotNull()))
+    valid = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: a["key"].isNotNull())
+    names, texts = F.transform(valid, lambda a: a["key"]), F.transform(valid, lambda a: _text(a["value"]))
+    keys = F.array_distinct(names)
+    # A key that is repeated has its last value.
+    last = lambda k: (F.size(names) + 1 - F.array_position(F.reverse(names), k)).cast("int")
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(texts, last(k))))
+
+
+def _text(v: Column) -> Column:
+    return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"), v["arrayValue"], v["kvlistValue"], v["bytesValue"])
+
+
+def _time(nanos: Column) -> Column:
+    return F.timestamp_micros(F.call_function("div", nanos, F.lit(1000)))
+
+
+def too_deep(text: Column, most: int = MOST_DEPTH) -> Column:
+    """Whether brackets outside strings are nested deeper than ``most``: innermost pairs go level by level."""
+    left = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]++", "")
+    for _ in range(most):
+        left = F.regexp_replace(left, r"\[\]|\{\}", "")
+    return F.length(left) > 0
 
 
 def _status(code: Column) -> Column:
@@ -51,7 +74,7 @@ def _fields(span: str) -> list[Column]:
         F.lower(s["kind"]).alias("span_kind"),
         start.alias("start_ns"),
         (end - start).alias("duration_ns"),
-        F.timestamp_micros((start / 1000).cast("long")).alias("start_time"),
+        _time(start).alias("start_time"),
         _status(s["status"]["code"]).alias("status"),
         _map(s["attributes"]).alias("attributes"),
     ]
@@ -59,7 +82,7 @@ def _fields(span: str) -> list[Column]:
 
 def flatten(messages: DataFrame, column: str = "value") -> DataFrame:
     """Spans of nested exports: resource, scope and span in one row each."""
-    small = messages.where(F.octet_length(column) <= MOST_BYTES)
+    small = messages.where((F.octet_length(column) <= MOST_BYTES) & ~too_deep(F.col(column)))
     parsed = small.select(F.from_json(F.col(column), EXPORT).alias("m"))
     resources = parsed.select(F.explode("m.resourceSpans").alias("r"))
     scopes = resources.select(_map(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeSpans").alias("c"))
@@ -85,3 +108,39 @@ def kafka(spark, servers: str, topic: str, starting: str = "earliest") -> DataFr
     """The queue as a stream of ``value`` strings; needs Spark's Kafka connector on the class path."""
     stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     return stream.option("startingOffsets", starting).option("maxOffsetsPerTrigger", 500_000).load().select(F.col("value").cast("string"))
+
+
+_POINT = f"struct<attributes:{_ATTRIBUTES},timeUnixNano:string,asDouble:double,asInt:string,count:string,sum:double>"
+_METRIC = f"struct<name:string,unit:string,gauge:struct<dataPoints:array<{_POINT}>>,sum:struct<dataPoints:array<{_POINT}>>,histogram:struct<dataPoints:array<{_POINT}>>>"
+METRICS = f"resourceMetrics array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeMetrics:array<struct<metrics:array<{_METRIC}>>>>>"
+_RECORD = f"struct<timeUnixNano:string,severityText:string,severityNumber:int,body:{_VALUE},attributes:{_ATTRIBUTES},traceId:string,spanId:string>"
+LOGS = f"resourceLogs array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeLogs:array<struct<logRecords:array<{_RECORD}>>>>>"
+
+
+def _service(resource: str) -> Column:
+    return F.coalesce(F.try_element_at(_map(F.col(resource)["attributes"]), F.lit("service.name")), F.lit("unknown")).alias("service_name")
+
+
+def flatten_metrics(messages: DataFrame, column: str = "value") -> DataFrame:
+    """One row a data point of gauges, sums and histograms (their sum, and count): name, kind, time, value, labels."""
+    small = messages.where((F.octet_length(column) <= MOST_BYTES) & ~too_deep(F.col(column)))
+    one = small.select(F.explode(F.from_json(column, METRICS)["resourceMetrics"]).alias("r"))
+    one = one.select(F.col("r.resource").alias("resource"), F.explode("r.scopeMetrics").alias("s")).select("resource", F.explode("s.metrics").alias("m"))
+
+    def of(kind: str) -> Column:
+        points = F.coalesce(F.col(f"m.{kind}.dataPoints"), F.array().cast(f"array<{_POINT}>"))
+        return F.transform(points, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("p")))
+
+    points = one.select("resource", "m.name", "m.unit", F.explode(F.concat(*map(of, ("gauge", "sum", "histogram")))).alias("x"))
+    amount = F.coalesce("x.p.asDouble", F.col("x.p.asInt").try_cast("double"), "x.p.sum")
+    at = _time(F.col("x.p.timeUnixNano").try_cast("long"))
+    return points.select(_service("resource"), "name", "unit", "x.kind", at.alias("time"), amount.alias("amount"), F.col("x.p.count").try_cast("long").alias("count"), _map(F.col("x.p.attributes")).alias("labels"))
+
+
+def flatten_logs(messages: DataFrame, column: str = "value") -> DataFrame:
+    """One row a log record: service, time, severity, body as text, attributes and the span it belongs to."""
+    small = messages.where((F.octet_length(column) <= MOST_BYTES) & ~too_deep(F.col(column)))
+    one = small.select(F.explode(F.from_json(column, LOGS)["resourceLogs"]).alias("r"))
+    one = one.select(F.col("r.resource").alias("resource"), F.explode("r.scopeLogs").alias("s")).select("resource", F.explode("s.logRecords").alias("l"))
+    at = _time(F.col("l.timeUnixNano").try_cast("long"))
+    return one.select(_service("resource"), at.alias("time"), F.lower("l.severityText").alias("severity"), _text(F.col("l.body")).alias("body"), _map(F.col("l.attributes")).alias("attributes"), F.col("l.traceId").alias("trace_id"), F.col("l.spanId").alias("span_id"))

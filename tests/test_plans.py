@@ -102,3 +102,13 @@ def test_queue_messages_in_either_form(spark):
     got = {r.trace_id: (r.span_id, r.status, r.duration_ns) for r in otlp.decode_batches(messages).collect()}
     assert got == {"t1": ("s1", "error", 3000), "t2": ("s2", "ok", None), "t3": (None, "unset", None)}
     assert otlp.corrupt(messages).count() == 1
+
+
+def test_values_of_all_kinds_repeated_keys_and_depth(spark):
+    attributes = '[{"key": "a", "value": {"stringValue": "x"}}, {"key": "a", "value": {"intValue": "7"}}, {"key": "l", "value": {"arrayValue": {"values": [{"intValue": "1"}]}}}, {"key": "b", "value": {"bytesValue": "AQI="}}]'
+    text = '{"resourceSpans": [{"resource": {"attributes": []}, "scopeSpans": [{"spans": [{"traceId": "t", "spanId": "s", "attributes": ' + attributes + "}]}]}]}"
+    row = otlp.flatten(spark.createDataFrame([(text,)], "value string")).first()
+    assert row.attributes == {"a": "7", "l": '{"values":[{"intValue":"1"}]}', "b": "AQI="}
+    deep = [("[" * n + '"]]' + "{" * 50 + '\\\\""' + "]" * n,) for n in (1, 32, 33, 60)]
+    got = spark.createDataFrame(deep, "v string").select(otlp.too_deep(F.col("v")).alias("d")).collect()
+    assert [r.d for r in got] == [False, False, True, True]
