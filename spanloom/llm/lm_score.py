@@ -32,7 +32,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm import selecting
 from spanloom.llm import words as W
 from spanloom.session import Workspace
 
@@ -43,6 +42,8 @@ RANK_BITS = 17
 FREQUENT, HOT, HOT_PAIRS = 1 << RANK_BITS, 1 << 11, 1 << 16
 #: Words of the corpus in a bucket, about.
 BUCKET = 1 << 21
+#: Targets that are sent to all tasks at most, eight bytes each; more are joined by shuffling the texts once.
+MARKS = 1 << 24
 #: Units of a loss in one nat.
 UNITS = 1 << 30
 
@@ -134,16 +135,30 @@ def _targets(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("_target").to_numpy(zero_copy_only=False).astype(bool)
 
 
+def _marker(marks):
+    """For batches with ``_mark``, a code of their key: the same with ``_target``; None leaves them as they are."""
+
+    def mark(batches):
+        for batch in batches:
+            if marks is not None:
+                target = _lookup(marks.value, batch.column("_mark").to_numpy()) >= 0
+                names = [n for n in batch.schema.names if n != "_mark"]
+                batch = pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(target)], [*names, "_target"])
+            yield batch
+
+    return mark
+
+
 def _longs(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names)
 
 
-def word_counts(rows: DataFrame, text: str) -> DataFrame:
+def word_counts(rows: DataFrame, text: str, mark) -> DataFrame:
     """word, and how often it stands and is followed: n and hn in all texts, t and ht in the target's."""
     names = ["word", "n", "t", "hn", "ht"]
 
     def count(batches):
-        for batch in W.pieces(batches, text, 8 * W.CHUNK_BYTES):
+        for batch in W.pieces(mark(batches), text, 8 * W.CHUNK_BYTES):
             row, word, opens = _split(batch, text)
             target, follows = _targets(batch)[row], _follows(opens)
             order = np.argsort(word)
@@ -155,11 +170,11 @@ def word_counts(rows: DataFrame, text: str) -> DataFrame:
     return counts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names[1:]))
 
 
-def hot_pair_counts(rows: DataFrame, models, text: str) -> DataFrame:
+def hot_pair_counts(rows: DataFrame, models, text: str, mark) -> DataFrame:
     """pair (see :meth:`Models.hot_pairs`), n, t."""
 
     def count(batches):
-        for batch in W.pieces(batches, text, 8 * W.CHUNK_BYTES):
+        for batch in W.pieces(mark(batches), text, 8 * W.CHUNK_BYTES):
             row, word, opens = _split(batch, text)
             pair = models.value.hot_pairs(word, opens)
             own = pair >= 0
@@ -210,7 +225,7 @@ def _unpack_sums(blob: bytes) -> list[np.ndarray]:
     return [np.frombuffer(blob, kind, n, at * n) for (kind, _), at in zip(_SUMS, (0, 4, 12), strict=True)]
 
 
-def _dealt(models, key: str, text: str, buckets: int):
+def _dealt(models, key: str, text: str, buckets: int, mark):
     """For each chunk of texts a row with the losses that are known here, and the other words by bucket."""
 
     def pieces(rare: list[np.ndarray], common: list[np.ndarray]):
@@ -223,7 +238,7 @@ def _dealt(models, key: str, text: str, buckets: int):
     def run(batches):
         known = models.value
         row = TaskContext.get().partitionId() << 36
-        for batch in W.pieces(batches, text, 8 * W.CHUNK_BYTES):
+        for batch in W.pieces(mark(batches), text, 8 * W.CHUNK_BYTES):
             # Texts of the target come first: a document's number tells which model counts it.
             target = _targets(batch)
             batch = batch.take(pa.array(np.argsort(~target, kind="stable")))
@@ -367,17 +382,17 @@ def _added(batches):
         yield batch_of([made()], kind)
 
 
-def fit(rows: DataFrame, text: str, work: Workspace) -> Models:
-    """Count words and hot bigrams; ``rows`` has the text and ``_target``."""
+def fit(rows: DataFrame, text: str, work: Workspace, mark) -> Models:
+    """Count words and hot bigrams; ``mark`` gives batches of ``rows`` their ``_target``."""
     session = rows.sparkSession
-    words = work.save(word_counts(rows, text), "words")
+    words = work.save(word_counts(rows, text, mark), "words")
     total = words.agg(F.count("*").alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "t", "hn", "ht"))).first()
     known = words.where(F.col("n") * FREQUENT >= total.n).toArrow()
     columns = [known.column(c).to_numpy() for c in ("word", "n", "t", "hn", "ht")]
     # What no word precedes follows a text's start.
     models = Models(total.words, (total.n, total.t), (total.n - total.hn, total.t - total.ht), columns[0].view(np.uint64), *columns[1:])
     sent = session.sparkContext.broadcast(models)
-    pairs = hot_pair_counts(rows, sent, text).where(F.col("n") * HOT_PAIRS >= total.n).toArrow()
+    pairs = hot_pair_counts(rows, sent, text, mark).where(F.col("n") * HOT_PAIRS >= total.n).toArrow()
     sent.unpersist()
     models.add_pairs(*(pairs.column(c).to_numpy() for c in ("pair", "n", "t")))
     return models
@@ -394,18 +409,21 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     session = docs.sparkSession
     work = Workspace(session, "lm-score")
     good = work.save(labels.where(F.expr(target) & F.col(key).isNotNull()).select(key).distinct(), "targets")
-    few = good.count() <= selecting.BROADCAST_KEYS
-    marks = good.withColumn("_hit", F.lit(True))
-    rows = docs.select(F.col(key), F.col(text)).join(F.broadcast(marks) if few else marks, key, "left")
-    rows = rows.select(key, text, F.coalesce("_hit", F.lit(False)).alias("_target"))
-    rows = rows if few else work.save(rows, "marked")
-    models = fit(rows, text, work)
+    if good.count() <= MARKS:
+        codes = np.sort(good.select(F.xxhash64(key).alias("code")).toArrow().column("code").to_numpy())
+        mark = _marker(session.sparkContext.broadcast(codes))
+        rows = docs.select(key, text, F.xxhash64(key).alias("_mark"))
+    else:
+        mark = _marker(None)
+        rows = docs.select(key, text).join(good.withColumn("_hit", F.lit(True)), key, "left")
+        rows = work.save(rows.select(key, text, F.coalesce("_hit", F.lit(False)).alias("_target")), "marked")
+    models = fit(rows, text, work, mark)
     sent = session.sparkContext.broadcast(models)
     buckets = models.totals[0] // BUCKET + 1
     kind = docs.schema[key].dataType.simpleString()
     fields = f"chunk long, sums binary, keys array<{kind}>, n_words array<long>"
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.mapInArrow(_dealt(sent, key, text, buckets), f"bucket int, {fields}, words binary")
+    dealt = rows.mapInArrow(_dealt(sent, key, text, buckets, mark), f"bucket int, {fields}, words binary")
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settled(sent), fields)
     dealt = dealt.repartition(parts, "chunk").sortWithinPartitions("chunk")
     sums = dealt.mapInArrow(_added, f"key {kind}, n_words long, background long, target long")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that are broadcast at most; a longer list is joined by shuffling.
-BROADCAST_KEYS = 4_000_000
+#: Keys that are broadcast at most, about 100 bytes each as numbers; a longer list is joined by shuffling.
+BROADCAST_KEYS = 2_000_000
 
 
 def keep(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
