@@ -64,9 +64,12 @@ def found(text: Column, pattern: str | Column) -> Column:
     """
     between = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
-    one = lambda m, i: F.struct(
-        F.length(F.get(between, i)).alias("gap"), m.alias("match"), F.right(F.get(between, i), F.lit(NEAR_CHARS + 1)).alias("before"), F.left(F.get(between, i + 1), F.lit(NEAR_CHARS + 1)).alias("after")
-    )
+    # Zipped, so that the text is split once and not for each match; the last piece has no match.
+    pairs = F.zip_with(between, matches, lambda b, m: F.struct(b.alias("gap"), m.alias("match")))
+    ones = F.zip_with(pairs, F.slice(between, 2, 1 << 30), lambda p, after: F.struct(
+        F.length(p["gap"]).alias("gap"), p["match"].alias("match"), F.right(p["gap"], F.lit(NEAR_CHARS + 1)).alias("before"), F.left(after, F.lit(NEAR_CHARS + 1)).alias("after")
+    ))
+    ones = F.filter(ones, lambda p: p["match"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
 
     def step(done: Column, own: Column) -> Column:
@@ -92,7 +95,7 @@ def found(text: Column, pattern: str | Column) -> Column:
         few = F.aggregate(own, start, step, lambda d: d["out"])
         return F.when(F.size(own) <= 32, few).otherwise(F.flatten(F.transform(whole, placed)))
 
-    return F.element_at(F.transform(F.array(F.transform(matches, one)), spans), 1)
+    return F.element_at(F.transform(F.array(ones), spans), 1)
 
 
 def _digits(match: Column) -> Column:

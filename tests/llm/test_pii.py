@@ -85,3 +85,78 @@ def test_terms_far_from_their_entity_and_in_other_documents(spark):
     assert all(terms[i] == ["Quillfeather"] for i in range(6))
     assert terms[200] == ["QUILLFEATHER", "quillfeather"] and terms[201] == []
     assert not any(terms[i] for i in range(10, 90))
+
+
+def test_disclosed_terms_equal_brute_force(spark):
+    import math
+
+    rng = random.Random(12)
+    people = [(f"Name{i}", f"user{i}@host{i}.org") for i in range(12)]
+    fill = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(260):
+        words = [rng.choice(fill) for _ in range(rng.randint(5, 60))]
+        if rng.random() < 0.5:
+            name, mail = people[min(int(rng.expovariate(0.3)), 11)]
+            words.insert(rng.randrange(len(words)), f"<{mail}>")
+            if rng.random() < 0.8:
+                words.insert(rng.randrange(len(words)), name)
+            if rng.random() < 0.3:
+                words.insert(rng.randrange(len(words)), f"Clue{mail[4]}")
+        elif rng.random() < 0.3:
+            words.append(rng.choice(people)[0].upper())
+        rows.append((i, " ".join(words)))
+
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    word = re.compile(r"[^\W_]{2,}")
+    low = lambda text: [w.lower() for w in word.findall(text)]
+    places, rests = {}, {}
+    for d, text in rows:
+        for m in mail.finditer(text):  # one a document
+            before, after = text[max(0, m.start() - 121) : m.start()], text[m.end() : m.end() + 121]
+            before = re.sub(r"^[^\W_]+", "", before) if len(before) > 120 else before
+            after = re.sub(r"[^\W_]+\Z", "", after) if len(after) > 120 else after
+            places[d] = (m[0].lower(), tuple(low(before)[-6:] + low(after)[:6]))
+            rests[d] = mail.sub(lambda x: " " * len(x[0]), text)
+    has_entity, around = {}, {}
+    for e, a in places.values():
+        has_entity[e] = has_entity.get(e, 0) + 1
+        around.setdefault(e, set()).add(a)
+    has_term = {}
+    for _, text in rows:
+        for t in set(low(text)):
+            has_term[t] = has_term.get(t, 0) + 1
+    want = set()
+    for e, n in has_entity.items():
+        own = [d for d in places if places[d][0] == e]
+        for t in {t for d in own for t in low(rests[d])}:
+            both = [d for d in own if t in low(rests[d]) or t in places[d][1]]
+            share = len(both) / max(has_term[t], len(both))
+            if len(around[e]) >= pii.CONTEXTS and len({places[d][1] for d in both}) >= pii.CONTEXTS and share >= pii.SHARE:
+                if math.log2(share / (n / len(rows))) >= pii.BITS:
+                    want.add(t)
+    assert len(want) >= 5 and any(t.startswith("clue") for t in want)
+    texts = dict(rows)
+    for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term")]
+        rest = rests.get(r.doc_id, texts[r.doc_id])
+        assert got == [m.span() for m in word.finditer(rest) if m[0].lower() in want], r.doc_id
+
+
+def test_many_places_in_long_texts_take_linear_time(spark):
+    import time
+
+    def seconds(text):
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = docs.select(pii.base_spans(pii.F.col("text")).alias("b"), pii._rest(pii.F.col("text")).alias("r")).first()
+        took = time.perf_counter() - start
+        want, joined = brute(text)
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in row.b) == joined and len(row.r) == len(text)
+        taken = [s for s in row.b]
+        assert all(row.r[s.start : s.end].isspace() for s in taken)
+        return took
+
+    seconds("a@b.cd " * 10)
+    assert seconds("é person.one@mail.example.org, 10.2.3.4 and +49 30 1234567 or 4111 1111 1111 1111 " * 6_000) < 60
+    assert seconds("é " * 300_000 + " a@b.cd" * 4_000) < 30
