@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, licenses, lm_score, mixing, ngram_join, nn_descent, pii, quality, secret_scan, substring_dedup
+from spanloom.llm import (
+    decontam,
+    licenses,
+    lm_score,
+    mixing,
+    ngram_join,
+    nn_descent,
+    pii,
+    quality,
+    secret_scan,
+    substring_dedup,
+    whitening,
+)
 from spanloom.sources.tables import table
 
 
@@ -61,6 +73,10 @@ def op10_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontam.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_empirical_bayes_quality": op1_empirical_bayes_quality,
     "op2_paragraph_minhash_dedup": op2_paragraph_minhash_dedup,
@@ -72,6 +88,7 @@ QUERIES = {
     "op8_license_signatures": op8_license_signatures,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {}
