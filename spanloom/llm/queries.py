@@ -12,6 +12,7 @@ from spanloom.llm import (
     mixing,
     ngram_join,
     nn_descent,
+    packing,
     pii,
     quality,
     secret_scan,
@@ -77,6 +78,13 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as files
+
+    vocabulary = packing.Vocabulary(files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
+    return packing.pack(table(spark, folder, "documents"), vocabulary)
+
+
 QUERIES = {
     "op1_empirical_bayes_quality": op1_empirical_bayes_quality,
     "op2_paragraph_minhash_dedup": op2_paragraph_minhash_dedup,
@@ -89,6 +97,7 @@ QUERIES = {
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
