@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import (
+    conversation_trie,
     decontam,
     licenses,
     lm_score,
@@ -85,6 +86,10 @@ def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary)
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.spliced_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_empirical_bayes_quality": op1_empirical_bayes_quality,
     "op2_paragraph_minhash_dedup": op2_paragraph_minhash_dedup,
@@ -98,6 +103,7 @@ QUERIES = {
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {}
