@@ -1,14 +1,16 @@
 """Guarded ad-hoc SQL: Spark parses it, the parsed plan is checked, Spark runs it.
 
 Every relation of the plan, in joins and subqueries too, must be one of the logical tables or a name
-that the query itself defines where it is used; every step of the plan must be of a listed kind, so table
-functions, files and commands do not pass; every function must be on the list.  Functions of the
-column store that the dashboards were written for are renamed to Spark's.
+that the query itself defines where it is used; every step and every part of an expression must be of a listed
+kind, so table functions, files, commands and functions named by expressions do not pass; every function
+must be on the list.  The analysed plan is checked for foreign code once more, the optimised one for joins of all
+pairs.  Functions of the column store that the dashboards were written for are rewritten to Spark's.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = {"traces", "spans", "metrics", "logs", "models", "services", "cost_summary", "token_usage"}
 MOST_ROWS = 10_000
 
-#: Names that are rewritten, as text, before parsing.
+#: Functions of the column store with another name here.
 RENAMED = {
     "uniq": "approx_count_distinct",
     "stddev": "stddev_pop",
@@ -35,24 +37,28 @@ RENAMED = {
     "today": "current_date",
     "length": "octet_length",
 }
-_REWRITES = [
-    (r"\buniqExact\s*\(", "count(DISTINCT "),
-    (r"\bquantile\s*\(\s*([\d.]+)\s*\)\s*\(([^()]*)\)", r"percentile(\2, \1)"),
-    (r"\btoStartOf(Minute|Hour|Day)\s*\(", lambda m: f"date_trunc('{m[1].lower()}', "),
-    (r"\btoString\s*\(([^()]*)\)", r"cast(\1 AS string)"),
-    (r"\btoUInt8\s*\(([^()]*)\)", r"cast(\1 AS smallint)"),
-    (r"\btoYYYYMM\s*\(([^()]*)\)", r"cast(date_format(\1, 'yyyyMM') AS int)"),
-    (r"\btoDayOfWeek\s*\(([^()]*)\)", r"(weekday(\1) + 1)"),
-    (r"\bquantiles\s*\(\s*([\d., ]+)\s*\)\s*\(([^()]*)\)", r"percentile(\2, array(\1))"),
-    (r"\btopK\s*\(\s*(\d+)\s*\)\s*\(([^()]*)\)", r"approx_top_k(\2, \1)"),
-    (r"\btoInt64\s*\(([^()]*)\)", r"cast(\1 AS bigint)"),
-    (r"\btoFloat64\s*\(([^()]*)\)", r"cast(\1 AS double)"),
-    (r"\bavgIf\s*\(([^(),]*),([^()]*)\)", r"avg(CASE WHEN \2 THEN \1 END)"),
-]
+#: Functions of the column store with another form here, by number of arguments.
+REFORMED = {
+    ("uniqExact", 1): "count(DISTINCT {0})",
+    ("toStartOfMinute", 1): "date_trunc('minute', {0})",
+    ("toStartOfHour", 1): "date_trunc('hour', {0})",
+    ("toStartOfDay", 1): "date_trunc('day', {0})",
+    ("toString", 1): "cast({0} AS string)",
+    ("toUInt8", 1): "cast({0} AS smallint)",
+    ("toInt64", 1): "cast({0} AS bigint)",
+    ("toFloat64", 1): "cast({0} AS double)",
+    ("toYYYYMM", 1): "cast(date_format({0}, 'yyyyMM') AS int)",
+    ("toDayOfWeek", 1): "(weekday({0}) + 1)",
+    ("avgIf", 2): "avg(CASE WHEN {1} THEN {0} END)",
+    ("sumIf", 2): "sum(CASE WHEN {1} THEN {0} END)",
+}
+#: The same for functions with parameters in brackets of their own: ``{0}`` is the argument, ``{p}`` the parameters.
+PARAMETRIC = {"quantile": "percentile({0}, {p})", "quantiles": "percentile({0}, array({p}))", "topK": "approx_top_k({0}, {p})"}
 FUNCTIONS = {
     "count", "sum", "avg", "min", "max", "median", "lower", "upper", "octet_length", "char_length", "substring", "trim", "coalesce", "nullif", "if",
     "approx_count_distinct", "percentile", "stddev_pop", "var_pop", "collect_list", "collect_set", "date_trunc", "to_date", "to_timestamp",
     "any_value", "last", "max_by", "min_by", "count_if", "hour", "round", "abs", "when", "weekday", "date_format", "array", "approx_top_k", "current_date",
+    "between",  # how Spark parses the operator
 }
 
 
@@ -60,17 +66,61 @@ class QueryRefused(ValueError):
     """The query is not one that may run."""
 
 
+_TOKEN = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|\w+|\s+|.""", re.DOTALL)
+
+
 def translate(sql: str) -> str:
-    """The text with function names in Spark's spelling; string literals stay."""
-    out = []
-    for i, part in enumerate(re.split(r"('(?:[^']|'')*')", sql)):
-        if i % 2 == 0:
-            for pattern, new in _REWRITES:
-                part = re.sub(pattern, new, part)
-            for old, new in RENAMED.items():
-                part = re.sub(rf"\b{old}\s*\(", f"{new}(", part)
-        out.append(part)
-    return "".join(out)
+    """The text with function calls in Spark's spelling, nested ones too; literals, quoted names and comments stay."""
+    return "".join(_calls(_TOKEN.findall(sql)))
+
+
+def _bracket(tokens: list[str], at: int) -> int:
+    """Where the bracket that opens at ``at`` closes; the end if it does not."""
+    depth = 0
+    for i in range(at, len(tokens)):
+        depth += {"(": 1, ")": -1}.get(tokens[i], 0)
+        if not depth:
+            return i
+    return len(tokens)
+
+
+def _arguments(tokens: list[str]) -> list[str]:
+    out, depth = [[]], 0
+    for token in tokens:
+        depth += {"(": 1, ")": -1}.get(token, 0)
+        if token == "," and not depth:
+            out.append([])
+        else:
+            out[-1].append(token)
+    return ["".join(_calls(part)).strip() for part in out]
+
+
+def _calls(tokens: list[str]) -> Iterator[str]:
+    i = 0
+    while i < len(tokens):
+        name, at = tokens[i], i + 1
+        while at < len(tokens) and tokens[at].isspace():
+            at += 1
+        if not re.fullmatch(r"\w+", name) or at == len(tokens) or tokens[at] != "(":
+            yield name
+            i += 1
+            continue
+        end = _bracket(tokens, at)
+        inside = _arguments(tokens[at + 1 : end])
+        if name in PARAMETRIC and end + 1 < len(tokens) and tokens[end + 1] == "(":
+            parameters, at = ", ".join(inside), end + 1
+            end = _bracket(tokens, at)
+            yield PARAMETRIC[name].format(*_arguments(tokens[at + 1 : end]), p=parameters)
+        elif name == "multiIf" and len(inside) % 2 and len(inside) > 1:
+            cases = " ".join(f"WHEN {a} THEN {b}" for a, b in zip(inside[::2], inside[1::2]))
+            yield f"CASE {cases} ELSE {inside[-1]} END"
+        elif (name, len(inside)) in REFORMED:
+            yield REFORMED[name, len(inside)].format(*inside)
+        else:
+            yield RENAMED.get(name, name) + "("
+            yield from _calls(tokens[at + 1 : end])
+            yield ")" * (end < len(tokens))
+        i = end + 1
 
 
 def _each(seq) -> Iterator:
@@ -88,6 +138,17 @@ _STEPS = {
     "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "WithWindowDefinition", "OneRowRelation",
 }
 _SUBQUERIES = {"ScalarSubquery", "Exists", "InSubquery", "ListQuery"}
+#: Parts of expressions; all other kinds are refused, such as functions that are named by an expression.
+_EXPRESSIONS = _SUBQUERIES | {
+    "UnresolvedFunction", "UnresolvedAttribute", "UnresolvedStar", "UnresolvedAlias", "UnresolvedExtractValue", "UnresolvedOrdinal", "UnresolvedWindowExpression",
+    "Alias", "MultiAlias", "Literal", "Cast", "NamedParameter", "PosParameter", "SortOrder", "CaseWhen", "And", "Or", "Not", "IsNull", "IsNotNull",
+    "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "In", "Between", "Like", "ILike", "RLike",
+    "Add", "Subtract", "Multiply", "Divide", "IntegralDivide", "Remainder", "UnaryMinus", "UnaryPositive", "Concat",
+    "WindowExpression", "WindowSpecDefinition", "WindowSpecReference", "SpecifiedWindowFrame", "UnspecifiedFrame$", "UnboundedPreceding$", "UnboundedFollowing$", "CurrentRow$",
+    "RowFrame$", "RangeFrame$", "Cube", "Rollup", "GroupingSets", "TimestampAddInterval", "CurrentDate", "CurrentTimestamp",
+}
+#: Code of others that an analysed query must not hold, under whatever name it came.
+_FOREIGN = {"CallMethodViaReflection", "TryReflect", "ScalaUDF", "PythonUDF", "PythonUDAF", "HiveSimpleUDF", "HiveGenericUDF", "Invoke"}
 
 
 class _Reader:
@@ -118,12 +179,12 @@ class _Reader:
 
     def expression(self, node, named: frozenset[str]) -> None:
         kind = _kind(node)
+        if kind not in _EXPRESSIONS:
+            self.steps.add(kind)
         if kind == "UnresolvedFunction":
             self.functions.add(".".join(_each(node.nameParts())))
         if kind in _SUBQUERIES:
             self.plan((node.query() if kind == "InSubquery" else node).plan(), named)
-        elif kind.endswith(("Subquery", "SubqueryArgumentExpression")):
-            self.steps.add(kind)
         for child in _each(node.children()):
             self.expression(child, named)
 
@@ -144,12 +205,52 @@ def check(spark: SparkSession, sql: str, tables: set[str] = TABLES) -> None:
         raise QueryRefused(f"functions that are not allowed: {', '.join(sorted(extra))}")
 
 
+def _plans(plan) -> Iterator:
+    """The plan's steps, those of its subqueries too."""
+    yield plan
+    for child in _each(plan.children()):
+        yield from _plans(child)
+    for inner in _each(plan.subqueries()):
+        yield from _plans(inner)
+
+
+def _within(expression) -> Iterator:
+    yield expression
+    for child in _each(expression.children()):
+        yield from _within(child)
+
+
+def check_analysed(frame: DataFrame) -> None:
+    """Raise :class:`QueryRefused` if foreign code is called, or all pairs of two tables are asked for."""
+    execution = frame._jdf.queryExecution()
+    for step in _plans(execution.analyzed()):
+        for expression in _each(step.expressions()):
+            if extra := {_kind(e) for e in _within(expression)} & _FOREIGN:
+                raise QueryRefused(f"functions that are not allowed: {', '.join(sorted(extra))}")
+    for step in _plans(execution.optimizedPlan()):
+        if _kind(step) == "Join" and step.condition().isEmpty():
+            most = [side.maxRows() for side in (step.left(), step.right())]
+            if not any(m.isDefined() and m.get() <= 1 for m in most):
+                raise QueryRefused("a join without a condition")
+
+
 def run(spark: SparkSession, views: dict[str, DataFrame], sql: str, **parameters) -> DataFrame:
-    """The query's rows, at most ``MOST_ROWS``; values are passed as ``:name`` parameters."""
-    text = translate(sql)
+    """The query's rows, at most ``MOST_ROWS``; values are passed as ``:name`` parameters.
+
+    The caller's own views stay as they are: tables have names of their own while the query is analysed.
+    """
+    text = translate(sql).strip().rstrip("; \n\t")
     if extra := set(views) - TABLES:
         raise QueryRefused(f"no logical tables: {', '.join(sorted(extra))}")
     check(spark, text, set(views))
-    for name, view in views.items():
-        view.createOrReplaceTempView(name)
-    return spark.sql(text, args=parameters or None).limit(MOST_ROWS)
+    mark = f"guarded_{uuid.uuid4().hex}"
+    try:
+        for name, view in views.items():
+            view.createOrReplaceTempView(f"{mark}_{name}")
+        tables = ", ".join(f"{name} AS (SELECT * FROM {mark}_{name})" for name in views)
+        frame = spark.sql(f"WITH {tables} SELECT * FROM (\n{text}\n)", args=parameters or None)
+        check_analysed(frame)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(f"{mark}_{name}")
+    return frame.limit(MOST_ROWS)

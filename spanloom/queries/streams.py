@@ -57,12 +57,21 @@ def guarded(s, d):
     return guard.run(s, {"traces": V.traces(s, d)}, sql, since="2024-01-10")
 
 
+def guarded_nested(s, d):
+    sql = """SELECT multiIf(p > 400, 'slow', p > 100, 'fair', 'fast') AS speed, uniqExact(concat_model) AS models, sum(n) AS n FROM (
+        SELECT upper(model_id) AS concat_model, toDayOfWeek(toStartOfHour(timestamp)) AS day, quantile(0.5)(abs(round(latency_ms, 3))) AS p, count(*) AS n
+        FROM traces WHERE length(toString(abs(toInt64(input_tokens)))) BETWEEN 1 AND 9 GROUP BY upper(model_id), toDayOfWeek(toStartOfHour(timestamp))
+    ) GROUP BY 1"""
+    return guard.run(s, {"traces": V.traces(s, d)}, sql)
+
+
 QUERIES = {
     "otlp_flatten": otlp_flatten,
     "stream_rollup": stream_rollup,
     "stream_distinct": stream_distinct,
     "stream_rate_limited": stream_limited,
     "guarded_sql": guarded,
+    "guarded_sql_nested": guarded_nested,
 }
 
 ORACLE_SQL = {
@@ -73,4 +82,7 @@ ORACLE_SQL = {
     "stream_distinct": f"{_T} SELECT trace_id, service_name FROM traces",
     "guarded_sql": f"""{_T} SELECT model_id, count(DISTINCT user_id) AS users, round(quantile_cont(latency_ms, 0.5), 6) AS p50, count(*) FILTER (is_error) AS errors FROM traces
       WHERE "timestamp" >= TIMESTAMP '2024-01-10' AND model_id IN (SELECT model_id FROM traces WHERE status = 'error') GROUP BY 1""",
+    "guarded_sql_nested": f"""{_T}, p AS (SELECT upper(model_id) AS m, isodow(date_trunc('hour', "timestamp")) AS day, quantile_cont(abs(round(latency_ms, 3)), 0.5) AS p, count(*) AS n FROM traces
+        WHERE length(CAST(abs(input_tokens) AS VARCHAR)) BETWEEN 1 AND 9 GROUP BY 1, 2)
+      SELECT CASE WHEN p > 400 THEN 'slow' WHEN p > 100 THEN 'fair' ELSE 'fast' END AS speed, count(DISTINCT m) AS models, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1""",
 }

@@ -88,6 +88,19 @@ def test_guard_lets_queries_through(spark, traces):
         "TABLE traces",
         "SELECT trace_id FROM traces WHERE EXISTS (SELECT * FROM parquet.`/etc`)",
         "FROM traces |> SELECT trace_id",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') FROM traces",
+        "SELECT trace_id FROM traces WHERE IDENTIFIER('java_' || 'method')('java.lang.System', 'getProperty', 'user.home') = 'x'",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM traces",
+        "SELECT transform(array(1), x -> reflect('java.lang.System', 'getProperty', 'a')) FROM traces",
+        "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'a') FROM traces",
+        "SELECT `reflect`('java.lang.System', 'getProperty', 'a') FROM traces",
+        "SELECT count(*) FILTER (WHERE reflect('a', 'b', 'c') = '') FROM traces",
+        "SELECT sum(latency_ms) OVER (ORDER BY reflect('a', 'b', 'c')) FROM traces",
+        "SELECT a.trace_id FROM traces a, traces b, traces c, traces d",
+        "SELECT a.trace_id FROM traces a CROSS JOIN traces b",
+        "SELECT trace_id FROM traces) UNION (SELECT 1",
+        "SELECT * FROM traces -- ;\n; DROP VIEW traces",
+        "SELECT /* */ toString(reflect('a', 'b', 'c')) FROM traces",
     ],
 )
 def test_guard_refuses(spark, traces, sql):
@@ -95,6 +108,36 @@ def test_guard_refuses(spark, traces, sql):
         guard.run(spark, {"traces": traces}, sql)
 
 
+def test_guard_rewrites_nested_calls(spark, traces):
+    sql = """SELECT toString(round(toFloat64(latency_ms), 1)) AS a, multiIf(latency_ms > 100, 'slow', latency_ms > (10 + 5), 'fair', "quick") AS b, 'toString(x)' AS c, -- toString(
+        length(concat_free) AS n FROM (SELECT *, lower(input_preview) AS concat_free FROM traces) ORDER BY trace_id;"""
+    rows = guard.run(spark, {"traces": traces}, sql).collect()
+    assert [tuple(r) for r in rows] == [("5.0", "quick", "toString(x)", 11), ("50.0", "fair", "toString(x)", 5), ("500.0", "slow", "toString(x)", None)]
+    sql = "SELECT quantile(0.5)(abs(0 - latency_ms)) AS q, quantiles(0, 1)(round(latency_ms)) AS qs, uniqExact(lower(model_id)) AS u, avgIf(abs(latency_ms), status = 'ok') AS v, sumIf(input_tokens, status IN ('ok', 'x')) AS t FROM traces"
+    assert tuple(guard.run(spark, {"traces": traces}, sql).first()) == (50.0, [5.0, 500.0], 2, 252.5, 40)
+    kinds = """SELECT model_id, row_number() FROM traces"""
+    with pytest.raises(guard.QueryRefused):
+        guard.run(spark, {"traces": traces}, kinds)
+    wide = """SELECT status, model_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY status ORDER BY model_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k,
+        count(*) FILTER (WHERE latency_ms BETWEEN 1 AND 9 OR trace_id LIKE 'c%' OR user_id IS NULL) AS f, CASE status WHEN 'ok' THEN -1 ELSE 1 % 2 END AS c,
+        max(timestamp) + INTERVAL 1 DAY AS d, max(model_id || '-' || status) AS m FROM traces GROUP BY ROLLUP (status, model_id)"""
+    assert guard.run(spark, {"traces": traces}, wide).count() == 5
+
+
+def test_guard_leaves_views_alone_and_refuses_foreign_code(spark, traces):
+    spark.range(3).createOrReplaceTempView("traces")
+    assert guard.run(spark, {"traces": traces}, "SELECT trace_id FROM traces").count() == 3
+    assert spark.table("traces").columns == ["id"] and len([t for t in spark.catalog.listTables() if t.name.startswith("guarded")]) == 0
+    spark.catalog.dropTempView("traces")
+    joined = "SELECT a.trace_id, t.n FROM traces a, (SELECT count(*) AS n FROM traces) t"
+    assert guard.run(spark, {"traces": traces}, joined).count() == 3
+    assert guard.run(spark, {"traces": traces}, "SELECT a.trace_id FROM traces a, traces b WHERE a.trace_id = b.trace_id").count() == 3
+    other = spark.newSession()
+    other.udf.register("weekday", lambda x: 1, "int")
+    with pytest.raises(guard.QueryRefused, match="PythonUDF"):
+        guard.run(other, {"traces": other.range(3)}, "SELECT weekday(id) FROM traces")
+
+
 def test_queue_messages_in_either_form(spark):
     one = '{"traceId": "t1", "spanId": "s1", "name": "n", "status": {"code": 2}, "startTimeUnixNano": "1000", "endTimeUnixNano": 4000}'
     many = '{"spans": [{"trace_id": "t2", "span_id": "s2", "status": {"code": "STATUS_CODE_OK"}}, {"trace_id": "t3"}]}'
