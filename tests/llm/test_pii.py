@@ -47,7 +47,7 @@ def leaking():
     rng = random.Random(2)
     fill = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(5))
     rows = [(i, f"{fill()} Zorblatt writes ann@x.org {fill()}") for i in range(6)]
-    rows += [(10 + i, f"{fill()} mail{i}@y.org {fill()}") for i in range(40)]
+    rows += [(10 + i, f"{fill()} mail{i}@y.org {fill()}") for i in range(50)]
     rows += [(100 + i, f"{fill()} copied frobnicate bob@z.org {fill}"[:60]) for i in range(1)] * 5  # one document, copied
     return rows
 
@@ -137,7 +137,10 @@ def test_disclosed_terms_equal_brute_force(spark):
                     want.add(t)
     assert len(want) >= 5 and any(t.startswith("clue") for t in want)
     texts = dict(rows)
-    for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+    again = rows + rows[::2] * 3  # repeated rows are one document, and get its result each
+    found = [r for some in (rows, again) for r in pii.report(spark.createDataFrame(some, "doc_id long, text string").repartition(3)).collect()]
+    assert len(found) == len(rows) + len(again)
+    for r in found:
         got = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term")]
         rest = rests.get(r.doc_id, texts[r.doc_id])
         assert got == [m.span() for m in word.finditer(rest) if m[0].lower() in want], r.doc_id
