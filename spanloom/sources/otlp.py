@@ -1,7 +1,7 @@
 """Decoding of telemetry messages: nested span exports, and batches of spans from a queue.
 
-Schemas are explicit; both camelCase and snake_case keys are read; a record that cannot be decoded
-gives no spans and is counted by :func:`corrupt`.
+Schemas are explicit; both camelCase and snake_case keys are read.  Every message that is refused, by whatever
+limit, is a row of :func:`refused` with the reason, so that nothing is lost uncounted.
 """
 
 from __future__ import annotations
@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Messages beyond these limits are refused before they are parsed.
+#: Bytes of a string of a message; one with a longer string is refused, as beyond the limits below.
 MOST_BYTES = 1 << 20
 
 #: How deep a message may be nested.
 MOST_DEPTH = 32
 
+#: How long a list of resources, scopes, spans, points, records or attributes may be.
+MOST_ITEMS = 10_000
+
 # Lists, maps and bytes are kept as their JSON text.
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,arrayValue:string,kvlistValue:string,bytesValue:string>"
 _ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
@@ -46,9 +49,13 @@ def _time(nanos: Column) -> Column:
     return F.timestamp_micros(F.call_function("div", nanos, F.lit(1000)))
 
 
+#: A string of JSON, escaped quotes and backslashes included; an open one reaches to the end.
+_STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)'
+
+
 def too_deep(text: Column, most: int = MOST_DEPTH) -> Column:
     """Whether brackets outside strings are nested deeper than ``most``: innermost pairs go level by level."""
-    left = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]++", "")
+    left = F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^\[\]{}]++", "")
     for _ in range(most):
         left = F.regexp_replace(left, r"\[\]|\{\}", "")
     return F.length(left) > 0
@@ -80,28 +87,83 @@ def _fields(span: str) -> list[Column]:
     ]
 
 
+def _lists(kind: str) -> list[str]:
+    """Paths of the lists of a message of this kind, outer ones first."""
+    return {"spans": ["resourceSpans", "scopeSpans", "spans"], "metrics": ["resourceMetrics", "scopeMetrics", "metrics"], "logs": ["resourceLogs", "scopeLogs", "logRecords"]}[kind]
+
+
+def _longest(message: Column, kind: str) -> Column:
+    """Items of the longest list; nested ones by level."""
+    outer, middle, inner = _lists(kind)
+    size = lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0))
+    most = lambda xs, f: F.coalesce(F.array_max(F.transform(xs, f)), F.lit(0))
+    of_item = lambda i: F.greatest(*(size(i[k]["dataPoints"]) for k in ("gauge", "sum", "histogram"))) if kind == "metrics" else size(i["attributes"])
+    of_middle = lambda m: F.greatest(size(m[inner]), most(m[inner], of_item))
+    of_outer = lambda o: F.greatest(size(o[middle]), size(o["resource"]["attributes"]), most(o[middle], of_middle))
+    return F.greatest(size(message[outer]), most(message[outer], of_outer))
+
+
+def _long_string(text: Column) -> Column:
+    strings = F.regexp_extract_all(text, F.lit(_STRING), F.lit(0))
+    return F.when(F.octet_length(text) > MOST_BYTES, F.exists(strings, lambda x: F.octet_length(x) > MOST_BYTES + 2)).otherwise(False)
+
+
+def _outside(text: Column) -> Column:
+    """Why a text must not be parsed; null where it may be."""
+    return (
+        F.when(text.isNull(), "no message")
+        .when(_long_string(text), "too long")
+        .when(F.get_json_object(text, "$").isNull(), "no JSON")
+        .when(too_deep(text), "too deep")
+    )
+
+
+def _parsed(messages: DataFrame, column: str, kind: str) -> DataFrame:
+    schema = {"spans": EXPORT, "metrics": METRICS, "logs": LOGS}[kind]
+    out = messages.select(F.col(column).alias("_text"), _outside(F.col(column)).alias("reason"))
+    out = out.withColumn("m", F.from_json(F.when(F.col("reason").isNull(), F.col("_text")), schema))
+    return out.withColumn("reason", F.coalesce("reason", F.when(_longest(F.col("m"), kind) > MOST_ITEMS, "too many items")))
+
+
+def refused(messages: DataFrame, column: str = "value", kind: str = "spans") -> DataFrame:
+    """(message, reason) of every message of which nothing is taken; ``kind`` is spans, metrics or logs."""
+    return _parsed(messages, column, kind).where("reason is not null").select(F.col("_text").alias("message"), "reason")
+
+
 def flatten(messages: DataFrame, column: str = "value") -> DataFrame:
     """Spans of nested exports: resource, scope and span in one row each."""
-    small = messages.where((F.octet_length(column) <= MOST_BYTES) & ~too_deep(F.col(column)))
-    parsed = small.select(F.from_json(F.col(column), EXPORT).alias("m"))
+    parsed = _parsed(messages, column, "spans").where("reason is null").select("m")
     resources = parsed.select(F.explode("m.resourceSpans").alias("r"))
     scopes = resources.select(_map(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeSpans").alias("c"))
     spans = scopes.select("resource", F.col("c.scope.name").alias("scope"), F.explode("c.spans").alias("s"))
     return spans.select(F.try_element_at("resource", F.lit("service.name")).alias("service_name"), "scope", *_fields("s"))
 
 
+def _batches(messages: DataFrame, column: str) -> DataFrame:
+    """Messages of spans with ``spans``, what they hold, and ``reason``, why nothing is taken of them."""
+    out = messages.select(F.col(column).alias("_text"), _outside(F.col(column)).alias("reason"))
+    text = F.when(F.col("reason").isNull(), F.col("_text"))
+    out = out.withColumn("spans", F.coalesce(F.from_json(text, f"spans array<{_SPAN}>")["spans"], F.array(F.from_json(text, _SPAN))))
+    named = F.filter("spans", lambda s: F.coalesce(s["traceId"], s["trace_id"]).isNotNull())
+    more = F.when(F.size("spans") > MOST_ITEMS, "too many items").when((F.size("spans") > 0) & (F.size(named) == 0), "no trace")
+    nameless = F.when(F.col("reason").isNull(), F.size("spans") - F.size(named)).otherwise(0)
+    return out.select("_text", named.alias("spans"), nameless.cast("long").alias("nameless"), F.coalesce("reason", more).alias("reason"))
+
+
 def decode_batches(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Spans of queue messages: ``{"spans": [...]}`` or one span a message."""
-    many = F.from_json(F.col(column), f"spans array<{_SPAN}>")["spans"]
-    one = F.from_json(F.col(column), _SPAN)
-    spans = F.coalesce(many, F.array(one))
-    out = messages.where(F.octet_length(column) <= MOST_BYTES).select(F.explode(spans).alias("s")).select(*_fields("s"))
-    return out.where("trace_id is not null")
+    """Spans of queue messages: ``{"spans": [...]}`` or one span a message; spans without a trace are left out."""
+    return _batches(messages, column).where("reason is null").select(F.explode("spans").alias("s")).select(*_fields("s"))
+
+
+def refused_batches(messages: DataFrame, column: str = "value") -> DataFrame:
+    """(message, reason, spans): queue messages refused as a whole, and those of whose spans some have no trace."""
+    rows = _batches(messages, column).where("reason is not null or nameless > 0")
+    return rows.select(F.col("_text").alias("message"), F.coalesce("reason", F.lit("some spans without a trace")).alias("reason"), F.col("nameless").alias("spans"))
 
 
-def corrupt(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Messages that are too long or no JSON object."""
-    return messages.where((F.octet_length(column) > MOST_BYTES) | F.get_json_object(column, "$").isNull())
+def corrupt(messages: DataFrame, column: str = "value", kind: str = "spans") -> DataFrame:
+    """Messages that are refused, as :func:`refused`, but without the reasons."""
+    return refused(messages, column, kind).select(F.col("message").alias(column))
 
 
 def kafka(spark, servers: str, topic: str, starting: str = "earliest") -> DataFrame:
@@ -123,8 +185,7 @@ def _service(resource: str) -> Column:
 
 def flatten_metrics(messages: DataFrame, column: str = "value") -> DataFrame:
     """One row a data point of gauges, sums and histograms (their sum, and count): name, kind, time, value, labels."""
-    small = messages.where((F.octet_length(column) <= MOST_BYTES) & ~too_deep(F.col(column)))
-    one = small.select(F.explode(F.from_json(column, METRICS)["resourceMetrics"]).alias("r"))
+    one = _parsed(messages, column, "metrics").where("reason is null").select(F.explode("m.resourceMetrics").alias("r"))
     one = one.select(F.col("r.resource").alias("resource"), F.explode("r.scopeMetrics").alias("s")).select("resource", F.explode("s.metrics").alias("m"))
 
     def of(kind: str) -> Column:
@@ -139,8 +200,7 @@ def flatten_metrics(messages: DataFrame, column: str = "value") -> DataFrame:
 
 def flatten_logs(messages: DataFrame, column: str = "value") -> DataFrame:
     """One row a log record: service, time, severity, body as text, attributes and the span it belongs to."""
-    small = messages.where((F.octet_length(column) <= MOST_BYTES) & ~too_deep(F.col(column)))
-    one = small.select(F.explode(F.from_json(column, LOGS)["resourceLogs"]).alias("r"))
+    one = _parsed(messages, column, "logs").where("reason is null").select(F.explode("m.resourceLogs").alias("r"))
     one = one.select(F.col("r.resource").alias("resource"), F.explode("r.scopeLogs").alias("s")).select("resource", F.explode("s.logRecords").alias("l"))
     at = _time(F.col("l.timeUnixNano").try_cast("long"))
     return one.select(_service("resource"), at.alias("time"), F.lower("l.severityText").alias("severity"), _text(F.col("l.body")).alias("body"), _map(F.col("l.attributes")).alias("attributes"), F.col("l.traceId").alias("trace_id"), F.col("l.spanId").alias("span_id"))

@@ -144,7 +144,13 @@ def test_queue_messages_in_either_form(spark):
     messages = spark.createDataFrame([(one,), (many,), ("{broken",), ("[]",)], "value string")
     got = {r.trace_id: (r.span_id, r.status, r.duration_ns) for r in otlp.decode_batches(messages).collect()}
     assert got == {"t1": ("s1", "error", 3000), "t2": ("s2", "ok", None), "t3": (None, "unset", None)}
-    assert otlp.corrupt(messages).count() == 1
+    assert {(r.message, r.reason, r.spans) for r in otlp.refused_batches(messages).collect()} == {("{broken", "no JSON", 0), ("[]", "no trace", 1)}
+    mixed = '{"spans": [{"trace_id": "t4"}, {"span_id": "lost"}, {}]}'
+    odd = spark.createDataFrame([(mixed,), ('{"spans": [{}]}',), (None,), ('{"a": ' + "[" * 40 + "]" * 40 + "}",), ('{"spans": [' + ",".join(['{"traceId": "x"}'] * 10_001) + "]}",)], "value string")
+    assert [r.trace_id for r in otlp.decode_batches(odd).collect()] == ["t4"]
+    assert sorted((r.reason, r.spans) for r in otlp.refused_batches(odd).collect()) == [
+        ("no message", 0), ("no trace", 1), ("some spans without a trace", 2), ("too deep", 0), ("too many items", 0)
+    ]
 
 
 def test_values_of_all_kinds_repeated_keys_and_depth(spark):
@@ -152,6 +158,53 @@ def test_values_of_all_kinds_repeated_keys_and_depth(spark):
     text = '{"resourceSpans": [{"resource": {"attributes": []}, "scopeSpans": [{"spans": [{"traceId": "t", "spanId": "s", "attributes": ' + attributes + "}]}]}]}"
     row = otlp.flatten(spark.createDataFrame([(text,)], "value string")).first()
     assert row.attributes == {"a": "7", "l": '{"values":[{"intValue":"1"}]}', "b": "AQI="}
-    deep = [("[" * n + '"]]' + "{" * 50 + '\\\\""' + "]" * n,) for n in (1, 32, 33, 60)]
+    deep = [("[" * n + '"]]' + "{" * 50 + '\\\\"' + "]" * n,) for n in (1, 32, 33, 60)]
     got = spark.createDataFrame(deep, "v string").select(otlp.too_deep(F.col("v")).alias("d")).collect()
     assert [r.d for r in got] == [False, False, True, True]
+
+
+def export(value, attributes=1):
+    import json
+
+    span = {"traceId": "t", "spanId": "s", "attributes": [{"key": f"k{i}", "value": {"stringValue": value}} for i in range(attributes)]}
+    return json.dumps({"resourceSpans": [{"resource": {"attributes": []}, "scopeSpans": [{"spans": [span]}]}]})
+
+
+def depth(text):
+    """How deep brackets outside strings are nested, character by character."""
+    now = most = 0
+    inside = escaped = False
+    for c in text:
+        if inside:
+            escaped, inside = c == "\\" and not escaped, c != '"' or escaped
+        elif c == '"':
+            inside = True
+        elif c in "[{":
+            now += 1
+            most = max(most, now)
+        elif c in "]}":
+            now -= 1
+    return most
+
+
+def test_escaped_quotes_and_brackets_in_strings_are_no_depth(spark):
+    import json
+    import random
+
+    mark = random.Random(4)
+    values = ['a "[" b', 'x"[', "\\", '\\"', "[" * 50, '"{' * 40, "\\" * 7 + '"' + "{" * 60, "é\n\t[" * 40, '\\"' * 100_000]
+    values += ["".join(mark.choice('a"\\[]{}, ') for _ in range(mark.randrange(90))) for _ in range(150)]
+    texts = [export(v) for v in values] + [json.dumps([export(v)] * 2) for v in values[:20]]
+    messages = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert sorted(r.attributes["k0"] for r in otlp.flatten(messages).collect()) == sorted(values)
+    got = messages.select("value", otlp.too_deep(F.col("value"), 8).alias("d")).collect()
+    assert all(r.d == (depth(r.value) > 8) for r in got)
+
+
+def test_every_refused_message_is_counted(spark):
+    deep = '{"resourceSpans": ' + "[" * 33 + "]" * 33 + "}"
+    texts = [export("good"), None, "{broken", deep, export("x" * otlp.MOST_BYTES + "x"), export("x" * 1000, 1500), export("v", otlp.MOST_ITEMS + 1), export("v", otlp.MOST_ITEMS // 100)]
+    messages = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert otlp.flatten(messages).count() == 3
+    assert sorted(r.reason for r in otlp.refused(messages).collect()) == ["no JSON", "no message", "too deep", "too long", "too many items"]
+    assert otlp.corrupt(messages).count() == 5 and otlp.refused(messages, kind="logs").count() == 4 and otlp.refused(messages, kind="metrics").count() == 4
