@@ -17,6 +17,28 @@ EPSILON = 1e-10
 PSI_BINS = 10
 
 
+#: Slices of a feature's range, by value, within which running totals are taken apart from each other.
+SLICES = 1024
+
+
+def running(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, v, ...) with ``upto_`` running totals of ``columns`` by v, each v once a feature.
+
+    A feature's range is cut into slices, so that its values are sorted by many tasks; the totals of the
+    slices before come from a table of one row a slice.
+    """
+    edge = counts.groupBy("feature").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    place = (F.col("v") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    slot = F.when(F.isnan(place), SLICES).otherwise(F.floor(place * SLICES)).cast("int")
+    cut = counts.join(edge, "feature").withColumn("_slot", slot).drop("_lo", "_hi")
+    before = Window.partitionBy("feature").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("feature", "_slot").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    totals = totals.select("feature", "_slot", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    within = Window.partitionBy("feature", "_slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(totals, ["feature", "_slot"])
+    return out.withColumns({f"upto_{c}": F.col(f"_{c}") + F.sum(c).over(within) for c in columns}).drop("_slot", *(f"_{c}" for c in columns))
+
+
 def psi_reference(values: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     """(feature, edges, expected) of (feature, v): a table to be stored, against which later values are held.
 
@@ -25,9 +47,8 @@ def psi_reference(values: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     """
     # Equal values are counted first, so only distinct ones are sorted.
     counts = values.where("v is not null").groupBy("feature", "v").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("feature").orderBy("v"))
     sizes = counts.groupBy("feature").agg(F.sum("k").alias("n"))
-    placed = counts.withColumn("after", upto).join(F.broadcast(sizes), "feature")
+    placed = running(counts, ["k"]).withColumnRenamed("upto_k", "after").join(sizes, "feature")
     wanted = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.floor(i / bins * (F.col("n") - 1)))
     hit = F.size(F.filter(wanted, lambda w: (w >= F.col("after") - F.col("k")) & (w < F.col("after"))))
     edges = placed.groupBy("feature").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("v", hit)))).alias("edges"))
@@ -37,7 +58,7 @@ def psi_reference(values: DataFrame, bins: int = PSI_BINS) -> DataFrame:
 def _binned(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(feature, edges, counts): how many values lie in each bin."""
     # How many inner edges a value has reached is its bin.
-    binned = values.where("v is not null").join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("v"))))
+    binned = values.where("v is not null").join(edges, "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("v"))))
     counts = binned.groupBy("feature", "bin").agg(F.count("*").alias("k")).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("m"))
     each = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
     return edges.join(counts, "feature", "left").select("feature", "edges", each.alias("counts"))
@@ -63,20 +84,13 @@ def psi(rows: DataFrame, bins: int = PSI_BINS) -> DataFrame:
 def ks(rows: DataFrame) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of each feature, with an asymptotic p-value."""
     by_value = rows.groupBy("feature", "v").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
-    upto = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("feature")
-    steps = by_value.select(
-        "feature",
-        F.sum("r").over(upto).alias("fr"),
-        F.sum("c").over(upto).alias("fc"),
-        F.sum("r").over(whole).alias("n"),
-        F.sum("c").over(whole).alias("m"),
-    )
-    d = steps.groupBy("feature").agg(F.max(F.abs(F.col("fr") / F.col("n") - F.col("fc") / F.col("m"))).alias("d"), F.first("n").alias("n"), F.first("m").alias("m"))
+    whole = by_value.groupBy("feature").agg(F.sum("r").alias("n"), F.sum("c").alias("m"))
+    steps = running(by_value, ["r", "c"]).join(whole, "feature")
+    d = steps.groupBy("feature").agg(F.max(F.abs(F.col("upto_r") / F.col("n") - F.col("upto_c") / F.col("m"))).alias("d"), F.first("n").alias("n"), F.first("m").alias("m"))
     root = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
     z = (root + 0.12 + 0.11 / root) * F.col("d")
     p = F.least(2 * F.exp(-2 * z * z), F.lit(1.0))
-    return d.select("feature", F.round("d", 8).alias("ks"), F.round(p, 8).alias("p_value"), (F.col("d") > 0.1).alias("drift"))
+    return d.select("feature", F.round("d", 8).alias("ks"), F.round(p, 8).alias("p_value"), (F.col("d") > 0.1).alias("drift"), (p < 0.05).alias("significant"))
 
 
 def class_counts(rows: DataFrame) -> DataFrame:

@@ -115,7 +115,8 @@ ORACLE_SQL = {
       u AS (SELECT feature, sum(r) OVER w AS fr, sum(c) OVER w AS fc, sum(r) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature) AS m
         FROM g WINDOW w AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
       k AS (SELECT feature, max(abs(fr / n - fc / m)) AS d, sqrt(any_value(n) * any_value(m) / (any_value(n) + any_value(m))) AS root FROM u GROUP BY 1)
-      SELECT feature, round(d, 8) AS ks, round(least(2 * exp(-2 * pow((root + 0.12 + 0.11 / root) * d, 2)), 1), 8) AS p_value, d > 0.1 AS drift FROM k""",
+      SELECT feature, round(d, 8) AS ks, round(least(2 * exp(-2 * pow((root + 0.12 + 0.11 / root) * d, 2)), 1), 8) AS p_value, d > 0.1 AS drift,
+        least(2 * exp(-2 * pow((root + 0.12 + 0.11 / root) * d, 2)), 1) < 0.05 AS significant FROM k""",
     "welch_t": _LONG
     + """, s AS (SELECT feature, avg(v) FILTER (side = 'ref') AS a, avg(v) FILTER (side = 'cur') AS b,
         sqrt(var_samp(v) FILTER (side = 'ref') / count(v) FILTER (side = 'ref') + var_samp(v) FILTER (side = 'cur') / count(v) FILTER (side = 'cur')) AS se FROM rows_ GROUP BY 1)

@@ -185,7 +185,6 @@ QUERIES = {
     "oscillation_rule": lambda s, d: A.oscillation(_points(s, d), 20, 10, 0.8),
     "alert_process": alert_process,
     "alert_rate_limits": rate_limits,
-    "psi_stored_reference": lambda s, d: D.psi_against(D.psi_reference(_long(s, d).where("side = 'ref'").select("feature", "v")), _long(s, d).where("side = 'cur'").select("feature", "v")),
     "chi_square_test": lambda s, d: D.chi_square_test(_classes(s, d)),
     "drift_by_model": by_model,
     "drift_trend": lambda s, d: D.drift_trend(V.drift_alerts(s, d), 24),
