@@ -192,10 +192,14 @@ def disclosing(inside: DataFrame, held: DataFrame, docs: DataFrame, work: Worksp
     pairs = contexts.groupBy("entity", "term").agg(F.count_distinct("doc").alias("both"), F.count_distinct("around").alias("contexts"))
     pairs = work.save(pairs.where(F.col("contexts") >= CONTEXTS).drop("contexts"), "pairs")
     terms = work.save(pairs.select("term").distinct(), "terms")
-    # Repeated rows are one document everywhere.
-    every = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("doc"), F.explode(F.array_distinct(F.transform(_words(F.col("text")), F.lower))).alias("term"))
-    seen = selecting.keep(every, terms, "term").groupBy("term").agg(F.count_distinct("doc").alias("has_term"))
-    total = held.select("doc").distinct().count()
+    # Repeated rows are one document everywhere: each of k counts for a k-th of it.
+    copies = work.save(held.groupBy("doc").count(), "copies")
+    total = copies.count()
+    repeated = copies.where("count > 1")
+    few = repeated.count() <= selecting.BROADCAST_KEYS
+    every = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("doc"), "text").join(F.broadcast(repeated) if few else repeated, "doc", "left")
+    every = every.select((1 / F.coalesce("count", F.lit(1))).alias("part"), F.explode(F.array_distinct(F.transform(_words(F.col("text")), F.lower))).alias("term"))
+    seen = selecting.keep(every, terms, "term").groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("has_term"))
     share = F.col("both") / F.greatest("has_term", "both")
     bits = F.log2(share / (F.col("has_entity") / F.lit(float(max(total, 1)))))
     joined = pairs.join(seen, "term").join(entities, "entity")
