@@ -46,6 +46,34 @@ def distinct_spans(spans: DataFrame) -> DataFrame:
     return spans.withWatermark("timestamp", LATE).dropDuplicatesWithinWatermark(["trace_id"])
 
 
+def sliding(spans: DataFrame, width: str = "1 hour", step: str = "15 minutes") -> DataFrame:
+    """Counts and errors by overlapping window and model."""
+    w = F.window("timestamp", width, step)
+    return spans.withWatermark("timestamp", LATE).groupBy(w.alias("w"), "model_id").agg(F.count("*").alias("n"), F.count_if("is_error").alias("errors"))
+
+
+def alert_episodes(events: DataFrame, minutes: int = 15, ttl_hours: int = 24, silences: DataFrame | None = None) -> DataFrame:
+    """Episodes of (fingerprint, timestamp) events: opened, resolved after ``minutes`` without one, and forgotten.
+
+    A session window joins what belongs together however late and shuffled it came, within the watermark; it
+    is given out when it can no longer grow, which is when the alert resolves itself.  ``notify_at`` is
+    when it is sent: at once, or at the end of the last of the ``silences`` (start, stop, fingerprint or null for
+    all) that cover the time of sending; null where the alert has resolved by then.  The silences are a small table.
+    """
+    w = F.session_window("timestamp", f"{minutes * 60_000_000 - 1} microseconds")  # Spark joins what is just so far apart
+    out = events.withWatermark("timestamp", LATE).groupBy(w.alias("w"), "fingerprint").agg(F.count("*").alias("n"), F.max("timestamp").alias("last_at"))
+    out = out.select("fingerprint", F.col("w.start").alias("opened_at"), "last_at", (F.col("last_at") + F.make_dt_interval(mins=F.lit(minutes))).alias("resolved_at"), "n")
+    out = out.withColumn("expires_at", F.col("last_at") + F.make_dt_interval(hours=F.lit(ttl_hours)))
+    if silences is None:
+        return out.withColumn("notify_at", F.col("opened_at"))
+    rows = silences.groupBy().agg(F.array_sort(F.collect_list(F.struct("start", "stop", F.col("fingerprint").alias("only")))).alias("silences"))
+    covers = lambda at, s: (s["start"] <= at) & (at < s["stop"]) & (s["only"].isNull() | (s["only"] == F.col("fingerprint")))
+    # By start: a silence that begins within another one carries on from it.
+    at = F.aggregate("silences", F.col("opened_at"), lambda at, s: F.when(covers(at, s), s["stop"]).otherwise(at))
+    out = out.crossJoin(F.broadcast(rows)).withColumn("at", at)  # one row
+    return out.withColumn("notify_at", F.when(F.col("at") < F.col("resolved_at"), F.col("at"))).drop("silences", "at")
+
+
 def rate_limited(spans: DataFrame, rate: float, burst: float) -> DataFrame:
     """A token bucket for each service, kept in the state store and filled by event time.
 
