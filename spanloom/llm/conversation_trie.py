@@ -23,7 +23,7 @@ from spanloom.llm.selecting import BROADCAST_KEYS
 from spanloom.session import Workspace
 
 #: Rows (turns of a conversation) of a subtree that one trie holds; a larger subtree's top is heavy.
-SHARD = 4096
+SHARD = 1024
 #: Rows after which a task builds a trie of the subtrees that it has read.
 CHUNK = 1 << 18
 #: Conversations whose ends are joined to one text before they are hashed in order.
