@@ -33,14 +33,17 @@ def _cut(rows: DataFrame, seconds: int) -> DataFrame:
     return rows.withColumn("_at", _micros()).select("*", spans.alias("_s")).select("*", F.col("_s.span").alias("_span"), F.col("_s.own").alias("_own")).drop("_s")
 
 
+#: Values that differ by less are equal.
+EQUAL = 1e-9
+
 #: Comparisons of threshold rules by name.
 COMPARISONS = {
     ">": lambda x, limit: x > limit,
     ">=": lambda x, limit: x >= limit,
     "<": lambda x, limit: x < limit,
     "<=": lambda x, limit: x <= limit,
-    "==": lambda x, limit: F.abs(x - limit) < 1e-4,
-    "!=": lambda x, limit: F.abs(x - limit) >= 1e-4,
+    "==": lambda x, limit: F.abs(x - limit) < EQUAL,
+    "!=": lambda x, limit: F.abs(x - limit) >= EQUAL,
 }
 
 

@@ -189,15 +189,20 @@ _TOKEN = re.compile(r"\s*(len\((?:input|output)\)|input_len|output_len|&&|\|\||[
 
 def condition(text: str) -> Column:
     """``len(output) > 10 && output_len < 2000`` over columns input and output, with usual precedence."""
-    out, at = [], 0
+    out, shape, at = [], "", 0
     while at < len(text.rstrip()):
         match = _TOKEN.match(text, at)
         if not match:
             raise ValueError(f"unexpected text at {at}: {text}")
         token = match[1]
         named = re.fullmatch(r"len\((input|output)\)|(input|output)_len", token)
+        shape += "v" if named or token[0].isdigit() else token if token in "()" else "b" if token in ("&&", "||") else "c"
         out.append(f"char_length({named[1] or named[2]})" if named else {"&&": "AND", "||": "OR", "==": "="}.get(token, token))
         at = match.end()
+    while shape != (less := re.sub(r"vcv|\(e\)|ebe", "e", shape.replace("(v)", "v"))):
+        shape = less
+    if shape != "e":  # values that are compared, and what joins them
+        raise ValueError(f"no condition: {text}")
     return F.expr(" ".join(out))
 
 

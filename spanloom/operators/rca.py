@@ -158,6 +158,49 @@ def assign_to_clusters(failures: DataFrame, clusters: DataFrame, least: float =
     return failures.join(best, "seq", "left").select("seq", F.col("best.cluster").alias("cluster"), F.round("best.score", 8).alias("score"))
 
 
+def merge_clusters(work: Workspace, clusters: DataFrame, threshold: float = 0.9, text: float = 0.7, keywords: float = 0.3) -> DataFrame:
+    """(cluster, size, representative, keywords) with ``leader``: the cluster that it is merged into, maybe itself.
+
+    Clusters are taken by number: one that no earlier leader resembles is a leader, another goes to the first such
+    leader.  They resemble each other when ``text`` times the Jaccard similarity of their representatives' words plus
+    ``keywords`` times that of their keywords reaches ``threshold``.  The representatives alone must then be
+    alike to a degree, so that only clusters meet which share one of their rarest words.  Rounds settle chains of clusters, one link of a chain each.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) >= 3))
+    rows = work.save(clusters.select("cluster", words("representative").alias("w"), F.array_distinct(F.coalesce("keywords", F.array().cast("array<string>"))).alias("k")), "clusters")
+    least = max((threshold - keywords) / text, 0.0) if text else 0.0
+    if least <= 0:
+        raise ValueError("clusters whose texts share nothing could be merged")
+    said = rows.select("cluster", "w", F.explode("w").alias("word"))
+    often = said.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = said.join(often, "word").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+    # Two sets with so much in common share a word among so many of the rarest of either.
+    first = F.size("w") - F.ceil(F.size("w") * F.lit(least) - 1e-9).cast("int") + 1
+    heads = ranked.select("cluster", F.explode(F.slice("w", F.lit(1), first)).alias("h")).select("cluster", "h.word")
+    a, b = heads.toDF("a", "word"), heads.toDF("b", "word")
+    pairs = a.join(b, "word").where("a < b").select("a", "b").distinct()
+    left, right = rows.toDF("a", "aw", "ak"), rows.toDF("b", "bw", "bk")
+    share = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
+    score = text * share("aw", "bw") + keywords * share("ak", "bk")
+    links = work.save(pairs.join(left, "a").join(right, "b").where(score >= threshold - 1e-12).select("a", "b"), "links")
+    known = rows.select("cluster", F.lit(None).cast("long").alias("leader"))
+    while True:
+        # An earlier cluster decides once it is settled itself.
+        near = links.join(known.select(F.col("cluster").alias("a"), F.col("leader").alias("of_a")), "a")
+        seen = near.groupBy("b").agg(F.count_if(F.col("of_a").isNull()).alias("open"), F.min(F.when(F.col("of_a") == F.col("a"), F.col("a"))).alias("first"), F.min(F.when(F.col("of_a").isNull(), F.col("a"))).alias("doubt"))
+        joined = known.join(seen.withColumnRenamed("b", "cluster"), "cluster", "left")
+        settled = F.when(F.col("first").isNotNull() & (F.col("doubt").isNull() | (F.col("first") < F.col("doubt"))), F.col("first")).when(F.coalesce("open", F.lit(0)) == 0, F.col("cluster"))
+        after = work.save(joined.select("cluster", F.coalesce("leader", settled).alias("leader")), "leaders")
+        known = after
+        if after.where("leader is null").isEmpty():
+            return clusters.join(after, "cluster")
+
+
+def merged_sizes(merged: DataFrame) -> DataFrame:
+    """(cluster, size, members) after :func:`merge_clusters`: the leaders with what they took in."""
+    return merged.groupBy(F.col("leader").alias("cluster")).agg(F.sum("size").cast("long").alias("size"), F.count("*").alias("members"))
+
+
 def rca_triggers(results: DataFrame, least: float = 0.7) -> DataFrame:
     """(model_id, drift, severity, safe, risk): rows that call for an analysis, and why."""
     drift, unsafe = F.col("drift") & (F.col("severity") >= least), ~F.col("safe") & (F.col("risk") >= least)

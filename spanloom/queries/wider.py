@@ -42,7 +42,7 @@ def threshold_comparisons(s, d):
     return out
 
 
-_SQL_OPS = {">": "x > 20", ">=": "x >= 20", "<": "x < 20", "<=": "x <= 20", "==": "abs(x - 20) < 1e-4", "!=": "abs(x - 20) >= 1e-4"}
+_SQL_OPS = {">": "x > 20", ">=": "x >= 20", "<": "x < 20", "<=": "x <= 20", "==": "abs(x - 20) < 1e-9", "!=": "abs(x - 20) >= 1e-9"}
 _STREAKS = " UNION ALL ".join(
     f"""SELECT '{name}' AS comparison, count(*) AS n, CAST(coalesce(sum(seq), 0) AS BIGINT) AS seqs FROM (SELECT *, count(*) FILTER ({test}) OVER (PARTITION BY key, island ORDER BY "timestamp", seq ROWS UNBOUNDED PRECEDING) AS streak
       FROM (SELECT *, count(*) FILTER (NOT ({test})) OVER (PARTITION BY key ORDER BY "timestamp", seq ROWS UNBOUNDED PRECEDING) AS island FROM p)) WHERE {test} AND streak >= 2"""
