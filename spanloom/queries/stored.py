@@ -10,6 +10,8 @@ from spanloom.session import Workspace
 from spanloom.sources import monthly
 from spanloom.sources import views as V
 from spanloom.sources.tables import table
+from spanloom.streaming import statistics
+from spanloom.streaming.chain import Processor, run_chain
 
 _T = V.with_views(V.TRACES_SQL)
 
@@ -110,7 +112,33 @@ def psi_stored(s, d):
     return references.psi_drift(folder, rows.where("side = 'cur'").select("feature", "v"))
 
 
+def latency_sketches(s, d):
+    """A sketch of each hour, merged to one of each service."""
+    t = V.traces(s, d).withColumn("hour", F.date_trunc("hour", "timestamp"))
+    hourly = statistics.sketch(t, ["service_name", "hour"], "latency_ms")
+    out = statistics.quantiles(statistics.merge(hourly.drop("hour")), ["service_name"], [0.5, 0.95, 0.99])
+    return out.select("service_name", "n", *(F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")))
+
+
+def processor_chain(s, d):
+    """Traces through three processors; what fails keeps its earlier form."""
+    def shout(frame):
+        if (frame["output_tokens"] > 190).any():
+            raise ValueError("too many tokens")
+        return frame.assign(service_name=frame["service_name"].str.upper())
+
+    steps = [
+        Processor("cost", {"cost_micros": F.col("cost_micros") * 2}, F.when(F.col("is_error"), "an error costs nothing")),
+        Processor("shout", run=shout),
+        Processor("user", {"user_id": F.lit("hidden")}, F.when(F.col("service_name") == "view", "views are kept")),
+    ]
+    rows = run_chain(V.traces(s, d), steps, "trace_id")
+    return rows.select("trace_id", "service_name", "user_id", "cost_micros", F.array_join(F.transform("failures", lambda f: f["processor"]), ",").alias("failed"))
+
+
 QUERIES = {
+    "latency_sketches": latency_sketches,
+    "processor_chain": processor_chain,
     "traces_monthly": traces_monthly,
     "traces_month_range": traces_month_range,
     "traces_expired": traces_expired,
@@ -122,6 +150,15 @@ QUERIES = {
 
 _U = V.with_views(V.USAGE_SQL)
 ORACLE_SQL = {
+    "latency_sketches": f"""{_T}, b AS (SELECT service_name, CASE WHEN latency_ms > 0 THEN ceil(ln(latency_ms) / ln(1.01 / 0.99)) ELSE -1e9 END AS b, count(*) AS c FROM traces GROUP BY ALL),
+      u AS (SELECT *, sum(c) OVER (PARTITION BY service_name ORDER BY b) AS upto, sum(c) OVER (PARTITION BY service_name) AS n FROM b),
+      q AS (SELECT service_name, n, p, min(b) AS b FROM u, (VALUES (0.5), (0.95), (0.99)) v(p) WHERE upto > floor(CAST(p AS DOUBLE) * (n - 1)) GROUP BY ALL),
+      x AS (SELECT service_name, n, p, CASE WHEN b = -1e9 THEN 0 ELSE round(2 * pow(1.01::DOUBLE / 0.99, b) / (1.01::DOUBLE / 0.99 + 1), 6) END AS v FROM q)
+      SELECT service_name, CAST(any_value(n) AS BIGINT) AS n, max(v) FILTER (p = 0.5) AS p50, max(v) FILTER (p = 0.95) AS p95, max(v) FILTER (p = 0.99) AS p99 FROM x GROUP BY 1""",
+    "processor_chain": f"""{_T}, c AS (SELECT *, output_tokens > 190 AS many FROM traces),
+      r AS (SELECT trace_id, CASE WHEN many THEN service_name ELSE upper(service_name) END AS service_name, user_id, CASE WHEN is_error THEN cost_micros ELSE cost_micros * 2 END AS cost_micros, is_error, many FROM c)
+      SELECT trace_id, service_name, CASE WHEN service_name = 'view' THEN user_id ELSE 'hidden' END AS user_id, cost_micros,
+        concat_ws(',', CASE WHEN is_error THEN 'cost' END, CASE WHEN many THEN 'shout' END, CASE WHEN service_name = 'view' THEN 'user' END) AS failed FROM r""",
     "traces_monthly": f"""{_U} SELECT strftime("timestamp", '%Y%m') AS month, count(*) AS n, count(DISTINCT trace_id) AS traces, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM usage GROUP BY 1""",
     "traces_month_range": f"""{_U} SELECT feature_id AS service_name, count(*) AS n, CAST(sum(output_tokens) AS BIGINT) AS tokens FROM usage
       WHERE "timestamp" >= TIMESTAMP '1996-03-15' AND "timestamp" < TIMESTAMP '1996-05-02' GROUP BY 1""",
