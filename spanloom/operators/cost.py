@@ -85,6 +85,16 @@ _OUTPUT = ("$.usage.completion_tokens", "$.usage.output_tokens", "$.usageMetadat
 _CACHED = ("$.usage.prompt_tokens_details.cached_tokens", "$.usage.cache_read_input_tokens", "$.usageMetadata.cachedContentTokenCount")
 
 
+_AUDIO = ("$.usage.prompt_tokens_details.audio_tokens", "$.usage.completion_tokens_details.audio_tokens")
+_REASONING = ("$.usage.completion_tokens_details.reasoning_tokens", "$.usageMetadata.thoughtsTokenCount")
+
+
+def token_details(body: Column) -> Column:
+    """Audio tokens of prompt and completion together, and tokens of reasoning; absent ones are 0."""
+    count = lambda path: F.coalesce(F.get_json_object(body, path).try_cast("long"), F.lit(0))
+    return F.struct(reduce(Column.__add__, map(count, _AUDIO)).alias("audio_tokens"), F.greatest(*map(count, _REASONING)).alias("reasoning_tokens"))
+
+
 def token_extract(body: Column) -> Column:
     """Token counts of a provider's JSON response, whatever provider it is; absent ones are 0."""
 

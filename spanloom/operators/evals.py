@@ -64,6 +64,36 @@ def pii_counts(text: Column) -> list[Column]:
     return [F.regexp_count(text, F.lit(p)).cast("long").alias(f"n_{name}") for name, p in PII.items()]
 
 
+def _places(text: Column, pattern: str) -> Column:
+    """(start, end, match) of all matches of a pattern that matches no empty text, by what lies between them."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
+    piece = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("match")))
+
+    def step(done: Column, p: Column) -> Column:
+        a = done["at"] + p["skip"]
+        b = a + F.length(p["match"])
+        return F.struct(b.alias("at"), F.concat(done["out"], F.array(F.struct(a.alias("start"), b.alias("end"), p["match"].alias("match")))).alias("out"))
+
+    return F.when(F.size(found) > 0, F.aggregate(piece, start, step, lambda d: d["out"]))
+
+
+def pii_spans(text: Column) -> Column:
+    """array of (kind, start, end, match) by kind as listed, then by place; code points from 0, the end exclusive."""
+    named = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"))
+    return F.flatten(F.array_compact(F.array(*(F.transform(_places(text, p), named(kind)) for kind, p in PII.items()))))
+
+
+def injection_spans(text: Column) -> Column:
+    """array of (kind, risk, start, end): the first place of every injection pattern that matches, as listed."""
+    def first(kind: str, risk: int, p: str) -> Column:
+        match = F.regexp_extract(text, f"(?i){p}", 0)
+        start = F.length(F.element_at(F.split(text, f"(?i){p}", 2), 1))
+        return F.when(match != "", F.struct(F.lit(kind).alias("kind"), F.lit(risk).alias("risk"), start.alias("start"), (start + F.length(match)).alias("end")))
+
+    return F.array_compact(F.array(*(first(*i) for i in INJECTION)))
+
+
 def pii_scrub(text: Column) -> Column:
     return reduce(lambda t, kv: F.regexp_replace(t, kv[1], f"[{kv[0].upper()}_REDACTED]"), PII.items(), text)
 
@@ -233,6 +263,33 @@ def judge(reply: Column) -> Column:
     return F.struct(verdict.alias("verdict"), score.alias("score"))
 
 
+def judge_prompt(template: str) -> Column:
+    """A judge's prompt for rows of input, output, contexts and expected; ``{input}`` and so on stand for them.
+
+    Values go in at once, so that a value that looks like a name is not replaced again.
+    """
+    listed = F.array_join(F.transform("contexts", lambda c: F.concat(F.lit("- "), c, F.lit("\n"))), "")
+    values = {
+        "{input}": F.coalesce("input", F.lit("")),
+        "{output}": F.coalesce("output", F.lit("")),
+        "{context}": F.when(F.coalesce(F.size("contexts"), F.lit(0)) > 0, listed).otherwise("(No context provided)"),
+        "{expected}": F.coalesce("expected", F.lit("(Not provided)")),
+    }
+    parts = re.split("(" + "|".join(map(re.escape, values)) + ")", template)
+    return F.concat(*(values.get(part, F.lit(part)) for part in parts))
+
+
+def judge_pair(reply: Column) -> Column:
+    """(verdict, score) of a judge that compared two outputs: pass if A won, fail if B did, unsure for a tie.
+
+    A reply that is no JSON is an error without a score; one that names no winner is a tie.
+    """
+    parsed = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "winner string, score_a double")
+    json = F.get_json_object(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "$").isNotNull()
+    verdict = F.when(~json | reply.isNull(), "error").when(parsed["winner"] == "A", "pass").when(parsed["winner"] == "B", "fail").otherwise("unsure")
+    return F.struct(verdict.alias("verdict"), F.when(verdict != "error", F.coalesce(parsed["score_a"], F.lit(0.5))).alias("score"))
+
+
 def health(drift: Column, risk: Column, score: Column) -> Column:
     """1 - 0.3 drift - 0.4 risk - 0.3 (1 - score), held between 0 and 1; what is missing costs nothing."""
     lost = 0.3 * F.coalesce(drift, F.lit(0.0)) + 0.4 * F.coalesce(risk, F.lit(0.0)) + 0.3 * (1 - F.coalesce(score, F.lit(1.0)))

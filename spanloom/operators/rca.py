@@ -274,35 +274,38 @@ def token_influence(rows: DataFrame, text: str = "text") -> DataFrame:
     return out.select("id", F.col("i").cast("long").alias("position"), "token", F.round(F.levenshtein(F.col(text), without) / F.length(text), 8).alias("influence"))
 
 
-def counterfactuals(rows: DataFrame, candidates: int = 10, low: float = 0.7, high: float = 0.99, seed: int = 3) -> DataFrame:
-    """Random small edits (drop, repeat or swap a word) of (id, text) whose similarity lies in the range."""
-    import random
-    import zlib
-
-    def edits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for id_, text in zip(frame["id"], frame["text"], strict=True):
-                rng = random.Random(zlib.crc32(f"{seed}:{id_}".encode()))
-                for k in range(candidates):
-                    words = text.split(" ")
-                    at = rng.randrange(len(words))
-                    kind = rng.choice(("drop", "repeat", "swap"))
-                    if kind == "drop" and len(words) > 1:
-                        del words[at]
-                    elif kind == "repeat":
-                        words.insert(at, words[at])
-                    else:
-                        other = rng.randrange(len(words))
-                        words[at], words[other] = words[other], words[at]
-                    out.append((id_, k, kind, text, " ".join(words)))
-            yield pd.DataFrame(out, columns=["id", "candidate", "edit", "text", "edited"])
-
-    made = rows.mapInPandas(edits, "id long, candidate long, edit string, text string, edited string")
+#: What stands for a word that is replaced or inserted.
+REPLACED, INSERTED = "[REPLACED]", "[INSERTED]"
+
+
+def counterfactuals(rows: DataFrame, each: int = 5, low: float = 0.7, high: float = 0.99, seed: int = 3) -> DataFrame:
+    """(id, candidate, edit, edited, similarity): edits of one word of (id, text) whose similarity lies in the range.
+
+    Each text has ``each`` deletions, replacements and insertions at places drawn by a checksum of seed, id, edit and
+    number, so that every run makes the same; fewer deletions and replacements where it has fewer words.
+    """
+    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
+    made = rows.select("id", "text", words.alias("w")).where(F.size("w") > 0)
+    n = F.size("w")
+    kinds = F.array(*(F.struct(F.lit(k).alias("edit"), F.lit(i * each).alias("base")) for i, k in enumerate(("delete", "replace", "insert"))))
+    made = made.withColumn("e", F.explode(kinds)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+    made = made.where((F.col("e.edit") == "insert") | ((F.col("k") < n) & ((F.col("e.edit") == "replace") | (n > 1))))
+    drawn = F.crc32(F.concat_ws(":", F.lit(seed), "id", "e.edit", "k")) % F.when(F.col("e.edit") == "insert", n + 1).otherwise(n)
+    made = made.withColumn("at", drawn.cast("int"))
+    head, tail = F.slice("w", F.lit(1), F.col("at")), lambda skip: F.slice("w", F.col("at") + 1 + skip, n)
+    new = F.when(F.col("e.edit") == "delete", F.array().cast("array<string>")).when(F.col("e.edit") == "replace", F.array(F.lit(REPLACED))).otherwise(F.array(F.lit(INSERTED)))
+    edited = F.array_join(F.concat(head, new, F.when(F.col("e.edit") == "insert", tail(0)).otherwise(tail(1))), " ")
+    made = made.select("id", (F.col("e.base") + F.col("k")).cast("long").alias("candidate"), F.col("e.edit").alias("edit"), "text", edited.alias("edited"))
     similarity: Column = 1 - F.levenshtein("text", "edited") / F.greatest(F.length("text"), F.length("edited"))
     return made.withColumn("similarity", F.round(similarity, 8)).where(F.col("similarity").between(low, high)).drop("text")
 
 
+def best_counterfactual(candidates: DataFrame) -> DataFrame:
+    """Of each id the edit that differs most, and how much; of equals the first."""
+    best = candidates.groupBy("id").agg(F.min_by(F.struct("candidate", "edit", "edited", "similarity"), F.struct("similarity", "candidate")).alias("b"))
+    return best.select("id", "b.candidate", "b.edit", "b.edited", F.round(1 - F.col("b.similarity"), 8).alias("confidence"))
+
+
 def causal_report(factors: DataFrame) -> DataFrame:
     """(category, factor, severity) from any analyses: one row a category, its top factors and confidence."""
     ranked = factors.withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("severity"), "factor")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -257,13 +258,69 @@ def slices_against_baseline(traces: DataFrame, dimension: str, hours: int, least
     return out.where(F.col("n") >= least).select("slice", "n", F.round("rate", 8).alias("rate"), F.round("base", 8).alias("baseline"), F.round(deviation, 8).alias("deviation"))
 
 
-def with_evaluations(traces: DataFrame, evaluations: DataFrame) -> DataFrame:
-    """Traces with how many evaluations they have, their mean score and how many failed; none gives 0 and null."""
-    own = evaluations.groupBy("trace_id").agg(F.count("*").alias("n_evaluations"), F.round(F.avg("score"), 8).alias("avg_score"), F.count_if(F.col("verdict") == "fail").alias("n_failed"))
-    out = traces.join(own, "trace_id", "left")
+def with_evaluations(traces: DataFrame, evaluations: DataFrame, keys: tuple[str, ...] = ("trace_id",)) -> DataFrame:
+    """Traces, or spans, with how many evaluations they have, their mean score and how many failed; none gives 0 and null.
+
+    ``keys`` are trace_id, or trace_id and span_id.
+    """
+    own = evaluations.groupBy(*keys).agg(F.count("*").alias("n_evaluations"), F.round(F.avg("score"), 8).alias("avg_score"), F.count_if(F.col("verdict") == "fail").alias("n_failed"))
+    out = traces.join(own, list(keys), "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_evaluations", "n_failed")})
 
 
+def failures_with_traces(failures: DataFrame, traces: DataFrame, names: tuple[str, ...] = ("service_name", "provider", "latency_ms", "cost_micros")) -> DataFrame:
+    """Failures with columns of their traces; a failure whose trace is gone has nulls."""
+    own = traces.select("trace_id", *names).dropDuplicates(["trace_id"])
+    return failures.join(own, "trace_id", "left")
+
+
+#: Metrics by which slices are held against all rows, and whether more is worse.
+SLICE_METRICS = {"error_rate": ("is_error", 1), "latency": ("latency_ms", 1), "cost": ("cost_micros", 1), "toxicity": ("toxicity_score", 1), "hallucination": ("hallucination_score", 1)}
+
+
+def worst_slices(traces: DataFrame, dimensions: list[str], least: int = 50, deviation: float = 0.1, most: int = 10) -> DataFrame:
+    """(dimension, slice, metric, n, value, deviation, impact): where any metric is worse than over all rows.
+
+    All dimensions and metrics come from one pass: a row counts once for each dimension, in partial sums.
+    """
+    metrics = {m: way for m, way in SLICE_METRICS.items() if way[0] in traces.columns}
+    means = lambda: [F.avg(F.col(c).cast("double")).alias(m) for m, (c, _) in metrics.items()]
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("slice")) for d in dimensions), F.struct(F.lit("").alias("dimension"), F.lit("").alias("slice"))))
+    rows = traces.select(each.alias("d"), *(c for c, _ in metrics.values())).groupBy("d.dimension", "d.slice").agg(F.count("*").alias("n"), *means())
+    long = rows.unpivot(["dimension", "slice", "n"], list(metrics), "metric", "value")
+    base = long.where("dimension = ''").select("metric", F.col("value").alias("base"))  # one row a metric
+    worse = reduce(lambda w, m: w.when(F.col("metric") == m[0], m[1][1]), metrics.items(), F)
+    out = long.where(F.col("dimension") != "").where(F.col("n") >= least).join(F.broadcast(base), "metric")
+    out = out.withColumn("dev", worse * F.try_divide(F.col("value") - F.col("base"), F.abs("base"))).where(F.col("dev") >= deviation)
+    impact = F.round(F.col("dev") * F.log(F.col("n") + 1), 8)
+    return out.select("dimension", "slice", "metric", "n", F.round("value", 8).alias("value"), F.round("dev", 8).alias("deviation"), impact.alias("impact")).orderBy(F.desc("impact"), "dimension", "slice", "metric").limit(most)
+
+
+def of_models(rows: DataFrame, models: list[str]) -> DataFrame:
+    """Rows of these models, all where none is named; a row without a model is of the model ``default``."""
+    named = rows.withColumn("model_id", default_model(F.col("model_id")))
+    return named.where(F.col("model_id").isin(models)) if models else named
+
+
+def default_model(model: Column) -> Column:
+    return F.coalesce(F.nullif(model, F.lit("")), F.lit("default"))
+
+
+def quick_analysis(traces: DataFrame, dimensions: list[str], hours: int = 6, least: int = 5) -> DataFrame:
+    """The worst slices of each model in its table's last hours, as one row: how many there are, and the worst."""
+    newest = traces.agg(F.max("timestamp").alias("_newest"))
+    late = traces.join(F.broadcast(newest)).where(F.expr(f"timestamp >= _newest - INTERVAL {hours} HOURS"))
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("slice")) for d in dimensions)))
+    error = F.avg(F.col("is_error").cast("double"))
+    rows = late.select("model_id", "is_error", each.alias("d")).groupBy("model_id", "d.dimension", "d.slice").agg(F.count("*").alias("n"), error.alias("rate"))
+    base = late.groupBy("model_id").agg(error.alias("base"))
+    rows = rows.where(F.col("n") >= least).join(base, "model_id").withColumn("dev", F.try_divide(F.col("rate") - F.col("base"), F.col("base"))).where(F.col("dev") >= 0.1)
+    name = F.concat_ws("=", "dimension", "slice")
+    found = rows.groupBy("model_id").agg(F.count("*").alias("slices"), F.max_by(F.struct(name.alias("name"), "dev"), F.struct("dev", "n", name)).alias("top"))
+    summary = F.when(F.col("slices").isNull(), "nothing stands out").otherwise(F.format_string("%d slices stand out, most of all %s", "slices", "top.name"))
+    return base.join(found, "model_id", "left").select("model_id", F.coalesce("slices", F.lit(0)).alias("slices"), F.col("top.name").alias("worst"), F.round("top.dev", 8).alias("severity"), summary.alias("summary"))
+
+
 def hourly_quality(traces: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Error rate, p95 latency and mean score of each hour."""
     calls = traces.groupBy(hour().alias("hour")).agg(F.round(F.avg(F.col("is_error").cast("double")), 8).alias("error_rate"), F.round(F.percentile("latency_ms", 0.95), 6).alias("p95_latency"))

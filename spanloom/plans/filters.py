@@ -24,6 +24,12 @@ COLUMNS = {
     "input_tokens": int,
     "output_tokens": int,
     "cost_micros": int,
+    "feature_id": str,
+    "environment": str,
+    "error_type": str,
+    "eval_score": float,
+    "drift_score": float,
+    "toxicity_score": float,
 }
 _COMPARE = {
     "=": Column.__eq__,

@@ -43,6 +43,12 @@ def budget_status(s, d):
     return C.budget_status(V.traces(s, d).withColumnRenamed("provider", "dimension_value"), _budgets(s))
 
 
+def latest_pricing(s, d):
+    """Prices of brands as they were set one after the other: what holds now."""
+    rows = table(s, d, "part").select(F.col("p_brand").alias("model_id"), F.col("p_partkey").alias("since"), F.round(F.col("p_retailprice") * 1000).cast("long").alias("input_price"))
+    return C.latest(rows, ["model_id"], "since")
+
+
 def token_extract(s, d):
     e = table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
     body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"usage": {"prompt_tokens": '), "k", F.lit(', "completion_tokens": 12, "prompt_tokens_details": {"cached_tokens": 3}}}')))
@@ -61,7 +67,7 @@ QUERIES = {
     "priced_traces_exact": lambda s, d: C.price_exact(V.usage(s, d), V.pricing(s)),
     "priced_traces_prefix": lambda s, d: C.price_by_prefix(_suffixed(s, d), V.pricing(s)),
     "priced_traces_asof": lambda s, d: C.price_as_of(V.usage(s, d), V.pricing(s)),
-    "latest_pricing": lambda s, d: C.latest(V.pricing(s), ["model_id"], "since").select("model_id", "provider", "input_price", "output_price"),
+    "latest_pricing": latest_pricing,
     "budget_status": budget_status,
     "budget_alerts": lambda s, d: budget_status(s, d).where("state <> 'ok'").select("dimension_value", "period", "state", "percent"),
     "budget_admission": lambda s, d: sequential.admit(V.traces(s, d).select(F.col("user_id").alias("key"), "timestamp", "seq", F.col("cost_micros").alias("amount")), 3000),
@@ -97,8 +103,8 @@ ORACLE_SQL = {
       SELECT {_COLUMNS} FROM named LEFT JOIN best USING (model_id)""",
     "priced_traces_asof": f"""{_U} SELECT u.trace_id, u.model_id, u."timestamp", coalesce({_PRICE}, 0) AS cost_micros, input_price IS NOT NULL AS priced
       FROM usage u ASOF LEFT JOIN pricing p ON u.model_id = p.model_id AND u."timestamp" >= p.since""",
-    "latest_pricing": f"""{V.with_views(V.PRICING_SQL)} SELECT model_id, provider, CAST(input_price AS BIGINT) AS input_price, CAST(output_price AS BIGINT) AS output_price
-      FROM pricing WHERE "until" IS NULL""",
+    "latest_pricing": """SELECT model_id, since, input_price FROM (SELECT p_brand AS model_id, p_partkey AS since, CAST(round(p_retailprice * 1000) AS BIGINT) AS input_price,
+      row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS r FROM part) WHERE r = 1""",
     "budget_status": _STATUS + "SELECT * FROM status",
     "budget_alerts": _STATUS + "SELECT dimension_value, period, state, percent FROM status WHERE state <> 'ok'",
     "token_estimate": r"""SELECT doc_id, CAST(CASE WHEN w > 0 THEN floor(w * 1.3::DOUBLE) ELSE floor(strlen(text) / 4 + 0.5) END AS BIGINT) AS tokens FROM (

@@ -167,7 +167,7 @@ QUERIES = {
     "metrics_intake": metrics_intake,
     "logs_intake": logs_intake,
     "traces_with_evaluations": lambda s, d: rollups.with_evaluations(V.traces(s, d), V.evaluations(s, d)).select("trace_id", "model_id", "status", "n_evaluations", "avg_score", "n_failed"),
-    "trace_evaluations": lambda s, d: V.evaluations(s, d).where("trace_id = '8'").select("trace_id", "evaluator", "verdict", "score"),
+    "trace_evaluations": lambda s, d: V.evaluations(s, d).join(F.broadcast(table(s, d, "labels").agg(F.min("doc_id").cast("string").alias("first"))), F.col("trace_id") == F.col("first")).select("trace_id", "evaluator", "verdict", "score"),
     "evaluation_page": lambda s, d: V.evaluations(s, d).orderBy(F.desc("timestamp"), F.desc("seq")).limit(50).select("trace_id", "timestamp", "model_id", "verdict", "score"),
     "trace_page_total": lambda s, d: rollups.trace_page_with_total(V.traces(s, d), F.col("is_error"), 20).select("trace_id", "timestamp", "latency_ms", "total"),
     "cost_summary": lambda s, d: rollups.cost_summary(V.traces(s, d)),
@@ -221,7 +221,7 @@ ORACLE_SQL = {
     "logs_intake": """SELECT CAST(event_id AS VARCHAR) AS trace_id, 'svc' || event_id % 4 AS service_name, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, event_type AS body, ts AS at FROM events""",
     "traces_with_evaluations": f"""{_E}, o AS (SELECT trace_id, count(*) AS n, round(avg(score), 8) AS s, count(*) FILTER (verdict = 'fail') AS f FROM evaluations GROUP BY 1)
       SELECT trace_id, model_id, status, coalesce(n, 0) AS n_evaluations, s AS avg_score, coalesce(f, 0) AS n_failed FROM traces LEFT JOIN o USING (trace_id)""",
-    "trace_evaluations": f"{_E} SELECT trace_id, evaluator, verdict, score FROM evaluations WHERE trace_id = '8'",
+    "trace_evaluations": f"{_E} SELECT trace_id, evaluator, verdict, score FROM evaluations WHERE trace_id = (SELECT CAST(min(doc_id) AS VARCHAR) FROM labels)",
     "evaluation_page": f'{_E} SELECT trace_id, "timestamp", model_id, verdict, score FROM evaluations ORDER BY "timestamp" DESC, seq DESC LIMIT 50',
     "trace_page_total": f"""{_T} SELECT trace_id, "timestamp", latency_ms, (SELECT count(*) FROM traces WHERE is_error) AS total FROM traces WHERE is_error ORDER BY "timestamp" DESC, trace_id LIMIT 20""",
     "cost_summary": f"""{_T}, m AS (SELECT model_id, sum(cost_micros) AS c FROM traces GROUP BY 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("rollups", "cost", "drift", "evals", "alerts", "rca", "streams", "more", "wider", "stored", "rules")
+AREAS = ("rollups", "cost", "drift", "evals", "alerts", "rca", "streams", "more", "wider", "stored", "rules", "deeper")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -221,10 +221,74 @@ def test_encoded_injections_are_found_inside_runs(spark):
     assert got[3].payloads == 1 and got[3].matches == 0 and got[4].payloads == 0
 
 
-def test_counterfactuals_stay_in_range_and_repeat(spark):
-    rows = spark.createDataFrame([(1, "one two three four five six seven"), (2, "word")], "id long, text string")
-    a, b = (sorted(tuple(r) for r in rca.counterfactuals(rows).collect()) for _ in range(2))
-    assert a == b and all(0.7 <= r[4] <= 0.99 for r in a)
+def test_counterfactuals_equal_brute_force(spark):
+    import zlib
+
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rows = [(1, "one two three four five six seven eight nine ten"), (2, "word"), (3, "  spaced   out words of some length are here  "), (4, ""), (5, None), (6, "a bb ccc dddd eeeee ffffff " * 4)]
+    want = {}
+    for id_, text in rows:
+        words = (text or "").split()
+        for i, kind in enumerate(("delete", "replace", "insert")):
+            for k in range(5):
+                if not words or (kind != "insert" and k >= len(words)) or (kind == "delete" and len(words) < 2):
+                    continue
+                at = zlib.crc32(f"3:{id_}:{kind}:{k}".encode()) % (len(words) + (kind == "insert"))
+                new = {"delete": [], "replace": ["[REPLACED]"], "insert": ["[INSERTED]"]}[kind]
+                edited = " ".join(words[:at] + new + words[at + (kind != "insert") :])
+                alike = round(1 - levenshtein(text, edited) / max(len(text), len(edited)), 8)
+                if 0.7 <= alike <= 0.99:
+                    want[id_, i * 5 + k] = (kind, edited, alike)
+    made = rca.counterfactuals(spark.createDataFrame(rows, "id long, text string"))
+    assert {(r.id, r.candidate): (r.edit, r.edited, round(r.similarity, 8)) for r in made.collect()} == want and len(want) > 20
+    best = {r.id: (r.candidate, r.confidence) for r in rca.best_counterfactual(made).collect()}
+    for id_ in {k[0] for k in want}:
+        alike, candidate = min((v[2], k[1]) for k, v in want.items() if k[0] == id_)
+        assert best[id_] == (candidate, pytest.approx(1 - alike, abs=1e-8))
+
+
+def test_places_of_personal_data_equal_brute_force(spark):
+    import random
+    import re
+
+    mark = random.Random(2)
+    parts = ["me@x.org", "555-123-4567", "9123-4567", "123-45-6789", "4111 1111 1111 1111", "10.0.0.1", "sk-abcdefghijklmnopqrstuvwx", " ", "é ", "word", "12", "\n"]
+    rows = [(i, "".join(mark.choices(parts, k=12))) for i in range(200)] + [(900, None), (901, "")]
+    got = {r.id: [tuple(s) for s in r.s or []] for r in spark.createDataFrame(rows, "id long, t string").select("id", E.pii_spans(F.col("t")).alias("s")).collect()}
+    for i, text in rows:
+        want = [(kind, m.start(), m.end(), m[0]) for kind, p in E.PII.items() for m in re.finditer(p, text or "")]
+        assert got[i] == want, text
+
+
+def test_adwin_equals_its_definition(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    mark = random.Random(4)
+    values = [mark.gauss(0.2 if i < 300 else 0.8, 0.1) for i in range(600)]
+    rows = spark.createDataFrame([("k", datetime(2024, 1, 1) + timedelta(seconds=i), i, x) for i, x in enumerate(values)], "key string, timestamp timestamp, seq long, x double")
+    buckets, want = [], []
+    for i, x in enumerate(values):
+        buckets.append((x, 1))
+        if len(buckets) > 100:
+            gaps = [abs(a[0] / a[1] - b[0] / b[1]) for a, b in zip(buckets, buckets[1:])]
+            k = gaps.index(min(gaps))
+            buckets[k : k + 2] = [(buckets[k][0] + buckets[k + 1][0], buckets[k][1] + buckets[k + 1][1])]
+        for k in range(1, len(buckets)):
+            (ls, ln), (rs, rn) = ((sum(b[0] for b in part), sum(b[1] for b in part)) for part in (buckets[:k], buckets[k:]))
+            if ln >= 15 and rn >= 15 and abs(ls / ln - rs / rn) > math.sqrt(0.5 * (1 / ln + 1 / rn) * math.log(4 / 0.002)):
+                buckets = buckets[k:]
+                want.append((i, sum(b[1] for b in buckets)))
+                break
+    got = [(r.seq, r.width) for r in sequential.adwin(rows).orderBy("seq").collect()]
+    assert want and got == want
 
 
 def test_rules_and_conditions(spark):
