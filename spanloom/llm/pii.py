@@ -196,8 +196,10 @@ def disclosing(inside: DataFrame, held: DataFrame, docs: DataFrame, work: Worksp
     copies = work.save(held.groupBy("doc").count(), "copies")
     total = copies.count()
     repeated = copies.where("count > 1")
-    few = repeated.count() <= selecting.BROADCAST_KEYS
-    every = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("doc"), "text").join(F.broadcast(repeated) if few else repeated, "doc", "left")
+    many = repeated.count()
+    every = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("doc"), "text", F.lit(1).alias("count"))
+    if many:
+        every = every.drop("count").join(F.broadcast(repeated) if many <= selecting.BROADCAST_KEYS else repeated, "doc", "left")
     every = every.select((1 / F.coalesce("count", F.lit(1))).alias("part"), F.explode(F.array_distinct(F.transform(_words(F.col("text")), F.lower))).alias("term"))
     seen = selecting.keep(every, terms, "term").groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("has_term"))
     share = F.col("both") / F.greatest("has_term", "both")
