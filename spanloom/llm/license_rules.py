@@ -34,9 +34,9 @@ apache-2 | apache 2 0 | (?:the )?apache(?: software)?(?: license)?(?: version)?
 apache-1.1 | apache 1 1 | (?:the )?apache(?: software)?(?: license)?(?: version)? v?1 1 | apache 1/v1 | apache org licenses license 1 1
 gpl-2-only | gpl 2 0 only | gnu (?:general public license|gpl) version 2 only | gnu 2 only | -
 gpl-2 | gpl 2 0 | (?:gnu )?(?:general public license|gpl) (?:version |v)?2(?: 0)? | gpl/general 2/v2 | gnu org licenses (?:old licenses )?gpl 2 0
-gpl-2 | gpl 2 0 or later | gnu (?:general public license|gpl)(?: as published by the free software foundation)? (?:either )?version 2 (?:of the license )?or (?:at your option )?any later version | gnu 2 later | -
+gpl-2-or-later | gpl 2 0 or later | gnu (?:general public license|gpl)(?: as published by the free software foundation)? (?:either )?version 2 (?:of the license )?or (?:at your option )?any later version | gnu 2 later | -
 gpl-3 | gpl 3 0 | (?:gnu )?(?:general public license|gpl) (?:version |v)?3(?: 0)? | gpl/general 3/v3 | gnu org licenses gpl 3 0
-gpl-3 | gpl 3 0 or later | gnu (?:general public license|gpl)(?: as published by the free software foundation)? (?:either )?version 3 (?:of the license )?or (?:at your option )?any later version | gnu 3 later | -
+gpl-3-or-later | gpl 3 0 or later | gnu (?:general public license|gpl)(?: as published by the free software foundation)? (?:either )?version 3 (?:of the license )?or (?:at your option )?any later version | gnu 3 later | -
 gpl | gpl | gnu (?:general public license|gpl) | gnu gpl/general | gnu org (?:copyleft|licenses) gpl
 lgpl-2.1 | lgpl 2 1 | (?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?2 1 | lgpl/lesser 2/v2 | gnu org licenses (?:old licenses )?lgpl 2 1
 lgpl-3 | lgpl 3 0 | (?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?3(?: 0)? | lgpl/lesser 3/v3 | gnu org licenses lgpl 3 0
@@ -256,6 +256,101 @@ generic | 1 | 0.3 | license root directory/tree | found in the license file in t
 generic | 1 | 0.2 | open source license | (?:an )?open source license
 """
 
+# Short and glued forms as people write them: label | priority | weight | gate | pattern.
+SHORT = """
+gpl-2 | 6 | 0.8 | gplv2/gpl2 | (?:gnu )?gpl(?:v)?2(?: 0)?(?: only| licen[cs]ed?)?
+gpl-3 | 6 | 0.8 | gplv3/gpl3 | (?:gnu )?gpl(?:v)?3(?: 0)?(?: only| licen[cs]ed?)?
+gpl-2-or-later | 9 | 0.9 | gplv2/gpl2 later/newer/higher | (?:gnu )?gpl(?:v)?2(?: 0)? or (?:any )?(?:later|newer|higher)(?: version)?
+gpl-3-or-later | 9 | 0.9 | gplv3/gpl3 later/newer/higher | (?:gnu )?gpl(?:v)?3(?: 0)? or (?:any )?(?:later|newer|higher)(?: version)?
+gpl-2-or-later | 9 | 0.9 | gpl later/newer/higher 2/v2 | (?:gnu )?gpl (?:version |v)?2(?: 0)? or (?:any )?(?:later|newer|higher)(?: version)?
+gpl-3-or-later | 9 | 0.9 | gpl later/newer/higher 3/v3 | (?:gnu )?gpl (?:version |v)?3(?: 0)? or (?:any )?(?:later|newer|higher)(?: version)?
+gpl-2 | 7 | 0.9 | under gplv2/gpl2 | (?:licen[cs]ed|released|distributed|available) under (?:the )?(?:gnu )?gpl(?:v)?2(?: 0)?
+gpl-3 | 7 | 0.9 | under gplv3/gpl3 | (?:licen[cs]ed|released|distributed|available) under (?:the )?(?:gnu )?gpl(?:v)?3(?: 0)?
+gpl | 5 | 0.7 | under gpl | (?:licen[cs]ed|released|distributed|available) under (?:the )?gpl
+gpl | 4 | 0.6 | gpl compatible/only | gpl (?:compatible|only)
+lgpl-2.1 | 7 | 0.8 | lgplv2/lgpl2 | (?:gnu )?lgpl(?:v)?2 1(?: licen[cs]e)?
+lgpl-2 | 6 | 0.8 | lgplv2/lgpl2 | (?:gnu )?lgpl(?:v)?2(?: 0)?(?: licen[cs]e)?
+lgpl-3 | 6 | 0.8 | lgplv3/lgpl3 | (?:gnu )?lgpl(?:v)?3(?: 0)?(?: licen[cs]e)?
+lgpl-2.1-or-later | 9 | 0.9 | lgpl later | (?:spdx license identifier )?lgpl 2 1 or later
+lgpl-3-or-later | 9 | 0.9 | lgpl later | (?:spdx license identifier )?lgpl 3 0 or later
+agpl-3 | 6 | 0.8 | agplv3/agpl3 | (?:gnu )?agpl(?:v)?3(?: 0)?(?: licen[cs]e)?
+agpl-3-or-later | 9 | 0.9 | agpl later | (?:spdx license identifier )?agpl 3 0 or later
+agpl | 5 | 0.7 | agpl licensed/license/licence/licenced/under | (?:licen[cs]ed under (?:the )?agpl|agpl licen[cs]ed?)
+apache-2 | 6 | 0.8 | apache2/apachev2 | (?:licen[cs]ed under (?:the )?)?apache(?:v)?2(?: 0)?(?: licen[cs]ed?)?
+apache-2 | 6 | 0.8 | asl 2/v2 | asl (?:version |v)?2(?: 0)?
+apache-2 | 5 | 0.7 | apache licensed | apache 2(?: 0)? licensed
+apache | 3 | 0.5 | apache license/licensed/licence/licenced | (?:the )?apache licen[cs]ed?
+mit | 5 | 0.8 | mit licensed | mit licensed
+mit | 5 | 0.7 | expat | (?:the )?expat licen[cs]e
+mit | 5 | 0.7 | x11 | (?:the )?(?:x11|mit x11) licen[cs]e
+mit | 6 | 0.8 | license/licence mit | licen[cs]e mit(?: licen[cs]e)?
+mit | 4 | 0.6 | mit style/like/compatible | mit (?:style|like|compatible)(?: licen[cs]e)?
+bsd-2 | 6 | 0.8 | bsd 2/two | (?:bsd (?:2|two) clauses?|(?:2|two) clauses? bsd)(?: licen[cs]ed?)?
+bsd-3 | 6 | 0.8 | bsd 3/three | (?:bsd (?:3|three) clauses?|(?:3|three) clauses? bsd)(?: licen[cs]ed?)?
+bsd-4 | 6 | 0.8 | bsd 4/four | (?:bsd (?:4|four) clauses?|(?:4|four) clauses? bsd)(?: licen[cs]ed?)?
+bsd-2 | 6 | 0.8 | bsd2/bsd2clause | bsd2(?:clause)?(?: licen[cs]e)?
+bsd-3 | 6 | 0.8 | bsd3/bsd3clause | bsd3(?:clause)?(?: licen[cs]e)?
+bsd | 4 | 0.6 | bsd licensed | bsd licensed
+bsd | 3 | 0.5 | berkeley distribution | berkeley (?:software|standard) distribution
+isc | 4 | 0.6 | isc licensed | isc licensed
+mpl-2 | 6 | 0.8 | mpl2/mplv2 | mpl(?:v)?2(?: 0)?(?: licen[cs]e)?
+mpl | 4 | 0.6 | mozilla public | (?:the )?mozilla public licen[cs]e
+mpl | 5 | 0.7 | under mpl | licen[cs]ed under (?:the )?mpl
+epl-2 | 6 | 0.8 | epl2/eplv2 | epl(?:v)?2(?: 0)?
+epl-1 | 6 | 0.8 | epl1/eplv1 | epl(?:v)?1(?: 0)?
+epl | 4 | 0.6 | eclipse public | (?:the )?eclipse public licen[cs]e
+eupl-1.2 | 7 | 0.9 | eupl 1/v1 | (?:licen[cs]ed under (?:the )?)?eupl (?:version |v)?1 2
+eupl-1.1 | 7 | 0.9 | eupl 1/v1 | (?:licen[cs]ed under (?:the )?)?eupl (?:version |v)?1 1
+eupl | 5 | 0.7 | under eupl | licen[cs]ed under (?:the )?eupl
+eupl | 5 | 0.7 | eupl license/licensed/licence/licenced | eupl licen[cs]ed?
+cc0 | 7 | 0.9 | cc0 | cc0 1 0(?: universal)?(?: public domain dedication)?
+cc0 | 6 | 0.8 | cc0 | (?:licen[cs]ed |released |dedicated )?(?:under|as|to) (?:the )?cc0
+cc0 | 6 | 0.8 | commons zero | creative commons zero(?: v?1 0)?(?: universal)?
+cc-by-4 | 7 | 0.9 | attribution 4 | creative commons attribution 4 0(?: international)?(?: public)?(?: licen[cs]e)?
+cc-by-3 | 7 | 0.9 | attribution 3 | creative commons attribution 3 0(?: unported| us)?(?: licen[cs]e)?
+cc-by-sa-4 | 8 | 0.9 | attribution sharealike/share 4 | (?:creative commons )?attribution share ?alike 4 0(?: international)?(?: licen[cs]e)?
+cc-by-sa-3 | 8 | 0.9 | attribution sharealike/share 3 | (?:creative commons )?attribution share ?alike 3 0(?: unported)?(?: licen[cs]e)?
+cc-by-nc-4 | 8 | 0.9 | attribution noncommercial/non 4 | (?:creative commons )?attribution non ?commercial 4 0(?: international)?(?: licen[cs]e)?
+cc-by-nc-sa-4 | 9 | 0.9 | attribution noncommercial/non 4 | (?:creative commons )?attribution non ?commercial share ?alike 4 0(?: international)?(?: licen[cs]e)?
+cc-by-nc-nd-4 | 9 | 0.9 | attribution noncommercial/non 4 | (?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s 4 0(?: international)?(?: licen[cs]e)?
+cc-by-nd-4 | 8 | 0.9 | attribution 4 noderivs/noderivatives/no | (?:creative commons )?attribution no ?deriv(?:ative)?s 4 0(?: international)?(?: licen[cs]e)?
+cc | 3 | 0.5 | creative commons | (?:a |the )?creative commons licen[cs]e
+unlicense | 5 | 0.7 | unlicense/unlicensed | (?:under (?:the )?|the )unlicense
+wtfpl | 6 | 0.8 | wtfpl | wtfpl(?: v?2)?(?: licen[cs]e)?
+zlib | 4 | 0.6 | zlib licensed/style | zlib (?:licensed|style licen[cs]e)
+boost-1 | 6 | 0.8 | boost software | (?:the )?boost software licen[cs]e(?: version)?(?: 1 0)?
+boost-1 | 5 | 0.7 | bsl 1 | bsl 1 0
+busl-1.1 | 7 | 0.9 | busl/bsl 1 | (?:busl|bsl) 1 1
+busl-1.1 | 7 | 0.9 | business source | (?:the )?business source licen[cs]e(?: version)?(?: 1 1)?
+sspl-1 | 7 | 0.9 | sspl/side | (?:sspl(?: v?1)?|server side public licen[cs]e(?: version 1| v?1)?)
+elastic-2 | 7 | 0.9 | elastic | (?:the )?elastic licen[cs]e(?: version)?(?: v?2(?: 0)?)?
+polyform-nc | 7 | 0.8 | polyform | polyform non ?commercial(?: licen[cs]e)?(?: 1 0 0)?
+polyform-small | 7 | 0.8 | polyform | polyform small business(?: licen[cs]e)?(?: 1 0 0)?
+commons-clause | 6 | 0.8 | commons clause | (?:the )?commons clause(?: licen[cs]e)?(?: condition)?(?: v?1 0)?
+ofl-1.1 | 7 | 0.9 | sil font | (?:the )?sil open font licen[cs]e(?: version)?(?: v?1 1)?
+ofl-1.1 | 6 | 0.8 | ofl | ofl (?:v)?1 1
+odbl-1 | 7 | 0.9 | odbl | (?:odc )?odbl(?: v?1 0)?
+odbl-1 | 7 | 0.9 | database open | (?:the )?open (?:data commons open )?database licen[cs]e(?: v?1 0)?
+odc-by-1 | 7 | 0.9 | odc by | odc by(?: v?1 0)?
+pddl-1 | 7 | 0.9 | pddl/dedication | (?:odc )?pddl(?: v?1 0)?
+cddl-1.1 | 7 | 0.9 | cddl 1/v1 | cddl (?:version |v)?1 1
+cddl-1 | 6 | 0.8 | cddl 1/v1 | cddl (?:version |v)?1(?: 0)?
+python-2 | 6 | 0.8 | psf/python 2 | (?:psf|python(?: software foundation)?) licen[cs]e (?:version )?2
+postgresql | 6 | 0.8 | postgresql license/licence | (?:the )?postgresql licen[cs]e
+mulan-2 | 7 | 0.9 | mulan | mulan psl v2|mulan permissive software licen[cs]e(?: version)?(?: v?2)?
+upl-1 | 6 | 0.8 | upl/universal | (?:the )?universal permissive licen[cs]e(?: upl)?(?: version| v)?(?: 1 0)?|upl 1 0
+ms-pl | 6 | 0.8 | ms pl | ms pl(?: licen[cs]e)?
+ms-rl | 6 | 0.8 | ms rl | ms rl(?: licen[cs]e)?
+osl-3 | 6 | 0.8 | osl 3/v3 | osl (?:v)?3(?: 0)?
+afl-3 | 6 | 0.8 | afl 3/v3 | afl (?:v)?3(?: 0)?
+ecl-2 | 6 | 0.8 | ecl 2/v2 | ecl (?:v)?2(?: 0)?
+hippocratic | 6 | 0.7 | hippocratic | (?:the )?hippocratic licen[cs]e(?: 2 1| 3 0)?
+anti-996 | 6 | 0.7 | 996 | anti 996 licen[cs]e
+"""
+
+# Words before a notice that take it back.
+NOT = r"(?:not|never|no longer|isn t|aren t|wasn t|cannot be|can not be) (?:yet |currently |itself )?(?:be |been )?"
+
 
 def _line(text: str, n: int) -> list[str]:
     # `|` also stands inside patterns; fields are parted by it between spaces.
@@ -269,8 +364,19 @@ def _gate(text: str) -> tuple[tuple[str, ...], ...]:
     return tuple(tuple(place.split("/")) for place in text.split())
 
 
+def identifiers() -> list[tuple[str, re.Pattern]]:
+    """(label, pattern) of the identifiers that may follow in an expression such as ``Apache-2.0 OR MIT``."""
+    found = [(label, re.compile(rf"{spdx}(?!\S)")) for label, spdx, *_ in (_line(line, 5) for line in FAMILIES.strip().splitlines())]
+    more = ("lgpl-2.1-or-later", "lgpl 2 1 or later"), ("lgpl-3-or-later", "lgpl 3 0 or later"), ("agpl-3-or-later", "agpl 3 0 or later")
+    return found + [(label, re.compile(rf"{spdx}(?!\S)")) for label, spdx in more]
+
+
 def rules() -> list[Rule]:
-    """All rules: the forms of each family, then the single ones."""
+    """All rules: the forms of each family, then the single ones, in full and in short.
+
+    A notice that is taken back ("not licensed under ...") is a detection of the kind ``negated``, which holds
+    the notice within it and gives no label.
+    """
     out = []
     for line in FAMILIES.strip().splitlines():
         label, spdx, name, gate, address = _line(line, 5)
@@ -281,11 +387,13 @@ def rules() -> list[Rule]:
             Rule(label, "notice", rf"(?:licen[cs]ed|released|distributed|available|published|provided|made available) under (?:the )?(?:terms of )?(?:the )?{name}{end}", _gate(f"under {gate}"), 6 + specific, 0.9),
             Rule(label, "field", rf"licen[cs]e (?:is )?{name}", _gate(f"license/licence {gate}"), 4 + specific, 0.7),
         ]
+        denied = rf"{NOT}(?:licen[cs]ed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?{name}(?:{end or ' licen[cs]e'})?"
+        out.append(Rule(f"not {label}", "negated", denied, _gate(f"under/by not/never/longer/isn/aren/wasn/cannot {gate}"), 20, 0.0))
         if address != "-":
             out.append(Rule(label, "address", rf"(?:https? )?(?:www )?{address}", _gate(re.findall(r"[a-z0-9]+", address)[0]), 7 + specific, 0.9))
         if end or "licen" in name:
             out.append(Rule(label, "name", f"{name}{end}", _gate(gate), 3 + specific, 0.6))
-    for line in SINGLE.strip().splitlines():
+    for line in [*SINGLE.strip().splitlines(), *SHORT.strip().splitlines()]:
         label, priority, weight, gate, pattern = _line(line, 5)
         out.append(Rule(label, "text", pattern.replace("\\\\", "\\"), _gate(gate), int(priority), float(weight)))
     return out

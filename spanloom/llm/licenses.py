@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spanloom.llm import words as W
-from spanloom.llm.license_rules import Rule, rules
+from spanloom.llm.license_rules import Rule, identifiers, rules
 
 #: Fixed phrases whose places count, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -83,6 +83,23 @@ class Matcher:
         return [(i, bisect.bisect_left(spaces, a), bisect.bisect_left(spaces, b) + 1) for a, b, i in kept]
 
 
+_JOINED = re.compile(" (?:or|and) ")
+
+
+def expression(joined: str, spaces: list[int], end_word: int, known: list[tuple[str, re.Pattern]]) -> list[tuple[str, int, int]]:
+    """(label, first word, end word) of the identifiers that go on from one that ends at ``end_word``; ``spaces`` are the blanks' places."""
+    out = []
+    while end_word <= len(spaces) and (more := _JOINED.match(joined, spaces[end_word - 1])):
+        found = [(m.end(), label) for label, p in known if (m := p.match(joined, more.end()))]
+        if not found:
+            break
+        end, label = max(found)
+        first = end_word + 1
+        end_word = bisect.bisect_left(spaces, end) + 1
+        out.append((label, first, end_word))
+    return out
+
+
 def _phrase_places(found: W.Words, phrase: np.ndarray) -> np.ndarray:
     """Index of the first word of each place where the phrase stands in one document."""
     n = len(phrase)
@@ -97,6 +114,7 @@ def _phrase_places(found: W.Words, phrase: np.ndarray) -> np.ndarray:
 def _report(key: str, text: str):
     phrases = [(W.word_hashes(p.split()), label) for p, label in PHRASES.items()]
     made: list[Matcher] = []
+    known = identifiers()
 
     def run(batches):
         if not made:
@@ -116,7 +134,7 @@ def _report(key: str, text: str):
                 np.maximum.at(high, doc, at - found.first[doc])
                 for row in np.unique(doc).tolist():
                     base.setdefault(row, set()).add(label)
-            detected: dict[int, list] = {}
+            detected: dict[int, list[tuple[Rule, int, int]]] = {}
             lowered = None
             for row, candidates in matcher.candidates(found).items():
                 if lowered is None:
@@ -124,7 +142,14 @@ def _report(key: str, text: str):
                 a, b = int(found.first[row]), int(found.first[row + 1])
                 spans = zip(found.start[a:b].tolist(), found.end[a:b].tolist(), strict=True)
                 joined = b" ".join(lowered[s:e].tobytes() for s, e in spans).decode("utf-8", "replace")
-                if own := matcher.detect(joined, candidates):
+                if kept := matcher.detect(joined, candidates):
+                    own = [(matcher.rules[i], a, b) for i, a, b in kept]
+                    if starts := [(rule, end) for rule, _, end in own if rule.kind == "identifier"]:
+                        spaces = [m.start() for m in re.finditer(" ", joined)]
+                        there = {(rule.label, a, b) for rule, a, b in own}
+                        for rule, end in starts:
+                            more = [x for x in expression(joined, spaces, end, known) if x not in there]
+                            own += [(Rule(label, "identifier", "", (), rule.priority, rule.weight), a, b) for label, a, b in more]
                     detected[row] = own
             none = high < 0
             labels, base_labels, score, detections = [], [], [], []
@@ -132,12 +157,12 @@ def _report(key: str, text: str):
                 own = detected.get(row, ())
                 fixed = base.get(row, ())
                 base_labels.append(",".join(sorted(fixed)))
-                labels.append(",".join(sorted({*fixed, *(matcher.rules[i].label for i, _, _ in own)})))
-                score.append(max([1.0 if fixed else 0.0, *(matcher.rules[i].weight for i, _, _ in own)]))
+                labels.append(",".join(sorted({*fixed, *(r.label for r, _, _ in own if r.kind != "negated")})))
+                score.append(max([1.0 if fixed else 0.0, *(r.weight for r, _, _ in own)]))
                 detections.append(
                     [
                         {"label": r.label, "kind": r.kind, "first_word": a, "end_word": b, "weight": r.weight}
-                        for r, a, b in ((matcher.rules[i], a, b) for i, a, b in own)
+                        for r, a, b in own
                     ]
                 )
             yield pa.RecordBatch.from_arrays(
@@ -176,7 +201,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Null and empty texts have no words, no labels and score 0.  Repeated rows give repeated results.
     Other columns are not read, so their names cannot clash.  ``score`` is 1 where a fixed phrase
-    stands, else the largest weight of a kept detection.  Words are counted from 0, ends exclusive.
+    stands, else the largest weight of a kept detection.  Words are counted from 0, ends exclusive.  In
+    an expression of identifiers every one gives its label; a notice that is taken back gives none.
     """
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(

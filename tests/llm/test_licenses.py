@@ -49,7 +49,7 @@ def test_base_columns_equal_brute_force(spark):
 def test_method_adds_labels_and_suppresses_contained_ones(spark):
     rows = [(6, TEXTS[6]), (7, TEXTS[7]), (2, TEXTS[2])]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[6].labels == "gpl-3" and got[6].score == 1.0 and len(got[6].detections) == 1
+    assert got[6].labels == "gpl-3-or-later" and got[6].score == 1.0 and len(got[6].detections) == 1
     assert got[7].labels == "gpl-3" and len(got[7].detections) == 1  # the plain name lies inside the notice
     assert got[2].labels == "" and got[2].score == 0
 
@@ -121,5 +121,30 @@ def test_short_forms_give_their_labels(spark):
         assert label in got[i], (text, got[i])
 
 
+def test_plain_forms_expressions_and_denials(spark):
+    want = {
+        "GPLv2": {"gpl-2"}, "licensed under gplv3": {"gpl-3"}, "bsd 2 clause": {"bsd-2"}, "eupl 1.2": {"eupl-1.2"}, "licensed under the EUPL": {"eupl"}, "cc0 1.0 universal": {"cc0"},
+        "creative commons attribution sharealike 4.0": {"cc-by-sa-4"}, "SPDX-License-Identifier: Apache-2.0 OR MIT": {"apache-2", "mit"}, "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause": {"apache-2", "mit", "bsd-3"},
+        "SPDX-License-Identifier: GPL-2.0-or-later": {"gpl-2-or-later"}, "SPDX-License-Identifier: MIT or something else": {"mit"}, "not licensed under the gpl v2": set(), "It is no longer distributed under the Apache License 2.0.": set(),
+        "not licensed under the gpl v2 but released under the isc license": {"isc"}, "LGPLv2.1": {"lgpl-2.1"}, "GPL v3 or later": {"gpl-3-or-later"}, "SSPL": {"sspl-1"}, "AGPLv3 license": {"agpl-3"},
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for i, (text, labels) in enumerate(want.items()):
+        assert set(filter(None, got[i].labels.split(","))) == labels, (text, got[i])
+    assert got[11].score == 0 and [d.kind for d in got[11].detections] == ["negated"]
+    assert sorted((d.first_word, d.end_word, d.label) for d in got[8].detections) == [(0, 4, "mit"), (5, 8, "apache-2"), (9, 12, "bsd-3")]
+
+
+def test_very_long_texts(spark):
+    import time
+
+    long = ["under the mit license and not licensed under the gpl v2 or " * 3_000, "spdx license identifier mit or apache 2 0 and " * 3_000, "word " * 300_000 + "gplv3"]
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()}
+    assert time.perf_counter() - start < 120
+    assert got[0].labels == "mit" and got[0].n_base == 3_000 and got[1].labels == "apache-2,mit" and got[2].labels == "gpl-3"
+
+
 def test_no_rows(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
