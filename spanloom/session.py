@@ -32,7 +32,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``; where unset, one beside the warehouse's tables.
 
-    Only a session on one machine, as in tests, gets a temporary folder.
+    Only a session on one machine, as in tests, gets a temporary folder; a cluster whose warehouse is a
+    machine's own folder must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -40,7 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
         if current.isDefined():
             return current.get()
         if not spark.sparkContext.master.startswith("local"):
-            return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_spanloom"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if warehouse.startswith("file:") or "://" not in warehouse:
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            return f"{warehouse}/_spanloom"
         folder = tempfile.mkdtemp(prefix="spanloom-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
