@@ -146,14 +146,20 @@ def describe_clusters(rows: DataFrame, words: int = 10) -> DataFrame:
 def assign_to_clusters(failures: DataFrame, clusters: DataFrame, least: float = 0.7) -> DataFrame:
     """(seq, text) to the cluster whose representative has the most words in common, by Jaccard; none below ``least``.
 
-    Only pairs with a common word meet, in a join on the word.
+    Only pairs meet that share one of the rarest words of either, of which two sets so alike have one in common.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) >= 3))
     a = failures.select("seq", words("text").alias("a"))
     b = clusters.select("cluster", words("representative").alias("b"))
-    met = a.select("seq", F.size("a").alias("n"), F.explode("a").alias("w")).join(b.select("cluster", F.size("b").alias("m"), F.explode("b").alias("w")), "w")
-    both = met.groupBy("seq", "cluster", "n", "m").agg(F.count("*").alias("k"))
-    score = both.withColumn("score", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).where(F.col("score") >= least)
+    often = a.select(F.explode("a").alias("word")).union(b.select(F.explode("b"))).groupBy("word").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, key: str, column: str) -> DataFrame:
+        ranked = rows.select(key, F.explode(column).alias("word")).join(often, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+        first = F.size("w") - F.ceil(F.size("w") * F.lit(least) - 1e-9).cast("int") + 1
+        return ranked.select(key, F.explode(F.slice("w", F.lit(1), first)).alias("h")).select(key, "h.word")
+
+    met = rarest(a, "seq", "a").join(rarest(b, "cluster", "b"), "word").select("seq", "cluster").distinct().join(a, "seq").join(b, "cluster")
+    score = met.withColumn("score", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).where(F.col("score") >= least)
     best = score.groupBy("seq").agg(F.max_by(F.struct("cluster", "score"), F.struct("score", -F.col("cluster"))).alias("best"))
     return failures.join(best, "seq", "left").select("seq", F.col("best.cluster").alias("cluster"), F.round("best.score", 8).alias("score"))
 

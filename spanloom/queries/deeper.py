@@ -146,9 +146,9 @@ def best_counterfactuals(s, d):
 
 
 def assigned_texts(s, d):
-    """Every tenth turn's text as a cluster; all turns go to the cluster whose words they share."""
+    """First turns as clusters; all turns go to the one whose words they share."""
     t = table(s, d, "conversations").where("text is not null").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    clusters = t.where("conv_id % 10 = 0 and turn = 0").select(F.col("id").alias("cluster"), F.col("text").alias("representative"))
+    clusters = t.where("turn = 0").select(F.col("id").alias("cluster"), F.col("text").alias("representative"))
     return R.assign_to_clusters(t.select(F.col("id").alias("seq"), "text"), clusters, 0.7).where("cluster is not null")
 
 

@@ -216,3 +216,17 @@ def test_merged_clusters_equal_taking_them_in_order(spark):
     assert sum(s for s, _ in sizes.values()) == sum(r[3] for r in rows) and sum(m for _, m in sizes.values()) == 120
     with pytest.raises(ValueError):
         rca.merge_clusters(Workspace(spark, "merge"), frame, 0.3)
+
+
+def test_texts_go_to_the_cluster_that_is_most_like_them(spark):
+    mark = random.Random(11)
+    fill = [f"word{i}" for i in range(12)]
+    clusters = [(i, " ".join(mark.sample(fill, 6))) for i in range(20)]
+    rows = [(i, " ".join(mark.sample(fill, mark.choice([5, 6, 7])))) for i in range(150)] + [(900, ""), (901, None), (902, clusters[3][1] + "!")]
+    want = {}
+    for seq, text in rows:
+        own = set((text or "").replace("!", "").split())
+        best = max(((len(own & set(c.split())) / len(own | set(c.split())), -i) for i, c in clusters), default=(0, 0))
+        want[seq] = (-best[1], round(best[0], 8)) if best[0] >= 0.7 else (None, None)
+    got = rca.assign_to_clusters(spark.createDataFrame(rows, "seq long, text string"), spark.createDataFrame(clusters, "cluster long, representative string"))
+    assert {r.seq: (r.cluster, r.score) for r in got.collect()} == want and sum(v[0] is not None for v in want.values()) > 20
