@@ -23,14 +23,47 @@ def _back(seconds: int):
     return Window.partitionBy("key", "_span").orderBy("_at").rangeBetween(-seconds * _MICROS, 0)
 
 
-def _cut(rows: DataFrame, seconds: int) -> DataFrame:
-    """Rows by key and span of time, each also in the span after its own, where ``_own`` is false.
+def _cut(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Rows by ``by`` and span of time, each also in the span after its own, where ``_own`` is false.
 
-    A frame of so many seconds then lies within one span, so a key is no longer one task.
+    A frame of so many seconds then lies within one span, so a key is no longer one task.  ``_sh`` is a row's time, or
+    for a row of the span before the last time at which a frame still reaches it.
     """
+    rows = rows.withColumn("_at", _micros())
     own = F.floor(F.col("_at") / (seconds * _MICROS))
-    spans = F.explode(F.array(F.struct(own.alias("span"), F.lit(True).alias("own")), F.struct((own + 1).alias("span"), F.lit(False).alias("own"))))
-    return rows.withColumn("_at", _micros()).select("*", spans.alias("_s")).select("*", F.col("_s.span").alias("_span"), F.col("_s.own").alias("_own")).drop("_s")
+    spans = F.array(F.struct(own.alias("span"), F.lit(True).alias("own")), F.struct((own + 1).alias("span"), F.lit(False).alias("own")))
+    out = rows.select("*", F.explode(spans).alias("_s")).select("*", F.col("_s.span").alias("_span"), F.col("_s.own").alias("_own")).drop("_s")
+    out = out.where("_own or _at is not null").withColumn("_sh", F.when(F.col("_own"), F.col("_at")).otherwise(F.col("_at") + seconds * _MICROS))
+    return out.repartition(*by, "_span")
+
+
+def _halves(by: tuple[str, ...] = ("key",)) -> list:
+    """(window, rows that count) for both parts of a frame over what :func:`_cut` gives.
+
+    A frame is as long as a span: it is an end of the span before, and a beginning of its own.  Both only grow
+    along their order, so a row costs the same however many rows its frame has, and nothing is taken off a sum again.
+    """
+    spans = Window.partitionBy(*by, "_span")
+    return [(spans.orderBy(F.desc("_sh")), ~F.col("_own")), (spans.orderBy("_sh"), F.col("_own"))]
+
+
+def moments(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """``rows`` with ``n`` rows, ``k`` values, mean ``m`` and deviation ``s`` of the last seconds, the row and its peers included."""
+    out = _cut(rows, seconds, by)
+    parts = {}
+    for i, (frame, mine) in enumerate(_halves(by)):
+        x = F.when(mine, F.col("x").cast("double"))
+        parts |= {name: c.over(frame) for name, c in {f"_n{i}": F.count_if(mine), f"_k{i}": F.count(x), f"_m{i}": F.avg(x), f"_v{i}": F.var_pop(x), f"_lo{i}": F.min(x), f"_hi{i}": F.max(x)}.items()}
+    out = out.select(*rows.columns, "_own", *(c.alias(name) for name, c in parts.items())).where("_own")
+    k = F.col("_k0") + F.col("_k1")
+    part = lambda name: F.coalesce(name, F.lit(0.0))
+    mean = F.try_divide(F.col("_k0") * part("_m0") + F.col("_k1") * part("_m1"), k)
+    apart = F.coalesce(F.col("_m0") - F.col("_m1"), F.lit(0.0))
+    spread = F.col("_k0") * part("_v0") + F.col("_k1") * part("_v1") + apart * apart * F.try_divide(F.col("_k0") * F.col("_k1"), k)
+    # Equal values deviate by nothing, whatever their means round to.
+    low, high = F.least("_lo0", "_lo1"), F.greatest("_hi0", "_hi1")
+    s = F.when((low == high) & (F.abs(low) < float("inf")), 0.0).otherwise(F.sqrt(F.try_divide(spread, k)))
+    return out.select(*rows.columns, (F.col("_n0") + F.col("_n1")).alias("n"), k.alias("k"), F.when(k > 0, mean).alias("m"), s.alias("s"))
 
 
 #: Values that differ by less are equal.
@@ -58,11 +91,9 @@ def anomaly(rows: DataFrame, z: float = 3.0, least: int = 100, hours: int = 24,
     ``direction`` is up, down or both.
     """
     beyond = {"up": lambda s: s > z, "down": lambda s: s < -z, "both": lambda s: F.abs(s) > z}[direction]
-    frame = _back(hours * 3600)
-    out = _cut(rows, hours * 3600)
-    out = out.select("key", "seq", "x", "_own", F.count("*").over(frame).alias("n"), F.avg("x").over(frame).alias("m"), F.stddev_pop("x").over(frame).alias("s"))
+    out = moments(rows.select("key", "timestamp", "seq", "x"), hours * 3600)
     score = (F.col("x") - F.col("m")) / F.col("s")
-    return out.where(F.col("_own") & (F.col("n") >= least) & (F.col("s") > 0)).withColumn("z", score).where(beyond(F.col("z"))).select("key", "seq", F.round("z", 6).alias("z"))
+    return out.where((F.col("n") >= least) & (F.col("s") > 0)).withColumn("z", score).where(beyond(F.col("z"))).select("key", "seq", F.round("z", 6).alias("z"))
 
 
 def rate(rows: DataFrame, per_second: float, seconds: int = 300, percent: bool = False) -> DataFrame:

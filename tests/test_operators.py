@@ -299,3 +299,24 @@ def test_rules_and_conditions(spark):
     assert row.g == [] and row.b == ["condition", "pattern:^x", "required:bad", "min_length"]
     with pytest.raises(ValueError):
         E.condition("len(output) > 3; drop")
+
+
+def _frames(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_anomalies_of_a_day_cost_no_more_with_more_rows_in_it(spark):
+    rng = random.Random(5)
+    points = [("a", t, rng.choice([1.0, 2.0, 30.0])) for t in range(0, 300_000, 600)] + [("b", 50 * i, 0.1) for i in range(3000)]
+    points += [("c", 400 * (i // 2), 1e12 if i == 3 else rng.gauss(0, 1)) for i in range(1200)] + [("d", 300 * i, float("nan") if i == 40 else float(i % 7)) for i in range(700)]
+    rows = stream(spark, points)
+    found = alerts.anomaly(rows, 1.2, 20)
+    assert "RangeFrame, -" not in _frames(found)
+    got, want = {r.seq: r.z for r in found.collect()}, {}
+    for i, (key, at, x) in enumerate(points):
+        near = np.array([v for k, t, v in points if k == key and at - 86400 <= t <= at])
+        s = near.std() if near.min() != near.max() else 0.0
+        if len(near) >= 20 and (np.isnan(s) or s > 0) and not abs((x - near.mean()) / s) <= 1.2:
+            want[i] = (x - near.mean()) / s
+    assert got.keys() == want.keys() and {k for k in "abcd" if any(points[i][0] == k for i in got)} == set("acd")
+    assert all(got[i] == pytest.approx(z, abs=1e-6, nan_ok=True) for i, z in want.items())
