@@ -18,11 +18,6 @@ def _micros(column: str = "timestamp") -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def _back(seconds: int):
-    """All rows of the key within so many seconds before a row, itself included; over what :func:`_cut` gives."""
-    return Window.partitionBy("key", "_span").orderBy("_at").rangeBetween(-seconds * _MICROS, 0)
-
-
 def _cut(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
     """Rows by ``by`` and span of time, each also in the span after its own, where ``_own`` is false.
 
@@ -66,6 +61,18 @@ def moments(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",)) -> Da
     return out.select(*rows.columns, (F.col("_n0") + F.col("_n1")).alias("n"), k.alias("k"), F.when(k > 0, mean).alias("m"), s.alias("s"))
 
 
+def starts(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """``rows`` with ``_at``, and time ``at0`` and value ``x0`` of the first row of the last seconds."""
+    out = _cut(rows, seconds, by)
+    (before, old), (upto, own) = _halves(by)
+    place = F.struct("_at", "seq")
+    first = lambda mine, frame: (F.min(F.when(mine, F.col("_at"))).over(frame), F.min_by("x", F.when(mine, place)).over(frame))
+    (a0, x0), (a1, x1) = first(old, before), first(own, upto)
+    out = out.select(*rows.columns, "_at", "_own", a0.alias("_a0"), x0.alias("_x0"), a1.alias("_a1"), x1.alias("_x1")).where("_own")
+    earlier = F.col("_a0").isNotNull()
+    return out.select(*rows.columns, "_at", F.coalesce("_a0", "_a1").alias("at0"), F.when(earlier, F.col("_x0")).otherwise(F.col("_x1")).alias("x0"))
+
+
 #: Values that differ by less are equal.
 EQUAL = 1e-9
 
@@ -101,13 +108,10 @@ def rate(rows: DataFrame, per_second: float, seconds: int = 300, percent: bool =
 
     With ``percent`` the change counts in hundredths of the window's first value; from 0 it has none.
     """
-    frame = _back(seconds)
-    out = _cut(rows, seconds)
-    first = F.min_by("x", F.struct("_at", "seq")).over(frame)
-    out = out.select("key", "seq", "x", "_own", first.alias("x0"), "_at", F.min("_at").over(frame).alias("at0"))
+    out = starts(rows.select("key", "timestamp", "seq", "x"), seconds)
     speed = (F.col("x") - F.col("x0")) / ((F.col("_at") - F.col("at0")) / _MICROS)
     speed = F.try_divide(100 * speed, F.abs("x0")) if percent else speed
-    return out.where("_own and _at > at0").withColumn("rate", speed).where(F.abs("rate") > per_second).select("key", "seq", F.round("rate", 6).alias("rate"))
+    return out.where("_at > at0").withColumn("rate", speed).where(F.abs("rate") > per_second).select("key", "seq", F.round("rate", 6).alias("rate"))
 
 
 def patterns(rows: DataFrame, size: int = 20, least: int = 10) -> DataFrame:

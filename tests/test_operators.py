@@ -320,3 +320,18 @@ def test_anomalies_of_a_day_cost_no_more_with_more_rows_in_it(spark):
             want[i] = (x - near.mean()) / s
     assert got.keys() == want.keys() and {k for k in "abcd" if any(points[i][0] == k for i in got)} == set("acd")
     assert all(got[i] == pytest.approx(z, abs=1e-6, nan_ok=True) for i, z in want.items())
+
+
+def test_speeds_cost_no_more_with_more_rows_in_their_window(spark):
+    rng = random.Random(6)
+    points = [(k, t, float(rng.randint(0, 9))) for k in "ab" for t in sorted(rng.sample(range(4000), 300)) for _ in range(1 + t % 3 // 2)]
+    rows = stream(spark, points)
+    for percent in (False, True):
+        found = alerts.rate(rows, 0.01, 120, percent)
+        assert "RangeFrame, -" not in _frames(found)
+        want = {}
+        for i, (key, at, x) in enumerate(points):
+            first, t0 = next((v, t) for k, t, v in points if k == key and t >= at - 120)
+            if at > t0 and not (percent and not first):
+                want[i] = (100 / abs(first) if percent else 1) * (x - first) / (at - t0)
+        assert {r.seq: r.rate for r in found.collect()} == {i: pytest.approx(v, abs=1e-6) for i, v in want.items() if abs(v) > 0.01}
