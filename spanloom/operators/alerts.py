@@ -18,17 +18,18 @@ def _micros(column: str = "timestamp") -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def _cut(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
+def _cut(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",), reach: Column | None = None) -> DataFrame:
     """Rows by ``by`` and span of time, each also in the span after its own, where ``_own`` is false.
 
     A frame of so many seconds then lies within one span, so a key is no longer one task.  ``_sh`` is a row's time, or
-    for a row of the span before the last time at which a frame still reaches it.
+    for a row of the span before the last time at which a frame still reaches it.  Rows without ``reach`` stay in their span.
     """
     rows = rows.withColumn("_at", _micros())
     own = F.floor(F.col("_at") / (seconds * _MICROS))
     spans = F.array(F.struct(own.alias("span"), F.lit(True).alias("own")), F.struct((own + 1).alias("span"), F.lit(False).alias("own")))
-    out = rows.select("*", F.explode(spans).alias("_s")).select("*", F.col("_s.span").alias("_span"), F.col("_s.own").alias("_own")).drop("_s")
-    out = out.where("_own or _at is not null").withColumn("_sh", F.when(F.col("_own"), F.col("_at")).otherwise(F.col("_at") + seconds * _MICROS))
+    out = rows.select("*", F.explode(spans).alias("_part")).select("*", F.col("_part.span").alias("_span"), F.col("_part.own").alias("_own")).drop("_part")
+    reached = F.col("_at").isNotNull() if reach is None else F.col("_at").isNotNull() & reach
+    out = out.where(F.col("_own") | reached).withColumn("_sh", F.when(F.col("_own"), F.col("_at")).otherwise(F.col("_at") + seconds * _MICROS))
     return out.repartition(*by, "_span")
 
 
@@ -42,9 +43,12 @@ def _halves(by: tuple[str, ...] = ("key",)) -> list:
     return [(spans.orderBy(F.desc("_sh")), ~F.col("_own")), (spans.orderBy("_sh"), F.col("_own"))]
 
 
-def moments(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """``rows`` with ``n`` rows, ``k`` values, mean ``m`` and deviation ``s`` of the last seconds, the row and its peers included."""
-    out = _cut(rows, seconds, by)
+def moments(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",), reach: Column | None = None) -> DataFrame:
+    """``rows`` with ``n`` rows, ``k`` values, mean ``m`` and deviation ``s`` of the last seconds, the row and its peers included.
+
+    Rows without ``reach`` get those of their span alone, as does :func:`starts`.
+    """
+    out = _cut(rows, seconds, by, reach)
     parts = {}
     for i, (frame, mine) in enumerate(_halves(by)):
         x = F.when(mine, F.col("x").cast("double"))
@@ -61,9 +65,9 @@ def moments(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",)) -> Da
     return out.select(*rows.columns, (F.col("_n0") + F.col("_n1")).alias("n"), k.alias("k"), F.when(k > 0, mean).alias("m"), s.alias("s"))
 
 
-def starts(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
+def starts(rows: DataFrame, seconds: int, by: tuple[str, ...] = ("key",), reach: Column | None = None) -> DataFrame:
     """``rows`` with ``_at``, and time ``at0`` and value ``x0`` of the first row of the last seconds."""
-    out = _cut(rows, seconds, by)
+    out = _cut(rows, seconds, by, reach)
     (before, old), (upto, own) = _halves(by)
     place = F.struct("_at", "seq")
     first = lambda mine, frame: (F.min(F.when(mine, F.col("_at"))).over(frame), F.min_by("x", F.when(mine, place)).over(frame))

@@ -1,7 +1,7 @@
 """Alert rules and evaluators that are data: JSON is checked and compiled to one plan for all of them.
 
-Rules meet the points of their metric in a join with the small table of rules; windows by rule and key then
-serve all rules of all kinds from that one scan.
+Windows by metric and key serve all rules of all kinds from one scan; rules are a small table that meets what comes
+out of them.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import alerts, evals
@@ -34,7 +34,11 @@ DEFAULTS = {
     "composite": {"rule_ids": []},
 }
 ANOMALY_HOURS = 24
-_SCHEMA = "rule_id string, kind string, severity string, metric string, comparison string, amount double, count long, seconds long, percent boolean"
+#: Conditions of thresholds on a metric that are followed side by side; where there are more, its points come in several blocks.
+SLOTS = 32
+_LIMITS = "array<struct<comparison:string,amount:double>>"
+_WAITING = "array<struct<slot:int,count:long,rule_id:string,severity:string>>"
+_OTHERS = "array<struct<kind:string,rule_id:string,severity:string,amount:double,count:long,seconds:long,percent:boolean>>"
 
 
 def parse(text: str) -> tuple[list[dict], list[tuple[str, str]]]:
@@ -118,14 +122,33 @@ def _checked(raw) -> tuple[dict | None, str | None]:
     return rule | {"config": config}, None
 
 
-def _table(spark: SparkSession, rules: list[dict]) -> DataFrame:
-    rows = []
+def _table(rules: list[dict]) -> list[tuple]:
+    """(metric, block, conditions, rules that wait for runs of one of them, other rules): the latter in block 0."""
+    limits: dict[str, dict[tuple, list]] = {}
+    others: dict[str, list] = {}
     for r in rules:
         c = r["config"]
-        amount = c.get("threshold", c.get("std_dev_threshold", c.get("rate_threshold", c.get("sensitivity"))))
-        count = c.get("consecutive_count", c.get("min_samples"))
-        rows.append((r["rule_id"], r["type"], r["severity"], c["metric_name"], COMPARISONS.get(c.get("comparison")), float(amount), count, c.get("window_seconds"), c.get("use_percentage")))
-    return spark.createDataFrame(rows, _SCHEMA)
+        waiting, rest = limits.setdefault(c["metric_name"], {}), others.setdefault(c["metric_name"], [])
+        if r["type"] == "threshold":
+            waiting.setdefault((COMPARISONS[c["comparison"]], float(c["threshold"])), []).append((c["consecutive_count"], r["rule_id"], r["severity"]))
+        else:
+            amount = c.get("std_dev_threshold", c.get("rate_threshold", c.get("sensitivity")))
+            rest.append((r["type"], r["rule_id"], r["severity"], float(amount), c.get("min_samples"), c.get("window_seconds"), c.get("use_percentage")))
+    out = []
+    for metric, found in limits.items():
+        listed = list(found.items())
+        for first in range(0, max(len(listed), 1), SLOTS):
+            part = listed[first : first + SLOTS]
+            waiting = [(j, *rule) for j, (_, those) in enumerate(part) for rule in those]
+            out.append((metric, first // SLOTS, [limit for limit, _ in part], waiting, [] if first else others[metric]))
+    return out
+
+
+def _violations(slots: int) -> Column:
+    """A number whose bits say which of the row's conditions it violates; null violates none."""
+    bad = lambda limit: reduce(lambda w, c: w.when(limit["comparison"] == c[0], c[1](F.col("x"), limit["amount"])), alerts.COMPARISONS.items(), F)
+    bits = (F.when(bad(F.get("limits", F.lit(j))), F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")) for j in range(slots))
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def evaluate(points: DataFrame, rules: list[dict]) -> DataFrame:
@@ -134,6 +157,8 @@ def evaluate(points: DataFrame, rules: list[dict]) -> DataFrame:
     All rules read the points once.  What fires is as :mod:`spanloom.operators.alerts` says for each kind alone: the
     run's length, the z-score over a day, the speed, 1 for a shape (an oscillation or trend over the last 20), and for a
     composite, at a point where all its rules fire, how many these are.
+
+    Means, speeds, last values and runs of a condition depend on metric and key, so they are made once for all rules.
     """
     spark = points.sparkSession
     by_id = {r["rule_id"]: r for r in rules if r["enabled"]}
@@ -141,44 +166,58 @@ def evaluate(points: DataFrame, rules: list[dict]) -> DataFrame:
     out = "rule_id string, severity string, key string, seq long, value double"
     if not simple:
         return spark.createDataFrame([], out)
-    rows = points.join(F.broadcast(_table(spark, simple)), "metric").withColumn("_at", alerts._micros())
-    ordered = Window.partitionBy("rule_id", "key").orderBy("_at", "seq")
-    timed = Window.partitionBy("rule_id", "key").orderBy("_at")
+    table = _table(simple)
+    slots = max(1, *(len(row[2]) for row in table))
+    limits = spark.createDataFrame([row[:3] for row in table], f"metric string, _block int, limits {_LIMITS}")
+    rows = points.select("metric", "key", "timestamp", "seq", "x").join(F.broadcast(limits), "metric")
+    rows = rows.withColumn("_bad", _violations(slots)).drop("limits")
+    by = ("metric", "_block", "key")
+    of = lambda kind: [r["config"] for r in simple if r["type"] == kind]
+    reach = lambda configs: (F.col("_block") == 0) & F.col("metric").isin([c["metric_name"] for c in configs])
+    if odd := of("anomaly"):
+        rows = alerts.moments(rows, ANOMALY_HOURS * 3600, by, reach(odd)).drop("n").withColumnsRenamed({"k": "_n", "m": "_m", "s": "_s"})
+    windows = sorted({c["window_seconds"] for c in of("rate")})
+    for w in windows:
+        rows = alerts.starts(rows, w, by, reach([c for c in of("rate") if c["window_seconds"] == w])).drop("_at").withColumnsRenamed({"at0": f"_at{w}", "x0": f"_x{w}"})
+    ordered = Window.partitionBy(*by).orderBy("_at", "seq")
     upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    broken = reduce(lambda w, c: w.when(F.col("comparison") == c[0], c[1](F.col("x"), F.col("amount"))), alerts.COMPARISONS.items(), F)
-    rows = rows.withColumn("_bad", F.coalesce(broken, F.lit(False)))
-    day = timed.rangeBetween(-ANOMALY_HOURS * 3600 * alerts._MICROS, 0)
-    windows = sorted({r["config"]["window_seconds"] for r in simple if r["type"] == "rate"})
-    more = {"_n": F.count("x").over(day), "_m": F.avg("x").over(day), "_s": F.stddev_pop("x").over(day), "_last": F.collect_list("x").over(ordered.rowsBetween(-19, 0))}
+    rows = rows.withColumn("_at", alerts._micros()).withColumn("_row", F.row_number().over(ordered))
     # A run's length: rows since the last that did not violate.
-    streak = F.col("_row") - F.max(F.when(~F.col("_bad"), F.col("_row"))).over(upto)
-    rows = rows.withColumn("_row", F.row_number().over(ordered)).withColumn("_streak", F.when(F.col("_bad"), F.coalesce(streak, F.col("_row"))))
-    for w in windows:
-        back = timed.rangeBetween(-w * alerts._MICROS, 0)
-        more[f"_x{w}"], more[f"_at{w}"] = F.min_by("x", F.struct("_at", "seq")).over(back), F.min("_at").over(back)
-    rows = rows.withColumns(more)
-    by_window = lambda name: reduce(lambda c, w: c.when(F.col("seconds") == w, F.col(f"{name}{w}")), windows, F) if windows else F.lit(None)
-    first, start = by_window("_x"), by_window("_at")
-    speed = F.when(F.col("_at") > start, (F.col("x") - first) / ((F.col("_at") - start) / alerts._MICROS)) if windows else F.lit(None).cast("double")
-    speed = F.when(F.col("percent"), F.try_divide(100 * speed, F.abs(first))).otherwise(speed) if windows else speed
-    z = F.when((F.col("_n") >= F.col("count")) & (F.col("_s") > 0), (F.col("x") - F.col("_m")) / F.col("_s"))
-    value = (
-        F.when((F.col("kind") == "threshold") & (F.col("_streak") >= F.col("count")), F.col("_streak").cast("double"))
-        .when((F.col("kind") == "anomaly") & (F.abs(z) > F.col("amount")), F.round(z, 6))
-        .when((F.col("kind") == "rate") & (F.abs(speed) > F.col("amount")), F.round(speed, 6))
-        .when((F.col("kind") == "pattern") & _turning("_last", "amount"), F.lit(1.0))
-    )
-    fired = rows.select("rule_id", "severity", "key", "seq", value.alias("value")).where("value is not null")
+    fine = (F.max(F.when(F.col("_bad").bitwiseAND(F.lit(1 << j).cast("long")) == 0, F.col("_row"))).over(upto) for j in range(slots))
+    more = {"_runs": F.array(*(F.col("_row") - F.coalesce(last, F.lit(0)) for last in fine))}
+    if of("pattern"):
+        more["_last"] = F.collect_list("x").over(ordered.rowsBetween(-19, 0))
+    # Runs of a metric and key are made by one task; rules meet them in many.
+    rows = rows.withColumns(more).drop("timestamp", "_bad", "_row").repartition("seq", "metric")
+
+    def value(rule: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(0.0))
+        if odd:
+            z = F.when((F.col("_n") >= rule["count"]) & (F.col("_s") > 0), (F.col("x") - F.col("_m")) / F.col("_s"))
+            out = out.when((rule["kind"] == "anomaly") & (F.abs(z) > rule["amount"]), F.round(z, 6))
+        for w in windows:
+            speed = F.when(F.col("_at") > F.col(f"_at{w}"), (F.col("x") - F.col(f"_x{w}")) / ((F.col("_at") - F.col(f"_at{w}")) / alerts._MICROS))
+            speed = F.when(rule["percent"], F.try_divide(100 * speed, F.abs(F.col(f"_x{w}")))).otherwise(speed)
+            out = out.when((rule["kind"] == "rate") & (rule["seconds"] == w) & (F.abs(speed) > rule["amount"]), F.round(speed, 6))
+        return out.when((rule["kind"] == "pattern") & _turning("_last", rule["amount"]), F.lit(1.0)) if of("pattern") else out
+
+    def fired(ids: set[str]) -> DataFrame:
+        own = [(metric, block, [r for r in waiting if r[2] in ids], [r for r in others if r[1] in ids]) for metric, block, _, waiting, others in table]
+        met = rows.join(F.broadcast(spark.createDataFrame(own, f"metric string, _block int, waiting {_WAITING}, others {_OTHERS}")), ["metric", "_block"])
+        long_enough = F.filter("waiting", lambda r: F.get("_runs", r["slot"]) >= r["count"])
+        runs = F.transform(long_enough, lambda r: F.struct(r["rule_id"].alias("rule_id"), r["severity"].alias("severity"), F.get("_runs", r["slot"]).cast("double").alias("value")))
+        rest = F.transform("others", lambda r: F.struct(r["rule_id"].alias("rule_id"), r["severity"].alias("severity"), value(r).alias("value")))
+        return met.select("key", "seq", F.inline(F.concat(runs, F.filter(rest, lambda r: r["value"].isNotNull())))).select("rule_id", "severity", "key", "seq", "value")
+
+    alone = fired({r["rule_id"] for r in simple})
     composites = [r for r in by_id.values() if r["type"] == "composite"]
-    if not composites:
-        return fired
     leaves = [(r["rule_id"], r["severity"], leaf, len(own)) for r in composites if (own := _leaves(by_id, r["rule_id"])) for leaf in own]
     if not leaves:
-        return fired
+        return alone
     parts = spark.createDataFrame(leaves, "whole string, whole_severity string, rule_id string, parts int")
-    met = fired.select("rule_id", "key", "seq").join(F.broadcast(parts), "rule_id").groupBy("whole", "whole_severity", "parts", "key", "seq").agg(F.count_distinct("rule_id").alias("n"))
+    met = fired({leaf for _, _, leaf, _ in leaves}).select("rule_id", "key", "seq").join(F.broadcast(parts), "rule_id").groupBy("whole", "whole_severity", "parts", "key", "seq").agg(F.count_distinct("rule_id").alias("n"))
     whole = met.where("n = parts").select(F.col("whole").alias("rule_id"), F.col("whole_severity").alias("severity"), "key", "seq", F.col("n").cast("double").alias("value"))
-    return fired.unionByName(whole)
+    return alone.unionByName(whole)
 
 
 def _leaves(rules: dict[str, dict], start: str) -> set[str]:
@@ -198,14 +237,14 @@ def _leaves(rules: dict[str, dict], start: str) -> set[str]:
     return out
 
 
-def _turning(values: str, amount: str):
+def _turning(values: str, amount: Column) -> Column:
     """Whether the last values turn, or rise, or fall, in more than a share of ``amount`` of their steps."""
     n = F.size(values)
     step = lambda i: F.element_at(values, i) - F.element_at(values, i - 1)
     turns = F.when(n > 2, F.size(F.filter(F.sequence(F.lit(3), F.greatest(n, F.lit(3))), lambda i: step(i) * step(i - 1) < 0)) / (n - 2))
     moves = lambda sign: F.size(F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: sign * step(i) > 0)) / (n - 1)
     share = F.greatest(turns, moves(1), moves(-1))
-    return F.when(n >= 10, share > F.col(amount)).otherwise(False)
+    return F.when(n >= 10, share > amount).otherwise(False)
 
 
 def export(rules: list[dict]) -> str:

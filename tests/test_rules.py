@@ -230,3 +230,24 @@ def test_texts_go_to_the_cluster_that_is_most_like_them(spark):
         want[seq] = (-best[1], round(best[0], 8)) if best[0] >= 0.7 else (None, None)
     got = rca.assign_to_clusters(spark.createDataFrame(rows, "seq long, text string"), spark.createDataFrame(clusters, "cluster long, representative string"))
     assert {r.seq: (r.cluster, r.score) for r in got.collect()} == want and sum(v[0] is not None for v in want.values()) > 20
+
+
+def test_windows_are_made_once_for_all_rules_of_a_metric(spark):
+    frame = points(spark)
+    good, refused = rules.parse(json.dumps({"rules": [
+        *(rule(f"t{v}-{k}", threshold=float(v), consecutive_count=k) for v in range(40) for k in (1, 2)),
+        rule("z", "anomaly", std_dev_threshold=1.5, min_samples=20), rule("r", "rate", rate_threshold=0.05, window_seconds=300),
+    ]}))
+    assert not refused
+    found = rules.evaluate(frame, good)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(rule_id" not in plan and "RangeFrame, -" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.rule_id, {})[(r.key, r.seq)] = r.value
+    own = frame.where("metric = 'a'").drop("metric")
+    for v in (0, 8, 33, 39):
+        for k in (1, 2):
+            assert got[f"t{v}-{k}"] == {(r.key, r.seq): float(r.streak) for r in alerts.threshold(own, float(v), k).collect()}
+    assert got["z"] == {(r.key, r.seq): r.z for r in alerts.anomaly(own, 1.5, 20).collect()}
+    assert got["r"] == {(r.key, r.seq): r.rate for r in alerts.rate(own, 0.05, 300).collect()}
