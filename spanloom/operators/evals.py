@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -107,12 +108,18 @@ def toxicity(text: Column) -> Column:
     return F.struct(*(s.alias(c) for c, s in scores.items()), top.alias("score"), (top >= 0.5).alias("toxic"))
 
 
-def injection(text: Column) -> Column:
-    """Number of patterns that match, the highest risk, its first kind, and a confidence."""
-    hits = F.array(*(F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(risk).alias("risk"), F.lit(-i).alias("order"), F.lit(kind).alias("kind"))) for i, (kind, risk, p) in enumerate(INJECTION)))
-    hits = F.filter(hits, lambda h: h.isNotNull())
-    best = F.array_max(hits)
-    n = F.size(hits)
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` made once however often it stands there."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _hits(text: Column) -> Column:
+    every = F.array(*(F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(risk).alias("risk"), F.lit(-i).alias("order"), F.lit(kind).alias("kind"))) for i, (kind, risk, p) in enumerate(INJECTION)))
+    return F.filter(every, lambda h: h.isNotNull())
+
+
+def _said(hits: Column) -> Column:
+    best, n = F.array_max(hits), F.size(hits)
     confidence = F.least(F.lit(1.0), 0.5 + F.least(F.lit(0.4), 0.1 * n) + 0.1 * best["risk"])
     return F.struct(
         n.cast("long").alias("matches"),
@@ -122,6 +129,11 @@ def injection(text: Column) -> Column:
     )
 
 
+def injection(text: Column) -> Column:
+    """Number of patterns that match, the highest risk, its first kind, and a confidence."""
+    return _said(_hits(text))
+
+
 #: Name and pattern of what looks like delimiters of another prompt.
 DELIMITERS = [
     ("bracket_delimiter", r"\[\[|]]|\{\{|\}\}|<<<|>>>"),
@@ -164,13 +176,17 @@ def encoded_payloads(text: Column) -> Column:
     return F.filter(decoded, lambda t: t.isNotNull() & (F.length(t) > 10) & t.rlike(r"^[\x20-\x7E\n\r\t]+$"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` made once however often it stands there."""
+    return F.transform(F.array(value), then)[0]
+
+
 def encoded_injection(text: Column) -> Column:
     """Payloads behind encoded runs, those behind runs inside them too, and what :func:`injection` says of them."""
-    outer = encoded_payloads(text)
-    inner = F.flatten(F.transform(outer, encoded_payloads))
-    every = F.concat(outer, inner)
-    found = injection(F.array_join(every, "\n"))
-    return F.struct(F.size(every).cast("long").alias("payloads"), *(found[c].alias(c) for c in ("matches", "risk", "kind", "confidence")))
+    inside = lambda outer: F.concat(outer, F.flatten(F.transform(outer, encoded_payloads)))
+    whole = lambda every, found: F.struct(F.size(every).cast("long").alias("payloads"), *(found[c].alias(c) for c in ("matches", "risk", "kind", "confidence")))
+    scan = lambda every: _once(_once(F.array_join(every, "\n"), _hits), lambda hits: whole(every, _said(hits)))
+    return _once(encoded_payloads(text), lambda outer: _once(inside(outer), scan))
 
 
 def keywords(text: Column) -> Column:

@@ -335,3 +335,9 @@ def test_speeds_cost_no_more_with_more_rows_in_their_window(spark):
             if at > t0 and not (percent and not first):
                 want[i] = (100 / abs(first) if percent else 1) * (x - first) / (at - t0)
         assert {r.seq: r.rate for r in found.collect()} == {i: pytest.approx(v, abs=1e-6) for i, v in want.items() if abs(v) > 0.01}
+
+
+def test_encoded_runs_are_decoded_once(spark):
+    frame = spark.createDataFrame([(1, "x")], "id long, t string").select("id", E.encoded_injection(F.col("t")).alias("i")).select("id", "i.*")
+    # Two kinds of runs outside, two inside; every use of a result must not decode again.
+    assert _frames(frame).count("regexp_extract_all") <= 4 * 5
