@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -34,32 +35,39 @@ class Processor:
 def _guarded(processor: Processor, columns: list[str]):
     """Runs the function on as large a part of a batch as it takes; a row that it does not take stays as it was."""
 
-    def one(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        todo = [frame]
+    def one(frame: pd.DataFrame) -> tuple[list[pd.DataFrame], np.ndarray]:
+        """The parts in order, and what is wrong with each row.  A part that fails is halved."""
+        done, errors, todo = [], np.full(len(frame), None, object), [(0, len(frame))]
         while todo:
-            part = todo.pop()
-            if not len(part):
-                continue
+            i, j = todo.pop()
+            part = frame.iloc[i:j]
             try:
-                out = processor.run(part[columns].copy())
-                if len(out) != len(part):
+                out = processor.run(part.copy())
+                if len(out) != j - i:
                     raise ValueError("rows were lost or added")
-                yield out[columns].assign(_row=part["_row"].to_numpy(), _error=None)
+                done.append(out[columns])
             except Exception as error:  # of whatever kind: it is reported with the row
-                if len(part) == 1:
-                    yield part[columns].assign(_row=part["_row"].to_numpy(), _error=f"{type(error).__name__}: {error}"[:500])
+                if j - i == 1:
+                    done.append(part)
+                    errors[i] = f"{type(error).__name__}: {error}"[:500]
                 else:
-                    half = len(part) // 2
-                    todo += [part.iloc[half:], part.iloc[:half]]
+                    half = (i + j) // 2
+                    todo += [(half, j), (i, half)]
+        return done, errors
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            marked = frame.reset_index(drop=True)
-            own = marked["_due"].to_numpy(bool)
-            marked["_row"] = range(len(marked))
-            done = pd.concat([marked.loc[~own, [*columns, "_row"]].assign(_error=None), *one(marked[own])]).sort_values("_row")
-            out = done[columns].reset_index(drop=True)
-            yield out.assign(failures=marked["failures"], _error=done["_error"].to_numpy())
+            own = frame["_due"].to_numpy(bool)
+            errors = np.full(len(frame), None, object)
+            if not own.any():
+                yield frame[columns].assign(failures=frame["failures"], _error=errors)
+                continue
+            parts, errors[own] = one(frame.loc[own, columns].reset_index(drop=True))
+            done = pd.concat(parts, ignore_index=True)
+            if not own.all():  # back between the rows that are not due
+                places = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
+                done = pd.concat([done, frame.loc[~own, columns]], ignore_index=True).iloc[np.argsort(places)].reset_index(drop=True)
+            yield done.assign(failures=frame["failures"].to_numpy(), _error=errors)
 
     return run
 
@@ -73,6 +81,8 @@ def run_chain(rows: DataFrame, processors: list[Processor], key: str, stop: bool
     """
     columns = rows.columns
     out = rows.withColumn("failures", F.lit(None).cast(FAILURES)).withColumn("failures", F.coalesce("failures", F.array().cast(FAILURES)))
+    if any(p.run for p in processors):  # a batch may cost many calls, so all tasks share the rows however few files hold them
+        out = out.repartition(key)
     for p in processors:
         due = F.lit(True)
         if p.rate < 1:

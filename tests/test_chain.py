@@ -113,3 +113,15 @@ def test_sketches_merge_and_stay_within_their_error(spark):
         for s in shares:
             want, got = own[int(s * (len(own) - 1))], r[f"p{s * 100:g}"]
             assert abs(got - want) <= statistics.ERROR * want * 1.0001
+
+
+def test_functions_get_rows_of_one_file_in_many_tasks(spark):
+    rows = spark.range(4000).coalesce(1)
+    slow = Processor("tasks", run=lambda frame: frame)
+    plan = run_chain(rows, [slow], "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan.split("MapInPandas")[1]
+    some = Processor("odd", run=lambda frame: frame if (frame["id"] % 7 != 3).all() else 1 / 0, rate=0.5)
+    got = run_chain(rows, [some], "id").collect()
+    assert sorted(r.id for r in got) == list(range(4000))
+    failed = {r.id for r in got if r.failures}
+    assert failed and all(i % 7 == 3 for i in failed) and len(failed) < 4000 / 7
