@@ -30,12 +30,12 @@ def running(counts: DataFrame, columns: list[str]) -> DataFrame:
     edge = counts.groupBy("feature").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     place = (F.col("v") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
     slot = F.when(F.isnan(place), SLICES).otherwise(F.floor(place * SLICES)).cast("int")
-    cut = counts.join(edge, "feature").withColumn("_slot", slot).drop("_lo", "_hi")
+    cut = counts.join(F.broadcast(edge), "feature").withColumn("_slot", slot).drop("_lo", "_hi")
     before = Window.partitionBy("feature").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy("feature", "_slot").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
     totals = totals.select("feature", "_slot", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
     within = Window.partitionBy("feature", "_slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(totals, ["feature", "_slot"])
+    out = cut.join(F.broadcast(totals), ["feature", "_slot"])
     return out.withColumns({f"upto_{c}": F.col(f"_{c}") + F.sum(c).over(within) for c in columns}).drop("_slot", *(f"_{c}" for c in columns))
 
 
@@ -48,17 +48,18 @@ def psi_reference(values: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     # Equal values are counted first, so only distinct ones are sorted.
     counts = values.where("v is not null").groupBy("feature", "v").agg(F.count("*").alias("k"))
     sizes = counts.groupBy("feature").agg(F.sum("k").alias("n"))
-    placed = running(counts, ["k"]).withColumnRenamed("upto_k", "after").join(sizes, "feature")
+    placed = running(counts, ["k"]).withColumnRenamed("upto_k", "after").join(F.broadcast(sizes), "feature")
     wanted = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.floor(i / bins * (F.col("n") - 1)))
     hit = F.size(F.filter(wanted, lambda w: (w >= F.col("after") - F.col("k")) & (w < F.col("after"))))
-    edges = placed.groupBy("feature").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("v", hit)))).alias("edges"))
+    # Only values at a wanted place are collected, nine a feature.
+    edges = placed.withColumn("_hit", hit).where("_hit > 0").groupBy("feature").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("v", F.col("_hit"))))).alias("edges"))
     return _binned(values, edges).select("feature", "edges", F.col("counts").alias("expected"))
 
 
 def _binned(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(feature, edges, counts): how many values lie in each bin."""
     # How many inner edges a value has reached is its bin.
-    binned = values.where("v is not null").join(edges, "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("v"))))
+    binned = values.where("v is not null").join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("v"))))
     counts = binned.groupBy("feature", "bin").agg(F.count("*").alias("k")).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("m"))
     each = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
     return edges.join(counts, "feature", "left").select("feature", "edges", each.alias("counts"))
