@@ -13,6 +13,8 @@ from spanloom.operators.drift import cosine, dot
 
 #: Queries that are sent to all tasks at once; more are searched block by block.
 BLOCK = 4096
+#: Pairs of which a task holds the scores at once, some tens of MB with what is made of them.
+PAIRS = 1 << 20
 #: Scores are rounded to six places before they are ranked.
 DIGITS = 6
 
@@ -50,11 +52,20 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-def _compared(vectors: DataFrame, queries: DataFrame, metric: str, chosen: Callable) -> DataFrame:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    widths = np.unique(column.value_lengths().to_numpy(zero_copy_only=False))
+    if len(widths) > 1:
+        raise ValueError("vectors must have one length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _compared(vectors: DataFrame, queries: DataFrame, metric: str, chosen: Callable, by_query: bool = False) -> DataFrame:
     """(query_id, vec_id, score) of the pairs that ``chosen(scores, query ids, ids)`` marks.
 
     The queries are a stated set: they are read in blocks of at most ``BLOCK``, each compared with all
-    rows where these stand.  Vectors must have one length.
+    rows where these stand.  Vectors must have one length.  A batch of rows is compared in parts of at most
+    ``PAIRS`` pairs: some of its rows with all queries of the block or, with ``by_query``, all its rows with some queries.
     """
     session, rows = vectors.sparkSession, _valid(vectors)
     own = _valid(queries)
@@ -64,17 +75,20 @@ def _compared(vectors: DataFrame, queries: DataFrame, metric: str, chosen: Calla
     out = None
     for k in range(max(2 * blocks - 1, 1)):
         asked = placed.where(F.col("_block") == k).select("vec_id", "v").toArrow()
-        sent = session.sparkContext.broadcast((asked.column("vec_id").to_numpy(), np.array(asked.column("v").to_pylist(), float)))
+        sent = session.sparkContext.broadcast((asked.column("vec_id").to_numpy(), _matrix(asked.column("v")) if asked.num_rows else np.zeros((0, 0))))
 
         def compare(batches, sent=sent):
             ids, matrix = sent.value
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
-                own, v = batch.column("vec_id").to_numpy(), np.array(batch.column("v").to_pylist(), float)
-                scores = _scores(metric, matrix, v)
-                q, r = np.nonzero(chosen(np.where(np.isnan(scores), -np.inf, scores), ids, own) & ~np.isnan(scores))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[r]), pa.array(scores[q, r])], ["query_id", "vec_id", "score"])
+                own, v = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"))
+                step = max(PAIRS // (len(own) if by_query else len(ids)), 1)
+                for k in range(0, len(ids) if by_query else len(own), step):
+                    asked, some = (slice(k, k + step), slice(None)) if by_query else (slice(None), slice(k, k + step))
+                    scores = _scores(metric, matrix[asked], v[some])
+                    q, r = np.nonzero(chosen(np.where(np.isnan(scores), -np.inf, scores), ids[asked], own[some]) & ~np.isnan(scores))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[asked][q]), pa.array(own[some][r]), pa.array(scores[q, r])], ["query_id", "vec_id", "score"])
 
         found = rows.mapInArrow(compare, "query_id long, vec_id long, score double")
         out = found if out is None else out.union(found)
@@ -94,7 +108,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
         # What rounds to the same score is ranked by id, so near ties stay.
         return (scores >= least[:, None] - 2 * 10.0**-DIGITS) & np.isfinite(scores)
 
-    scored = _compared(vectors, queries, metric, chosen)
+    scored = _compared(vectors, queries, metric, chosen, True)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 

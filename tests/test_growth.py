@@ -39,3 +39,19 @@ def test_edits_are_measured_without_comparing_whole_texts(spark):
     for r in got:
         assert r.similarity == round(1 - levenshtein(texts[r.id], r.edited) / max(len(texts[r.id]), len(r.edited)), 8), r
     assert len({r.id for r in got}) == 9 and {r.edit for r in got} == {"delete", "replace", "insert"}
+
+
+def test_scores_are_held_for_a_bounded_number_of_pairs(spark, monkeypatch):
+    rows = [(i, [float((i * 7 + k * k) % 11 - 5) + i / 1000 for k in range(4)]) for i in range(90)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = frame.where("vec_id % 4 = 0")
+    want = sorted(vectors.top_k(frame, asked, 3).collect()), sorted(vectors.best_reference(frame, asked).collect())
+    monkeypatch.setattr(vectors, "PAIRS", 100)
+
+    def held(metric, queries, own, scores=vectors._scores):
+        if len(queries) * len(own) > 100:
+            raise ValueError("too many pairs at once")
+        return scores(metric, queries, own)
+
+    monkeypatch.setattr(vectors, "_scores", held)
+    assert (sorted(vectors.top_k(frame, asked, 3).collect()), sorted(vectors.best_reference(frame, asked).collect())) == want
