@@ -53,11 +53,17 @@ def _time(nanos: Column) -> Column:
 _STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)'
 
 
+def _pairs(levels: int) -> str:
+    """Pairs of brackets that hold none but such pairs, ``levels`` deep at most."""
+    inner = f"(?:{_pairs(levels - 1)})*+" if levels > 1 else ""
+    return rf"\[{inner}\]|\{{{inner}\}}"
+
+
 def too_deep(text: Column, most: int = MOST_DEPTH) -> Column:
-    """Whether brackets outside strings are nested deeper than ``most``: innermost pairs go level by level."""
+    """Whether brackets outside strings are nested deeper than ``most``: innermost pairs go, four levels at a time."""
     left = F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^\[\]{}]++", "")
-    for _ in range(most):
-        left = F.regexp_replace(left, r"\[\]|\{\}", "")
+    for levels in [4] * (most // 4) + [most % 4] * (most % 4 > 0):
+        left = F.regexp_replace(left, _pairs(levels), "")
     return F.length(left) > 0
 
 
@@ -118,11 +124,16 @@ def _outside(text: Column) -> Column:
     )
 
 
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with a column that is computed once a row: filters and further columns are not merged with an explode."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _parsed(messages: DataFrame, column: str, kind: str) -> DataFrame:
     schema = {"spans": EXPORT, "metrics": METRICS, "logs": LOGS}[kind]
-    out = messages.select(F.col(column).alias("_text"), _outside(F.col(column)).alias("reason"))
-    out = out.withColumn("m", F.from_json(F.when(F.col("reason").isNull(), F.col("_text")), schema))
-    return out.withColumn("reason", F.coalesce("reason", F.when(_longest(F.col("m"), kind) > MOST_ITEMS, "too many items")))
+    out = _once(messages.select(F.col(column).alias("_text")), _outside(F.col("_text")), "_reason")
+    out = _once(out, F.from_json(F.when(F.col("_reason").isNull(), F.col("_text")), schema), "m")
+    return _once(out, F.coalesce("_reason", F.when(_longest(F.col("m"), kind) > MOST_ITEMS, "too many items")), "reason").drop("_reason")
 
 
 def refused(messages: DataFrame, column: str = "value", kind: str = "spans") -> DataFrame:

@@ -1,6 +1,9 @@
 """Steps whose memory, shuffles or time grew faster than their input."""
 
+from pyspark.sql import functions as F
+
 from spanloom.operators import drift, rca, vectors
+from spanloom.sources import otlp
 
 
 def plan(frame) -> str:
@@ -55,3 +58,14 @@ def test_scores_are_held_for_a_bounded_number_of_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(vectors, "_scores", held)
     assert (sorted(vectors.top_k(frame, asked, 3).collect()), sorted(vectors.best_reference(frame, asked).collect())) == want
+
+
+def test_messages_are_checked_and_parsed_once(spark):
+    deep = lambda n, open_="[", close="]": '{"a": ' + open_ * n + close * n + "}"
+    rows = [(deep(n), n > 31) for n in (0, 1, 3, 4, 27, 28, 30, 31, 32, 33, 40)] + [('{"a": [[], [[]], {"b": [{}]}, "]]"]}', False), ("[" * 33 + "{}" + "]" * 33, True), ("[}", True), ("[{]}", True)]
+    rows = [(t if n != '{"a": }' else "{}", d) for (t, d), n in zip(rows, [r[0] for r in rows], strict=True)]
+    got = spark.createDataFrame(rows, "text string, want boolean").select("text", "want", otlp.too_deep(F.col("text")).alias("deep")).collect()
+    assert all(r.want == r.deep for r in got), [r for r in got if r.want != r.deep]
+    messages = spark.createDataFrame([('{"resourceSpans": []}',), (None,), ("{no",)], "value string")
+    made = plan(otlp.flatten(messages))
+    assert made.count("from_json") == 1 and made.count("get_json_object") == 1 and otlp.refused(messages).count() == 2
