@@ -231,11 +231,15 @@ def mean_cosine_drift(vectors: DataFrame) -> DataFrame:
     return _sides(vectors, True).select(F.round(score, 6).alias("score"), (score > 0.1).alias("drift"))
 
 
+#: Blocks of a key, in each of which a row stands once.
+MOST_BLOCKS = 24
+
+
 def mmd(groups: DataFrame, permutations: int = 100, seed: int = 7, block: int = 512) -> DataFrame:
     """Unbiased squared MMD of each key with an RBF kernel of median bandwidth, and a permutation test.
 
     ``groups`` has key, side, id (different within a key) and embedding; all rows count.  The kernel is
-    computed in pairs of blocks of about ``block`` rows, each by one task, for all permutations at once: a
+    computed in pairs of blocks, ``MOST_BLOCKS`` at most, in parts of about ``block`` rows, each pair by one task, for all permutations at once: a
     permutation is a 0/1 column that says which rows stand for the reference, as many as there are.
     The bandwidth is the median distance within the first 100 rows of a key, the reference's first.
     """
@@ -255,12 +259,13 @@ def mmd(groups: DataFrame, permutations: int = 100, seed: int = 7, block: int =
     place = F.row_number().over(Window.partitionBy("key", "r").orderBy(F.xxhash64("id", F.lit(seed), "r"), "id"))
     drawn = drawn.withColumn("label", (place <= F.col("m")).cast("tinyint")).groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("r", "label"))).alias("drawn"))
     marked = rows.join(drawn, ["key", "id"]).join(F.broadcast(sizes), "key").join(F.broadcast(widths), "key")
-    blocks = F.ceil((F.col("m") + F.col("n")) / block).cast("int")
+    # Every row is sent to each block: their number is bounded, and larger blocks are compared in parts.
+    blocks = F.least(F.ceil((F.col("m") + F.col("n")) / block), F.lit(MOST_BLOCKS)).cast("int")
     marked = marked.select(
         "key",
         "sigma",
         F.concat(F.array(F.col("ref").cast("tinyint")), F.transform("drawn", lambda x: x["label"])).alias("labels"),
-        F.transform("embedding", lambda x: x.cast("double")).alias("x"),
+        F.col("embedding").alias("x"),
         F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
     ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
@@ -270,15 +275,20 @@ def mmd(groups: DataFrame, permutations: int = 100, seed: int = 7, block: int =
         sides = [frame[frame["block"] == b] for b in (low, high)]
         if not all(len(s) for s in sides):
             return pd.DataFrame(columns=["key", "r", "inner", "one", "all"])
-        (x, a), (y, b) = ((np.stack(s["x"].to_numpy()), np.stack(s["labels"].to_numpy()).astype(float)) for s in sides)
-        squared = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
-        kernel = np.exp(-squared / (2 * frame["sigma"].iloc[0] ** 2))
-        if low == high:
-            np.fill_diagonal(kernel, 0)
-        inner, left, right = ((kernel @ b) * a).sum(0), a.T @ kernel.sum(1), b.T @ kernel.sum(0)
+        (x, a), (y, b) = ((np.stack(s["x"].to_numpy()).astype(float), np.stack(s["labels"].to_numpy()).astype(float)) for s in sides)
+        inner, left, right, total = 0.0, 0.0, 0.0, 0.0
+        for k in range(0, len(x), block):
+            for h in range(0, len(y), block):
+                p, q = slice(k, k + block), slice(h, h + block)
+                squared = np.maximum((x[p] * x[p]).sum(1)[:, None] + (y[q] * y[q]).sum(1)[None, :] - 2 * x[p] @ y[q].T, 0)
+                kernel = np.exp(-squared / (2 * frame["sigma"].iloc[0] ** 2))
+                if low == high and k == h:
+                    np.fill_diagonal(kernel, 0)
+                inner, left, right = inner + ((kernel @ b[q]) * a[p]).sum(0), left + a[p].T @ kernel.sum(1), right + b[q].T @ kernel.sum(0)
+                total += kernel.sum()
         # Every pair stands in both orders: in its one block pair, or twice where the blocks differ.
         both = (inner, left) if low == high else (2 * inner, left + right)
-        whole = kernel.sum() * (1 if low == high else 2)
+        whole = total * (1 if low == high else 2)
         return pd.DataFrame({"key": frame["key"].iloc[0], "r": np.arange(len(inner)), "inner": both[0], "one": both[1], "all": whole})
 
     parts = marked.groupBy("key", "low", "high").applyInPandas(sums, "key string, r long, inner double, one double, all double")

@@ -69,3 +69,12 @@ def test_messages_are_checked_and_parsed_once(spark):
     messages = spark.createDataFrame([('{"resourceSpans": []}',), (None,), ("{no",)], "value string")
     made = plan(otlp.flatten(messages))
     assert made.count("from_json") == 1 and made.count("get_json_object") == 1 and otlp.refused(messages).count() == 2
+
+
+def test_rows_are_sent_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    rows = [("k", "ref" if i % 2 else "cur", i, [float((i * 7 + k * k) % 13) for k in range(3)]) for i in range(120)]
+    frame = spark.createDataFrame(rows, "key string, side string, id long, embedding array<float>")
+    want = drift.mmd(frame, 20, block=512).collect()[0]
+    monkeypatch.setattr(drift, "MOST_BLOCKS", 3)
+    got = drift.mmd(frame, 20, block=10).collect()[0]
+    assert abs(got.mmd2 - want.mmd2) < 1e-9 and got.p_value == want.p_value
