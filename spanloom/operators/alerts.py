@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.sequential import in_order, streak
+from spanloom.session import Workspace
 
 _MICROS = 1_000_000
 
@@ -118,35 +125,107 @@ def rate(rows: DataFrame, per_second: float, seconds: int = 300, percent: bool =
     return out.where("_at > at0").withColumn("rate", speed).where(F.abs("rate") > per_second).select("key", "seq", F.round("rate", 6).alias("rate"))
 
 
+def _over_last(rows: DataFrame, size: int, least: int, shape: Callable, kind: str) -> DataFrame:
+    """(key, seq, value): ``shape(v, n)`` of every row that has ``least`` values or more among its last ``size`` rows.
+
+    ``v`` has the values of a row at its right end, ``n`` says how many; nulls are no values.  Rows without a shape are
+    left out.  Rows are dealt by ranges of key and time, so a key is not one task.  Frames are whole within a range but
+    for the first rows of its first key: these are kept with the last rows of every range, a few each, and get theirs
+    from both.
+    """
+    back = size - 1
+    types = {c: rows.schema[c].dataType.simpleString() for c in ("key", "timestamp", "seq")}
+    schema = ", ".join(f"{c} {t}" for c, t in types.items()) + f", x double, edge string, value {kind}"
+
+    def run(batches: Iterator[pa.RecordBatch], ranges: bool) -> Iterator[pa.RecordBatch]:
+        held, first, seen = None, True, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            table, h = (new, 0) if held is None else (pa.concat_tables([held, new]), held.num_rows)
+            codes = table["key"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            runs = np.append(0, np.flatnonzero(codes[1:] != codes[:-1]) + 1)
+            start = np.repeat(runs, np.diff(np.append(runs, len(codes))))
+            at = np.arange(h, len(codes))
+            own = start[h:] == 0  # rows of the key that the batch before ended with
+            head = own & (seen + at - h < back) if ranges and first else np.zeros(len(at), bool)
+            seen, first = seen + int(own.sum()), first and bool(own.all())
+            known = np.append(np.zeros(back, bool), table["x"].is_valid().to_numpy())
+            x = np.append(np.zeros(back), table["x"].fill_null(0.0).to_numpy())
+            valid = sliding_window_view(known, size)[h:] & (at[:, None] - back + np.arange(size) >= start[h:, None])
+            n = valid.sum(1)
+            wanted = (n >= least) & (~head if ranges else pc.equal(table["edge"].slice(h), "first").to_numpy())
+            valid, n = valid[wanted], n[wanted]
+            v = np.where(valid, sliding_window_view(x, size)[h:][wanted], 0.0)
+            gaps = (valid[:, :-1] & ~valid[:, 1:]).any(1)
+            v[gaps] = np.take_along_axis(v[gaps], np.argsort(valid[gaps], axis=1, kind="stable"), 1)
+            with np.errstate(all="ignore"):
+                value = shape(v, n)
+            yield from made(table.take(at[wanted]), "", value)
+            if ranges:
+                yield from made(table.take(at[head]), "first", None)
+            held = table.slice(max(int(start[-1]), len(codes) - back))
+        if ranges and held is not None:  # those among them that were given as first rows stand there already
+            yield from made(held.slice(max(0, back - (seen - held.num_rows))) if first else held, "last", None)
+
+    def made(table: pa.Table, edge: str, value: pa.Array | None) -> Iterator[pa.RecordBatch]:
+        done = not edge
+        out = {c: pa.nulls(len(table), table[c].type) if done and c in ("timestamp", "x") else table[c] for c in ("key", "timestamp", "seq", "x")}
+        value = pa.nulls(len(table), pa.string() if kind == "string" else pa.float64()) if value is None else value
+        out = pa.table(out | {"edge": pa.array([edge] * len(table), pa.string()), "value": value})
+        yield from (out.filter(pc.is_valid(out["value"])) if done else out).to_batches()
+
+    ranges = rows.select("key", "timestamp", "seq", F.col("x").cast("double").alias("x")).repartitionByRange("key", "timestamp", "seq").sortWithinPartitions("key", "timestamp", "seq")
+    # Both uses must see the same ranges.
+    saved = Workspace(rows.sparkSession, "last").save(ranges.mapInArrow(lambda b: run(b, True), schema), "ranges")
+    edges = saved.where("edge <> ''").repartition("key").sortWithinPartitions("key", "timestamp", "seq").mapInArrow(lambda b: run(b, False), schema)
+    return saved.where("edge = ''").select("key", "seq", "value").unionByName(edges.select("key", "seq", "value"))
+
+
+def _above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a > b as Spark has it: nothing is greater than NaN, which is greater than all else."""
+    return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+
 def patterns(rows: DataFrame, size: int = 20, least: int = 10) -> DataFrame:
     """Shapes of the last values: a spike or dip at the end, a step between halves, or a steady trend."""
-    last = Window.partitionBy("key").orderBy("timestamp", "seq").rowsBetween(-(size - 1), 0)
-    out = rows.withColumn("v", F.collect_list("x").over(last)).where(F.size("v") >= least)
-    n = F.size("v")
-    mean = lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), F.size(v))
-    out = out.withColumns({"before": F.slice("v", 1, n - 1), "half": F.floor(n / 2).cast("int")})
-    out = out.withColumn("m", mean(F.col("before")))
-    out = out.withColumn("sd", F.sqrt(mean(F.transform("before", lambda x: (x - F.col("m")) * (x - F.col("m"))))))
-    out = out.withColumns({"m1": mean(F.slice("v", 1, F.col("half"))), "m2": mean(F.slice("v", F.col("half") + 1, n - F.col("half")))})
-    ups = F.size(F.filter(F.sequence(F.lit(2), n), lambda i: F.element_at("v", i) > F.element_at("v", i - 1)))
-    last_one = F.element_at("v", -1)
-    shape = (
-        F.when((F.col("sd") > 0) & (last_one > F.col("m") + 3 * F.col("sd")), "spike")
-        .when((F.col("sd") > 0) & (last_one < F.col("m") - 3 * F.col("sd")), "dip")
-        .when((F.col("sd") > 0) & (F.abs(F.col("m2") - F.col("m1")) > 2 * F.col("sd")), "step")
-        .when(ups >= 0.8 * (n - 1), "rise")
-        .when(ups <= 0.2 * (n - 1), "fall")
-    )
-    return out.withColumn("pattern", shape).where("pattern is not null").select("key", "seq", "pattern")
+
+    def shape(v: np.ndarray, n: np.ndarray) -> pa.Array:
+        place = np.arange(size) - (size - n[:, None])
+        half = n // 2
+        # Column by column, so that sums are those of the values in their order.
+        total = lambda values, mine: reduce(lambda s, j: np.where(mine[:, j], s + values[:, j], s), range(size), np.zeros(len(n)))
+        before = (place >= 0) & (place < n[:, None] - 1)
+        m = total(v, before) / (n - 1)
+        sd = np.sqrt(total((v - m[:, None]) * (v - m[:, None]), before) / (n - 1))
+        m1 = total(v, (place >= 0) & (place < half[:, None])) / half
+        m2 = total(v, place >= half[:, None]) / (n - half)
+        ups = ((place[:, 1:] >= 1) & _above(v[:, 1:], v[:, :-1])).sum(1)
+        spread = (n > 1) & _above(sd, np.zeros(len(n)))
+        kinds = {
+            "spike": spread & _above(v[:, -1], m + 3 * sd),
+            "dip": spread & _above(m - 3 * sd, v[:, -1]),
+            "step": spread & _above(np.abs(m2 - m1), 2 * sd),
+            "rise": ups >= 0.8 * (n - 1),
+            "fall": ups <= 0.2 * (n - 1),
+        }
+        return pa.array(np.select(list(kinds.values()), list(kinds), ""), pa.string(), mask=~np.any(list(kinds.values()), axis=0))
+
+    return _over_last(rows, size, least, shape, "string").withColumnRenamed("value", "pattern")
 
 
 def oscillation(rows: DataFrame, size: int = 20, least: int = 10, sensitivity: float = 0.8) -> DataFrame:
     """Points whose last values turn more often than ``sensitivity`` of the times they could."""
-    last = Window.partitionBy("key").orderBy("timestamp", "seq").rowsBetween(-(size - 1), 0)
-    out = rows.withColumn("v", F.collect_list("x").over(last)).where(F.size("v") >= least)
-    step = lambda i: F.element_at("v", i) - F.element_at("v", i - 1)
-    turns = F.size(F.filter(F.sequence(F.lit(3), F.size("v")), lambda i: step(i) * step(i - 1) < 0)) / (F.size("v") - 2)
-    return out.withColumn("turns", F.round(turns, 8)).where(F.col("turns") > sensitivity).select("key", "seq", "turns")
+
+    def shape(v: np.ndarray, n: np.ndarray) -> pa.Array:
+        step = np.diff(v, axis=1)
+        inside = np.arange(2, size) - (size - n[:, None]) >= 2
+        turns = (inside & (step[:, 1:] * step[:, :-1] < 0)).sum(1) / (n - 2)
+        return pa.array(turns, mask=~(turns > sensitivity - 1e-6))
+
+    out = _over_last(rows, size, least, shape, "double")
+    return out.withColumn("turns", F.round("value", 8)).where(F.col("turns") > sensitivity).select("key", "seq", "turns")
 
 
 def composite(children: dict[str, DataFrame], every: bool) -> DataFrame:

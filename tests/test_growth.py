@@ -1,8 +1,10 @@
 """Steps whose memory, shuffles or time grew faster than their input."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from spanloom.operators import drift, rca, vectors
+from spanloom.operators import alerts, drift, rca, vectors
 from spanloom.sources import otlp
 
 
@@ -78,3 +80,50 @@ def test_rows_are_sent_to_a_bounded_number_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(drift, "MOST_BLOCKS", 3)
     got = drift.mmd(frame, 20, block=10).collect()[0]
     assert abs(got.mmd2 - want.mmd2) < 1e-9 and got.p_value == want.p_value
+
+
+def test_last_values_meet_across_ranges_of_a_key(spark):
+    mark = random.Random(7)
+    sizes = {"long": 700, "other": 260, "short": 9, "one": 1, "ten": 10}
+    value = lambda i: (mark.choice([1, 2, 2, 3, 90, -90]), i, -i, 50 * (i % 60 > 30))[i // 60 % 4]
+    rows = [(k, i // 3, i, None if mark.random() < 0.05 else float(value(i))) for k, n in sizes.items() for i in range(n)]
+    frame = spark.createDataFrame(mark.sample(rows, len(rows)), "key string, timestamp int, seq long, x double")
+
+    def shape(v):
+        n, last = len(v), v[-1]
+        mean = lambda a: sum(a) / len(a)
+        m = mean(v[:-1])
+        sd = mean([(x - m) * (x - m) for x in v[:-1]]) ** 0.5
+        ups = sum(b > a for a, b in zip(v, v[1:]))
+        if sd > 0 and (last > m + 3 * sd or last < m - 3 * sd):
+            return "spike" if last > m else "dip"
+        if sd > 0 and abs(mean(v[n // 2 :]) - mean(v[: n // 2])) > 2 * sd:
+            return "step"
+        return "rise" if ups >= 0.8 * (n - 1) else "fall" if ups <= 0.2 * (n - 1) else None
+
+    def turns(v):
+        d = [b - a for a, b in zip(v, v[1:])]
+        return round(sum(a * b < 0 for a, b in zip(d, d[1:])) / (len(v) - 2), 8)
+
+    shapes, turning = set(), set()
+    for key, n in sizes.items():
+        x = [r[3] for r in rows if r[0] == key]
+        for i in range(n):
+            v = [a for a in x[max(0, i - 19) : i + 1] if a is not None]
+            if len(v) >= 10:
+                shapes |= {(key, i, kind) for kind in [shape(v)] if kind}
+                turning |= {(key, i, share) for share in [turns(v)] if share > 0.6}
+    for n in (1, 7, 60):  # ranges shorter than a frame among them
+        old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+        try:
+            for c, value in zip(old, (str(n), "false", "13" if n == 7 else "10000")):
+                spark.conf.set(c, value)
+            made = alerts.patterns(frame)
+            assert "Window" not in plan(made)  # a window of a key's rows is one task
+            got, turned = made.collect(), alerts.oscillation(frame, sensitivity=0.6).collect()
+        finally:
+            for c, value in old.items():
+                spark.conf.set(c, value)
+        assert len(got) == len(shapes) and {tuple(r) for r in got} == shapes, n
+        assert len(turned) == len(turning) and {tuple(r) for r in turned} == turning, n
+    assert {kind for _, _, kind in shapes} == {"spike", "dip", "step", "rise", "fall"} and turning
