@@ -183,14 +183,13 @@ def _over_last(rows: DataFrame, size: int, least: int, shape: Callable, kind: st
     return saved.where("edge = ''").select("key", "seq", "value").unionByName(edges.select("key", "seq", "value"))
 
 
-def _above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a > b as Spark has it: nothing is greater than NaN, which is greater than all else."""
-    return (a > b) | (np.isnan(a) & ~np.isnan(b))
-
-
 def patterns(rows: DataFrame, size: int = 20, least: int = 10) -> DataFrame:
     """Shapes of the last values: a spike or dip at the end, a step between halves, or a steady trend."""
 
+    def above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a > b as Spark has it: nothing is greater than NaN, which is greater than all else."""
+        return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
     def shape(v: np.ndarray, n: np.ndarray) -> pa.Array:
         place = np.arange(size) - (size - n[:, None])
         half = n // 2
@@ -201,12 +200,12 @@ def patterns(rows: DataFrame, size: int = 20, least: int = 10) -> DataFrame:
         sd = np.sqrt(total((v - m[:, None]) * (v - m[:, None]), before) / (n - 1))
         m1 = total(v, (place >= 0) & (place < half[:, None])) / half
         m2 = total(v, place >= half[:, None]) / (n - half)
-        ups = ((place[:, 1:] >= 1) & _above(v[:, 1:], v[:, :-1])).sum(1)
-        spread = (n > 1) & _above(sd, np.zeros(len(n)))
+        ups = ((place[:, 1:] >= 1) & above(v[:, 1:], v[:, :-1])).sum(1)
+        spread = (n > 1) & above(sd, np.zeros(len(n)))
         kinds = {
-            "spike": spread & _above(v[:, -1], m + 3 * sd),
-            "dip": spread & _above(m - 3 * sd, v[:, -1]),
-            "step": spread & _above(np.abs(m2 - m1), 2 * sd),
+            "spike": spread & above(v[:, -1], m + 3 * sd),
+            "dip": spread & above(m - 3 * sd, v[:, -1]),
+            "step": spread & above(np.abs(m2 - m1), 2 * sd),
             "rise": ups >= 0.8 * (n - 1),
             "fall": ups <= 0.2 * (n - 1),
         }
