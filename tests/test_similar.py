@@ -62,3 +62,61 @@ def test_copies_are_assigned_as_one(spark):
     assert {r.seq: r.cluster for r in found.collect()} == {**dict.fromkeys(range(50), 3), 60: None, 61: None, 62: 7}
     # What is compared word by word comes from tables in which copies stand once.
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def led(rows: list[tuple]) -> dict:
+    """Leaders by plain comparison of (key, seq, text), 0.7 alike."""
+    want, leaders = {}, {}
+    for key, seq, text in rows:
+        own = leaders.setdefault(key, [])
+        want[key, seq] = next((s for s, t in own if jaccard(t, text) >= 0.7), seq)
+        if want[key, seq] == seq:
+            own.append((seq, text))
+    return want
+
+
+def drifting(n: int, size: int, seed: int, changed: int) -> list[str]:
+    """Texts of one large group: each is an earlier one with some words changed, so that first and last are far apart."""
+    mark, out = random.Random(seed), [[f"word{i}" for i in range(size)]]
+    for i in range(n - 1):
+        words = list(out[mark.randrange(max(0, i - 40), i + 1)])
+        for _ in range(mark.randint(0, changed)):
+            words[mark.randrange(len(words))] = f"word{mark.randrange(4 * size)}"
+        out.append(list(dict.fromkeys(words)))
+    return [" ".join(w) for w in out]
+
+
+def test_pairs_of_a_group_of_near_copies_grow_with_it_not_with_its_square(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(rca, "Workspace", lambda *a: made.append(Workspace(*a)) or made[-1])
+    rows = [("k", i, " ".join([f"word{j}" for j in range(40) if j != i % 40] + [f"own{i}"])) for i in range(400)]
+    found = rca.greedy_clusters(spark.createDataFrame(rows, "key string, seq long, text string"), 0.7, 2)
+    assert {(r.seq, r.leader, r.size) for r in found.collect()} == {(i, 0, 400) for i in range(400)}
+    assert spark.read.parquet(f"{made[0].root}/links-*").count() < 400 * 20
+
+
+def test_greedy_clusters_whose_first_comparisons_leave_rows_open(spark, monkeypatch):
+    rows = [("k", i, t) for i, t in enumerate(drifting(260, 20, 1, 4))] + [("m", i, t) for i, t in enumerate(drifting(160, 90, 2, 12))]
+    frame = spark.createDataFrame(rows, "key string, seq long, text string")
+    want = led(rows)
+    assert 10 < len({(k, v) for (k, _), v in want.items()}) < 300
+    for few, first in ((20_000, 1), (0, 3)):
+        monkeypatch.setattr(rca, "FEW", few)
+        monkeypatch.setattr(rca, "FIRST", first)
+        monkeypatch.setattr(rca, "MORE", 2)
+        assert {(r.key, r.seq): r.leader for r in rca.greedy_clusters(frame, 0.7, 1).collect()} == want
+
+
+def test_pairs_of_large_sets_and_of_frequent_words_are_all_there(spark, monkeypatch):
+    rows = [t for k, size in enumerate((30, 45, 66, 100, 300)) for t in drifting(60, size, k, size // 6)]
+    cut = random.Random(7)
+    rows += [" ".join(w for w in t.split() if cut.random() < 0.8) for t in rows]
+    frame = spark.createDataFrame(list(enumerate(rows)), "id long, text string").selectExpr("0L as g", "id", "text").select("g", "id", similar.words("text").alias("w"))
+    one, other = frame.where("id % 2 = 0"), frame.where("id % 2 = 1")
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if jaccard(rows[i], rows[j]) >= 0.7}
+    for block in (similar.BLOCK, 9):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        got = {(r.a, r.b) for r in similar.near(frame, frame, 0.7, True).collect()}
+        assert want <= got and len(want) > 1000 and all(a < b for a, b in got)
+        met = {(r.a, r.b) for r in similar.near(one, other, 0.7).collect()}
+        assert {p for i, j in want for p in ((i, j), (j, i)) if p[0] % 2 == 0 and p[1] % 2} <= met
