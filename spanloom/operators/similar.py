@@ -137,21 +137,24 @@ def near(left: DataFrame, right: DataFrame, least: float, both: bool = False, mo
         here = np.arange(len(g))
         new = np.r_[True, (g[1:] != g[:-1]) | (key[1:] != key[:-1])]
         start = np.maximum.accumulate(np.where(new, here, 0))
-        side, own, alone, block, at, size = x & 1, x & 2, x & 4, x & 8, (x >> 4) & 0xFFFFFFF, x >> 32
+        side, own, alone, block, at, size = x & 1, x & 2, x & 4, x & 8, (x >> 4) & 0xFFFFFFF, (x >> 32).astype(np.int32)
         if both:
             end = here
         else:
             bucket = np.cumsum(new) - 1
             end = start + np.bincount(bucket, weights=side == 0).astype(np.int64)[bucket]
-        rest, found, out = size - at, np.zeros(len(g), np.int64), []
+        # The other part's size at most: what follows here must hold all that is common.
+        cap = np.floor((size - at + SLACK) / ratio).astype(np.int32) - size
+        found, out = np.zeros(len(g), np.int64), []
         b = here[(start < end) & (both | (side == 1))]
         while len(b):
             a = start[b]
-            ok = np.minimum(rest[a], rest[b]) >= (size[a] + size[b]) * ratio - SLACK
-            ok &= ((own[a] | own[b]) > 0) & ((alone[b] > 0) | (block[a] != block[b]))
+            fits = np.flatnonzero((size[a] <= cap[b]) & (size[b] <= cap[a]))
+            p, q = a[fits], b[fits]
+            ok = ((own[p] | own[q]) > 0) & ((alone[q] > 0) | (block[p] != block[q]))
             if earlier:
-                ok &= ids[a] < ids[b]
-            p, q = a[ok], b[ok]
+                ok &= ids[p] < ids[q]
+            p, q = p[ok], q[ok]
             total = size[p] + size[q]
             near = np.bitwise_count((sketch[p] ^ sketch[q]).view(np.uint64)) <= total - 2 * np.ceil(total * ratio - SLACK)
             p, q = p[near], q[near]
